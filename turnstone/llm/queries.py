@@ -7,6 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .hyper_language import language_report
+from .line_dedup import line_report
+from .pii import pii_report
 from .token_counts import token_counts
 from .token_files import token_file_report
 from .tree_bpe import encode_decode
@@ -24,6 +27,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_hyper_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -31,7 +46,33 @@ def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_token_files": op3_token_files,
+    "op5_pii": op5_pii,
+    "op6_hyper_language": op6_hyper_language,
+    "op7_line_dedup": op7_line_dedup,
     "op8_tree_bpe": op8_tree_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: What all SQL below strips from a line, and the letters that change case.
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_CASE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents
+        ), keyed AS (
+            SELECT *, translate(trim(line, {_WHITE}), {_CASE}) AS key FROM lines
+        ), common AS (
+            SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), marked AS (
+            SELECT k.doc_id, k.line, k.pos, c.last IS NOT NULL AND c.last <> k.doc_id AS dropped
+            FROM keyed k LEFT JOIN common c ON k.key = c.key
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}
