@@ -16,6 +16,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +133,7 @@ _DIGIT_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase)", r"(?:dot|point|punkt|punto)"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 
-_SPELLED_RUN = re.compile(rf"(?<!\w){_DIGIT_WORD}(?:[\s,.-]+{_DIGIT_WORD}){{3}}(?!\w)", re.I)
+_SPELLED_RUN = re.compile(rf"{_DIGIT_WORD}(?:[\s,.-]+{_DIGIT_WORD}){{2}}|(?:plus |\+ ?){_DIGIT_WORD}")
 _WORDS = re.compile(rf"(?<!\w){_DIGIT_WORD}(?!\w)", re.I)
 _GAP = re.compile(r"[\s,-]+")
 _GAP_AFTER_DIGIT = re.compile(r"[0-9]([\s,-]+)$")
@@ -144,13 +145,15 @@ _AT_APART = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+@\s+|\s+@|@\s+|[-_]at[-_])(?=[A-
 _DOT = re.compile(rf"\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*|&#46;|&period;|(?<=[A-Za-z0-9])\s+{_DOT_WORD}\s+(?=[A-Za-z0-9])", re.I)
 _DOT_APART = re.compile(r"(?<=[A-Za-z0-9])\s+\.\s+(?=[A-Za-z0-9])")
 _TOP_LEVEL = re.compile(r"\.[A-Za-z]{2,24}$")
-_HINTS = (*(f"{a}{b}{w}" for a in "[({<" for b in ("", " ") for w in ("at", "arroba", "arobase", "@")), " @", "@ ", "-at-", "_at_", "&#64;", "&commat;", "&#46;", "&period;")
+_BRACKET_HINTS = tuple(f"{a}{b}{w}" for a in "[({<" for b in ("", " ") for w in ("at", "arroba", "arobase", "@"))
+_HINTS = (" @", "@ ", "-at-", "_at_", "&#64;", "&commat;", "&#46;", "&period;")
 _DOTS = ("dot", "point", "punkt", "punto")
 
 
 @cache
-def folds() -> tuple[dict[int, str], re.Pattern]:
-    """What look-alikes and compatibility forms stand for ('' for invisible ones), and a pattern for them.
+def folds() -> tuple[dict[int, str], re.Pattern, np.ndarray]:
+    """What look-alikes and compatibility forms stand for ('' for invisible ones), a pattern for them,
+    and whether a code point is one.
 
     Compatibility forms follow from Unicode: a character whose NFKC form, or decimal value, is one
     ASCII character.
@@ -163,11 +166,16 @@ def folds() -> tuple[dict[int, str], re.Pattern]:
         to = unicodedata.normalize("NFKC", chr(c)) if digit is None else str(digit)
         if len(to) == 1 and to.isascii() and to.isprintable() and chr(c) not in "ªº¹²³":
             table[c] = to
-    return table, re.compile("[" + "".join(map(re.escape, map(chr, sorted(table)))) + "]")
+    flags = np.zeros(0x110000, dtype=bool)
+    flags[list(table)] = True
+    return table, re.compile("[" + "".join(map(re.escape, map(chr, sorted(table)))) + "]"), flags
 
 
-def _disguised(text: str, lower: str) -> bool:
-    return any(h in lower for h in _DOTS) or any(h in lower for h in _HINTS) or bool(_SPELLED_RUN.search(lower))
+def _disguised(lower: str) -> bool:
+    """Whether a lower-cased text can hold a disguise at all."""
+    if any(h in lower for h in _DOTS) or any(h in lower for h in _HINTS):
+        return True
+    return (any(c in lower for c in "[({<") and any(h in lower for h in _BRACKET_HINTS)) or bool(_SPELLED_RUN.search(lower))
 
 
 def added_spans(text: str, base: list[list[Span]]) -> list[list[Span]]:
@@ -175,12 +183,12 @@ def added_spans(text: str, base: list[list[Span]]) -> list[list[Span]]:
     none: list[list[Span]] = [[], [], [], []]
     tape, changed = None, False
     if not text.isascii():
-        table, pattern = folds()
-        if pattern.search(text):
+        table, pattern, flags = folds()
+        if flags[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].any():
             tape = Tape(text)
             changed = tape.rewrite(pattern, lambda m: table[ord(m[0])])
     now = tape.text if tape else text
-    if _disguised(now, now.lower()):
+    if _disguised(now.lower()):
         tape = tape or Tape(text)
         for pattern, to in (
             (_AT_IN_BRACKETS, lambda m: "@"),
