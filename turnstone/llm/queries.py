@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .hyper_language import language_report
 from .line_dedup import line_report
+from .ngram_join import ngram_join
 from .pii import pii_report
 from .token_counts import token_counts
 from .token_files import token_file_report
@@ -43,6 +44,10 @@ def op8_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_token_files": op3_token_files,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hyper_language": op6_hyper_language,
     "op7_line_dedup": op7_line_dedup,
     "op8_tree_bpe": op8_tree_bpe,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 #: What all SQL below strips from a line, and the letters that change case.
