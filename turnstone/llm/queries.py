@@ -12,6 +12,7 @@ from .hyper_language import language_report
 from .line_dedup import line_report
 from .ngram_join import ngram_join
 from .nn_descent import near_vectors
+from .pfair_mix import mix_report
 from .pii import pii_report
 from .token_counts import token_counts
 from .token_files import token_file_report
@@ -34,6 +35,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_topk": op2_exact_topk,
     "op3_token_files": op3_token_files,
+    "op4_pfair_mix": op4_pfair_mix,
     "op5_pii": op5_pii,
     "op6_hyper_language": op6_hyper_language,
     "op7_line_dedup": op7_line_dedup,
