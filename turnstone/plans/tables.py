@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import table
@@ -11,6 +11,11 @@ from ..catalog import table
 MINUTE = 60 * 10**9
 
 
+def micros(time: str) -> Column:
+    """Microseconds since the epoch of a time without zone (UTC)."""
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conversation_id, id, parent_id, turn, role, content, timestamp_ns): conversations as linear trees."""
     t = table(spark, sf_dir, "conversations")
