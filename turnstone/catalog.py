@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-PLANS = ("lexical", "archive", "timeline", "vectors")
+PLANS = ("lexical", "archive", "timeline", "vectors", "graph")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
