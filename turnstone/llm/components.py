@@ -2,42 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import n_partitions, written
 
-#: Rounds after which something must be wrong: each round at least halves the longest way to a root.
+#: Rounds after which something must be wrong: ways to a root about halve in each.
 MOST_ROUNDS = 64
 
 
-def _with_least(pairs: DataFrame, own: bool) -> DataFrame:
-    """(u, v, m): m is the least neighbour of u, or u itself if that is less or own is set."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select(F.col("u").alias("lu"), F.least("u", "m").alias("m") if own else F.col("m"))
-    return pairs.join(least, pairs["u"] == least["lu"]).select("u", "v", "m")
+def _round(pairs: DataFrame) -> DataFrame:
+    """One round over pairs (v, u), sorted: the least node m of v's set comes first, so sets are
+    streamed however large they are. m gets the set, each of the set gets m. open: v had more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # node, least and last neighbour of the group that the batch before ended in
+        for batch in batches:
+            v, u = batch.column("v").to_numpy(), batch.column("u").to_numpy()
+            if not len(v):
+                continue
+            new = np.concatenate(([last is None or v[0] != last[0]], v[1:] != v[:-1]))
+            twice = np.concatenate(([not new[0] and u[0] == last[2]], ~new[1:] & (u[1:] == u[:-1])))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(v)), -1))
+            m = np.where(at >= 0, np.minimum(v[at], u[at]), last[1] if last else 0)
+            last = v[-1], m[-1], u[-1]
+            least, other, own, new = m[~twice], u[~twice], v[~twice], new[~twice]
+            told = np.concatenate((np.stack((least, other), axis=1), np.stack((least[new], own[new]), axis=1)))
+            told = np.unique(told[told[:, 0] != told[:, 1]], axis=0)
+            rows = np.concatenate((told, told[:, ::-1]))
+            is_open = np.zeros(len(rows), dtype=bool)
+            if len(rows):
+                is_open[0] = bool(((own != least) & (other != least)).any())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(is_open)], ["v", "u", "open"])
+
+    return pairs.repartition(n_partitions(pairs.sparkSession), "v").sortWithinPartitions("v", "u").mapInArrow(run, "v long, u long, open boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node that it is linked with.
 
-    Alternates two steps until nothing changes: every node links its larger neighbours to its least
-    one, then its smaller neighbours and itself to its least one. Minima are taken per task first,
-    so a node with very many neighbours is no bottleneck; each round is written to the shared
-    folder. Loops and repeated edges are allowed, edges with a null end are left out.
+    Each node has a set of nodes, at first its neighbours. In a round it sends the set to the least
+    of it and the least to all of it, until every node knows only its root. A round is one shuffle,
+    written to the shared folder. Loops and repeated edges are allowed and give no nodes of their
+    own; edges with a null end are left out.
     """
-    now = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v and u is not null and v is not null").distinct(), "edges")
+    real = edges.where("a <> b").select(F.col("a").alias("v"), F.col("b").alias("u"))
+    now = real.union(real.select(F.col("u").alias("v"), F.col("v").alias("u")))
     for _ in range(MOST_ROUNDS):
-        both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        large = _with_least(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = _with_least(large, False)
-        small = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small, "edges")
-        same = new.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(new, ["u", "v"], "left_anti").isEmpty()
-        now = new
-        if same:
+        now = written(_round(now.select("v", "u")), "components")
+        if now.where("open").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = now.where("u < v").select(F.col("v").alias("node"), F.col("u").alias("root")).distinct()
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

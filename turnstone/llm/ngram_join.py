@@ -31,7 +31,7 @@ MOST_PAIRED, BLOCK, RANGE_BITS = 48, 512, 22
 MOST_BUCKET_BITS = 28
 #: Counts from which a bucket has level 1, 2, ...; fixed, roughly a geometric row.
 LEVELS = np.array([1, 2, 3, 4, 6, 9, 15, 25, 41, 71, 121, 251, 501, 1501, 5001])
-_MIX, _SEGMENT = np.uint64(0xBF58476D1CE4E5B9), 1 << 22
+_MIX, _SEGMENT = np.uint64(0xBF58476D1CE4E5B9), 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB], dtype=np.uint64) | np.uint64(1)
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -106,11 +106,11 @@ def _scan(rows: DataFrame, words: int) -> DataFrame:
         seen, waiting, held = set(), [], 0
 
         def buckets() -> pa.RecordBatch:
-            names = np.sort(np.concatenate(waiting) >> np.uint64(32)).astype(np.uint32)
-            cuts = np.searchsorted(names, np.arange(1 << 32 - RANGE_BITS - 4, dtype=np.uint64) << np.uint64(RANGE_BITS + 4))
+            names = np.sort((np.concatenate(waiting) >> np.uint64(64 - MOST_BUCKET_BITS)).astype(np.uint32))
+            cuts = np.searchsorted(names, np.arange(1 << MOST_BUCKET_BITS - RANGE_BITS, dtype=np.uint32) << np.uint32(RANGE_BITS))
             pieces = [(k, p) for k, p in enumerate(np.split(names, cuts[1:])) if len(p)]
             n = len(pieces)
-            # the four bytes of neighbours' differences apart: the upper ones are nearly all 0
+            # the four bytes of neighbours' differences apart: all but the lowest are nearly all 0
             blobs = [np.diff(p, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes() for _, p in pieces]
             return pa.RecordBatch.from_pydict({"id": pa.nulls(n, pa.int64()), "n": pa.array([-1] * n, pa.int64()), "class": pa.nulls(n, pa.int64()), "range": pa.array([k for k, _ in pieces], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
@@ -126,7 +126,7 @@ def _scan(rows: DataFrame, words: int) -> DataFrame:
                     held += len(s)
             n = len(sets)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "class": pa.array(names, pa.int64()), "range": pa.nulls(n, pa.int32()), "blob": pa.nulls(n, pa.binary())})
-            if held > 1 << 22:
+            if held > 1 << 21:
                 yield buckets()
                 waiting, held = [], 0
         if held:
@@ -137,23 +137,23 @@ def _scan(rows: DataFrame, words: int) -> DataFrame:
 
 def _bucket_levels(ranges: DataFrame, bits: int) -> np.ndarray:
     """The level of each of 2**bits buckets, two in a byte. Counted by range, in streams."""
-    shift = 32 - bits
+    shift = MOST_BUCKET_BITS - bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, blob in zip(batch.column("range").to_pylist(), batch.column("blob"), strict=True):
                 deltas = np.ascontiguousarray(np.frombuffer(blob.as_buffer(), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                names = (np.cumsum(deltas, dtype=np.uint64) & np.uint64((1 << RANGE_BITS + 4) - 1)) >> np.uint64(shift)
+                names = (np.cumsum(deltas, dtype=np.uint64) & np.uint64((1 << RANGE_BITS) - 1)) >> np.uint64(shift)
                 first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-                counts.setdefault(k, np.zeros(1 << RANGE_BITS + 4 - shift, dtype=np.int64))[names[first].astype(np.int64)] += np.diff(np.append(first, len(names)))
+                counts.setdefault(k, np.zeros(1 << RANGE_BITS - shift, dtype=np.int64))[names[first].astype(np.int64)] += np.diff(np.append(first, len(names)))
         for k, c in counts.items():
             level = np.searchsorted(LEVELS, c, side="right").astype(np.uint8)
             yield pa.RecordBatch.from_pydict({"range": pa.array([k], pa.int32()), "levels": [(level[0::2] | level[1::2] << 4).tobytes()]})
 
     made = ranges.repartition(n_partitions(ranges.sparkSession), "range").mapInArrow(run, "range int, levels binary")
     levels = np.zeros(1 << bits - 1, dtype=np.uint8)
-    size = 1 << RANGE_BITS + 3 - shift
+    size = 1 << RANGE_BITS - 1 - shift
     for r in made.toLocalIterator():  # half of 2**bits bytes in all
         levels[r["range"] * size : (r["range"] + 1) * size] = np.frombuffer(r["levels"], dtype=np.uint8)
     return levels
