@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import fresh_path, n_partitions
+from turnstone.llm.common import free_prefix, fresh_path, n_partitions
 from turnstone.llm.hyper_language import UNKNOWN, held_out, learn, predict
 from turnstone.llm.line_dedup import drop_common_lines
 from turnstone.llm.ngram_join import ngram_join
@@ -18,17 +18,25 @@ from turnstone.llm.pfair_mix import in_mixed_order, mix_sources
 from turnstone.llm.tree_bpe import encode_decode
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): other columns in one, so that no name clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))).alias("rest"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.{c}") for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found: those that are null or have no letters."""
-    found = predict(docs, learn(docs.where(~held_out())), keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return found.where(F.col("lang_pred") != UNKNOWN).select(docs.columns)
+    found = predict(_packed(docs), learn(docs.where(~held_out())), keep=("text", "rest"))
+    return _unpacked(found.where(F.col("lang_pred") != UNKNOWN), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes common lines out of all documents but one; n_chars is that of the new text."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = drop_common_lines(docs, keep=rest).withColumnRenamed("kept_text", "text")
-    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    kept = _unpacked(drop_common_lines(_packed(docs), keep=("rest",)).withColumnRenamed("kept_text", "text"), docs)
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +45,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
     kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(first["first"]), "left_semi")
     # a row that is there twice stays once
-    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+    own = free_prefix(docs) + "hash"
+    return kept.withColumn(own, F.xxhash64("text")).dropDuplicates(["doc_id", own]).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts documents in the order of the mix, in which the written files then are."""
-    return in_mixed_order(mix_sources(docs), docs.count(), n_partitions(spark)).select(docs.columns)
+    own = free_prefix(docs)
+    return in_mixed_order(mix_sources(docs, prefix=own), docs.count(), n_partitions(spark), own).select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,10 @@ def grouped_by_size(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_prefix(df: DataFrame, prefix: str = "_") -> str:
+    """prefix with as many underscores as it takes that no column of df begins with it."""
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix

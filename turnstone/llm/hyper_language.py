@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_by_size, small_batches, text_or_empty, texts_of
+from .common import free_prefix, grouped_by_size, small_batches, text_or_empty, texts_of
 
 #: Components of a vector, letters of an n-gram, characters handled at once, remembered n-grams.
 DIMENSIONS, ORDER, CHUNK_CHARS, MOST_GRAMS = 1024, 3, 1 << 18, 1 << 16
@@ -189,12 +189,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     Equal cosines take the first name. Null ids and repeated rows are kept."""
     spark = docs.sparkSession
     small_batches(spark)
-    names = sorted(prototypes)
+    names, own = sorted(prototypes), free_prefix(docs) + "text"
     shared = spark.sparkContext.broadcast(np.stack([prototypes[n] for n in names]) if names else np.zeros((0, DIMENSIONS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cosines, lettered = bundle(texts_of(batch, "_text"), shared.value)
+            cosines, lettered = bundle(texts_of(batch, own), shared.value)
             best = cosines.argmax(axis=1) if names else np.zeros(len(cosines), dtype=int)
             known = lettered & bool(names)
             scores = np.clip(cosines[np.arange(len(best)), best], 0, 1) if names else np.zeros(len(best))
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
             columns += [pa.array([names[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], pa.string()), pa.array(np.where(known, scores, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    rows = docs.select(id_col, *keep, text_or_empty(text_col).alias("_text"))
+    rows = docs.select(id_col, *keep, text_or_empty(text_col).alias(own))
     form = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
     return rows.mapInArrow(run, f"{form}, lang_pred string, score double")
 

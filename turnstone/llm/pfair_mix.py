@@ -22,6 +22,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_prefix
+
 #: Documents of a block, slots of a cycle, hash buckets of a source.
 BLOCK_DOCS, CYCLE, BUCKETS = 16, 10_000, 256
 
@@ -92,20 +94,23 @@ def bucket(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
     """All rows and columns of docs with mix_block, mix_slot and mix_position (longs, from 0).
 
     weights: of each source; None: the square root of its number of documents. A null source counts
     as the source ''. Sources that weights doesn't name are an error. Rows with equal ids are
     ordered by a hash of their text; null ids come first in their bucket. An empty table gives an
-    empty result. Columns of docs with one of the three names are replaced. The driver gets a count
+    empty result. prefix begins the
+    three names; columns of docs that have one of them are replaced. The driver gets a count
     for each source and bucket; schedules that are broadcast have at most one row for each source
     and slot of a cycle.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
-    rows = docs.select(*names, F.coalesce(F.col(source_col), F.lit("")).alias("_source"), bucket(id_col).alias("_bucket"))
-    counts = sorted(tuple(r) for r in rows.groupBy("_source", "_bucket").count().collect())
+    made = [f"{prefix}{x}" for x in ("block", "slot", "position")]
+    names, p = [c for c in docs.columns if c not in made], free_prefix(docs)  # p: before names of its own
+    at = lambda name: F.col(p + name)
+    rows = docs.select(*names, F.coalesce(F.col(source_col), F.lit("")).alias(p + "source"), bucket(id_col).alias(p + "bucket"))
+    counts = sorted(tuple(r) for r in rows.groupBy(p + "source", p + "bucket").count().collect())
     total: dict[str, int] = {}
     offsets = []
     for source, b, n in counts:
@@ -117,40 +122,40 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     plan = list(phases({s: -(-n // block_docs) for s, n in total.items()}, weights, cycle))
 
     def slot(s: str, k: int) -> int:
-        p = next(p for p in plan if s in p.before and k < p.before[s] + p.taken[s])
-        k -= p.before[s]
-        return p.start + k // p.share[s] * sum(p.share.values()) + p.slots[s][k % p.share[s]]
+        phase = next(x for x in plan if s in x.before and k < x.before[s] + x.taken[s])
+        k -= phase.before[s]
+        return phase.start + k // phase.share[s] * sum(phase.share.values()) + phase.slots[s][k % phase.share[s]]
 
     # A source's last block may be short: later positions move up by what it lacks.
     lacking = sorted((slot(s, (n - 1) // block_docs), -n % block_docs) for s, n in total.items())
-    steps = [(i, s, p.start, p.before[s], p.taken[s], p.share[s], sum(p.share.values())) for i, p in enumerate(plan) for s in p.before if p.taken[s]]
-    cycles = [(i, s, r, t) for i, p in enumerate(plan) for s in p.slots for r, t in enumerate(p.slots[s][: p.taken[s]])]
-    small = lambda data, form: F.broadcast(spark.createDataFrame(data, form).coalesce(1))
-    order = Window.partitionBy("_source", "_bucket").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
+    steps = [(i, s, x.start, x.before[s], x.taken[s], x.share[s], sum(x.share.values())) for i, x in enumerate(plan) for s in x.before if x.taken[s]]
+    cycles = [(i, s, r, t) for i, x in enumerate(plan) for s in x.slots for r, t in enumerate(x.slots[s][: x.taken[s]])]
+    small = lambda data, form: F.broadcast(spark.createDataFrame(data, ", ".join(p + x for x in form.split(", "))).coalesce(1))
+    order = Window.partitionBy(p + "source", p + "bucket").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
     ranked = (
-        rows.withColumn("_n", F.row_number().over(order))
-        .join(small(offsets, "_source string, _bucket int, _before long"), ["_source", "_bucket"])
-        .withColumn("_rank", F.col("_before") + F.col("_n") - 1)
-        .withColumn("mix_block", F.expr(f"_rank div {block_docs}"))
+        rows.withColumn(p + "n", F.row_number().over(order))
+        .join(small(offsets, "source string, bucket int, before long"), [p + "source", p + "bucket"])
+        .withColumn(p + "rank", at("before") + at("n") - 1)
+        .withColumn(p + "block", F.expr(f"{p}rank div {block_docs}"))
     )
-    s = small(steps, "_phase int, _s string, _start long, _first long, _taken long, _share long, _cycle long")
-    placed = ranked.join(s, (F.col("_source") == F.col("_s")) & (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_first") + F.col("_taken")))
-    placed = placed.withColumn("_turn", F.expr("(mix_block - _first) div _share")).withColumn("_r", F.col("mix_block") - F.col("_first") - F.col("_turn") * F.col("_share"))
-    c = small(cycles, "_cp int, _cs string, _cr long, _ct long")
-    placed = placed.join(c, (F.col("_phase") == F.col("_cp")) & (F.col("_source") == F.col("_cs")) & (F.col("_r") == F.col("_cr")))
-    placed = placed.withColumn("mix_slot", F.col("_start") + F.col("_turn") * F.col("_cycle") + F.col("_ct"))
+    s = small(steps, "phase int, s string, start long, first long, taken long, share long, cycle long")
+    placed = ranked.join(s, (at("source") == at("s")) & (at("block") >= at("first")) & (at("block") < at("first") + at("taken")))
+    placed = placed.withColumn(p + "turn", F.expr(f"({p}block - {p}first) div {p}share")).withColumn(p + "r", at("block") - at("first") - at("turn") * at("share"))
+    slots = small(cycles, "cp int, cs string, cr long, ct long")
+    placed = placed.join(slots, (at("phase") == at("cp")) & (at("source") == at("cs")) & (at("r") == at("cr")))
+    placed = placed.withColumn(p + "slot", at("start") + at("turn") * at("cycle") + at("ct"))
     short = F.lit(0).cast("long")
-    for at, n in lacking:
+    for after, n in lacking:
         if n:
-            short = short + F.when(F.col("mix_slot") > at, n).otherwise(0)
-    position = F.col("mix_slot") * block_docs + F.col("_rank") % block_docs - short
-    return placed.select(*names, "mix_block", "mix_slot", position.alias("mix_position"))
+            short = short + F.when(at("slot") > after, n).otherwise(0)
+    position = at("slot") * block_docs + at("rank") % block_docs - short
+    return placed.select(*names, at("block").alias(made[0]), at("slot").alias(made[1]), position.alias(made[2]))
 
 
-def in_mixed_order(mixed: DataFrame, count: int, parts: int) -> DataFrame:
+def in_mixed_order(mixed: DataFrame, count: int, parts: int, prefix: str = "mix_") -> DataFrame:
     """Rows of mix_sources dealt to parts by position, each in order: written files follow the mix."""
-    at = F.expr(f"cast(mix_position * {parts} div {max(1, count)} as int)")
-    return mixed.repartitionById(parts, at).sortWithinPartitions("mix_position")
+    at = F.expr(f"cast({prefix}position * {parts} div {max(1, count)} as int)")
+    return mixed.repartitionById(parts, at).sortWithinPartitions(f"{prefix}position")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
