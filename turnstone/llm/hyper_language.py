@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import free_prefix, grouped_by_size, small_batches, text_or_empty, texts_of
 
 #: Components of a vector, letters of an n-gram, characters handled at once, remembered n-grams.
-DIMENSIONS, ORDER, CHUNK_CHARS, MOST_GRAMS = 1024, 3, 1 << 18, 1 << 16
+DIMENSIONS, ORDER, CHUNK_CHARS, MOST_GRAMS = 1024, 3, 1 << 17, 1 << 15
 UNKNOWN = "und"
 _END, _BLANK = 0, 32
 

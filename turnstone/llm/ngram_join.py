@@ -126,7 +126,7 @@ def _scan(rows: DataFrame, words: int) -> DataFrame:
                     held += len(s)
             n = len(sets)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": pa.array([len(s) for s in sets], pa.int64()), "class": pa.array(names, pa.int64()), "range": pa.nulls(n, pa.int32()), "blob": pa.nulls(n, pa.binary())})
-            if held > 1 << 21:
+            if held > 1 << 20:
                 yield buckets()
                 waiting, held = [], 0
         if held:
@@ -135,7 +135,7 @@ def _scan(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, class long, range int, blob binary")
 
 
-def _bucket_levels(ranges: DataFrame, bits: int) -> np.ndarray:
+def _bucket_levels(ranges: DataFrame, bits: int) -> bytes:
     """The level of each of 2**bits buckets, two in a byte. Counted by range, in streams."""
     shift = MOST_BUCKET_BITS - bits
 
@@ -156,7 +156,7 @@ def _bucket_levels(ranges: DataFrame, bits: int) -> np.ndarray:
     size = 1 << RANGE_BITS - 1 - shift
     for r in made.toLocalIterator():  # half of 2**bits bytes in all
         levels[r["range"] * size : (r["range"] + 1) * size] = np.frombuffer(r["levels"], dtype=np.uint8)
-    return levels
+    return levels.tobytes()  # bytes, unlike arrays, are unpickled without a second copy
 
 
 # -- candidates ---------------------------------------------------------------------------
@@ -166,7 +166,7 @@ def _postings(rows: DataFrame, shared, bits: int, words: int, percent: int) -> D
     """(key, class, n, pos) of each class' prefix, once in a task, without shingles that stand alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, seen = shared.value, set()
+        packed, seen = np.frombuffer(shared.value, dtype=np.uint8), set()
         for batch in batches:
             keys, names, sizes, places = [], [], [], []
             for s in shingle_sets(texts_of(batch, "text"), words):
@@ -428,6 +428,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     levels = spark.sparkContext.broadcast(_bucket_levels(scanned.where("n < 0").select("range", "blob"), bits))
     classes = narrow.where("n > 0").groupBy("class").agg(F.min("id").alias("first"))
     groups = written(components(_candidate_edges(_postings(rows, levels, bits, words, percent), percent)), "groups")
+    levels.destroy()  # the executors' workers need the memory for what follows
     wanted = written(groups.join(classes, groups["node"] == classes["class"]).select(F.col("first").alias("id"), "class", "root"), "wanted")
     count = wanted.count()
     sizes = wanted.groupBy("root").agg((F.floor((F.count("*") + (BLOCK - 1)) / BLOCK)).cast("int").alias("blocks"))

@@ -26,7 +26,7 @@ LETTER, NUMBER, SPACE, OTHER, END, UNKNOWN = 0, 1, 2, 3, 4, 5
 #: Between two texts of one batch; a noncharacter, which is never cut into pieces.
 SEPARATOR = "\U0010ffff"
 #: Characters handled at once, and the most pieces that are remembered.
-CHUNK_CHARS, MOST_PIECES = 1 << 20, 1 << 21
+CHUNK_CHARS, MOST_PIECES = 1 << 19, 1 << 19
 #: White space of the pattern's \s (the Unicode property White_Space).
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: One-letter and two-letter endings after an apostrophe that the pattern keeps together.

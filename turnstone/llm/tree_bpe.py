@@ -27,7 +27,7 @@ from .common import small_batches, text_or_empty, texts_of
 from .pieces import PieceEncoder
 
 #: Strings and windows remembered by a worker; beyond it they are forgotten and made again.
-MOST = 600_000
+MOST = 150_000
 #: Ids decoded at once at a leaf.
 LEAF_IDS = 1 << 18
 
