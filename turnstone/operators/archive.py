@@ -70,7 +70,7 @@ def paths(nodes: DataFrame, ends: DataFrame, most: int = 1 << 20) -> DataFrame:
         jump, step = cut(jump.join(again, ["conversation_id", "to"]).select("conversation_id", "id", F.col("to2").alias("to")), "jump"), step * 2
     for size, j in jumps:  # back < size so far: each ancestor is reached in one way
         more = found.join(j, NODE).select("conversation_id", "leaf", F.col("to").alias("id"), (F.col("back") + size).alias("back"))
-        found = found.union(more)
+        found = cut(found.union(more), "paths")  # each step would double the plan otherwise
     return found
 
 
