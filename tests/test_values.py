@@ -53,7 +53,7 @@ def test_version_cut(spark):
 
 
 def test_paths_of_a_deep_tree(spark):
-    n = 150
+    n = 40
     nodes = spark.createDataFrame([(1, f"n{i}", f"n{i - 1}" if i else None, i) for i in range(n)] + [(2, "x", "gone", 0), (3, "p", "q", 0), (3, "q", "p", 1)], "conversation_id int, id string, parent_id string, timestamp_ns int")
     p = archive.paths(nodes, archive.leaves(nodes).select("conversation_id", F.col("id").alias("leaf"))).where("conversation_id = 1").collect()
     assert {(r.id, r.back) for r in p} == {(f"n{i}", n - 1 - i) for i in range(n)}
@@ -186,3 +186,12 @@ def test_sources(spark, tmp_path):
     for name in ("a.txt", "b.txt"):
         (tmp_path / name).write_text("same")
     assert jsonl.read_files(spark, str(tmp_path / "*.txt")).count() == 1
+
+
+def test_truncation_keeps_characters_whole(spark):
+    from turnstone.operators.records import truncated
+
+    text = "aé漢😀b"
+    for n in range(13):
+        want = text.encode()[:n].decode(errors="ignore")
+        assert one(spark, truncated(F.lit(text), n)) == want
