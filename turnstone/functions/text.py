@@ -49,15 +49,20 @@ def per_mille(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.expr("1000") * part / whole).otherwise(0).cast("long")
 
 
-def jaccard_per_mille(a: Column, b: Column) -> Column:
+def _common_and_union(a: Column, b: Column) -> tuple[Column, Column]:
     common = F.size(F.array_intersect(a, b)).cast("long")
-    return per_mille(common, F.size(F.array_union(a, b)).cast("long"))
+    return common, F.size(a) + F.size(b) - common  # no union is built
+
+
+def jaccard_per_mille(a: Column, b: Column) -> Column:
+    """Of arrays without repeated elements, in whole thousandths."""
+    return per_mille(*_common_and_union(a, b))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """0 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
+    """Of arrays without repeated elements; 0 if both are empty."""
+    common, union = _common_and_union(a, b)
+    return F.when(union > 0, common / union).otherwise(F.lit(0.0))
 
 
 def reciprocal_rank(rank: Column, weight: float, k: int = 60) -> Column:
