@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, small_batches, text_or_empty, texts_of, written
+from .common import fresh_path, n_partitions, removed, small_batches, text_or_empty, texts_of, written
 from .components import components
 from .pieces import _letters, _powers
 
@@ -421,11 +421,14 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    scanned = written(_scan(rows, words), "shingles")
-    narrow = scanned.where("n >= 0").select("id", "n", "class")
+    path = fresh_path(spark, "shingles")
+    _scan(rows, words).write.parquet(path)
+    scanned = spark.read.schema("id long, n long, class long, range int, blob binary").parquet(path)
+    narrow = written(scanned.where("n >= 0").select("id", "n", "class"), "sets")
     total = narrow.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BUCKET_BITS, max(RANGE_BITS, int(total).bit_length()))
     levels = spark.sparkContext.broadcast(_bucket_levels(scanned.where("n < 0").select("range", "blob"), bits))
+    removed(spark, path)  # the buckets are counted, and are the larger part of what is on disk
     classes = narrow.where("n > 0").groupBy("class").agg(F.min("id").alias("first"))
     groups = written(components(_candidate_edges(_postings(rows, levels, bits, words, percent), percent)), "groups")
     levels.destroy()  # the executors' workers need the memory for what follows
