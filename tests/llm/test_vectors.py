@@ -93,6 +93,37 @@ def test_near_vectors(spark):
     assert (one.n_links, one.component_id, one.kept) == (0, 5, True)
 
 
+def test_isolated_pairs_beside_a_large_group(spark, monkeypatch):
+    from turnstone.llm import nn_descent as module
+
+    monkeypatch.setattr(module, "BUCKET", 1)  # hashes as long as those of a large table
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a, b = unit(rng.standard_normal((1500, 64))), unit(rng.standard_normal((1500, 64)))
+    pairs = np.stack((a, 0.91 * a + np.sqrt(1 - 0.91**2) * unit(b - (a * b).sum(axis=1, keepdims=True) * a)), axis=1).reshape(-1, 64)
+    group = unit(rng.standard_normal(64)) + 0.01 * rng.standard_normal((400, 64))
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(np.concatenate((pairs, group)))], FORM).repartition(4)
+    got = {r.vec_id: r for r in near_vectors(df).collect()}
+    assert all(got[i].n_links == 399 for i in range(3000, 3400))
+    found = sum(got[i].n_links == 1 and got[i].component_id == i // 2 * 2 for i in range(3000)) / 3000
+    assert found >= module.RECALL and abs(found - got[0].recall) < 0.02
+
+
+def test_all_are_compared_if_recall_stays_low(spark, monkeypatch):
+    from turnstone.llm import nn_descent as module
+
+    monkeypatch.setattr(module, "DOUBLINGS", 0)
+    monkeypatch.setattr(module, "ROUNDS", 0)
+    monkeypatch.setattr(module, "SLICE", 50)
+    monkeypatch.setattr(module, "_first_graph", lambda nodes, count, k, seed=7: nodes.sparkSession.createDataFrame([], module.EDGES))
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((100, 16))
+    v = np.concatenate((v, v[:30] + 0.1 * rng.standard_normal((30, 16)), v[40] + 0.05 * rng.standard_normal((25, 16))))
+    rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
+    got = near_vectors(spark.createDataFrame([(i, x, 0) for i, x in rows], FORM)).collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(brute_near(rows)) and {r.recall for r in got} == {1.0}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)

@@ -3,11 +3,15 @@
 Equal vectors are one node. A first neighbour graph comes from a few random hyperplane hashes, whose
 buckets (cut into blocks where they are large) are compared inside. NN-descent then refines it: at
 each node the lists of its neighbours and of those that name it meet, all pairs of them are
-compared, and what is nearer than the worst entry of a list enters it, until little changes. Edges
+compared, and what is nearer than the worst entry of a list enters it, until little changes. There
+are as many hashes as it takes that two vectors at the threshold meet in one, however many vectors
+there are; each doubling adds fresh ones. Edges
 at or over the threshold are links. A list is saturated if all its entries are links: it is then
 enlarged to the node's whole component, which is compared in blocks, so that no link of a large
-group is lost and none of its pairs is written. Recall is audited against a sample of nodes
-compared with all rows; lists are doubled and refined again until it is high enough.
+group is lost and none of its pairs is written. Recall is audited on samples of nodes compared with
+all rows, each node counting alike and nodes outside enlarged components on their own; lists are
+doubled and refined again until it is high enough. If it isn't after the last doubling, all nodes
+are compared with all.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ NEIGHBOURS, HASHES, BUCKET, BLOCK = 10, 6, 256, 512
 ROUNDS, SETTLED = 4, 0.002
 #: Sampled nodes of the audit, the recall that is asked for, and how often lists are doubled for it.
 AUDITED, RECALL, DOUBLINGS = 1024, 0.97, 3
+#: Nodes that all nodes are compared with at once.
+SLICE = 8192
 
 EDGES = "u long, v long, sim double"
 
@@ -108,8 +114,27 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
+def _hash_bits(count: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, count) / BUCKET))))
+
+
+def _hash_batches(count: int, threshold: float) -> int:
+    """How many times HASHES hashes it takes that two vectors at the threshold share a bucket with
+    the probability RECALL."""
+    meet = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** _hash_bits(count)
+    return 1 if meet >= RECALL else int(np.ceil(np.log(1 - RECALL) / np.log1p(-meet) / HASHES))
+
+
+def _hashed_graph(nodes: DataFrame, count: int, k: int, threshold: float, first: int = 0, graph: DataFrame | None = None) -> DataFrame:
+    """graph with what the hashes of seeds from first on find; a batch of hashes is written at a time."""
+    for seed in range(first, first + _hash_batches(count, threshold)):
+        found = _first_graph(nodes, count, k, 7 + seed)
+        graph = written(_best(graph.union(found), k) if graph is not None else found, "graph")
+    return graph
+
+
 def _first_graph(nodes: DataFrame, count: int, k: int, seed: int = 7) -> DataFrame:
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / BUCKET))))
+    bits = _hash_bits(count)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +151,7 @@ def _first_graph(nodes: DataFrame, count: int, k: int, seed: int = 7) -> DataFra
 
     buckets = nodes.select("id", "blob").mapInArrow(hashed, "tree int, bucket long, id long, blob binary")
     sizes = buckets.groupBy("tree", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = buckets.join(sizes, ["tree", "bucket"]).select("tree", "bucket", F.pmod(F.xxhash64("id", "tree"), F.col("blocks")).cast("int").alias("block"), "id", "blob")
+    cut = buckets.join(sizes, ["tree", "bucket"]).select("tree", "bucket", F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.col("blocks")).cast("int").alias("block"), "id", "blob")
 
     def near(group: dict[str, list]) -> Iterator[dict]:
         ids, x = np.array(group["id"]), unit_rows(group["blob"])
@@ -183,10 +208,48 @@ def _in_blocks(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return by_group(rows, ["root", "i", "j"], "id long, links long", count).groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _compared(graph: DataFrame, nodes: DataFrame, threshold: float, k: int) -> DataFrame:
+    """graph with the k best links of each node, all nodes being compared with all, a slice of them
+    at a time."""
+    spark = nodes.sparkSession
+    slices = max(1, -(-nodes.count() // SLICE))
+    cut = written(nodes.select("id", "blob", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice")), "slices")
+    for n in range(slices):
+        part = cut.where(F.col("slice") == n).select("id", "blob").collect()  # about SLICE rows
+        if not part:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in part]), [bytes(r["blob"]) for r in part]))
+
+        def linked(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, blobs = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    rows = batch.slice(at, 512)
+                    mine = rows.column("id").to_numpy()
+                    both = unit_rows(blobs + [b.as_py() for b in rows.column("blob")])
+                    sims = both[len(ids) :] @ both[: len(ids)].T
+                    sims[mine[:, None] == ids[None, :]] = -2
+                    m = min(k, len(ids))
+                    top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+                    best = np.take_along_axis(sims, top, axis=1)
+                    i, j = np.nonzero(best >= threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[i]), pa.array(ids[top[i, j]]), pa.array(best[i, j])], ["u", "v", "sim"])
+
+        graph = written(_best(graph.union(nodes.select("id", "blob").mapInArrow(linked, EDGES)), k), "graph")
+        shared.unpersist()
+    return graph
+
+
 def _audit(nodes: DataFrame, links: DataFrame, enlarged: DataFrame, threshold: float) -> float:
-    """The share of a sample's true links that were found."""
+    """The mean share of a node's true links that were found, over a sample of the nodes outside
+    enlarged components or over one of those inside, whichever is less."""
+    inside = enlarged.select("id")
+    return min(_audited(nodes.join(inside, "id", how), nodes, links, enlarged, threshold) for how in ("left_anti", "left_semi"))
+
+
+def _audited(chosen: DataFrame, nodes: DataFrame, links: DataFrame, enlarged: DataFrame, threshold: float) -> float:
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "blob").collect()  # AUDITED rows
+    sample = chosen.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "blob").collect()  # AUDITED rows
     if not sample:
         return 1.0
     shared = spark.sparkContext.broadcast((np.array([r["id"] for r in sample]), [bytes(r["blob"]) for r in sample]))
@@ -206,8 +269,10 @@ def _audit(nodes: DataFrame, links: DataFrame, enlarged: DataFrame, threshold: f
     inside = enlarged.select(F.col("id").alias("u"), F.col("root").alias("ru"))
     also = enlarged.select(F.col("id").alias("v"), F.col("root").alias("rv"))
     found = links.select("u", "v", F.lit(True).alias("hit"))
-    r = truth.join(found, ["u", "v"], "left").join(inside, "u", "left").join(also, "v", "left").agg(F.count("*").alias("all"), F.count_if(F.coalesce("hit", F.col("ru") == F.col("rv"), F.lit(False))).alias("found")).first()
-    return r["found"] / r["all"] if r["all"] else 1.0
+    hit = F.coalesce("hit", F.col("ru") == F.col("rv"), F.lit(False)).cast("double")
+    by_node = truth.join(found, ["u", "v"], "left").join(inside, "u", "left").join(also, "v", "left").groupBy("u").agg(F.avg(hit).alias("share"))
+    mean = by_node.agg(F.avg("share")).first()[0]
+    return 1.0 if mean is None else mean
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -224,9 +289,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS
     vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     named, nodes = _nodes(vectors, id_col, vector_col)
     named, count = written(named, "named"), nodes.count()
-    graph = written(_first_graph(nodes, count, k), "graph")
-    for doubling in range(DOUBLINGS + 1):
-        for _ in range(ROUNDS):
+    graph, batches = _hashed_graph(nodes, count, k, threshold), _hash_batches(count, threshold)
+    for doubling in range(DOUBLINGS + 2):
+        for _ in range(ROUNDS if doubling <= DOUBLINGS else 0):
             new = written(_refined(graph, nodes, k), "graph")
             changed = new.join(graph, ["u", "v"], "left_anti").count()
             graph = new
@@ -239,9 +304,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS
         dense = groups.join(full, groups["id"] == full["u"], "left_semi").select("root").distinct()
         enlarged = groups.join(dense, "root", "left_semi")
         recall = _audit(nodes, links, enlarged, threshold)
-        if recall >= RECALL or doubling == DOUBLINGS or k >= count:
+        if recall >= RECALL or doubling > DOUBLINGS:
             break
+        if doubling == DOUBLINGS or k >= count:
+            # the last way: nothing can be lost
+            graph = _compared(graph, nodes, threshold, k)
+            continue
         k *= 2
+        graph = _hashed_graph(nodes, count, k, threshold, (doubling + 1) * batches, graph)
     times = nodes.select(F.col("id").alias("v"), "times")
     apart = links.join(enlarged.select(F.col("id").alias("u")), "u", "left_anti").join(times, "v").groupBy("u").agg(F.sum("times").alias("links")).withColumnRenamed("u", "id")
     counted = apart.union(_in_blocks(enlarged.select("id", "root"), nodes, threshold))
