@@ -102,6 +102,17 @@ def test_token_files(spark, docs, texts, library, empty_docs, tmp_path):
     assert [r.doc_id for r in out] == [None, None, 1, 1] and [r.start for r in out][-1] == sum(r.n_tokens for r in out[:-1])
 
 
+def test_unknown_code_points_are_cut_by_the_pattern(spark, tik):
+    odd = "\u0378\uffff\U0010ffff\U0003fffe\U000105c0\U00010d40\U0001fae9\U00011bc0\U00016d70\ua7cb"
+    rng = random.Random(7)
+    texts = ["A line.\n\nThe next one. Indented\n    code here \u0378", "\U0010ffff", "a\U0010ffff\n\n  b", *odd]
+    texts += ["".join(rng.choices([*odd, *"abs1 \n\t'.é", "\n\n   ", " the", "'s", "12"], k=rng.randrange(40))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in encode_decode(df, RANKS, with_ids=True).collect():
+        assert list(r.ids) == tik.encode_ordinary(texts[r.doc_id]), texts[r.doc_id]
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_encode_decode(spark, docs, texts, tik, empty_docs):
     rows = encode_decode(clashing(docs.union(docs.limit(2))), RANKS, with_ids=True).collect()
     assert len(rows) == len(texts) + 2

@@ -7,7 +7,8 @@ numbers, white space and the rest), names each piece by a 64-bit hash, keeps pie
 open-addressing table, and hands only pieces it has not met to the encoder that it is given.
 
 Texts holding code points that this Python's Unicode tables don't know are given to the encoder
-whole, since the library's tables may be newer.
+whole, since the library's tables may be newer; an encoder that doesn't cut texts itself comes with
+a function that tells the class of such a code point.
 """
 
 from __future__ import annotations
@@ -93,11 +94,13 @@ class PieceEncoder:
     encode: gets a list of str, returns the ids of each. specials: strings that the encoder treats
     as one token wherever they stand; it gets texts that hold one whole. Memory is bounded: at most
     MOST_PIECES pieces are remembered (then all are forgotten), and CHUNK_CHARS characters are cut
-    at a time.
+    at a time. kind_of: the class of a code point that this Python doesn't know; with it every text
+    without specials is cut here.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], specials: Sequence[str] = (), most: int = MOST_PIECES):
-        self.encode, self.specials, self.most = encode, tuple(specials), most
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], specials: Sequence[str] = (), most: int = MOST_PIECES, kind_of: Callable[[str], int] | None = None):
+        self.encode, self.specials, self.most, self.kind_of = encode, tuple(specials), most, kind_of
+        self.classes = classes().copy() if kind_of else classes()
         self._forget()
 
     def _forget(self) -> None:
@@ -156,7 +159,13 @@ class PieceEncoder:
         """The pieces' numbers, and the number of pieces of each text."""
         joined = SEPARATOR.join(texts) + SEPARATOR
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-        kinds = classes()[codes]
+        kinds = self.classes[codes]
+        if self.kind_of:
+            for c in np.unique(codes[kinds == UNKNOWN]).tolist():
+                self.classes[c] = self.kind_of(chr(c))
+            kinds = self.classes[codes]
+            kinds[kinds == END] = self.kind_of(SEPARATOR) if (kinds == END).sum() > len(texts) else END
+            kinds[np.cumsum([len(t) + 1 for t in texts]) - 1] = END
         begins = cut_points(codes, kinds)
         ends = np.append(begins[1:], len(codes))
         power, inverse = _powers(1 << (len(codes) - 1).bit_length())
@@ -192,7 +201,7 @@ class PieceEncoder:
     def _plain(self, text: str) -> bool:
         if any(x in text for x in self.specials):
             return False
-        if text.isascii():
+        if self.kind_of or text.isascii():
             return True
         return not (classes()[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)] >= END).any()
 

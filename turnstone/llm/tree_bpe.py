@@ -19,12 +19,14 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_or_empty, texts_of
-from .pieces import PieceEncoder
+from .pieces import LETTER, NUMBER, OTHER, PieceEncoder
 
 #: Strings and windows remembered by a worker; beyond it they are forgotten and made again.
 MOST = 150_000
@@ -108,11 +110,27 @@ def ranks_of(file: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines()) if a}
 
 
+@cache
+def kind_of(char: str) -> int:
+    """The class of a character in the pattern's own tables: whether it makes one match with a
+    letter or a number. White space is known to every table."""
+    data = char.encode()
+    ranks = {bytes([i]): i for i in range(256)}
+    for first in (b"a", b"1"):
+        for n in range(1, len(data) + 1):
+            ranks[first + data[:n]] = len(ranks)
+    table = tiktoken.Encoding("kinds", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for first, kind in (("a", LETTER), ("1", NUMBER)):
+        if len(table.encode_ordinary(first + char)) == 1:
+            return kind
+    return OTHER
+
+
 @cache
 def codec(file: bytes) -> tuple[PieceEncoder, MonoidDecoder]:
     """Encoder and decoder of a rank file, one for each Python worker."""
     bpe = MonoidBpe(ranks_of(file))
-    return PieceEncoder(lambda pieces: [bpe.encode(p.encode()) for p in pieces]), MonoidDecoder(bpe.bytes_of)
+    return PieceEncoder(lambda pieces: [bpe.encode(p.encode()) for p in pieces], kind_of=kind_of), MonoidDecoder(bpe.bytes_of)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
