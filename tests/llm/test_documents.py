@@ -100,6 +100,37 @@ def test_disguises(text, kind, found):
     assert (kind, found, False) in spans
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("card 4111 1111 1111 111 one", "card", "4111 1111 1111 111 one"),
+        ("call +1 415 five five 5 0100", "phone", "+1 415 five five 5 0100"),
+        ("+49 30 one two 345678", "phone", "+49 30 one two 345678"),
+        ("plus 49 30 12345678", "phone", "plus 49 30 12345678"),
+        ("joe (  at\t) example.com", "email", "joe (  at\t) example.com"),
+        ("joe\t@ example.com", "email", "joe\t@ example.com"),
+        ("jane at example . com", "email", "jane at example . com"),
+        ("+1 415 fİve five 5 0100", "phone", "+1 415 fİve five 5 0100"),
+    ],
+)
+def test_disguises_whatever_else_the_text_holds(text, kind, found):
+    for t in (text, f"{text}, an anecdote", f"an appointment: {text}"):
+        assert (kind, found, False) in [(s["kind"], t[s["start"] : s["end"]], s["base"]) for s in all_spans(t)]
+
+
+def test_gate_loses_nothing(monkeypatch):
+    from turnstone.llm import pii as module
+
+    rng = random.Random(11)
+    bits = ["one", "Five", "fünf", "zéro", "oh", "un", "plus", "+", "4", "11", "1111", "4111", "192", ".", "-", "(", ")", "[", "]", " ", " ", " ", "  ", "\t", "\n", ", ", "@", "at", "AT", "dot", "Punkt", "joe", "x", "com", "example.com", "&#64;", "&period;", "_at_", "İ"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(3, 22))) for _ in range(60_000)]
+    texts += [" ".join(rng.choice(["one", "5", "two", "4", "1", "+", "."]) for _ in range(rng.randrange(4, 20))) for _ in range(10_000)]
+    gated = [all_spans(t) for t in texts]
+    monkeypatch.setattr(module, "_disguised", lambda lower: True)
+    assert [(t, g) for t, g in zip(texts, gated, strict=True) if g != all_spans(t)] == []
+    assert sum(not s["base"] for g in gated for s in g) > 100
+
+
 @pytest.mark.parametrize("text", ["a look at example.com", "he is at home. dot the i", "one two three", "drei vier fünf sechs", "x² + y³ = 12 · 5", "", "at dot com"])
 def test_clean_texts_stay_clean(text):
     assert all_spans(text) == []

@@ -133,7 +133,6 @@ _DIGIT_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|arobase)", r"(?:dot|point|punkt|punto)"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 
-_SPELLED_RUN = re.compile(rf"{_DIGIT_WORD}(?:[\s,.-]+{_DIGIT_WORD}){{2}}|(?:plus |\+ ?){_DIGIT_WORD}")
 _WORDS = re.compile(rf"(?<!\w){_DIGIT_WORD}(?!\w)", re.I)
 _GAP = re.compile(r"[\s,-]+")
 _GAP_AFTER_DIGIT = re.compile(r"[0-9]([\s,-]+)$")
@@ -145,9 +144,17 @@ _AT_APART = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+@\s+|\s+@|@\s+|[-_]at[-_])(?=[A-
 _DOT = re.compile(rf"\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*|&#46;|&period;|(?<=[A-Za-z0-9])\s+{_DOT_WORD}\s+(?=[A-Za-z0-9])", re.I)
 _DOT_APART = re.compile(r"(?<=[A-Za-z0-9])\s+\.\s+(?=[A-Za-z0-9])")
 _TOP_LEVEL = re.compile(r"\.[A-Za-z]{2,24}$")
-_BRACKET_HINTS = tuple(f"{a}{b}{w}" for a in "[({<" for b in ("", " ") for w in ("at", "arroba", "arobase", "@"))
-_HINTS = (" @", "@ ", "-at-", "_at_", "&#64;", "&commat;", "&#46;", "&period;")
-_DOTS = ("dot", "point", "punkt", "punto")
+# What must stand in a lower-cased text that a rewrite changes, for each of the rewrites. Spelled
+# digits matter beside a digit or another one (with what joins them or may stand in a number), or
+# in a text with an @; a plus, before a digit.
+_NEEDED = re.compile(
+    rf"{_OPEN}\s*(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s*{_CLOSE}|&(?:#64|commat|#46|period);|\s@|@\s|[-_]at[-_]|[a-z0-9]\s+{_DOT_WORD}\s+[a-z0-9]"
+    rf"|[a-z0-9]\s+{_AT_WORD}\s+[a-z0-9-]+\s+\.\s"
+)
+_DIGITS_APART = r"[\s,.()-]*+"
+_NEAR_DIGITS = re.compile(rf"(?<!\w){_DIGIT_WORD}(?!\w){_DIGITS_APART}(?:[0-9]|{_DIGIT_WORD}(?!\w))|[0-9]{_DIGITS_APART}(?<!\w){_DIGIT_WORD}(?!\w)")
+_NEEDED_WITH_AT = re.compile(rf"\s\.\s|(?<!\w){_DIGIT_WORD}(?!\w)")
+_NEEDED_PLUS = re.compile(rf"(?:(?<!\w)plus\s+|\+\s+)(?:[0-9]|{_DIGIT_WORD}(?!\w))|\+{_DIGIT_WORD}(?!\w)")
 
 
 @cache
@@ -172,10 +179,12 @@ def folds() -> tuple[dict[int, str], re.Pattern, np.ndarray]:
 
 
 def _disguised(lower: str) -> bool:
-    """Whether a lower-cased text can hold a disguise at all."""
-    if any(h in lower for h in _DOTS) or any(h in lower for h in _HINTS):
+    """Whether a lower-cased text can hold a disguise at all: false only if no rewrite can add a span."""
+    if "\u0307" in lower:
+        lower = lower.replace("i\u0307", "i")  # the capital I with a dot, which patterns take for an i
+    if _NEEDED.search(lower) or _NEAR_DIGITS.search(lower):
         return True
-    return (any(c in lower for c in "[({<") and any(h in lower for h in _BRACKET_HINTS)) or bool(_SPELLED_RUN.search(lower))
+    return ("@" in lower and bool(_NEEDED_WITH_AT.search(lower))) or (("plus" in lower or "+" in lower) and bool(_NEEDED_PLUS.search(lower)))
 
 
 def added_spans(text: str, base: list[list[Span]]) -> list[list[Span]]:
@@ -197,9 +206,8 @@ def added_spans(text: str, base: list[list[Span]]) -> list[list[Span]]:
             (_DOT, lambda m: "."),
         ):
             changed |= tape.rewrite(pattern, to)
-        if _WORDS.search(tape.text):
-            changed |= tape.rewrite(_PLUS, lambda m: "" if m[0].isspace() else "+")
-            changed |= _spelled_digits(tape)
+        changed |= tape.rewrite(_PLUS, lambda m: "" if m[0].isspace() else "+")
+        changed |= _spelled_digits(tape)
         if "@" in tape.text:
             changed |= tape.rewrite(_DOT_APART, lambda m: ".")
     if not tape or not changed:
@@ -230,7 +238,7 @@ def _spelled_digits(tape: Tape) -> bool:
         m = _GAP_AFTER_DIGIT.search(tape.text, max(0, a - 8), a)
         if m and m.start(1) not in ends:
             joins.append(m.span(1))
-    spans = sorted({*((a, b, SPELLED[tape.text[a:b].lower()]) for a, b in spelled), *((a, b, "") for a, b in joins)})
+    spans = sorted({*((a, b, SPELLED[tape.text[a:b].lower().replace("i\u0307", "i")]) for a, b in spelled), *((a, b, "") for a, b in joins)})
     texts, starts, stops, done = [], [], [], 0
     for a, b, new in spans:
         texts += (tape.text[done:a], new)
