@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from turnstone.llm.hyper_language import gram_counts, held_out, language_report, learn, predict
 from turnstone.llm.line_dedup import drop_common_lines, line_report
 from turnstone.llm.ngram_join import linked, ngram_join, prefix_size, shingle_sets, suffix_bound
-from turnstone.llm.pfair_mix import mix_sources, phases, shares
+from turnstone.llm.pfair_mix import mix_sources, phases, schedule, shares
 from turnstone.llm.pii import all_spans, base_spans, find_pii, pii_report
 
 from .conftest import DOCS, clashing, words
@@ -38,6 +39,42 @@ def test_schedule_keeps_within_a_block(seed):
     assert dict(got) == blocks
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_schedule_keeps_to_the_weights_given(seed):
+    rng = random.Random(seed)
+    weights = {f"s{i}": rng.choice([1 / 3, 2 / 3, 1e-6, 0.5, 7**0.5, 40]) for i in range(rng.choice([2, 5, 40]))}
+    blocks = {s: rng.randint(1, 120) for s in weights}
+    order = list(schedule(blocks, weights))
+    assert sorted(order) == [(s, k) for s in sorted(blocks) for k in range(blocks[s])]
+    flow, had, exact = dict.fromkeys(blocks, Fraction(0)), Counter(), {s: Fraction(w) for s, w in weights.items()}
+    for s, k in order:
+        assert k == had[s]
+        had[s] += 1
+        time = Fraction(1)
+        while time:  # one slot of the even flow
+            left = [x for x in flow if flow[x] < blocks[x]]
+            total = sum(exact[x] for x in left)
+            step = min(time, *((blocks[x] - flow[x]) * total / exact[x] for x in left), time)
+            for x in left:
+                flow[x] += step * exact[x] / total
+            time -= step
+        assert all(abs(had[x] - flow[x]) < 1 for x in flow)
+
+
+def test_mix_keeps_to_the_weights_given(spark):
+    n = {"a": 2_000, **{f"s{i}": 40 for i in range(50)}}
+    df = spark.createDataFrame([(i, "", s) for i, s in enumerate(s for s, m in n.items() for _ in range(m))], "doc_id long, text string, source string")
+    weights = {s: 0.5 if s == "a" else 0.01 for s in n}
+    slots = {r.mix_slot: r.source for r in mix_sources(df, weights, block_docs=1).where("mix_slot < 4000").collect()}
+    assert len(slots) == 4_000
+    had = 0
+    for t in range(4_000):
+        had += slots[t] == "a"
+        assert abs(had - (t + 1) / 2) < 1
+    zero = mix_sources(df, {s: float(s == "a") for s in n}, block_docs=1).where("source = 'a'").agg(F.max("mix_slot")).first()[0]
+    assert zero == 1_999
+
+
 def test_shares():
     assert shares({"a": 1, "b": 1, "c": 1}, 100) == {"a": 34, "b": 33, "c": 33}
     assert shares({"a": 5}, 100) == {"a": 1} and shares({}) == {}

@@ -1,11 +1,13 @@
 """Operator 4: mixing sources to target weights by Pfair scheduling.
 
-A source's documents are dealt into blocks. With weight w, its k-th block (from 0) is released at
-slot floor(k/w) and due at ceil((k+1)/w); in each slot the released block with the earliest deadline
-is taken. So after every slot each source has had what its weight asks for, give or take less than
-one block. Weights are shares of a cycle, and the schedule repeats with it: one cycle is worked out
-on the driver, and the slot of any block follows by arithmetic. When a source is used up, a new phase
-begins with the weights of the rest. Every document gets one place.
+A source's documents are dealt into blocks. In an even flow each source gets its weight's share of
+every slot until it is used up; the others then share by their weights. A block is released at the
+slot in which the flow begins it and due when the flow ends it, in exact arithmetic on the weights as
+given; in each slot the released block with the earliest deadline is taken. So after every slot each
+source has had what its weight asks for, give or take less than one block, from the first slot to
+the last. The slots are worked out one after another in one streamed task, whose memory is a few
+numbers for each source. Every document gets one place. Sources of weight 0 come last, evenly.
+`shares` and `phases` are the schedule in whole shares of a cycle, which mix_sources doesn't use.
 
 A document's rank in its source comes from (source, hash bucket, id): ranks inside a bucket by a
 window, the rest by adding up the buckets before it, so that a source with a third of all documents
@@ -15,14 +17,17 @@ is ranked in many tasks.
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_prefix
+from .common import free_prefix, written
 
 #: Documents of a block, slots of a cycle, hash buckets of a source.
 BLOCK_DOCS, CYCLE, BUCKETS = 16, 10_000, 256
@@ -89,12 +94,57 @@ def phases(blocks: dict[str, int], weights: dict[str, float], cycle: int = CYCLE
         left = {s: n - taken[s] for s, n in left.items() if n > taken[s]}
 
 
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the ratio of weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if exact and (sum(exact.values()) <= 0 or min(exact.values()) < 0):
+        raise ValueError("weights must be positive")
+    whole = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * whole) for s, w in exact.items()}
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, block) of each slot, for sources with that many blocks."""
+    weights = whole_weights({s: weights[s] for s, n in blocks.items() if n > 0})
+    yield from _by_deadline(blocks, {s: w for s, w in weights.items() if w})
+    yield from _by_deadline(blocks, {s: 1 for s, w in weights.items() if not w})
+
+
+def _by_deadline(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int]]:
+    ending = sorted(weights, key=lambda s: Fraction(blocks[s], weights[s]))
+    done, active = [0], [sum(weights.values())]  # blocks of the first i that end, weights of the others
+    for s in ending:
+        done.append(done[-1] + blocks[s])
+        active.append(active[-1] - weights[s])
+    ended = dict.fromkeys(weights, 0)
+
+    def flow(s: str, k: int) -> int:
+        """The time at which the flow has given k blocks of s, times the weight of s. k doesn't fall."""
+        i, w = ended[s], weights[s]
+        while i < len(ending) and blocks[ending[i]] * w <= k * weights[ending[i]]:
+            i += 1
+        ended[s] = i
+        return done[i] * w + active[i] * k
+
+    later = [(0, s, 0) for s in weights]  # release, source, block
+    heapq.heapify(later)
+    ready: list[tuple[int, str, int]] = []
+    for t in range(done[-1]):
+        while later and later[0][0] <= t:
+            _, s, k = heapq.heappop(later)
+            heapq.heappush(ready, (-(-flow(s, k + 1) // weights[s]), s, k))
+        _, s, k = heapq.heappop(ready)
+        yield s, k
+        if k + 1 < blocks[s]:
+            heapq.heappush(later, (flow(s, k + 1) // weights[s], s, k + 1))
+
+
 def bucket(id_col: str) -> Column:
     """256 even buckets of ids: the first two hexadecimal digits of md5 of the id as text."""
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int")
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, cycle: int = CYCLE, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
     """All rows and columns of docs with mix_block, mix_slot and mix_position (longs, from 0).
 
     weights: of each source; None: the square root of its number of documents. A null source counts
@@ -102,8 +152,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     ordered by a hash of their text; null ids come first in their bucket. An empty table gives an
     empty result. prefix begins the
     three names; columns of docs that have one of them are replaced. The driver gets a count
-    for each source and bucket; schedules that are broadcast have at most one row for each source
-    and slot of a cycle.
+    for each source and bucket; the schedule is a table in the shared folder, joined by block.
     """
     spark = docs.sparkSession
     made = [f"{prefix}{x}" for x in ("block", "slot", "position")]
@@ -119,17 +168,25 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     weights = {s: n**0.5 for s, n in total.items()} if weights is None else weights
     if missing := sorted(set(total) - set(weights)):
         raise ValueError(f"no weight for {missing[:5]}")
-    plan = list(phases({s: -(-n // block_docs) for s, n in total.items()}, weights, cycle))
-
-    def slot(s: str, k: int) -> int:
-        phase = next(x for x in plan if s in x.before and k < x.before[s] + x.taken[s])
-        k -= phase.before[s]
-        return phase.start + k // phase.share[s] * sum(phase.share.values()) + phase.slots[s][k % phase.share[s]]
-
-    # A source's last block may be short: later positions move up by what it lacks.
-    lacking = sorted((slot(s, (n - 1) // block_docs), -n % block_docs) for s, n in total.items())
-    steps = [(i, s, x.start, x.before[s], x.taken[s], x.share[s], sum(x.share.values())) for i, x in enumerate(plan) for s in x.before if x.taken[s]]
-    cycles = [(i, s, r, t) for i, x in enumerate(plan) for s in x.slots for r, t in enumerate(x.slots[s][: x.taken[s]])]
+    weights = {x: weights[x] for x in total}
+    whole_weights(weights)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        form = [p + x for x in ("source", "block", "slot", "begin")]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held, begin = [], 0
+            for t, (x, k) in enumerate(schedule({x: -(-n // block_docs) for x, n in total.items()}, weights)):
+                held.append((x, k, t, begin))
+                begin += min(block_docs, total[x] - k * block_docs)  # a source's last block may be short
+                if len(held) == 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], form)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], form)
+
+    plan = written(spark.range(0, 1, 1, 1).mapInArrow(slots, f"{p}source string, {p}block long, {p}slot long, {p}begin long"), "schedule")
     small = lambda data, form: F.broadcast(spark.createDataFrame(data, ", ".join(p + x for x in form.split(", "))).coalesce(1))
     order = Window.partitionBy(p + "source", p + "bucket").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
     ranked = (
@@ -138,17 +195,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
         .withColumn(p + "rank", at("before") + at("n") - 1)
         .withColumn(p + "block", F.expr(f"{p}rank div {block_docs}"))
     )
-    s = small(steps, "phase int, s string, start long, first long, taken long, share long, cycle long")
-    placed = ranked.join(s, (at("source") == at("s")) & (at("block") >= at("first")) & (at("block") < at("first") + at("taken")))
-    placed = placed.withColumn(p + "turn", F.expr(f"({p}block - {p}first) div {p}share")).withColumn(p + "r", at("block") - at("first") - at("turn") * at("share"))
-    slots = small(cycles, "cp int, cs string, cr long, ct long")
-    placed = placed.join(slots, (at("phase") == at("cp")) & (at("source") == at("cs")) & (at("r") == at("cr")))
-    placed = placed.withColumn(p + "slot", at("start") + at("turn") * at("cycle") + at("ct"))
-    short = F.lit(0).cast("long")
-    for after, n in lacking:
-        if n:
-            short = short + F.when(at("slot") > after, n).otherwise(0)
-    position = at("slot") * block_docs + at("rank") % block_docs - short
+    placed = ranked.join(plan, [p + "source", p + "block"])
+    position = at("begin") + at("rank") % block_docs
     return placed.select(*names, at("block").alias(made[0]), at("slot").alias(made[1]), position.alias(made[2]))
 
 
