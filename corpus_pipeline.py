@@ -55,9 +55,24 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return in_mixed_order(mix_sources(docs, prefix=own), docs.count(), n_partitions(spark), own).select(docs.columns)
 
 
+def _positions(docs: DataFrame) -> DataFrame:
+    """docs, read from files that follow the mix, with mix_position (from 0): the rows of the files
+    before by part number, and the row's index in its own. Readers open files in any order."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    own = free_prefix(docs)
+    rows = docs.select("doc_id", "text", part.alias(own + "part"), F.col("_metadata.row_index").alias(own + "row"))
+    before, begins = 0, []
+    for number, n in sorted(tuple(r) for r in rows.groupBy(own + "part").count().collect()):  # one for each file
+        begins.append((number, before))
+        before += n
+    begins = docs.sparkSession.createDataFrame(begins, f"{own}part long, {own}begin long")
+    return rows.join(F.broadcast(begins), own + "part").select("doc_id", "text", (F.col(own + "begin") + F.col(own + "row")).alias("mix_position"))
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of them and of the bytes that they decode to."""
-    return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True)
+    """Token ids of each document, digests of them and of the bytes that they decode to, and its
+    place in the mix (mix_position)."""
+    return encode_decode(_positions(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True, keep=("mix_position",))
 
 
 STAGES = [

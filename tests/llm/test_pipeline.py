@@ -44,3 +44,13 @@ def test_run(docs, empty_docs, spark, texts, tmp_path):
     got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path / "some")).collect())
     assert got == brute(list(enumerate(texts)))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_follow_the_mix(spark, tmp_path):
+    from turnstone.llm.pfair_mix import mix_sources
+
+    rows = [(i, f"document {i} " + f"word{i} " * (1 + 4000 * (i % 7 == 0) * (i < 60)), "en", ["a", "b", "c"][i % 5 % 3], 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    corpus_pipeline.mixing(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / "mixed"))
+    got = corpus_pipeline.byte_bpe(spark, spark.read.parquet(str(tmp_path / "mixed")), str(tmp_path)).collect()
+    assert {r.doc_id: r.mix_position for r in got} == {r.doc_id: r.mix_position for r in mix_sources(docs).collect()}

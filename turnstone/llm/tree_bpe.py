@@ -133,10 +133,10 @@ def codec(file: bytes) -> tuple[PieceEncoder, MonoidDecoder]:
     return PieceEncoder(lambda pieces: [bpe.encode(p.encode()) for p in pieces], kind_of=kind_of), MonoidDecoder(bpe.bytes_of)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) for every row of docs.
 
-    ids: with_ids adds the ids themselves. Null text is empty: no ids, digests of nothing. Null ids
+    ids: with_ids adds the ids themselves; keep: further columns, unchanged. Null text is empty: no ids, digests of nothing. Null ids
     and repeated rows are kept; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -158,8 +158,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, with_ids: bool = False, id_c
             if with_ids:
                 columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 names.append("ids")
+            columns += [batch.column(c) for c in keep]
+            names += keep
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    out = rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"), *keep)
+    kept = "".join(f", {c} {dict(docs.dtypes)[c]}" for c in keep)
+    out = rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + kept)
     return out.withColumnRenamed("id", id_col)
