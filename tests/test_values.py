@@ -155,6 +155,13 @@ def test_replicas(spark):
         assert reconcile.compared(log(a), log(b), ["k"], "position", "digest").first().verdict == want
 
 
+def test_exact_claims_of_many(spark):
+    names = spark.createDataFrame([(i, f"n{i}", "k" if i < 40 else "other") for i in range(42)], "id long, name string, kind string")
+    claims = spark.createDataFrame([(i, "same") for i in range(42)], "id long, claim string")
+    got = sorted(tuple(r) for r in entities.block_pairs(names, claims).collect())
+    assert got == sorted([(a, b, 65535) for b in range(40) for a in range(b)] + [(40, 41, 65535)])
+
+
 def test_entities(spark):
     keys = lambda s: one(spark, entities.alias_keys(F.lit(s)))
     assert keys("Engine repo") == ["repository:engine"] and keys("https://host/org/Engine.git") == ["repository:engine"] and keys("NPCs") == ["acronym:npc"] and keys("plain") == []

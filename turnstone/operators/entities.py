@@ -78,7 +78,7 @@ def audit(entities: DataFrame, edges: DataFrame, resolutions: DataFrame) -> Data
 
 def block_pairs(entities: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id, score) of entities (id, name, kind) of one kind: those with an equal exact
-    claim (id, claim) score 65535; those that share a token in a block of at most 32, by token overlap
+    claim (id, claim) score 65535, however many there are; those that share a token in a block of at most 32, by token overlap
     in thousandths if it is 330 or more or one's tokens are all the other's."""
     tokens = entities.select("id", "kind", identity_tokens(F.col("name"), GENERIC).alias("tokens")).where(F.size("tokens") > 0)
     posted = tokens.select("id", "kind", F.explode("tokens").alias("token"))
@@ -91,8 +91,8 @@ def block_pairs(entities: DataFrame, claims: DataFrame | None = None) -> DataFra
     subset = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
     found = pairs.join(side("left"), "left_id").join(side("right"), "right_id").select("left_id", "right_id", score.alias("score"), subset.alias("subset")).where((F.col("score") >= LEAST_JACCARD) | F.col("subset")).drop("subset")
     if claims is not None:
-        c = claims.join(entities.select("id", "kind"), "id").groupBy("kind", "claim").agg(F.array_sort(F.collect_set("id")).alias("ids")).where((F.size("ids") > 1) & (F.size("ids") <= MOST_IN_BLOCK))
-        both = c.select(F.col("ids"), F.posexplode("ids").alias("p", "left_id")).select("left_id", F.explode(F.slice("ids", F.col("p") + 2, MOST_IN_BLOCK)).alias("right_id"))
+        c = claims.join(entities.select("id", "kind"), "id").groupBy("kind", "claim").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
+        both = c.select(F.col("ids"), F.posexplode("ids").alias("p", "left_id")).select("left_id", F.explode(F.slice("ids", F.col("p") + 2, F.size("ids"))).alias("right_id"))
         found = found.union(both.select("left_id", "right_id", F.lit(EXACT_SCORE).cast("long")))
     return found.groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
 
