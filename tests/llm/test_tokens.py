@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -123,3 +124,35 @@ def test_encode_decode(spark, docs, texts, tik, empty_docs):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
     assert encode_decode(empty_docs, RANKS).count() == 0
     assert encode_decode(spark.createDataFrame([(None, "x")], "doc_id long, text string"), RANKS).first().doc_id is None
+
+
+def thue_morse(n):
+    """Two words of n letters whose polynomial hashes modulo 2**64 are equal for any odd multiplier."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_pieces_of_one_hash_are_told_apart(spark, tik, library, n):
+    words = thue_morse(n)
+    for texts in (words, words[::-1], (words[0], f"{words[1]} {words[0]}", words[1])):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        assert [list(r.ids) for r in encode_decode(df, RANKS, with_ids=True).orderBy("doc_id").collect()] == [tik.encode_ordinary(t) for t in texts]
+        assert [r.n_tokens for r in token_counts(df, JSON).orderBy("doc_id").collect()] == [len(library(t)) for t in texts]
+
+
+@pytest.mark.parametrize("part", ["=", " ", "\n", "7", "a", "=-=", "1234567"])
+def test_long_pieces_are_quick(tik, part):
+    bpe = MonoidBpe(ranks_of(open(RANKS, "rb").read()))
+    data = (part * (1_000_003 // len(part))).encode()
+    began = time.time()
+    ids = bpe.encode(data)
+    assert time.time() - began < 10 and list(ids) == tik._core_bpe.encode_single_piece(data)
+
+
+def test_merges_by_heap_and_by_list(tik):
+    bpe = MonoidBpe(ranks_of(open(RANKS, "rb").read()))
+    rng = random.Random(12)
+    for _ in range(3000):
+        data = "".join(rng.choices("etaoin ab="[: rng.choice([2, 5, 10])], k=rng.randrange(1, 90))).encode()
+        assert list(bpe._merged(data)) == list(bpe._merged_by_heap(data)) == list(bpe.encode(data)) == tik._core_bpe.encode_single_piece(data)

@@ -16,27 +16,48 @@ ARROW_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir. Where that is unset, as in local tests, a
-    folder under /tmp is set.
+    A cluster names it in spark.checkpoint.dir. Where that is unset a local session, as in tests,
+    gets a folder under /tmp; on a cluster it is an error, since each machine would write its own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file:///tmp/turnstone-checkpoints"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/turnstone/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder."""
-    return f"{shared_dir(spark)}/turnstone/{name}-{uuid.uuid4().hex}"
+    """A new folder name in the application's part of the shared folder."""
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
+def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there and lost executors cost nothing.
+
+    instead_of: a table written before that nothing will read once this one is there; it is
+    taken away. Other tables stay until `clear_scratch`, as results are read lazily.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        forget(instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Takes away the files of a table made by `written`."""
+    if path := df.__dict__.get("_written"):
+        removed(df.sparkSession, path)
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -45,8 +66,13 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Takes away all tables that this application's operators wrote, once their results are read."""
+    removed(spark, scratch(spark))
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker gets at once."""
+    """Bounds what a Python worker gets at once. The setting stays, as plans run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

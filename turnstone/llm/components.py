@@ -2,58 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, written
+from .common import forget, written
 
 #: Rounds after which something must be wrong: ways to a root about halve in each.
 MOST_ROUNDS = 64
 
 
-def _round(pairs: DataFrame) -> DataFrame:
-    """One round over pairs (v, u), sorted: the least node m of v's set comes first, so sets are
-    streamed however large they are. m gets the set, each of the set gets m. open: v had more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # node, least and last neighbour of the group that the batch before ended in
-        for batch in batches:
-            v, u = batch.column("v").to_numpy(), batch.column("u").to_numpy()
-            if not len(v):
-                continue
-            new = np.concatenate(([last is None or v[0] != last[0]], v[1:] != v[:-1]))
-            twice = np.concatenate(([not new[0] and u[0] == last[2]], ~new[1:] & (u[1:] == u[:-1])))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(v)), -1))
-            m = np.where(at >= 0, np.minimum(v[at], u[at]), last[1] if last else 0)
-            last = v[-1], m[-1], u[-1]
-            least, other, own, new = m[~twice], u[~twice], v[~twice], new[~twice]
-            told = np.concatenate((np.stack((least, other), axis=1), np.stack((least[new], own[new]), axis=1)))
-            told = np.unique(told[told[:, 0] != told[:, 1]], axis=0)
-            rows = np.concatenate((told, told[:, ::-1]))
-            is_open = np.zeros(len(rows), dtype=bool)
-            if len(rows):
-                is_open[0] = bool(((own != least) & (other != least)).any())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, 0])), pa.array(np.ascontiguousarray(rows[:, 1])), pa.array(is_open)], ["v", "u", "open"])
-
-    return pairs.repartition(n_partitions(pairs.sparkSession), "v").sortWithinPartitions("v", "u").mapInArrow(run, "v long, u long, open boolean")
+def _told(now: DataFrame, least: DataFrame) -> DataFrame:
+    """A node v and each of its neighbours get the least node m of them as a neighbour."""
+    known = now.join(least, "v")
+    is_open = (F.col("v") != F.col("m")) & (F.col("u") != F.col("m"))  # v had more than one
+    ends = known.select("m", F.explode(F.array(F.struct(F.col("u").alias("w"), is_open.alias("open")), F.struct(F.col("v").alias("w"), F.lit(False).alias("open")))).alias("e"))
+    ways = ends.where("m <> e.w").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("e.w").alias("u")), F.struct(F.col("e.w").alias("v"), F.col("m").alias("u")))).alias("p"), "e.open")
+    return ways.groupBy("p.v", "p.u").agg(F.max("open").alias("open"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node that it is linked with.
 
-    Each node has a set of nodes, at first its neighbours. In a round it sends the set to the least
-    of it and the least to all of it, until every node knows only its root. A round is one shuffle,
-    written to the shared folder. Loops and repeated edges are allowed and give no nodes of their
-    own; edges with a null end are left out.
+    Each node has a set of nodes, at first its neighbours. In a round the least of it comes to know
+    all of it and all of it the least, until every node knows only its root. The least nodes are
+    found by an aggregate, which adds up in each task first, and are written, so that the join that
+    hands them out is a broadcast where Spark finds them small, and else one whose large keys (the
+    root of a large component) adaptive execution splits. Loops and repeated edges are allowed and
+    give no nodes of their own; edges with a null end are left out.
     """
     real = edges.where("a <> b").select(F.col("a").alias("v"), F.col("b").alias("u"))
-    now = real.union(real.select(F.col("u").alias("v"), F.col("v").alias("u")))
+    now = written(real.union(real.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "edges")
     for _ in range(MOST_ROUNDS):
-        now = written(_round(now.select("v", "u")), "components")
+        least = written(now.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("m")), "least")
+        now = written(_told(now.select("v", "u"), least), "components", instead_of=now)
+        forget(least)
         if now.where("open").isEmpty():
             break
     else:

@@ -3,8 +3,10 @@
 A byte-level vocabulary first cuts a text into pieces by a fixed pattern and then merges bytes
 inside each piece alone. So the ids of a text are those of its pieces in a row, and a piece that
 was seen before need not be encoded again. `PieceEncoder` cuts texts with numpy (runs of letters,
-numbers, white space and the rest), names each piece by a 64-bit hash, keeps piece ids in a bounded
-open-addressing table, and hands only pieces it has not met to the encoder that it is given.
+numbers, white space and the rest), finds each piece by a 64-bit hash in a bounded open-addressing
+table, and hands only pieces it has not met to the encoder that it is given. The table keeps the
+pieces themselves: each piece found is compared with the one in the table, character by character,
+and one that only shares its hash is encoded anew.
 
 Texts holding code points that this Python's Unicode tables don't know are given to the encoder
 whole, since the library's tables may be newer; an encoder that doesn't cut texts itself comes with
@@ -26,8 +28,8 @@ from .common import grouped_by_size
 LETTER, NUMBER, SPACE, OTHER, END, UNKNOWN = 0, 1, 2, 3, 4, 5
 #: Between two texts of one batch; a noncharacter, which is never cut into pieces.
 SEPARATOR = "\U0010ffff"
-#: Characters handled at once, and the most pieces that are remembered.
-CHUNK_CHARS, MOST_PIECES = 1 << 19, 1 << 19
+#: Characters handled at once, and the most pieces and characters of pieces that are remembered.
+CHUNK_CHARS, MOST_PIECES, MOST_CHARS = 1 << 19, 1 << 19, 1 << 22
 #: White space of the pattern's \s (the Unicode property White_Space).
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: One-letter and two-letter endings after an apostrophe that the pattern keeps together.
@@ -93,8 +95,8 @@ class PieceEncoder:
 
     encode: gets a list of str, returns the ids of each. specials: strings that the encoder treats
     as one token wherever they stand; it gets texts that hold one whole. Memory is bounded: at most
-    MOST_PIECES pieces are remembered (then all are forgotten), and CHUNK_CHARS characters are cut
-    at a time. kind_of: the class of a code point that this Python doesn't know; with it every text
+    MOST_PIECES pieces or MOST_CHARS characters of them are remembered (then all are forgotten), and
+    CHUNK_CHARS characters are cut at a time. kind_of: the class of a code point that this Python doesn't know; with it every text
     without specials is cut here.
     """
 
@@ -104,10 +106,12 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.count, self.end = 0, 0
+        self.count, self.end, self.chars = 0, 0, 0
         self.keys, self.slots = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.int32)
         self.starts, self.lengths = np.zeros(1 << 15, dtype=np.int64), np.zeros(1 << 15, dtype=np.int32)
         self.pool = np.zeros(1 << 17, dtype=np.int32)
+        self.piece_starts, self.piece_sizes = np.zeros(1 << 15, dtype=np.int64), np.zeros(1 << 15, dtype=np.int64)
+        self.letters = np.zeros(1 << 17, dtype=np.uint32)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each piece, -1 for one not met yet."""
@@ -134,18 +138,29 @@ class PieceEncoder:
             self.slots[at[mine]] = numbers[left[mine]]
             left, at = left[~mine], (at[~mine] + np.uint64(1)) & mask
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray | None, pieces: list[str]) -> None:
+        """Remembers pieces and their ids; without hashes they can't be found again."""
         ids = self.encode(pieces)
         lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
         flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(lengths.sum()))
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        letters = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype=np.uint32)
         new = self.count + len(pieces)
-        for name, need in (("starts", new), ("lengths", new), ("pool", self.end + len(flat))):
+        needed = ("starts", new), ("lengths", new), ("piece_starts", new), ("piece_sizes", new), ("pool", self.end + len(flat)), ("letters", self.chars + len(letters))
+        for name, need in needed:
             if need > len(old := getattr(self, name)):
                 setattr(self, name, np.concatenate((old, np.zeros(max(need, 2 * len(old)) - len(old), dtype=old.dtype))))
         self.pool[self.end : self.end + len(flat)] = flat
         self.starts[self.count : new] = self.end + np.cumsum(lengths) - lengths
         self.lengths[self.count : new] = lengths
         self.end += len(flat)
+        self.letters[self.chars : self.chars + len(letters)] = letters
+        self.piece_starts[self.count : new] = self.chars + np.cumsum(sizes) - sizes
+        self.piece_sizes[self.count : new] = sizes
+        self.chars += len(letters)
+        if hashes is None:
+            self.count = new
+            return
         if 2 * new > len(self.keys):
             known = self.keys != 0
             hashed, numbers = self.keys[known], self.slots[known]
@@ -181,14 +196,33 @@ class PieceEncoder:
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, one = np.unique(hashes[missing], return_index=True)
-            if self.count and self.count + len(new) > self.most:
+            if self.count and (self.count + len(new) > self.most or self.chars > MOST_CHARS):
                 self._forget()
                 missing = np.arange(len(hashes))
                 new, one = np.unique(hashes, return_index=True)
             one = missing[one]
             self._learn(new, [joined[a:b] for a, b in zip(begins[one].tolist(), ends[one].tolist(), strict=True)])
             found[missing] = self._find(hashes[missing])
-        return found, counts
+        return self._checked(found, codes, begins, ends), counts
+
+    def _checked(self, found: np.ndarray, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """found, with numbers of their own for pieces that aren't those of the numbers found."""
+        sizes = ends - begins
+        other = self.piece_sizes[found] != sizes
+        same = np.flatnonzero(~other)
+        n = sizes[same]
+        if len(same):
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differ = self.letters[np.repeat(self.piece_starts[found[same]], n) + at] != codes[np.repeat(begins[same], n) + at]
+            if differ.any():
+                other[same[np.unique(np.repeat(np.arange(len(same)), n)[differ])]] = True
+        if (wrong := np.flatnonzero(other)).size:
+            pieces = [codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(begins[wrong].tolist(), ends[wrong].tolist(), strict=True)]
+            distinct = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+            first = self.count
+            self._learn(None, list(distinct))
+            found[wrong] = [first + distinct[p] for p in pieces]
+        return found
 
     def _parts(self, text: str) -> list[str]:
         """The text, cut where no piece reaches across, if it is long."""

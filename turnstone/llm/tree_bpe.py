@@ -1,11 +1,12 @@
 """Operator 8: byte-level BPE as a reduction over a tree.
 
-The ids of a string of bytes form a monoid. `MonoidBpe.encode` encodes both halves (recursively, so
-that equal halves of different words are encoded once) and joins them: a window of one id on either
-side of the seam is encoded anew, and grows on the side where it doesn't fit its neighbour. Two
-neighbouring ids fit if encoding their bytes gives just those two. By a known property of BPE with
-ranked merges, a row of ids whose neighbours all fit is the encoding of its bytes, so when both
-ends of the window fit, no id outside it can change and the join is done.
+The ids of a string of bytes form a monoid. `MonoidBpe.encode` encodes both halves (recursively;
+equal parts of a string once) and joins them: a window of one id on either side of the seam is
+encoded anew, and doubled on the side where it doesn't fit its neighbour. Two neighbouring ids fit
+if encoding their bytes gives just those two. A row of ids whose neighbours all fit is the encoding
+of its bytes: the first merge across a seam, if there were one, would also be made in the bytes of
+the two ids beside it. So when both ends of the window fit, no id outside it can change and the
+join is done. A seam that fits nowhere costs one encoding of its bytes, in n log n steps.
 
 Texts are cut into the pattern's matches by `PieceEncoder`, which also cuts long texts where no
 match reaches across. Decoding joins bytes up a tree of halves.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,32 +32,73 @@ from .pieces import LETTER, NUMBER, OTHER, PieceEncoder
 
 #: Strings and windows remembered by a worker; beyond it they are forgotten and made again.
 MOST = 150_000
-#: Ids decoded at once at a leaf.
-LEAF_IDS = 1 << 18
+#: Ids decoded at once at a leaf, bytes encoded at once at one.
+LEAF_IDS, LEAF_BYTES = 1 << 18, 24
+#: More than any rank.
+NEVER = 1 << 62
 
 
 class MonoidBpe:
+    """ranks: each token's bytes and rank; every token must be what its own bytes are merged to."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self.known: dict[bytes, tuple[int, ...]] = {}
         self.windows: dict[tuple[int, ...], tuple[int, ...]] = {}
 
     def _merged(self, data: bytes) -> tuple[int, ...]:
-        """A short string by merging the lowest rank, again and again."""
+        """A string by merging the lowest rank, the leftmost among equals, again and again."""
+        ranks = self.ranks
+        if len(data) > 2 * LEAF_BYTES:
+            return self._merged_by_heap(data)
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 62:
+        pairs = [ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            rank = min(pairs)
+            if rank == NEVER:
                 break
+            i = pairs.index(rank)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return tuple(self.ranks[p] for p in parts)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
+        return tuple([ranks[p] for p in parts])
+
+    def _merged_by_heap(self, data: bytes) -> tuple[int, ...]:
+        """The same in n log n steps: parts are a linked list, and their pairs wait in a heap."""
+        n, ranks = len(data), self.ranks
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # a part's end; where the part before it begins
+        alive = bytearray(b"\1") * n
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = end[i]
+            if not alive[i] or j >= n or end[j] != stop:
+                continue  # one of the two parts has been merged since
+            alive[j], end[i] = 0, stop
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(data[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if (h := before[i]) >= 0 and (r := ranks.get(data[h:stop])) is not None:
+                heapq.heappush(heap, (r, h, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[data[i : end[i]]])
+            i = end[i]
+        return tuple(out)
 
     def _window(self, ids: tuple[int, ...]) -> tuple[int, ...]:
         out = self.windows.get(ids)
         if out is None:
-            if len(self.windows) > MOST:
-                self.windows.clear()
-            out = self.windows[ids] = self._merged(b"".join([self.bytes_of[i] for i in ids]))
+            out = self._merged(b"".join([self.bytes_of[i] for i in ids]))
+            if len(ids) <= LEAF_BYTES:
+                if len(self.windows) > MOST:
+                    self.windows.clear()
+                self.windows[ids] = out
         return out
 
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
@@ -72,18 +115,21 @@ class MonoidBpe:
             # twice the window on each side that doesn't fit
             a, b = max(0, a - (len(left) - a)) if low else a, min(len(right), 2 * b) if high else b
 
-    def encode(self, data: bytes) -> tuple[int, ...]:
-        out = self.known.get(data)
-        if out is None:
-            if len(data) < 2:
-                out = (self.ranks[data],) if data else ()
-            else:
-                half = len(data) // 2
-                out = self.join(self.encode(data[:half]), self.encode(data[half:]))
-            if len(data) <= 64:
+    def encode(self, data: bytes, own: dict[bytes, tuple[int, ...]] | None = None) -> tuple[int, ...]:
+        """own: what this call has encoded so far, so that a string that repeats itself is quick."""
+        if len(data) <= LEAF_BYTES:
+            out = self.known.get(data)
+            if out is None:
                 if len(self.known) > MOST:
                     self.known.clear()
-                self.known[data] = out
+                out = self.known[data] = self._merged(data)
+            return out
+        own = {} if own is None else own
+        out = own.get(data)
+        if out is None:
+            # a power of two, the larger half: runs of one character are cut where their tokens end
+            half = 1 << (len(data) - 1).bit_length() - 1
+            out = own[data] = self.join(self.encode(data[:half], own), self.encode(data[half:], own))
         return out
 
 
