@@ -45,6 +45,12 @@ def test_top_k(spark, rows):
     assert top_report(df.limit(0)).count() == 0
 
 
+def test_a_repeated_query_is_answered_once(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [2.0, 0.0]), (1, [3.0, 1.0]), (2, [2.0, 5.0]), (2, [2.0, 5.0]), (3, [1.0, 1.0])]
+    got = [tuple(r) for r in top_report(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()]
+    assert got == [(50, 1, 1, 3 * 256**2), (50, 2, 2, 2 * 256**2), (50, 3, 2, 2 * 256**2), (50, 4, 3, 256**2)]
+
+
 def test_postings_sparse_and_wide():
     rng = np.random.default_rng(2)
     rows = [np.where(rng.random(30) < 0.1, rng.integers(-(2**33), 2**33, 30), 0).tolist() for _ in range(50)]

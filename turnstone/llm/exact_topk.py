@@ -94,14 +94,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     Every row of vectors but those with the query's own id is a candidate; all of them, if fewer
     than k. Ties go to the smaller id. Rows with a null id, and vectors that are null or hold null,
     NaN or infinite components take no part, on either side. Vectors of different lengths agree on
-    the terms that both have. Repeated rows are candidates each; a repeated query id must have one
-    vector, else each of its rows is asked under the same id and the best k of all are returned. An
-    empty table gives an empty result. A score beyond 64 bits is an error.
+    the terms that both have. A query id is answered once, however often its row is there; if its
+    rows hold different vectors, the one with the least weights is asked. Repeated rows are
+    candidates each, so an id that is there twice can take two ranks. An empty table gives an empty
+    result. A score beyond 64 bits is an error.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     clean = lambda df: df.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), weights(vector_col).alias("w"))
-    asked, rows = clean(queries), clean(vectors)
+    asked, rows = clean(queries).groupBy("id").agg(F.min("w").alias("w")), clean(vectors)
     blocks = -(-asked.count() // query_block)
     folder = fresh_path(spark, "top-k")
     form = "query_id long, vec long, score long"

@@ -87,11 +87,12 @@ ORACLE_SQL: dict[str, str] = {
             FROM embeddings
             WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), asked AS (
+            SELECT vec_id, min(w) AS w FROM rows WHERE vec_id % 50 = 0 GROUP BY vec_id
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id,
                    CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
-            FROM rows q JOIN rows c ON q.vec_id <> c.vec_id
-            WHERE q.vec_id % 50 = 0
+            FROM asked q JOIN rows c ON q.vec_id <> c.vec_id
         )
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                vec_id, score
