@@ -5,7 +5,8 @@ hash are counted, with the largest; lines of hashes over the threshold lose thei
 other documents; the remaining stretches of each text are put together by position. Only hashes and
 positions are shuffled, but for the join that brings a document its dropped positions. Counting
 first makes (hash, document) distinct, so a line that a third of all documents hold is summed in
-each task before it meets.
+each task before it meets. The common lines are written before they are joined with all lines: where
+Spark finds that table small it is broadcast, else adaptive execution can split a hot line.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty, texts_of
+from .common import small_batches, text_or_empty, texts_of, written
 
 #: A key's fewest code points, and the fewest documents that make it common.
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -61,9 +62,10 @@ def drop_common_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_doc
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     lines = _lines(rows.select("id", "h", "text"), least_chars)
-    common = (
+    common = written(
         lines.select("high", "low", "id").distinct().groupBy("high", "low").agg(F.count("id").alias("docs"), F.max("id").alias("last"))
-        .where(F.col("docs") >= least_docs).select("high", "low", "last")
+        .where(F.col("docs") >= least_docs).select("high", "low", "last"),
+        "common-lines",
     )
     dropped = lines.join(common, ["high", "low"]).where(~F.col("id").eqNullSafe(F.col("last"))).groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     d = dropped.select(F.col("id").alias("d_id"), F.col("h").alias("d_h"), "dropped")
