@@ -80,6 +80,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
             yield pa.RecordBatch.from_arrays([pa.array([tokenizer] * len(counts), pa.string()), batch.column("digest"), pa.array(counts, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
     chosen.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
-    counts = stored_counts(spark, cache_path, tokenizer)
+    # Written, so that the join is a broadcast if Spark finds the counts small, and else one in which
+    # adaptive execution can split a digest that very many rows share.
+    counts = written(stored_counts(spark, cache_path, tokenizer).join(keyed.select("digest").distinct(), "digest", "left_semi"), "counts")
     n = F.col("n_tokens")
     return keyed.join(counts, "digest", "left").select(F.col("id").alias(id_col), "n_bytes", n, (n > limit).alias("over_limit"))
