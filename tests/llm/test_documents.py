@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -173,6 +174,16 @@ def test_clean_texts_stay_clean(text):
     assert all_spans(text) == []
 
 
+@pytest.mark.parametrize("part", [" ", "\n", "-", "-at-", "7", "=", "x", "one ", "[", "@ ", "+ ", ". ", " at a"])
+def test_long_runs_are_quick(part):
+    run = part * (400_000 // len(part))
+    for text in (f"joe @{run}", f"joe at{run}", f"a dot{run}b", f"1{run}one", f"+{run}1", run):
+        began = time.time()
+        all_spans(text)
+        assert time.time() - began < 10
+    assert ("email", 0, 400_025) in [(s["kind"], s["start"], s["end"]) for s in all_spans("joe" + " " * 400_000 + "[at] example [dot] com...")] or part != " "
+
+
 def test_pii_report(spark, docs, texts, empty_docs):
     extra = ["joe@example.com joe (at) example (dot) com 10.0.0.1", None]
     df = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
@@ -184,6 +195,9 @@ def test_pii_report(spark, docs, texts, empty_docs):
         listed = ",".join(f"{k}:{a}:{b}" for k, x in zip(("email", "ip", "card", "phone"), base, strict=True) for a, b in x)
         assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         assert r.spans == ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in all_spans(t))
+        added = Counter(s["kind"] for s in all_spans(t) if not s["base"])
+        assert [r.added_email, r.added_ip, r.added_card, r.added_phone, r.n_added] == [*(added[k] for k in ("email", "ip", "card", "phone")), added.total()]
+        assert r.has_pii == bool(r.spans)
     assert find_pii(empty_docs).count() == 0
 
 

@@ -136,25 +136,28 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _WORDS = re.compile(rf"(?<!\w){_DIGIT_WORD}(?!\w)", re.I)
 _GAP = re.compile(r"[\s,-]+")
 _GAP_AFTER_DIGIT = re.compile(r"[0-9]([\s,-]+)$")
-_PLUS = re.compile(rf"(?<!\w)plus\s+(?={_DIGIT_WORD}(?!\w)|[0-9])|(?<=\+)\s+(?={_DIGIT_WORD}(?!\w)|[0-9])", re.I)
-_NEXT_DOT = rf"(?:\s*{_OPEN}\s*{_DOT_WORD}\s*{_CLOSE}\s*|\s+{_DOT_WORD}\s+|\s+\.\s+)"
-_AT_IN_BRACKETS = re.compile(rf"\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_CLOSE}\s*|&#64;|&commat;", re.I)
-_AT_WORD_NEEDS_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s+{_AT_WORD}\s+(?=[A-Za-z0-9-]+{_NEXT_DOT}[A-Za-z0-9-])", re.I)
-_AT_APART = re.compile(rf"(?<=[A-Za-z0-9])(?:\s+@\s+|\s+@|@\s+|[-_]at[-_])(?=[A-Za-z0-9-]+(?:{_NEXT_DOT}|\.)[A-Za-z0-9-])", re.I)
-_DOT = re.compile(rf"\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*|&#46;|&period;|(?<=[A-Za-z0-9])\s+{_DOT_WORD}\s+(?=[A-Za-z0-9])", re.I)
-_DOT_APART = re.compile(r"(?<=[A-Za-z0-9])\s+\.\s+(?=[A-Za-z0-9])")
+_PLUS = re.compile(rf"(?<!\w)plus\s++(?={_DIGIT_WORD}(?!\w)|[0-9])|(?<=\+)\s++(?={_DIGIT_WORD}(?!\w)|[0-9])", re.I)
+# White space is taken in as a whole (possessively) and only from where it begins, and a domain's label
+# has 63 signs at most, so that no run of white space or signs is read again from each of its places.
+_BLANKS, _LABEL = r"(?:(?<!\s)\s++)?", r"[A-Za-z0-9-]{1,63}+"
+_NEXT_DOT = rf"(?:\s*+{_OPEN}\s*+{_DOT_WORD}\s*+{_CLOSE}\s*+|\s++{_DOT_WORD}\s++|\s++\.\s++)"
+_AT_IN_BRACKETS = re.compile(rf"{_BLANKS}{_OPEN}\s*+(?:{_AT_WORD}|@)\s*+{_CLOSE}\s*+|&#64;|&commat;", re.I)
+_AT_WORD_NEEDS_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s++{_AT_WORD}\s++(?={_LABEL}{_NEXT_DOT}[A-Za-z0-9-])", re.I)
+_AT_APART = re.compile(rf"(?<=[A-Za-z0-9])(?:\s++@\s*+|@\s++|[-_]at[-_])(?={_LABEL}(?:{_NEXT_DOT}|\.)[A-Za-z0-9-])", re.I)
+_DOT = re.compile(rf"{_BLANKS}{_OPEN}\s*+(?:{_DOT_WORD}|\.)\s*+{_CLOSE}\s*+|&#46;|&period;|(?<=[A-Za-z0-9])\s++{_DOT_WORD}\s++(?=[A-Za-z0-9])", re.I)
+_DOT_APART = re.compile(r"(?<=[A-Za-z0-9])\s++\.\s++(?=[A-Za-z0-9])")
 _TOP_LEVEL = re.compile(r"\.[A-Za-z]{2,24}$")
 # What must stand in a lower-cased text that a rewrite changes, for each of the rewrites. Spelled
 # digits matter beside a digit or another one (with what joins them or may stand in a number), or
 # in a text with an @; a plus, before a digit.
 _NEEDED = re.compile(
-    rf"{_OPEN}\s*(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s*{_CLOSE}|&(?:#64|commat|#46|period);|\s@|@\s|[-_]at[-_]|[a-z0-9]\s+{_DOT_WORD}\s+[a-z0-9]"
-    rf"|[a-z0-9]\s+{_AT_WORD}\s+[a-z0-9-]+\s+\.\s"
+    rf"{_OPEN}\s*+(?:{_AT_WORD}|@|{_DOT_WORD}|\.)\s*+{_CLOSE}|&(?:#64|commat|#46|period);|\s@|@\s|[-_]at[-_]|[a-z0-9]\s++{_DOT_WORD}\s++[a-z0-9]"
+    rf"|[a-z0-9]\s++{_AT_WORD}\s++[a-z0-9-]{{1,63}}+\s++\.\s"
 )
 _DIGITS_APART = r"[\s,.()-]*+"
 _NEAR_DIGITS = re.compile(rf"(?<!\w){_DIGIT_WORD}(?!\w){_DIGITS_APART}(?:[0-9]|{_DIGIT_WORD}(?!\w))|[0-9]{_DIGITS_APART}(?<!\w){_DIGIT_WORD}(?!\w)")
 _NEEDED_WITH_AT = re.compile(rf"\s\.\s|(?<!\w){_DIGIT_WORD}(?!\w)")
-_NEEDED_PLUS = re.compile(rf"(?:(?<!\w)plus\s+|\+\s+)(?:[0-9]|{_DIGIT_WORD}(?!\w))|\+{_DIGIT_WORD}(?!\w)")
+_NEEDED_PLUS = re.compile(rf"(?:(?<!\w)plus\s++|\+\s++)(?:[0-9]|{_DIGIT_WORD}(?!\w))|\+{_DIGIT_WORD}(?!\w)")
 
 
 @cache
@@ -283,10 +286,12 @@ def span_list(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): counts and digest are
-    those of base spans; spans lists all of them; n_added counts what the transducers added."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, added_email, added_ip, added_card,
+    added_phone, n_added, has_pii): the first four and the digest are those of base spans; spans
+    lists all of them; added_... and n_added count what the transducers added."""
     found = find_pii(docs)
     spans = F.col("spans")
-    base = F.filter(spans, lambda s: s["base"])
-    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(of, KINDS), F.sha2(span_list(base), 256).alias("base_sha256"), span_list(spans).alias("spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_added"))
+    base, added = F.filter(spans, lambda s: s["base"]), F.filter(spans, lambda s: ~s["base"])
+    of = lambda which, kind: F.size(F.filter(which, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(base, k).alias(f"n_{k}") for k in KINDS] + [F.sha2(span_list(base), 256).alias("base_sha256"), span_list(spans).alias("spans")] + [of(added, k).alias(f"added_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.size(added).cast("long").alias("n_added"), (F.size(spans) > 0).alias("has_pii"))
