@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from turnstone.llm.hyper_language import gram_counts, held_out, language_report, learn, predict
 from turnstone.llm.line_dedup import drop_common_lines, line_report
-from turnstone.llm.ngram_join import linked, ngram_join, prefix_size, shingle_sets, suffix_bound
+from turnstone.llm.ngram_join import is_link, linked, ngram_join, prefix_size, shingle_sets, suffix_bound
 from turnstone.llm.pfair_mix import mix_sources, phases, schedule, shares
 from turnstone.llm.pii import all_spans, base_spans, find_pii, pii_report
 
@@ -320,16 +320,20 @@ def test_filters_are_bounds():
         if 100 * common >= 75 * (len(a) + len(b) - common):
             assert common > len(a) - prefix_size(len(a), 75)
     sets = [np.unique(np.array(rng.sample(range(40), 30), dtype=np.uint64)) for _ in range(30)]
-    links = {(i, j) for j in range(30) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
-    found = linked(sets, np.zeros(30, dtype=bool), 75)  # a spanning forest of the same components
+    near = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))
+    assert all(is_link(sets[i], sets[j], 75) == near(i, j) for i in range(30) for j in range(30))
+    for side in (np.zeros(30, dtype=bool), np.arange(30) % 3 == 0):
+        part = np.arange(30) // 2
+        links = {(i, j) for j in range(30) for i in range(j) if near(i, j) and (side[i] != side[j] or not side.any()) and part[i] != part[j]}
+        found = linked(sets, side, part, 75)  # a spanning forest of the same components of parts
 
-    def parts(pairs):
-        of = list(range(30))
-        for i, j in pairs:
-            of = [min(of[i], of[j]) if x in (of[i], of[j]) else x for x in of]
-        return of
+        def parts(pairs, part=part):
+            of = list(range(15))
+            for i, j in pairs:
+                of = [min(of[part[i]], of[part[j]]) if x in (of[part[i]], of[part[j]]) else x for x in of]
+            return of
 
-    assert links and parts(found) == parts(links) and len(found) <= len(links)
+        assert links and parts(found) == parts(links) and len(found) <= len(links)
 
 
 def test_join(spark, texts, empty_docs):
@@ -344,12 +348,33 @@ def test_join(spark, texts, empty_docs):
     assert ngram_join(empty_docs).count() == 0
 
 
-def test_blocks_of_a_large_group(spark, monkeypatch):
+def templates(rng, n, words_of=60, keep=0.93):
+    """Texts of one template, some linked with each other and some not."""
+    group = words(rng, words_of).split()
+    return [" ".join(w if rng.random() < keep else f"z{rng.randrange(9)}" for w in group) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shingles_with_many_classes(spark, monkeypatch, seed):
     from turnstone.llm import ngram_join as module
 
-    monkeypatch.setattr(module, "BLOCK", 8)
-    rng = random.Random(9)
-    group = words(rng, 80).split()
-    rows = [(i, " ".join("z%d" % rng.randrange(99) if rng.random() < 0.03 else w for w in group)) for i in range(60)]
-    df = spark.createDataFrame(rows, DOCS.split(", lang")[0])
+    for name, value in {"MOST_PAIRED": 5, "STAR": 7, "BLOCK": 8, "BLOCK_SHINGLES": 700}.items():
+        monkeypatch.setattr(module, name, value)
+    if seed == 2:  # all shingles of some frequency are dealt to parts
+        monkeypatch.setattr(module, "LEVELS", np.array([1, 2, 3, 4, 6]))
+        monkeypatch.setattr(module, "SALTS", 3)
+    rng = random.Random(9 + seed)
+    rows = list(enumerate(templates(rng, 60, 80, 0.985) + templates(rng, 90, 60, 0.96) + templates(rng, 40, 30, 0.95) + [words(rng, 50) for _ in range(20)]))
+    rows += [(1000 + i, t + " " + words(rng, i % 30)) for i, t in rows[:40]]
+    df, rest, compared = spark.createDataFrame(rows, DOCS.split(", lang")[0]).repartition(3), module._rest, []
+    monkeypatch.setattr(module, "_rest", lambda *a: compared.append(rest(*a)) or compared[-1])
     assert sorted(tuple(r) for r in ngram_join(df).collect()) == sorted(brute_join(rows))
+    assert compared  # not all was linked by the pairs of neighbours and heads
+
+
+def test_words_of_one_polynomial_hash_do_not_link(spark):
+    from .test_tokens import thue_morse
+
+    for n in (1024, 2048, 4096):
+        rows = list(enumerate(thue_morse(n)))
+        assert [tuple(r) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [(0, 1, 0), (1, 1, 1)]

@@ -81,6 +81,58 @@ _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _CASE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_ngram_join": f"""
+        WITH RECURSIVE listed AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CASE}), '[^ \\t\\n\\x0B\\f\\r]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s
+            FROM listed
+        ), named AS (
+            SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN sha256(array_to_string(list_sort(s), chr(10))) END AS class FROM sets
+        ), classes AS (
+            SELECT class, min(doc_id) AS first, any_value(n) AS n FROM named WHERE class IS NOT NULL GROUP BY class
+        ), shingles AS (
+            SELECT c.first, c.n, unnest(s.s) AS shingle FROM classes c JOIN sets s ON s.doc_id = c.first
+        ), shared AS (
+            SELECT a.first AS a, b.first AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS common
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.first <> b.first AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+            GROUP BY a.first, b.first
+        ), links AS (
+            SELECT a, b FROM shared WHERE 100 * common >= 75 * (total - common)
+        ), reached AS (
+            SELECT first AS doc, first AS other FROM classes
+            UNION
+            SELECT r.doc, l.b FROM reached r JOIN links l ON l.a = r.other
+        ), least AS (
+            SELECT doc, min(other) AS component_id FROM reached GROUP BY doc
+        )
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(l.component_id, n.doc_id) AS component_id
+        FROM named n LEFT JOIN classes c ON c.class = n.class LEFT JOIN least l ON l.doc = c.first
+    """,
+    "op10_nn_descent": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b
+            FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reached AS (
+            SELECT vec_id AS id, vec_id AS other FROM vectors
+            UNION
+            SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other
+        ), least AS (
+            SELECT id, min(other) AS component_id FROM reached GROUP BY id
+        ), degree AS (
+            SELECT a AS id, count(*) AS n_links FROM links GROUP BY a
+        )
+        SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, coalesce(l.component_id, e.vec_id) AS component_id,
+               coalesce(l.component_id, e.vec_id) = e.vec_id AS kept, CAST(1.0 AS DOUBLE) AS recall
+        FROM embeddings e LEFT JOIN degree d ON d.id = e.vec_id LEFT JOIN least l ON l.id = e.vec_id
+    """,
     "op2_exact_topk": """
         WITH rows AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
