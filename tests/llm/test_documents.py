@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from turnstone.llm.hyper_language import gram_counts, held_out, language_report, learn, predict
 from turnstone.llm.line_dedup import drop_common_lines, line_report
 from turnstone.llm.ngram_join import is_link, linked, ngram_join, prefix_size, shingle_sets, suffix_bound
-from turnstone.llm.pfair_mix import mix_sources, phases, schedule, shares
+from turnstone.llm.pfair_mix import mix_sources, schedule
 from turnstone.llm.pii import all_spans, base_spans, find_pii, pii_report
 
 from .conftest import DOCS, clashing, words
@@ -21,23 +21,53 @@ from .conftest import DOCS, clashing, words
 # -- 4 ------------------------------------------------------------------------
 
 
+def brute_schedule(blocks, weights):
+    """All slots by hand: the even flow step by step gives each block's window, then every slot looks
+    through all blocks."""
+    left, exact, time, windows = {s: Fraction(n) for s, n in blocks.items()}, {s: Fraction(w) for s, w in weights.items()}, Fraction(0), {s: [Fraction(0)] for s in blocks}
+    while left:
+        rates = {s: exact[s] / sum(exact[x] for x in left) for s in left}
+        step = min((left[s] - (-(-left[s] // 1) - 1)) / rates[s] for s in left)  # until some block is through
+        time += step
+        for s in list(left):
+            before = left[s]
+            left[s] -= rates[s] * step
+            if left[s].denominator == 1 and before > left[s]:
+                windows[s].append(time)
+            if not left[s]:
+                del left[s]
+    waiting = {(s, k): (w[k] // 1, -(-w[k + 1] // 1)) for s, w in windows.items() for k in range(blocks[s])}
+    out = []
+    for t in range(sum(blocks.values())):
+        s, k = min((x for x in waiting if waiting[x][0] <= t), key=lambda x: (waiting[x][1], x))
+        del waiting[s, k]
+        out.append((s, k))
+    return out
+
+
 @pytest.mark.parametrize("seed", range(12))
-def test_schedule_keeps_within_a_block(seed):
+def test_schedule_is_that_by_hand(seed):
     rng = random.Random(seed)
-    weights = {f"s{i}": rng.choice([1, 2, 5, 30.5, 300]) for i in range(rng.randint(1, 9))}
-    blocks, got = {s: rng.randint(1, 300) for s in weights}, Counter()
-    for p in phases(blocks, weights, 200):
-        cycle, order = sum(p.share.values()), {}
-        for s in p.before:
-            for k in range(p.taken[s]):
-                order[k // p.share[s] * cycle + p.slots[s][k % p.share[s]]] = s
-        assert sorted(order) == list(range(sum(p.taken.values())))
-        had = Counter()
-        for t in range(len(order)):
-            had[order[t]] += 1
-            assert all(abs((t + 1) * p.share[s] - had[s] * cycle) < cycle for s in p.share)
-        got.update(p.taken)
-    assert dict(got) == blocks
+    weights = {f"s{i}": rng.choice([1, 2, 5, 30.5, 300, 1 / 3]) for i in range(rng.randint(1, 6))}
+    blocks = {s: rng.randint(1, 40) for s in weights}
+    assert list(schedule(blocks, weights)) == brute_schedule(blocks, weights)
+
+
+def test_very_many_sources():
+    rng = random.Random(2)
+    blocks = {f"s{i}": rng.randint(1, 60) for i in range(5_000)}
+    began = time.time()
+    order = list(schedule(blocks, {s: n**0.5 for s, n in blocks.items()}))
+    assert time.time() - began < 10 and len(set(order)) == len(order) == sum(blocks.values())
+
+
+def test_blocks_grow_with_the_table(spark, docs, texts, monkeypatch):
+    from turnstone.llm import pfair_mix as module
+
+    monkeypatch.setattr(module, "MOST_BLOCKS", 10)
+    monkeypatch.setattr(module, "BUCKET_DOCS", 4)
+    rows = mix_sources(docs, block_docs=1).collect()
+    assert sorted(r.mix_position for r in rows) == list(range(len(texts))) and max(r.mix_slot for r in rows) <= 10 + 3
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -76,13 +106,6 @@ def test_mix_keeps_to_the_weights_given(spark):
     assert zero == 1_999
 
 
-def test_shares():
-    assert shares({"a": 1, "b": 1, "c": 1}, 100) == {"a": 34, "b": 33, "c": 33}
-    assert shares({"a": 5}, 100) == {"a": 1} and shares({}) == {}
-    with pytest.raises(ValueError):
-        shares({"a": -1, "b": 2})
-
-
 def test_mix_places_every_document_once(spark, docs, texts, empty_docs):
     rows = mix_sources(clashing(docs), block_docs=3).orderBy("mix_position").collect()
     assert [r.mix_position for r in rows] == list(range(len(texts))) and {r.doc_id for r in rows} == set(range(len(texts)))

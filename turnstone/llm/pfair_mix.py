@@ -5,93 +5,34 @@ every slot until it is used up; the others then share by their weights. A block
 slot in which the flow begins it and due when the flow ends it, in exact arithmetic on the weights as
 given; in each slot the released block with the earliest deadline is taken. So after every slot each
 source has had what its weight asks for, give or take less than one block, from the first slot to
-the last. The slots are worked out one after another in one streamed task, whose memory is a few
-numbers for each source. Every document gets one place. Sources of weight 0 come last, evenly.
-`shares` and `phases` are the schedule in whole shares of a cycle, which mix_sources doesn't use.
+the last. Every document gets one place. Sources of weight 0 come last, evenly.
 
-A document's rank in its source comes from (source, hash bucket, id): ranks inside a bucket by a
-window, the rest by adding up the buckets before it, so that a source with a third of all documents
-is ranked in many tasks.
+Earliest deadline first is a sequential rule: the slots are worked out one after another in one
+streamed task, which sees blocks, never documents, and holds a few numbers for each source. There
+are at most MOST_BLOCKS of them (and one more a source): of more documents than that allows, a
+block takes more than BLOCK_DOCS.
+
+A document's rank in its source comes from (source, hash bucket, id): a source has a bucket for each
+BUCKET_DOCS documents, ranks inside a bucket come from a window, the rest from adding up the buckets
+before it, so that a source with a third of all documents is ranked in many tasks.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_prefix, written
 
-#: Documents of a block, slots of a cycle, hash buckets of a source.
-BLOCK_DOCS, CYCLE, BUCKETS = 16, 10_000, 256
-
-
-def shares(weights: dict[str, float], cycle: int = CYCLE) -> dict[str, int]:
-    """Whole shares of a cycle, at least 1 each, by largest remainders; ties by name."""
-    if not weights:
-        return {}
-    cycle = max(cycle, 10 * len(weights)) if len(weights) > 1 else 1
-    total = sum(weights.values())
-    if total <= 0 or min(weights.values()) < 0:
-        raise ValueError("weights must be positive")
-    exact = {s: (cycle - len(weights)) * w / total for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))[: cycle - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def one_cycle(share: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in a cycle, earliest deadline first among released blocks."""
-    cycle = sum(share.values())
-    later = [(0, s, 0) for s in share]  # release, source, block
-    heapq.heapify(later)
-    ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for t in range(cycle):
-        while later and later[0][0] <= t:
-            _, s, k = heapq.heappop(later)
-            heapq.heappush(ready, (-(-(k + 1) * cycle // share[s]), s, k))
-        _, s, k = heapq.heappop(ready)
-        slots[s].append(t)
-        if k + 1 < share[s]:
-            heapq.heappush(later, ((k + 1) * cycle // share[s], s, k + 1))
-    return slots
-
-
-@dataclass
-class Phase:
-    """A stretch of the schedule with the same sources: first slot, shares, slots of a cycle, and
-    for each source the blocks taken before it and in it."""
-
-    start: int
-    share: dict[str, int]
-    slots: dict[str, list[int]]
-    before: dict[str, int] = field(default_factory=dict)
-    taken: dict[str, int] = field(default_factory=dict)
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], cycle: int = CYCLE) -> Iterator[Phase]:
-    """The phases that use up all blocks, at most one for each source."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done, start = dict.fromkeys(left, 0), 0
-    while left:
-        share = shares({s: weights[s] for s in left}, cycle)
-        size, slots = sum(share.values()), one_cycle(share)
-        place = lambda s, k: k // share[s] * size + slots[s][k % share[s]]  # noqa: E731, B023
-        length = min(place(s, n - 1) for s, n in left.items()) + 1
-        taken = {s: length // size * share[s] + bisect_left(slots[s], length % size) for s in left}
-        yield Phase(start, share, slots, {s: done[s] for s in left}, taken)
-        start += length
-        done = {s: done[s] + taken[s] for s in left}
-        left = {s: n - taken[s] for s, n in left.items() if n > taken[s]}
+#: Documents of a block, the most blocks of a schedule, documents of a hash bucket.
+BLOCK_DOCS, MOST_BLOCKS, BUCKET_DOCS = 16, 4_000_000, 50_000
 
 
 def whole_weights(weights: dict[str, float]) -> dict[str, int]:
@@ -110,26 +51,33 @@ def schedule(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tupl
     yield from _by_deadline(blocks, {s: 1 for s, w in weights.items() if not w})
 
 
-def _by_deadline(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int]]:
-    ending = sorted(weights, key=lambda s: Fraction(blocks[s], weights[s]))
-    done, active = [0], [sum(weights.values())]  # blocks of the first i that end, weights of the others
-    for s in ending:
-        done.append(done[-1] + blocks[s])
-        active.append(active[-1] - weights[s])
-    ended = dict.fromkeys(weights, 0)
-
-    def flow(s: str, k: int) -> int:
-        """The time at which the flow has given k blocks of s, times the weight of s. k doesn't fall."""
-        i, w = ended[s], weights[s]
-        while i < len(ending) and blocks[ending[i]] * w <= k * weights[ending[i]]:
-            i += 1
-        ended[s] = i
-        return done[i] * w + active[i] * k
+class _Flow:
+    """When an even flow by weights has given a source its first k blocks."""
+
+    def __init__(self, blocks: dict[str, int], weights: dict[str, int]):
+        self.weights = weights
+        self.ends = sorted(Fraction(blocks[s], w) for s, w in weights.items())  # of sources, on the flow's own clock
+        # slots used by the first i sources that end, and the weights of the others
+        self.used, self.active = [0], [sum(weights.values())]
+        for s in sorted(weights, key=lambda s: Fraction(blocks[s], weights[s])):
+            self.used.append(self.used[-1] + blocks[s])
+            self.active.append(self.active[-1] - weights[s])
+        self.passed = dict.fromkeys(weights, 0)
+
+    def __call__(self, s: str, k: int) -> int:
+        """The time of block k's begin, times the weight of s. k doesn't fall from call to call."""
+        i, w = self.passed[s], self.weights[s]
+        if i < len(self.ends) and self.ends[i].numerator * w <= k * self.ends[i].denominator:
+            i = self.passed[s] = bisect_right(self.ends, Fraction(k, w), lo=i)
+        return self.used[i] * w + self.active[i] * k
 
+
+def _by_deadline(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int]]:
+    flow = _Flow(blocks, weights)
     later = [(0, s, 0) for s in weights]  # release, source, block
     heapq.heapify(later)
-    ready: list[tuple[int, str, int]] = []
-    for t in range(done[-1]):
+    ready: list[tuple[int, str, int]] = []  # deadline, source, block
+    for t in range(flow.used[-1]):
         while later and later[0][0] <= t:
             _, s, k = heapq.heappop(later)
             heapq.heappush(ready, (-(-flow(s, k + 1) // weights[s]), s, k))
@@ -139,32 +87,24 @@ def _by_deadline(blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tu
             heapq.heappush(later, (flow(s, k + 1) // weights[s], s, k + 1))
 
 
-def bucket(id_col: str) -> Column:
-    """256 even buckets of ids: the first two hexadecimal digits of md5 of the id as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 2), 16, 10).cast("int")
-
-
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", prefix: str = "mix_") -> DataFrame:
     """All rows and columns of docs with mix_block, mix_slot and mix_position (longs, from 0).
 
     weights: of each source; None: the square root of its number of documents. A null source counts
     as the source ''. Sources that weights doesn't name are an error. Rows with equal ids are
     ordered by a hash of their text; null ids come first in their bucket. An empty table gives an
-    empty result. prefix begins the
-    three names; columns of docs that have one of them are replaced. The driver gets a count
-    for each source and bucket; the schedule is a table in the shared folder, joined by block.
+    empty result. prefix begins the three names; columns of docs that have one of them are replaced.
+    block_docs: documents of a block, more if the schedule would have over MOST_BLOCKS blocks. The
+    driver gets a count for each source; the schedule is a table in the shared folder, joined by
+    block.
     """
     spark = docs.sparkSession
     made = [f"{prefix}{x}" for x in ("block", "slot", "position")]
     names, p = [c for c in docs.columns if c not in made], free_prefix(docs)  # p: before names of its own
     at = lambda name: F.col(p + name)
-    rows = docs.select(*names, F.coalesce(F.col(source_col), F.lit("")).alias(p + "source"), bucket(id_col).alias(p + "bucket"))
-    counts = sorted(tuple(r) for r in rows.groupBy(p + "source", p + "bucket").count().collect())
-    total: dict[str, int] = {}
-    offsets = []
-    for source, b, n in counts:
-        offsets.append((source, b, total.get(source, 0)))
-        total[source] = total.get(source, 0) + n
+    rows = docs.select(*names, F.coalesce(F.col(source_col), F.lit("")).alias(p + "source"))
+    total = dict(sorted(tuple(r) for r in rows.groupBy(p + "source").count().collect()))
+    size = max(block_docs, -(-sum(total.values()) // MOST_BLOCKS))
     weights = {s: n**0.5 for s, n in total.items()} if weights is None else weights
     if missing := sorted(set(total) - set(weights)):
         raise ValueError(f"no weight for {missing[:5]}")
@@ -177,9 +117,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
             if not batch.num_rows:
                 continue
             held, begin = [], 0
-            for t, (x, k) in enumerate(schedule({x: -(-n // block_docs) for x, n in total.items()}, weights)):
+            for t, (x, k) in enumerate(schedule({x: -(-n // size) for x, n in total.items()}, weights)):
                 held.append((x, k, t, begin))
-                begin += min(block_docs, total[x] - k * block_docs)  # a source's last block may be short
+                begin += min(size, total[x] - k * size)  # a source's last block may be short
                 if len(held) == 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], form)
                     held = []
@@ -187,16 +127,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], form)
 
     plan = written(spark.range(0, 1, 1, 1).mapInArrow(slots, f"{p}source string, {p}block long, {p}slot long, {p}begin long"), "schedule")
-    small = lambda data, form: F.broadcast(spark.createDataFrame(data, ", ".join(p + x for x in form.split(", "))).coalesce(1))
+    buckets = spark.createDataFrame([(s, -(-n // BUCKET_DOCS)) for s, n in total.items()], f"{p}source string, {p}buckets long")
+    dealt = rows.join(buckets, p + "source").withColumn(p + "bucket", F.pmod(F.xxhash64(id_col), at("buckets"))).drop(p + "buckets")
+    before = Window.partitionBy(p + "source").orderBy(p + "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy(p + "source", p + "bucket").agg(F.count("*").alias(p + "n"))
+    offsets = written(offsets.select(p + "source", p + "bucket", F.coalesce(F.sum(p + "n").over(before), F.lit(0)).alias(p + "before")), "offsets")
     order = Window.partitionBy(p + "source", p + "bucket").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
     ranked = (
-        rows.withColumn(p + "n", F.row_number().over(order))
-        .join(small(offsets, "source string, bucket int, before long"), [p + "source", p + "bucket"])
+        dealt.withColumn(p + "n", F.row_number().over(order))
+        .join(offsets, [p + "source", p + "bucket"])
         .withColumn(p + "rank", at("before") + at("n") - 1)
-        .withColumn(p + "block", F.expr(f"{p}rank div {block_docs}"))
+        .withColumn(p + "block", F.expr(f"{p}rank div {size}"))
     )
     placed = ranked.join(plan, [p + "source", p + "block"])
-    position = at("begin") + at("rank") % block_docs
+    position = at("begin") + at("rank") % size
     return placed.select(*names, at("block").alias(made[0]), at("slot").alias(made[1]), position.alias(made[2]))
 
 
