@@ -88,10 +88,11 @@ def test_near_vectors(spark):
     v += [v[50]] * 25  # equal vectors
     rows = [(i, x.astype(np.float32).tolist()) for i, x in enumerate(v)]
     random.Random(1).shuffle(rows)
+    rows += [(7, v[60].astype(np.float32).tolist()), (7, v[7].astype(np.float32).tolist()), (8, rng.standard_normal(16).astype(np.float32).tolist())]  # ids that are there again
     rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None]), (904, []), (None, v[0].tolist())]
     df = spark.createDataFrame([(i, x, 0) for i, x in rows], FORM).repartition(4)
     got = near_vectors(clashing(df)).collect()
-    order = lambda x: (x[0] is None, x[0] or 0)
+    order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
     assert sorted((tuple(r)[:4] for r in got), key=order) == sorted(brute_near(rows), key=order)
     assert {r.recall for r in got} == {1.0}
     assert near_vectors(df.limit(0)).count() == 0

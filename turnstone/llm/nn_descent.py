@@ -2,14 +2,14 @@
 
 Equal vectors are one node. A first neighbour graph comes from a few random hyperplane hashes, whose
 buckets (cut into blocks where they are large) are compared inside. NN-descent then refines it: at
-each node the lists of its neighbours and of those that name it meet, all pairs of them are
-compared, and what is nearer than the worst entry of a list enters it, until little changes. There
-are as many hashes as it takes that two vectors at the threshold meet in one, however many vectors
-there are; each doubling adds fresh ones. Edges
-at or over the threshold are links. A list is saturated if all its entries are links: it is then
-enlarged to the node's whole component, which is compared in blocks, so that no link of a large
-group is lost and none of its pairs is written. Recall is audited on samples of nodes compared with
-all rows, each node counting alike and nodes outside enlarged components on their own; lists are
+each node the lists of its neighbours and of those that name it meet, all pairs of them of which one
+is new are compared, and what is nearer than the worst entry of a list enters it, until little
+changes. There are as many hashes as it takes that two vectors at the threshold meet in one, however
+many vectors there are; each doubling adds fresh ones. Edges at or over the threshold are links. A
+list is saturated if all its entries are links: it is then enlarged to the node's whole component,
+which is compared in blocks, so that no link of a large group is lost and none of its pairs is
+written. Recall is audited on samples of nodes compared with all rows, each node counting alike and
+nodes outside enlarged components on their own, by counts, without a table of true links; lists are
 doubled and refined again until it is high enough. If it isn't after the last doubling, all nodes
 are compared with all.
 """
@@ -28,8 +28,9 @@ from .common import n_partitions, small_batches, written
 from .components import components
 from .exact_topk import usable
 
-#: Entries of a list, hashes of the first graph and vectors of a bucket, vectors of a block.
-NEIGHBOURS, HASHES, BUCKET, BLOCK = 10, 6, 256, 512
+#: Entries of a list, hashes of the first graph and vectors of a bucket, vectors of a bucket's block
+#: and of a component's, rows of a block that are multiplied at once.
+NEIGHBOURS, HASHES, BUCKET, BLOCK, WIDE_BLOCK, TILE = 10, 6, 256, 512, 4096, 1024
 #: Rounds of refinement, and the share of entries that may still change after the last one.
 ROUNDS, SETTLED = 4, 0.002
 #: Sampled nodes of the audit, the recall that is asked for, and how often lists are doubled for it.
@@ -38,6 +39,8 @@ AUDITED, RECALL, DOUBLINGS = 1024, 0.97, 3
 SLICE = 8192
 
 EDGES = "u long, v long, sim double"
+#: fresh: not compared yet with the others around a node.
+GRAPH = f"{EDGES}, fresh boolean"
 
 
 def unit_rows(blobs: list[bytes]) -> np.ndarray:
@@ -91,7 +94,8 @@ def by_group(rows: DataFrame, keys: list[str], form: str, work: Callable[[dict[s
 
 
 def _nodes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """(row id, node) of rows that take part, and (id, times, blob) of nodes: rows of one vector."""
+    """(id, node) of rows that take part, and (id, first, times, blob) of nodes, which are the rows of
+    one vector: a number, the least of their ids, and how many they are."""
     usual = usable(vector_col) & F.col(id_col).isNotNull() & F.coalesce(F.exists(vector_col, lambda x: x != 0), F.lit(False))
     rows = vectors.where(usual).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
@@ -101,17 +105,22 @@ def _nodes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([xxhash.xxh3_128_digest(b) for b in blobs], pa.binary()), pa.array(blobs, pa.binary())], ["id", "key", "blob"])
 
     packed = written(rows.mapInArrow(pack, "id long, key binary, blob binary"), "vectors")
-    first = packed.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("times"))
+    first = written(packed.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("times")).withColumn("node", F.monotonically_increasing_id()), "first")
     named = packed.select("id", "key").join(first, "key").select("id", "node")
-    chosen = packed.join(first.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("node")))
-    # a node's row may be repeated; one id with two vectors keeps both apart by key
-    nodes = chosen.groupBy("key").agg(F.first("node").alias("id"), F.first("times").alias("times"), F.first("blob").alias("blob")).drop("key")
-    return named, written(nodes, "nodes")
+    chosen = packed.join(first.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("first")))
+    # the row may be repeated
+    nodes = chosen.groupBy(F.col("node").alias("id")).agg(F.first("first").alias("first"), F.first("times").alias("times"), F.first("blob").alias("blob"))
+    return written(named, "named"), written(nodes, "nodes")
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
+    """The k best entries of each list; an entry that was there before isn't fresh."""
     order = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    return edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    return edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
+def _found(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("fresh", F.lit(True))
 
 
 def _hash_bits(count: int) -> int:
@@ -128,8 +137,8 @@ def _hash_batches(count: int, threshold: float) -> int:
 def _hashed_graph(nodes: DataFrame, count: int, k: int, threshold: float, first: int = 0, graph: DataFrame | None = None) -> DataFrame:
     """graph with what the hashes of seeds from first on find; a batch of hashes is written at a time."""
     for seed in range(first, first + _hash_batches(count, threshold)):
-        found = _first_graph(nodes, count, k, 7 + seed)
-        graph = written(_best(graph.union(found), k) if graph is not None else found, "graph")
+        found = _found(_first_graph(nodes, count, k, 7 + seed))
+        graph = written(_best(graph.union(found) if graph is not None else found, k), "graph", instead_of=graph)
     return graph
 
 
@@ -164,30 +173,33 @@ def _first_graph(nodes: DataFrame, count: int, k: int, seed: int = 7) -> DataFra
             at = np.argpartition(-sims, n - 1, axis=1)[:, :n]
             yield {"u": np.repeat(ids[a : a + 1024], n), "v": ids[at].ravel(), "sim": np.take_along_axis(sims, at, axis=1).ravel()}
 
-    return _best(by_group(cut, ["tree", "bucket", "block"], EDGES, near), k)
+    return by_group(cut, ["tree", "bucket", "block"], EDGES, near)
 
 
 def _refined(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """One round: neighbours of neighbours, in both directions, that improve a list."""
+    """One round: neighbours of neighbours, in both directions, that improve a list. Nodes around
+    which nothing is fresh are passed over."""
     worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("floor"))
-    back = _best(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"), k)
-    around = graph.select("u", "v").union(back.select("u", "v")).union(nodes.select(F.col("id").alias("u"), F.col("id").alias("v"))).distinct()
+    back = _best(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim", "fresh"), k)
+    around = graph.select("u", "v", "fresh").union(back.select("u", "v", "fresh")).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    changed = Window.partitionBy("u")
+    around = around.withColumn("any", F.max("fresh").over(changed)).where("any").drop("any")
     known = nodes.join(worst.withColumnRenamed("u", "id"), "id", "left").select(F.col("id").alias("v"), F.coalesce("floor", F.lit(-2.0)).alias("floor"), "blob")
-    met = around.join(known, "v").select(F.col("u").alias("centre"), "v", "floor", "blob")
+    met = around.join(known, "v").select(F.col("u").alias("centre"), "v", "fresh", "floor", "blob")
 
     def pairs(group: dict[str, list]) -> Iterator[dict]:
-        ids, floor, x = np.array(group["v"]), np.array(group["floor"]), unit_rows(group["blob"])
+        ids, floor, fresh, x = np.array(group["v"]), np.array(group["floor"]), np.array(group["fresh"]), unit_rows(group["blob"])
         sims = x @ x.T
         np.fill_diagonal(sims, -3)
-        i, j = np.nonzero(sims > floor[:, None])
+        i, j = np.nonzero((sims > floor[:, None]) & (fresh[:, None] | fresh[None, :]))
         yield {"u": ids[i], "v": ids[j], "sim": sims[i, j]}
 
-    return _best(graph.union(by_group(met, ["centre"], EDGES, pairs)), k)
+    return _best(graph.withColumn("fresh", F.lit(False)).union(_found(by_group(met, ["centre"], EDGES, pairs))), k)
 
 
 def _in_blocks(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """(id, links): linked rows of the other nodes of a node's group (id, root), block against block."""
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / WIDE_BLOCK).cast("int").alias("blocks"))
     placed = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.select("id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -197,13 +209,17 @@ def _in_blocks(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
         ids, times, x = np.array(group["id"]), np.array(group["times"]), unit_rows(group["blob"])
         i, j, block = group["i"][0], group["j"][0], np.array(group["block"])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        near = x[left] @ x[right].T >= threshold
-        if i == j:
-            np.fill_diagonal(near, False)
-            yield {"id": ids[left], "links": near @ times[right]}
-        else:
-            yield {"id": ids[left], "links": near @ times[right]}
-            yield {"id": ids[right], "links": near.T @ times[left]}
+        of_right = np.zeros(len(right), dtype=np.int64)
+        for a in range(0, len(left), TILE):
+            rows = left[a : a + TILE]
+            near = x[rows] @ x[right].T >= threshold
+            if i == j:
+                near[np.arange(len(rows)), np.arange(a, a + len(rows))] = False
+            else:
+                of_right += near.T @ times[rows]
+            yield {"id": ids[rows], "links": near @ times[right]}
+        if i != j:
+            yield {"id": ids[right], "links": of_right}
 
     return by_group(rows, ["root", "i", "j"], "id long, links long", count).groupBy("id").agg(F.sum("links").alias("links"))
 
@@ -235,44 +251,43 @@ def _compared(graph: DataFrame, nodes: DataFrame, threshold: float, k: int) -> D
                     i, j = np.nonzero(best >= threshold)
                     yield pa.RecordBatch.from_arrays([pa.array(mine[i]), pa.array(ids[top[i, j]]), pa.array(best[i, j])], ["u", "v", "sim"])
 
-        graph = written(_best(graph.union(nodes.select("id", "blob").mapInArrow(linked, EDGES)), k), "graph")
+        graph = written(_best(graph.union(_found(nodes.select("id", "blob").mapInArrow(linked, EDGES))), k), "graph", instead_of=graph)
         shared.unpersist()
     return graph
 
 
 def _audit(nodes: DataFrame, links: DataFrame, enlarged: DataFrame, threshold: float) -> float:
     """The mean share of a node's true links that were found, over a sample of the nodes outside
-    enlarged components or over one of those inside, whichever is less."""
-    inside = enlarged.select("id")
-    return min(_audited(nodes.join(inside, "id", how), nodes, links, enlarged, threshold) for how in ("left_anti", "left_semi"))
-
-
-def _audited(chosen: DataFrame, nodes: DataFrame, links: DataFrame, enlarged: DataFrame, threshold: float) -> float:
+    enlarged components or over one of those inside, whichever is less. Inside, all is found that is
+    in the same component, as it is compared in blocks."""
     spark = nodes.sparkSession
-    sample = chosen.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "blob").collect()  # AUDITED rows
+    placed = nodes.select("id", "blob").join(enlarged.select("id", "root"), "id", "left")
+    sample = [r for outside in (True, False) for r in placed.where(F.col("root").isNull() == outside).orderBy(F.xxhash64("id"), "id").limit(AUDITED).collect()]
     if not sample:
         return 1.0
-    shared = spark.sparkContext.broadcast((np.array([r["id"] for r in sample]), [bytes(r["blob"]) for r in sample]))
+    shared = spark.sparkContext.broadcast(([r["id"] for r in sample], [-1 if r["root"] is None else r["root"] for r in sample], [bytes(r["blob"]) for r in sample]))
 
-    def true_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, blobs = shared.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, roots, blobs = np.array(shared.value[0]), np.array(shared.value[1]), shared.value[2]
+        true, same = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            mine = batch.column("id").to_numpy()
-            both = unit_rows(blobs + [b.as_py() for b in batch.column("blob")])
-            i, j = np.nonzero(both[: len(ids)] @ both[len(ids) :].T >= threshold)
-            keep = ids[i] != mine[j]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i][keep]), pa.array(mine[j][keep])], ["u", "v"])
-
-    truth = nodes.select("id", "blob").mapInArrow(true_links, "u long, v long")
-    inside = enlarged.select(F.col("id").alias("u"), F.col("root").alias("ru"))
-    also = enlarged.select(F.col("id").alias("v"), F.col("root").alias("rv"))
-    found = links.select("u", "v", F.lit(True).alias("hit"))
-    hit = F.coalesce("hit", F.col("ru") == F.col("rv"), F.lit(False)).cast("double")
-    by_node = truth.join(found, ["u", "v"], "left").join(inside, "u", "left").join(also, "v", "left").groupBy("u").agg(F.avg(hit).alias("share"))
-    mean = by_node.agg(F.avg("share")).first()[0]
-    return 1.0 if mean is None else mean
+            for a in range(0, batch.num_rows, TILE):
+                part = batch.slice(a, TILE)
+                root = part.column("root").fill_null(-2).to_numpy()
+                both = unit_rows(blobs + [b.as_py() for b in part.column("blob")])
+                near = (both[: len(ids)] @ both[len(ids) :].T >= threshold) & (ids[:, None] != part.column("id").to_numpy()[None, :])
+                true += near.sum(axis=1)
+                same += (near & (roots[:, None] == root[None, :])).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true), pa.array(same)], ["u", "true", "same"])
+
+    counts = {r["u"]: (r["t"], r["s"]) for r in placed.mapInArrow(count, "u long, true long, same long").groupBy("u").agg(F.sum("true").alias("t"), F.sum("same").alias("s")).collect()}
+    asked = spark.createDataFrame([(r["id"],) for r in sample], "u long")
+    listed = {r["u"]: r["count"] for r in links.join(asked, "u", "left_semi").groupBy("u").count().collect()}  # AUDITED twice, at most
+    means = []
+    for outside in (True, False):
+        found = [(listed.get(r["id"], 0) if outside else counts[r["id"]][1], counts[r["id"]][0]) for r in sample if (r["root"] is None) == outside]
+        means += [np.mean([min(1.0, n / of) for n, of in found if of])] if any(of for _, of in found) else []
+    return float(min(means, default=1.0))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -282,27 +297,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS
     counts the other rows linked with a row, component_id is the smallest id reachable, kept says
     that it is the row's own. Vectors that are null, empty, zero or hold null, NaN or infinite
     components, and rows with a null id, link with nothing: n_links 0, their own component, kept
-    (null ids: component null, not kept). Repeated rows are vectors of their own with one id.
+    (null ids: component null, not kept). Repeated rows are vectors of their own with one id, whether
+    they hold one vector or several: each counts as a row, and kept may be true for each.
     recall: found by the audit, the same in each row. An empty table gives an empty result.
     """
     small_batches(vectors.sparkSession)
     vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     named, nodes = _nodes(vectors, id_col, vector_col)
-    named, count = written(named, "named"), nodes.count()
+    count = nodes.count()
     graph, batches = _hashed_graph(nodes, count, k, threshold), _hash_batches(count, threshold)
     for doubling in range(DOUBLINGS + 2):
         for _ in range(ROUNDS if doubling <= DOUBLINGS else 0):
-            new = written(_refined(graph, nodes, k), "graph")
-            changed = new.join(graph, ["u", "v"], "left_anti").count()
-            graph = new
-            if changed <= SETTLED * count * k:
+            graph = written(_refined(graph, nodes, k), "graph", instead_of=graph)
+            if graph.where("fresh").count() <= SETTLED * count * k:
                 break
         near = graph.where(F.col("sim") >= threshold)
         links = written(near.select("u", "v").union(near.select("v", "u")).distinct(), "links")
         full = near.groupBy("u").count().where(F.col("count") >= k).select("u")
         groups = written(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "id"), "groups")
         dense = groups.join(full, groups["id"] == full["u"], "left_semi").select("root").distinct()
-        enlarged = groups.join(dense, "root", "left_semi")
+        enlarged = written(groups.join(dense, "root", "left_semi"), "enlarged")
         recall = _audit(nodes, links, enlarged, threshold)
         if recall >= RECALL or doubling > DOUBLINGS:
             break
@@ -314,9 +328,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS
         graph = _hashed_graph(nodes, count, k, threshold, (doubling + 1) * batches, graph)
     times = nodes.select(F.col("id").alias("v"), "times")
     apart = links.join(enlarged.select(F.col("id").alias("u")), "u", "left_anti").join(times, "v").groupBy("u").agg(F.sum("times").alias("links")).withColumnRenamed("u", "id")
-    counted = apart.union(_in_blocks(enlarged.select("id", "root"), nodes, threshold))
-    by_node = nodes.select(F.col("id").alias("node"), "times").join(counted.withColumnRenamed("id", "node"), "node", "left").join(groups.withColumnRenamed("id", "node"), "node", "left")
-    by_node = by_node.groupBy("node").agg((F.max("times") - 1 + F.coalesce(F.max("links"), F.lit(0))).alias("n_links"), F.coalesce(F.min("root"), F.col("node")).alias("component_id"))
+    counted = apart.union(_in_blocks(enlarged.select("id", "root"), nodes, threshold)).withColumnRenamed("id", "node")
+    least = written(groups.join(nodes.select("id", "first"), "id").groupBy("root").agg(F.min("first").alias("least")), "least")
+    placed = groups.join(least, "root").select(F.col("id").alias("node"), "least")
+    by_node = nodes.select(F.col("id").alias("node"), "first", "times").join(counted, "node", "left").join(placed, "node", "left")
+    by_node = written(by_node.select("node", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id")), "by-node")
     # A row that takes no part joins with nothing.
     taking = named.join(by_node, "node").select(F.col("id").alias("t"), "n_links", "component_id")
     valid = usable(vector_col) & F.coalesce(F.exists(vector_col, lambda x: x != 0), F.lit(False))
