@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dream_tokens, jaccard, reciprocal_rank
+from ..functions.text import dream_tokens, reciprocal_rank
+from ..session import cut
 
 #: Weights of the lanes, and how many candidates are kept, of which so many places are for the prior lane.
 WEIGHTS = {"semantic": 1.0, "prior": 0.6, "lexical": 0.35, "temporal": 1.0}
 KEPT, PRIOR_QUOTA = 12, 3
+#: Candidates that a lane brings for a source. A rank of this or more adds at most 1/(60 + DEPTH).
+DEPTH = 256
 
 
 def canonical(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -23,19 +26,17 @@ def excluded(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return keyed.join(known, ["a", "b"], "left_anti").drop("a", "b")
 
 
-def token_overlap(left: DataFrame, right: DataFrame, most_docs: int) -> DataFrame:
-    """(source, candidate, jaccard) of statements (id, text) that share a token.
+def token_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(source, candidate, jaccard) of all statements (id, text) of left, a stated batch, with those of
+    right that share a token, however common it is.
 
-    Tokens in more than most_docs statements of right don't make pairs by themselves (they still count
-    in the score), so no common word brings all pairs together.
+    The batch's postings are written, so that Spark sees their size and can send them to the texts;
+    common tokens are counted in each task before pairs meet.
     """
-    l, r = (df.select("id", dream_tokens(F.col("text")).alias("tokens")) for df in (left, right))
-    posted = r.select(F.col("id").alias("candidate"), F.explode("tokens").alias("token"))
-    rare = posted.groupBy("token").count().where(F.col("count") <= most_docs).select("token")
-    met = l.select(F.col("id").alias("source"), F.explode("tokens").alias("token")).join(posted.join(rare, "token"), "token")
-    pairs = met.where("source <> candidate").select("source", "candidate").distinct()
-    a, b = l.select(F.col("id").alias("source"), F.col("tokens").alias("ta")), r.select(F.col("id").alias("candidate"), F.col("tokens").alias("tb"))
-    return pairs.join(a, "source").join(b, "candidate").select("source", "candidate", jaccard(F.col("ta"), F.col("tb")).alias("jaccard"))
+    posted = lambda df, name, n: df.select(F.col("id").alias(name), dream_tokens(F.col("text")).alias("_t")).select(name, F.size("_t").alias(n), F.explode("_t").alias("token"))
+    met = posted(right, "candidate", "_nb").join(cut(posted(left, "source", "_na"), "asked"), "token").where("source <> candidate")
+    counts = met.groupBy("source", "candidate").agg(F.count("*").alias("_n"), F.first("_na").alias("_na"), F.first("_nb").alias("_nb"))
+    return counts.select("source", "candidate", (F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))).alias("jaccard"))
 
 
 def lexical_boost(pairs: DataFrame) -> DataFrame:
@@ -44,24 +45,23 @@ def lexical_boost(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("lexical", F.col("jaccard") + same("category", "other_category", 0.08) + same("type", "other_type", 0.08) + same("parent", "other_parent", 0.12))
 
 
-def ranked_lanes(scores: DataFrame) -> DataFrame:
-    """(source, candidate, <lane>_rank...) of scores (source, candidate, <lane>...): ranks from 1, higher
-    scores first, ties by candidate; a null score has no rank."""
-    lanes = [c for c in scores.columns if c not in ("source", "candidate")]
-    out = scores.select("source", "candidate", *lanes)
-    for lane in lanes:
-        order = Window.partitionBy("source").orderBy(F.desc_nulls_last(lane), "candidate")
-        out = out.withColumn(f"{lane}_rank", F.when(F.col(lane).isNotNull(), F.row_number().over(order)))
-    return out.select("source", "candidate", *(f"{lane}_rank" for lane in lanes))
+def ranked_lanes(lanes: dict[str, DataFrame], depth: int = DEPTH) -> DataFrame:
+    """(source, candidate, <lane>_rank...) of the lanes' own scores (source, candidate, score): ranks
+    from 1, higher scores first, ties by candidate. Each lane brings its best `depth` candidates of a
+    source, whatever the other lanes know of them; a candidate without a rank there has null."""
+    order = Window.partitionBy("source").orderBy(F.desc("score"), "candidate")
+    parts = [df.where("score is not null").select("source", "candidate", F.lit(name).alias("lane"), F.row_number().over(order).alias("r")).where(F.col("r") <= depth) for name, df in lanes.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    return rows.groupBy("source", "candidate").agg(*(F.max(F.when(F.col("lane") == name, F.col("r"))).alias(f"{name}_rank") for name in lanes))
 
 
-def fused_candidates(scores: DataFrame, kept: int = KEPT, quota: int = PRIOR_QUOTA) -> DataFrame:
+def fused_candidates(lanes: dict[str, DataFrame], kept: int = KEPT, quota: int = PRIOR_QUOTA, depth: int = DEPTH) -> DataFrame:
     """(source, candidate, fused, place): at most kept candidates a source by weighted reciprocal ranks,
     with quota places for the best of the prior lane; ties by candidate."""
-    lanes = [c for c in scores.columns if c in WEIGHTS]
-    ranks = ranked_lanes(scores.select("source", "candidate", *lanes))
     score = sum((reciprocal_rank(F.col(f"{lane}_rank"), WEIGHTS[lane]) for lane in lanes), F.lit(0.0))
-    fused = ranks.withColumn("fused", F.round(score, 12))
+    fused = ranked_lanes(lanes, depth).withColumn("fused", F.round(score, 12))
     reserved = F.col("prior_rank") <= quota if "prior" in lanes else F.lit(False)
     first = Window.partitionBy("source").orderBy(F.desc(F.coalesce(reserved, F.lit(False))), F.desc("fused"), "candidate")
     chosen = fused.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= kept)

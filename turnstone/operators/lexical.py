@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_score, lexical_terms, substring_count
+from ..session import cut
 
 #: Occurrences of a term beyond this many don't count.
 MOST_FREQUENT = 4
@@ -49,6 +50,15 @@ def scored(index: DataFrame, queries: DataFrame, key: list[str]) -> DataFrame:
     return _scores(index.join(_asked(queries), "term"), key)
 
 
+def searched_batch(docs: DataFrame, queries: DataFrame, key: list[str], text: str) -> DataFrame:
+    """As searched, for many queries: the asked terms are written, as is the index of what they meet;
+    a text's occurrences of a term are counted once, however many queries ask for it."""
+    asked = cut(_asked(queries), "asked")
+    wanted = asked.select("term").distinct()
+    index = _tokens(docs, key, text).join(wanted, "term", "left_semi").select(*key, "term", _frequency())
+    return _scores(index.join(asked, "term"), key)
+
+
 def searched(docs: DataFrame, queries: DataFrame, key: list[str], text: str) -> DataFrame:
     """As scored, without an index: occurrences are counted for tokens that were asked for only."""
     asked = _asked(queries)

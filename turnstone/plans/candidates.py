@@ -8,60 +8,66 @@ from pyspark.sql import functions as F
 from ..catalog import query, table
 from ..functions.vector import cosine
 from ..operators import candidates as c
+from ..session import cut
 
 _TOKENS = "list_filter(list_distinct(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda t: lower(t))), lambda t: strlen(t) > 1)"
-#: Sources are every 50th document; tokens in more than 20 documents make no pairs.
-_RARE = 20
+#: A stated batch of sources: every 100th document, against all others.
+_BATCH = 100
 _PAIRS_SQL = f"""t AS (SELECT doc_id, lang, source AS src, {_TOKENS} AS tokens FROM documents),
-    p AS (SELECT doc_id, unnest(tokens) AS token FROM t),
-    rare AS (SELECT token FROM p GROUP BY token HAVING count(*) <= {_RARE}),
-    pair AS (SELECT DISTINCT a.doc_id AS source, b.doc_id AS candidate FROM p a JOIN rare USING (token) JOIN p b USING (token)
-             WHERE a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id),
-    j AS (SELECT source, candidate, len(list_intersect(a.tokens, b.tokens)) / CAST(len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens)) AS DOUBLE) AS jaccard,
-                 a.lang AS category, b.lang AS other_category, a.src AS type, b.src AS other_type
+    p AS (SELECT doc_id, unnest(tokens) AS token, len(tokens) AS n FROM t),
+    pair AS (SELECT a.doc_id AS source, b.doc_id AS candidate, count(*) / CAST(any_value(a.n) + any_value(b.n) - count(*) AS DOUBLE) AS jaccard
+             FROM p a JOIN p b USING (token) WHERE a.doc_id % {_BATCH} = 0 AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    j AS (SELECT source, candidate, jaccard, a.lang AS category, b.lang AS other_category, a.src AS type, b.src AS other_type
           FROM pair JOIN t a ON a.doc_id = source JOIN t b ON b.doc_id = candidate)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("category"), F.col("source").alias("type"))
-    pairs = c.token_overlap(d.where("id % 50 = 0"), d, _RARE)
-    left = d.select(F.col("id").alias("source"), "category", "type")
-    right = d.select(F.col("id").alias("candidate"), F.col("category").alias("other_category"), F.col("type").alias("other_type"))
-    return pairs.join(left, "source").join(right, "candidate")
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("category"), F.col("source").alias("type"))
 
 
-@query("token_jaccard", f"WITH {_PAIRS_SQL} SELECT source, candidate, round(jaccard, 9) AS jaccard FROM j")
-def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("source", "candidate", F.round("jaccard", 9).alias("jaccard"))
-
-
-_LANES_SQL = f"""WITH {_PAIRS_SQL}, s AS (
-        SELECT j.source, j.candidate, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS semantic,
-               CASE WHEN l.quality = 1 THEN CAST(1 AS DOUBLE) / (1 + abs(j.source - j.candidate)) END AS prior,
-               round(jaccard + CASE WHEN category = other_category THEN CAST(0.08 AS DOUBLE) ELSE 0 END + CASE WHEN type = other_type THEN CAST(0.08 AS DOUBLE) ELSE 0 END, 9) AS lexical,
-               CASE WHEN (j.source + j.candidate) % 7 = 0 THEN CAST(0.75 AS DOUBLE) END AS temporal
-        FROM j LEFT JOIN embeddings x ON x.vec_id = j.source LEFT JOIN embeddings y ON y.vec_id = j.candidate LEFT JOIN labels l ON l.doc_id = j.candidate
-        WHERE NOT EXISTS (SELECT 1 FROM labels k WHERE k.doc_id = j.candidate AND k.toxic = 1) AND (j.source + j.candidate) % 11 <> 0
-    ), r AS (SELECT *, CASE WHEN semantic IS NOT NULL THEN row_number() OVER (PARTITION BY source ORDER BY semantic DESC NULLS LAST, candidate) END AS semantic_rank,
-               CASE WHEN prior IS NOT NULL THEN row_number() OVER (PARTITION BY source ORDER BY prior DESC NULLS LAST, candidate) END AS prior_rank,
-               CASE WHEN lexical IS NOT NULL THEN row_number() OVER (PARTITION BY source ORDER BY lexical DESC NULLS LAST, candidate) END AS lexical_rank,
-               CASE WHEN temporal IS NOT NULL THEN row_number() OVER (PARTITION BY source ORDER BY temporal DESC NULLS LAST, candidate) END AS temporal_rank FROM s)"""
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _statements(spark, sf_dir)
+    return c.token_overlap(d.where(F.col("id") % _BATCH == 0), d)
 
 
-def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of four lanes, without toxic candidates and pairs that count as evaluated."""
+@query("token_jaccard", f"WITH {_PAIRS_SQL} SELECT source, candidate, round(jaccard, 9) AS jaccard FROM j")
+def token_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(spark, sf_dir).select("source", "candidate", F.round("jaccard", 9).alias("jaccard"))
+
+
+_LANES_SQL = f"""WITH {_PAIRS_SQL}, src AS (SELECT doc_id AS source FROM documents WHERE doc_id % {_BATCH} = 0),
+    known AS (SELECT DISTINCT doc_id AS a, doc_id + 1 AS b FROM labels),
+    lane AS (
+        SELECT 'lexical' AS lane, source, candidate, round(jaccard + CASE WHEN category = other_category THEN CAST(0.08 AS DOUBLE) ELSE 0 END
+               + CASE WHEN type = other_type THEN CAST(0.08 AS DOUBLE) ELSE 0 END, 9) AS score FROM j
+        UNION ALL SELECT 'semantic', x.vec_id, y.vec_id, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9)
+        FROM src JOIN embeddings x ON x.vec_id = source JOIN embeddings y ON y.vec_id <> x.vec_id
+        UNION ALL SELECT 'prior', source, doc_id, CAST(1 AS DOUBLE) / (1 + abs(source - doc_id)) FROM src JOIN labels ON quality = 1 AND doc_id <> source
+        UNION ALL SELECT 'temporal', source, doc_id, CAST(0.75 AS DOUBLE) FROM src JOIN labels ON (source + doc_id) % 7 = 0 AND doc_id <> source),
+    ok AS (SELECT * FROM lane WHERE score IS NOT NULL AND candidate NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+           AND NOT EXISTS (SELECT 1 FROM known WHERE a = least(source, candidate) AND b = greatest(source, candidate))),
+    k AS (SELECT *, row_number() OVER (PARTITION BY lane, source ORDER BY score DESC, candidate) AS r FROM ok QUALIFY r <= {c.DEPTH}),
+    r AS (SELECT source, candidate, max(r) FILTER (WHERE lane = 'semantic') AS semantic_rank, max(r) FILTER (WHERE lane = 'prior') AS prior_rank,
+          max(r) FILTER (WHERE lane = 'lexical') AS lexical_rank, max(r) FILTER (WHERE lane = 'temporal') AS temporal_rank FROM k GROUP BY 1, 2)"""
+
+
+def _lanes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Scores of four lanes, each from its own search, without toxic candidates and evaluated pairs.
+    The batch of sources is written: Spark then knows that it is small."""
+    labels, d = table(spark, sf_dir, "labels"), _statements(spark, sf_dir)
+    sources = cut(d.where(F.col("id") % _BATCH == 0).select(F.col("id").alias("source"), "category", "type", F.lit(None).cast("long").alias("parent")), "sources")
+    about = d.select(F.col("id").alias("candidate"), F.col("category").alias("other_category"), F.col("type").alias("other_type"), F.lit(None).cast("long").alias("other_parent"))
+    lexical = c.lexical_boost(_overlap(spark, sf_dir).join(about, "candidate").join(sources, "source")).select("source", "candidate", F.round("lexical", 9).alias("score"))
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    labels = table(spark, sf_dir, "labels")
-    p = _pairs(spark, sf_dir).withColumns({"parent": F.lit(None).cast("long"), "other_parent": F.lit(None).cast("long")})
-    p = p.join(labels.where("toxic = 1").select(F.col("doc_id").alias("candidate")), "candidate", "left_anti")
-    known = p.where("(source + candidate) % 11 = 0").select(F.least("source", "candidate").alias("a"), F.greatest("source", "candidate").alias("b"))
-    p = c.excluded(c.lexical_boost(p), known.distinct())
-    p = p.join(v.select(F.col("vec_id").alias("source"), F.col("embedding").alias("x")), "source", "left").join(v.select(F.col("vec_id").alias("candidate"), F.col("embedding").alias("y")), "candidate", "left")
-    p = p.join(labels.select(F.col("doc_id").alias("candidate"), "quality"), "candidate", "left")
-    return p.select(
-        "source", "candidate", F.round(cosine(F.col("x"), F.col("y")), 9).alias("semantic"), F.when(F.col("quality") == 1, F.lit(1.0) / (1 + F.abs(F.col("source") - F.col("candidate")))).alias("prior"),
-        F.round("lexical", 9).alias("lexical"), F.when((F.col("source") + F.col("candidate")) % 7 == 0, F.lit(0.75)).alias("temporal"),
-    )
+    asked = cut(sources.join(v, F.col("source") == F.col("vec_id")).select("source", F.col("embedding").alias("x")), "asked")
+    others = lambda df: df.join(sources.select("source"), F.col("source") != F.col("candidate"))  # noqa: E731  a stated batch with all rows
+    semantic = v.select(F.col("vec_id").alias("candidate"), "embedding").join(asked, F.col("source") != F.col("candidate")).select("source", "candidate", F.round(cosine(F.col("x"), F.col("embedding")), 9).alias("score"))
+    prior = others(labels.where("quality = 1").select(F.col("doc_id").alias("candidate"))).withColumn("score", F.lit(1.0) / (1 + F.abs(F.col("source") - F.col("candidate"))))
+    temporal = others(labels.select(F.col("doc_id").alias("candidate"))).where("(source + candidate) % 7 = 0").withColumn("score", F.lit(0.75))
+    toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("candidate"))
+    known = c.canonical(labels.select("doc_id", (F.col("doc_id") + 1).alias("other")), "doc_id", "other")
+    lanes = {"semantic": semantic, "prior": prior, "lexical": lexical, "temporal": temporal}
+    return {name: c.excluded(df.select("source", "candidate", "score").join(toxic, "candidate", "left_anti"), known) for name, df in lanes.items()}
 
 
 @query("rank_lanes", f"{_LANES_SQL} SELECT source, candidate, coalesce(semantic_rank, 0) AS semantic_rank, coalesce(prior_rank, 0) AS prior_rank, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(temporal_rank, 0) AS temporal_rank FROM r")
@@ -72,8 +78,8 @@ def rank_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dream_candidates", f"""{_LANES_SQL}, f AS (SELECT *, round(coalesce(CAST(1.0 AS DOUBLE) / (60 + semantic_rank), 0) + coalesce(CAST(0.6 AS DOUBLE) / (60 + prior_rank), 0)
         + coalesce(CAST(0.35 AS DOUBLE) / (60 + lexical_rank), 0) + coalesce(CAST(1.0 AS DOUBLE) / (60 + temporal_rank), 0), 12) AS fused FROM r),
-    k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY coalesce(prior_rank <= 3, false) DESC, fused DESC, candidate) <= 12)
-    SELECT source, candidate, fused, row_number() OVER (PARTITION BY source ORDER BY fused DESC, candidate) AS place FROM k""")
+    q AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY coalesce(prior_rank <= 3, false) DESC, fused DESC, candidate) <= 12)
+    SELECT source, candidate, fused, row_number() OVER (PARTITION BY source ORDER BY fused DESC, candidate) AS place FROM q""")
 def dream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most twelve candidates a source, three places for the prior lane."""
     return c.fused_candidates(_lanes(spark, sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
-from ..operators.lexical import extended, postings, searched, top
+from ..operators.lexical import extended, postings, searched, searched_batch, top
 from .tables import TURNS_SQL, turns
 
 TERMS = ["the", "and", "die"]
@@ -103,7 +103,7 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import lexical_terms
 
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), lexical_terms(F.col("text")).alias("terms"))
-    hits = searched(turns(spark, sf_dir), asked, ["id"], "content").withColumn("score", F.round("score", 9))
+    hits = searched_batch(turns(spark, sf_dir), asked, ["id"], "content").withColumn("score", F.round("score", 9))
     return top(hits, [F.desc("score"), F.col("id")], 5).select("query_id", "id", "score", "rank")
 
 
