@@ -31,3 +31,10 @@ def fused(lexical: Column, semantic: Column, lexical_weight: float = 0.45, seman
     left, right = F.coalesce(lexical, F.lit(0.0)), F.coalesce(semantic, F.lit(0.0))
     both = F.lit(lexical_weight) * left + F.lit(semantic_weight) * right
     return F.when((left > 0) & (right > 0), both).when(left > 0, left).when(right > 0, right).otherwise(F.lit(0.0))
+
+
+def normalised_weights(lexical: float, semantic: float) -> tuple[float, float]:
+    """Two weights that add up to 1. Both must be finite and not negative, and one positive."""
+    if not all(0 <= w < float("inf") for w in (lexical, semantic)) or lexical + semantic <= 0:
+        raise ValueError("weights must be finite, not negative, and not both 0")
+    return lexical / (lexical + semantic), semantic / (lexical + semantic)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine, fused, valid
+from ..functions.vector import cosine, fused, normalised_weights, valid
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", positive: bool = True) -> DataFrame:
@@ -23,11 +23,12 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def hybrid(lexical: DataFrame, semantic: DataFrame, key: list[str], k: int) -> DataFrame:
-    """(query_id, key..., score, rank) of lexical and semantic hits (query_id, key..., score) together."""
+def hybrid(lexical: DataFrame, semantic: DataFrame, key: list[str], k: int, weights: tuple[float, float] = (0.45, 0.55)) -> DataFrame:
+    """(query_id, key..., score, rank) of lexical and semantic hits (query_id, key..., score) together, by
+    weights in the ratio given."""
     on = ["query_id", *key]
     both = lexical.withColumnRenamed("score", "lex").join(semantic.withColumnRenamed("score", "sem"), on, "full_outer")
-    scores = both.select(*on, fused(F.col("lex"), F.col("sem")).alias("score"))
+    scores = both.select(*on, fused(F.col("lex"), F.col("sem"), *normalised_weights(*weights)).alias("score"))
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *key))).where(F.col("rank") <= k)
 
 
@@ -80,7 +81,7 @@ def medoids(vectors: DataFrame, group: str, id_col: str) -> DataFrame:
     sums = unit.select(group, F.posexplode("unit").alias("p", "x")).groupBy(group, "p").agg(F.sum("x").alias("x"))
     total = sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("total"))
     dots = F.aggregate(F.zip_with("unit", "total", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scores = unit.join(F.broadcast(total), group).select(group, id_col, F.round(dots, 9).alias("score"))
+    scores = unit.join(total, group).select(group, id_col, F.round(dots, 9).alias("score"))
     return scores.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), id_col))).where("_n = 1").drop("_n")
 
 
