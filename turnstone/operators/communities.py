@@ -50,7 +50,7 @@ def moved(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, degree
     return np.array([least[home[i]] for i in range(n)])
 
 
-def detect(edges: DataFrame, levels: int = 12, shard: int = SHARD) -> DataFrame:
+def detect(edges: DataFrame, shard: int = SHARD) -> DataFrame:
     """(node, community) of undirected edges (a, b): communities are named by their least node.
 
     Nodes are dealt to shards of neighbouring ids; inside each, communities are found; then every
@@ -74,7 +74,7 @@ def detect(edges: DataFrame, levels: int = 12, shard: int = SHARD) -> DataFrame:
 
     size, last = shard, False
     top = home.agg(F.max("node")).first()[0]
-    for _ in range(levels):
+    while True:  # shards double, so the levels are as many as the ids' range takes
         groups = home.join(degree, "node").groupBy("community").agg(F.sum("degree").alias("degree"))
         to = home.select(F.col("node"), F.col("community").alias("c"))
         grouped = weighted.join(to.withColumnsRenamed({"node": "a", "c": "ca"}), "a").join(to.withColumnsRenamed({"node": "b", "c": "cb"}), "b").where("ca <> cb")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Versions of a chunk.
 CHUNK = 1 << 16
 
@@ -42,15 +44,19 @@ def first_gap(log: DataFrame, version: str, chunk: int = CHUNK) -> DataFrame:
     return ends.select(F.coalesce("at", "end", F.lit(1)).cast("long").alias("missing"))
 
 
-def versions_at(log: DataFrame, times: DataFrame, version: str, time: str) -> DataFrame:
+def versions_at(log: DataFrame, times: DataFrame, version: str, time: str, chunk: int = CHUNK) -> DataFrame:
     """(at, version) for each asked time: the largest version of the gapless prefix whose running
     maximum of times is at most at; null if there is none. times: (at)."""
-    prefix = log.join(F.broadcast(first_gap(log, version)), F.col(version) < F.col("missing"))
-    tops = running_max(prefix.select(version, time), version, time, "top")
-    # the running maximum never falls, so the prefix of each time is all rows at or under it
-    asked = F.broadcast(times.select("at").distinct())
-    found = asked.join(tops.groupBy("top").agg(F.max(version).alias("version")), F.col("top") <= F.col("at"), "left")
-    return found.groupBy("at").agg(F.max("version").alias("version"))
+    prefix = log.join(F.broadcast(first_gap(log, version)), F.col(version) < F.col("missing"))  # one row
+    tops = running_max(prefix.select(version, time), version, time, "top", chunk).select(F.expr(f"{version} div {chunk}").alias("_c"), F.col(version).alias("_v"), "top")
+    asked = times.select("at").distinct()
+    # The running maximum never falls: of each time, all chunks that end at or under it count whole,
+    # and only the one after them is looked into. A row a chunk meets all times.
+    ends = cut(tops.groupBy("_c").agg(F.max("top").alias("_end"), F.max("_v").alias("_last")), "chunks")
+    whole = asked.join(ends, F.col("_end") <= F.col("at"), "left").groupBy("at").agg(F.max("_last").alias("_whole"))
+    after = asked.join(ends, F.col("_end") > F.col("at")).groupBy("at").agg(F.min("_c").alias("_c"))
+    inside = after.join(tops, "_c").where(F.col("top") <= F.col("at")).groupBy("at").agg(F.max("_v").alias("_inside"))
+    return whole.join(inside, "at", "left").select("at", F.greatest("_whole", "_inside").alias("version"))
 
 
 def as_of(left: DataFrame, log: DataFrame, key: list[str], at: str, version: str, columns: list[str]) -> DataFrame:

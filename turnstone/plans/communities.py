@@ -84,13 +84,15 @@ def leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("modularity_of_labels", """
-    WITH e AS (SELECT DISTINCT least(vec_id, vec_id * 7 % 400) AS a, greatest(vec_id, vec_id * 7 % 400) AS b FROM embeddings WHERE vec_id < 400 AND vec_id <> vec_id * 7 % 400),
+    WITH n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT DISTINCT least(vec_id, vec_id * 7 % n) AS a, greatest(vec_id, vec_id * 7 % n) AS b FROM embeddings, n WHERE vec_id <> vec_id * 7 % n),
     l AS (SELECT x.label AS ca, y.label AS cb FROM e JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b),
     d AS (SELECT ca AS c, CAST(ca = cb AS INT) AS i FROM l UNION ALL SELECT cb, 0 FROM l), p AS (SELECT c, sum(i) AS inside, count(*) AS degree FROM d GROUP BY c),
     m AS (SELECT sum(degree) / 2 AS m FROM p)
     SELECT round(sum(inside / m - (degree / (2 * m)) ** 2), 9) AS modularity, count(*) AS communities, CAST(any_value(m) AS DOUBLE) AS edges FROM p, m""")
 def modularity_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 400 and vec_id <> vec_id * 7 % 400")
-    pairs = e.select(F.least("vec_id", F.expr("vec_id * 7 % 400")).alias("a"), F.greatest("vec_id", F.expr("vec_id * 7 % 400")).alias("b")).distinct()
+    """A graph over all vectors: each is linked with the one of seven times its number."""
+    e = table(spark, sf_dir, "embeddings")
+    e = e.select("vec_id").crossJoin(e.agg(F.count("*").alias("n"))).withColumn("to", F.expr("vec_id * 7 % n")).where("vec_id <> to")  # n: one row
+    pairs = e.select(F.least("vec_id", "to").alias("a"), F.greatest("vec_id", "to").alias("b")).distinct()
     home = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("community"))
     return c.modularity(pairs, home).select(F.round("modularity", 9).alias("modularity"), "communities", "edges")

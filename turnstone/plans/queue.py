@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..operators import queue as q
-from ..session import shared_dir
+from ..session import scratch
 from ..streaming import sessions as s
 from .lifecycle import _work
 from .streams import _run
@@ -140,7 +140,7 @@ def stream_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(df: DataFrame) -> DataFrame:
     """df as a stream of several files."""
-    path = f"{shared_dir(df.sparkSession)}/turnstone/stream-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     df.repartition(3).write.parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 

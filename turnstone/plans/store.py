@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import query, table
 from ..operators import archive as a
 from ..operators import store as s
-from ..session import shared_dir
+from ..session import scratch
 from .tables import MINUTE, TREE_SQL, TURNS_SQL, tree, turns
 
 
@@ -136,7 +136,7 @@ def episode_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("promote", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0")
 def promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even nations put in the place of all, once the copy is whole."""
-    path = f"{shared_dir(spark)}/turnstone/store-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/store-{uuid.uuid4().hex}"
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     s.promoted(n, path)
     return s.promoted(n.where("n_nationkey % 2 = 0"), path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
-from ..session import shared_dir
+from ..session import scratch
 from ..sources.jsonl import ingested
 from ..streaming import sessions as s
 from .tables import micros, turns
@@ -26,7 +26,7 @@ def inactivity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(df: DataFrame, mode: str = "append") -> DataFrame:
     """A stream over what there is, to its end; the table that it wrote."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/turnstone/stream-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, f"{scratch(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     q = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
@@ -62,7 +62,7 @@ def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.when(F.col("turn") % 5 == 4, "cancel").otherwise("complete")
     parts = F.array(part(2, text, F.substr("text", half + 1)), part(0, F.lit("begin"), none), part(1, text, F.substr("text", F.lit(1), half)), part(1, text, F.substr("text", F.lit(1), half)), part(3, end, none))
     rows = t.select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), "turn", F.explode(parts).alias("p")).where("turn % 7 <> 6 or p.sequence < 3").select("message_id", "p.*")
-    folder = f"{shared_dir(spark)}/turnstone/parts-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/parts-{uuid.uuid4().hex}"
     rows.write.parquet(folder)
     return _run(s.assembled(spark.readStream.schema(rows.schema).parquet(folder)))
 

@@ -20,16 +20,30 @@ def session(app: str = "turnstone", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one under /tmp where it names none."""
+    """The cluster's shared folder (spark.checkpoint.dir). A local session that names none gets one under
+    /tmp; on a cluster that is an error, since each machine would write its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file:///tmp/turnstone-checkpoints"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_dir(spark)}/turnstone/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Takes away the tables that this application wrote on its way, once its results are read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, so that loops don't grow their lineage."""
-    path = f"{shared_dir(df.sparkSession)}/turnstone/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
