@@ -45,12 +45,21 @@ def looked_up(mentions: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def ranked(lanes: DataFrame, most: int = 8) -> DataFrame:
-    """(mention, id, exact, normalized, alias, other, place): evidence of all lanes (mention, id, lane)
-    put together; exact before normalized before alias before other lanes' count, then id."""
-    has = lambda lane: F.max(F.when(F.col("lane") == lane, 1).otherwise(0)).alias(lane)
-    others = F.sum(F.when(~F.col("lane").isin("exact", "normalized", "alias"), 1).otherwise(0)).alias("other")
-    facts = lanes.groupBy("mention", "id").agg(has("exact"), has("normalized"), has("alias"), others)
-    order = Window.partitionBy("mention").orderBy(F.desc("exact"), F.desc("normalized"), F.desc("alias"), F.desc("other"), "id")
+    """(mention, id, exact, normalized, alias, lanes, best, lexical_hits, graph_hits, place): evidence of
+    all lanes (mention, id, lane, support, score) put together, the best `most` of each mention.
+
+    Lanes: exact, normalized, alias (by surface), association (of the source), lexical (statements that
+    are like the context, with their scores) and graph (neighbours); support names a statement. Order:
+    by surface, then how many other lanes there are, the best lexical score, lexical and graph hits, id.
+    """
+    has = lambda lane: F.max(F.when(F.col("lane") == lane, 1).otherwise(0))
+    hits = lambda lane: F.count_distinct(F.when(F.col("lane") == lane, F.col("support")))
+    facts = lanes.groupBy("mention", "id").agg(
+        has("exact").alias("exact"), has("normalized").alias("normalized"), has("alias").alias("alias"), (has("association") + has("lexical") + has("graph")).alias("lanes"),
+        F.coalesce(F.max(F.when(F.col("lane") == "lexical", F.col("score"))), F.lit(0.0)).alias("best"), hits("lexical").alias("lexical_hits"), hits("graph").alias("graph_hits"),
+    )
+    keys = ("exact", "normalized", "alias", "lanes", "best", "lexical_hits", "graph_hits")
+    order = Window.partitionBy("mention").orderBy(*(F.desc(k) for k in keys), "id")
     return facts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 

@@ -60,3 +60,79 @@ def conflicts(left: DataFrame, right: DataFrame, key: list[str], fixed: list[str
         )
     )
     return both.select(*key, F.explode(kinds).alias("k")).select("k.kind", *key, "k.field")
+
+
+#: Tables whose rows of one key must be equal, and the kind of the conflict if they aren't.
+RECORD_KINDS = ("source_turn", "branch", "episode", "fragment", "file", "insomnia_completion")
+#: Graph logs, and the kind of the conflict if an edge's states contradict each other.
+GRAPH_KINDS = ("graph_relation", "semantic_graph_relation")
+
+
+def all_conflicts(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
+    """(kind, key): what keeps two stores from being reconciled.
+
+    left, right: tables by kind. RECORD_KINDS: (key, content). `memory`: (id, revision, mutation, body);
+    gives memory_mutation (one mutation, two contents), memory_semantic_mutation (a body that isn't the
+    one the statement has on the left) and memory_revision (an incoming revision that neither is there
+    nor follows the last). GRAPH_KINDS: (key, version, state).
+    """
+    found = []
+    add = lambda df, kind, key="key": found.append(df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key")).distinct())
+    for kind in RECORD_KINDS:
+        if kind in left and kind in right:
+            both = left[kind].select("key", F.col("content").alias("_l")).join(right[kind].select("key", F.col("content").alias("_r")), "key")
+            add(both.where(~F.col("_l").eqNullSafe(F.col("_r"))), kind)
+    if "memory" in left and "memory" in right:
+        l, r = left["memory"], right["memory"]
+        same = l.select("mutation", F.struct("id", "revision", "body").alias("_l")).join(r.select("mutation", F.col("id").alias("key"), F.struct("id", "revision", "body").alias("_r")), "mutation")
+        add(same.where(~F.col("_l").eqNullSafe(F.col("_r"))), "memory_mutation")
+        fresh = r.join(l.select("mutation"), "mutation", "left_anti")
+        now = l.groupBy("id").agg(F.max("revision").alias("_now"), F.max_by("body", "revision").alias("_body"))
+        placed = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("revision"))).join(now, "id", "left")
+        add(placed.where(F.col("_body").isNotNull() & ~F.col("_body").eqNullSafe(F.col("body"))), "memory_semantic_mutation", "id")
+        add(placed.where(F.col("revision") != F.coalesce("_now", F.lit(0)) + F.col("_n")), "memory_revision", "id")
+    for kind in GRAPH_KINDS:
+        if kind in left and kind in right:
+            add(incompatible_states(left[kind], right[kind], ["key"], "version", "state"), kind)
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+def replayed_revisions(left: DataFrame, tail: DataFrame) -> DataFrame:
+    """tail rows (id, revision, mutation, ...) with outcome: `duplicate` (the left log has the mutation),
+    `replayed` (it follows the last revision of the left log and the tail's before it) or `conflict`."""
+    now = left.groupBy("id").agg(F.max("revision").alias("_now"))
+    known = left.select("mutation").distinct().withColumn("_known", F.lit(True))
+    judged = tail.join(known, "mutation", "left").join(now, "id", "left")
+    fresh = F.sum(F.when(F.col("_known").isNull(), 1).otherwise(0)).over(Window.partitionBy("id").orderBy("revision"))
+    outcome = F.when(F.col("_known"), "duplicate").when(F.col("revision") == F.coalesce("_now", F.lit(0)) + F.col("_fresh"), "replayed").otherwise("conflict")
+    return judged.withColumn("_fresh", fresh).withColumn("outcome", outcome).select(*tail.columns, "outcome")
+
+
+def replayed_entities(entities: DataFrame, tombstones: DataFrame, tail: DataFrame, dead: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(revisions with outcome, tombstones): the tail (id, revision, mutation) of entities as
+    replayed_revisions, `retired` where the left store has a tombstone (id); and the tombstones (id,
+    replacement_id) of the tail that it lacks."""
+    gone = tombstones.select("id").distinct().withColumn("_gone", F.lit(True))
+    rows = replayed_revisions(entities, tail).join(gone, "id", "left")
+    outcome = F.when(F.col("_gone") & (F.col("outcome") != "duplicate"), "retired").otherwise(F.col("outcome"))
+    return rows.withColumn("outcome", outcome).drop("_gone"), dead.join(tombstones.select("id"), "id", "left_anti")
+
+
+def replayed_graph(left: DataFrame, tail: DataFrame, key: list[str]) -> DataFrame:
+    """The tail's mutations (key..., version, active) that change an edge of the left log, with the versions
+    that they get after its last; repeated states are no-ops."""
+    now = left.groupBy(*key).agg(F.max_by("active", "version").alias("_now"))
+    before = F.lag("active").over(Window.partitionBy(*key).orderBy("version"))
+    rows = tail.withColumn("_before", before).join(now, key, "left")
+    real = rows.where(F.col("active") != F.coalesce("_before", "_now", F.lit(False)))
+    last = left.agg(F.max("version").alias("_last"))  # one row
+    # places in chunks of versions, so that no task orders the whole tail
+    chunk = F.expr("version div 65536")
+    sizes = real.groupBy(chunk.alias("_c")).agg(F.count("*").alias("_n"))
+    ahead = sizes.select("_c", F.coalesce(F.sum("_n").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))  # a row a chunk
+    place = F.row_number().over(Window.partitionBy("_c").orderBy("version", *key))
+    numbered = real.withColumn("_c", chunk).withColumn("_k", place).join(ahead, "_c").crossJoin(last)
+    return numbered.select(*key, "active", (F.coalesce("_last", F.lit(0)) + F.col("_ahead") + F.col("_k")).alias("version"))

@@ -53,16 +53,25 @@ def surface_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lookup(spark, sf_dir)
 
 
-@query("entity_candidates", f"""WITH {_LOOKUP_SQL}, l AS (SELECT * FROM hit UNION ALL
-        SELECT s_suppkey, n_nationkey, 'association' FROM supplier JOIN nation ON n_regionkey = s_suppkey % 5),
+@query("entity_candidates", f"""WITH {_LOOKUP_SQL}, l AS (SELECT mention, id, lane, NULL AS support, NULL AS score FROM hit UNION ALL
+        SELECT s_suppkey, n_nationkey, 'association', NULL, NULL FROM supplier JOIN nation ON n_regionkey = s_suppkey % 5
+        UNION ALL SELECT l_suppkey, c_nationkey, 'lexical', o_orderkey, l_discount FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity > 48
+        UNION ALL SELECT l_suppkey, c_nationkey, 'graph', c_custkey, NULL FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity < 3),
     f AS (SELECT mention, id, max(CAST(lane = 'exact' AS INT)) AS exact, max(CAST(lane = 'normalized' AS INT)) AS normalized, max(CAST(lane = 'alias' AS INT)) AS alias,
-                 count(*) FILTER (WHERE lane = 'association') AS other FROM l GROUP BY 1, 2)
-    SELECT *, row_number() OVER (PARTITION BY mention ORDER BY exact DESC, normalized DESC, alias DESC, other DESC, id) AS place FROM f QUALIFY place <= 8""")
+                 max(CAST(lane = 'association' AS INT)) + max(CAST(lane = 'lexical' AS INT)) + max(CAST(lane = 'graph' AS INT)) AS lanes, coalesce(max(score) FILTER (WHERE lane = 'lexical'), 0) AS best,
+                 count(DISTINCT support) FILTER (WHERE lane = 'lexical') AS lexical_hits, count(DISTINCT support) FILTER (WHERE lane = 'graph') AS graph_hits FROM l GROUP BY 1, 2)
+    SELECT *, row_number() OVER (PARTITION BY mention ORDER BY exact DESC, normalized DESC, alias DESC, lanes DESC, best DESC, lexical_hits DESC, graph_hits DESC, id) AS place FROM f QUALIFY place <= 8""")
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most eight nations a supplier: by surface, and by a region that it is associated with."""
+    """At most eight nations a supplier: by surface, by a region that it is associated with, by customers
+    who bought much of it (the discount stands for the likeness of a statement) or little (neighbours)."""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    linked = s.join(n, F.col("n_regionkey") == F.col("s_suppkey") % 5).select(F.col("s_suppkey").alias("mention"), F.col("n_nationkey").alias("id"), F.lit("association").alias("lane"))
-    return e.ranked(_lookup(spark, sf_dir).unionByName(linked))
+    lane = lambda df, name, support=None, score=None: df.select("mention", F.col("id").cast("int").alias("id"), F.lit(name).alias("lane") if name else F.col("lane"), (support if support is not None else F.lit(None)).cast("long").alias("support"), (score if score is not None else F.lit(None)).cast("double").alias("score"))
+    linked = s.join(n, F.col("n_regionkey") == F.col("s_suppkey") % 5).select(F.col("s_suppkey").alias("mention"), F.col("n_nationkey").alias("id"))
+    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    bought = line.select(F.col("l_suppkey").alias("mention"), F.col("c_nationkey").alias("id"), "o_orderkey", "c_custkey", "l_discount", "l_quantity")
+    lexical = lane(bought.where("l_quantity > 48"), "lexical", F.col("o_orderkey"), F.col("l_discount"))
+    graph = lane(bought.where("l_quantity < 3"), "graph", F.col("c_custkey"))
+    return e.ranked(lane(_lookup(spark, sf_dir), None).union(lane(linked, "association")).union(lexical).union(graph))
 
 
 @query("entity_audit", f"""
@@ -83,16 +92,17 @@ def entity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("block_pairs", """
-    WITH t AS (SELECT p_partkey AS id, p_brand AS kind, list_filter(list_distinct(list_transform(regexp_extract_all(p_name || ' ' || p_type, '[\\p{L}\\p{N}]+'), lambda x: lower(x))),
+    WITH cl AS (SELECT p_partkey AS id, p_brand AS kind, p_retailprice AS claim FROM part), x AS (SELECT a.id AS left_id, b.id AS right_id, CAST(65535 AS BIGINT) AS score FROM cl a JOIN cl b ON a.kind = b.kind AND a.claim = b.claim AND a.id < b.id),
+    t AS (SELECT p_partkey AS id, p_brand AS kind, list_filter(list_distinct(list_transform(regexp_extract_all(p_name || ' ' || p_type, '[\\p{L}\\p{N}]+'), lambda x: lower(x))),
                   lambda x: strlen(x) >= 4 AND x NOT IN ('client','code','game','library','module','package','project','repo','repository','server','service','system','tool')) AS tokens FROM part),
     p AS (SELECT id, kind, unnest(tokens) AS token FROM t), b AS (SELECT kind, token FROM p GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 32),
     pr AS (SELECT DISTINCT x.id AS left_id, y.id AS right_id FROM p x JOIN b USING (kind, token) JOIN p y USING (kind, token) WHERE x.id < y.id),
     s AS (SELECT left_id, right_id, len(list_intersect(a.tokens, c.tokens)) AS i, len(a.tokens) AS na, len(c.tokens) AS nc FROM pr JOIN t a ON a.id = left_id JOIN t c ON c.id = right_id)
-    SELECT left_id, right_id, CAST(i * 1000 // (na + nc - i) AS BIGINT) AS score FROM s WHERE i * 1000 // (na + nc - i) >= 330 OR i = na OR i = nc""")
+    SELECT left_id, right_id, max(score) AS score FROM (SELECT left_id, right_id, CAST(i * 1000 // (na + nc - i) AS BIGINT) AS score FROM s WHERE i * 1000 // (na + nc - i) >= 330 OR i = na OR i = nc UNION ALL SELECT * FROM x) GROUP BY 1, 2""")
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of a brand whose names and types share tokens."""
+    """Parts of a brand whose names and types share tokens, or whose prices (exact claims) are equal."""
     p = table(spark, sf_dir, "part")
-    return e.block_pairs(p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_brand").alias("kind")))
+    return e.block_pairs(p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_brand").alias("kind")), p.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("claim")))
 
 
 @query("entity_merge", """

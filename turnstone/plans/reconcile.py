@@ -71,3 +71,87 @@ def graph_tail_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typed_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _replicas(spark, sf_dir)
     return r.conflicts(left, right, ["event_id"], ["event_type", "position"]).where("field <> 'position'")
+
+
+def _stores(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Two stores of the same records, the right one with some of them changed."""
+    get = lambda n: table(spark, sf_dir, n)
+    records = {
+        "source_turn": get("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.col("text").alias("content"), F.col("turn").cast("long").alias("n")),
+        "branch": get("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("content"), F.col("s_suppkey").alias("n")),
+        "episode": get("customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("content"), F.col("c_custkey").alias("n")),
+        "fragment": get("part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("content"), F.col("p_partkey").alias("n")),
+        "file": get("pages").select(F.col("page_id").alias("key"), F.col("url").alias("content"), F.col("page_id").alias("n")),
+        "insomnia_completion": get("labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("string").alias("content"), F.col("doc_id").alias("n")),
+    }
+    left = {k: df.drop("n") for k, df in records.items()}
+    right = {k: df.withColumn("content", F.when(F.col("n") % 7 == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).drop("n") for k, df in records.items()}
+    o = get("orders")
+    revision = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    m = o.select(F.col("o_custkey").alias("id"), revision.alias("revision"), F.col("o_orderkey").alias("mutation"), (F.col("o_custkey") % 5).alias("body"))
+    left["memory"] = m.where("revision <= 4")
+    changed = m.where("revision between 3 and 6")
+    right["memory"] = changed.select("id", F.when(F.col("id") % 6 == 2, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), "mutation", F.when((F.col("id") % 11 == 4) & (F.col("revision") > 4), -1).otherwise(F.col("body")).alias("body"))
+    a, b = _replicas(spark, sf_dir)
+    for kind, k in (("graph_relation", 3), ("semantic_graph_relation", 2)):
+        left[kind], right[kind] = (df.select((F.col("user_id") * 10 + F.col("event_id") % k).alias("key"), F.col("position").alias("version"), F.col("event_type").alias("state")) for df in (a, b))
+    return left, right
+
+
+_MEMORY_SQL = """m AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS revision, o_orderkey AS mutation, o_custkey % 5 AS body FROM orders),
+    ml AS (SELECT * FROM m WHERE revision <= 4), mr AS (SELECT id, CASE WHEN id % 6 = 2 THEN revision + 1 ELSE revision END AS revision, mutation, CASE WHEN id % 11 = 4 AND revision > 4 THEN -1 ELSE body END AS body FROM m WHERE revision BETWEEN 3 AND 6),
+    fr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY revision) AS n FROM mr WHERE mutation NOT IN (SELECT mutation FROM ml)), nw AS (SELECT id, max(revision) AS r, max_by(body, revision) AS body FROM ml GROUP BY id)"""
+
+
+def _graph_sql(k: int) -> str:
+    return f"""SELECT user_id * 10 + edge FROM (SELECT user_id, event_id % {k} AS edge, list(event_type ORDER BY position) AS ls FROM l GROUP BY 1, 2) JOIN (SELECT user_id, event_id % {k} AS edge, list(event_type ORDER BY position) AS rs FROM r GROUP BY 1, 2) USING (user_id, edge)
+        WHERE ls[1:least(len(ls), len(rs))] <> rs[1:least(len(ls), len(rs))]"""
+
+
+@query("conflict_kinds", f"""WITH {_SQL}, {_MEMORY_SQL}, c(kind, key) AS (
+    SELECT 'source_turn', conv_id || ':' || turn FROM conversations WHERE turn % 7 = 3 UNION SELECT 'branch', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 7 = 3
+    UNION SELECT 'episode', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 7 = 3 UNION SELECT 'fragment', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 7 = 3
+    UNION SELECT 'file', CAST(page_id AS VARCHAR) FROM pages WHERE page_id % 7 = 3 UNION SELECT 'insomnia_completion', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id % 7 = 3
+    UNION SELECT 'memory_mutation', CAST(mr.id AS VARCHAR) FROM ml JOIN mr USING (mutation) WHERE ml.revision <> mr.revision OR ml.body <> mr.body
+    UNION SELECT 'memory_semantic_mutation', CAST(fr.id AS VARCHAR) FROM fr JOIN nw USING (id) WHERE nw.body <> fr.body
+    UNION SELECT 'memory_revision', CAST(fr.id AS VARCHAR) FROM fr LEFT JOIN nw USING (id) WHERE fr.revision <> coalesce(nw.r, 0) + n
+    UNION SELECT 'graph_relation', CAST(k AS VARCHAR) FROM ({_graph_sql(3)}) t(k) UNION SELECT 'semantic_graph_relation', CAST(k AS VARCHAR) FROM ({_graph_sql(2)}) t(k))
+    SELECT kind, key FROM c""")
+def conflict_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eleven kinds of conflicts between two stores."""
+    return r.all_conflicts(*_stores(spark, sf_dir))
+
+
+@query("memory_replay", f"""WITH {_MEMORY_SQL}, k AS (SELECT mr.*, mutation IN (SELECT mutation FROM ml) AS known FROM mr),
+    f AS (SELECT *, sum(CASE WHEN known THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY revision) AS fresh FROM k)
+    SELECT f.id, f.revision, CASE WHEN known THEN 'duplicate' WHEN f.revision = coalesce(nw.r, 0) + fresh THEN 'replayed' ELSE 'conflict' END AS outcome FROM f LEFT JOIN nw USING (id)""")
+def memory_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The right store's revisions put onto the left one's."""
+    left, right = _stores(spark, sf_dir)
+    return r.replayed_revisions(left["memory"], right["memory"]).select("id", "revision", "outcome")
+
+
+@query("entity_replay", f"""WITH {_MEMORY_SQL}, k AS (SELECT mr.*, mutation IN (SELECT mutation FROM ml) AS known FROM mr),
+    f AS (SELECT *, sum(CASE WHEN known THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY revision) AS fresh FROM k),
+    o AS (SELECT f.id, CASE WHEN known THEN 'duplicate' WHEN f.id % 13 = 5 THEN 'retired' WHEN f.revision = coalesce(nw.r, 0) + fresh THEN 'replayed' ELSE 'conflict' END AS outcome FROM f LEFT JOIN nw USING (id))
+    SELECT outcome, count(*) AS n FROM o GROUP BY 1 UNION ALL SELECT 'tombstone', count(*) FROM customer WHERE c_custkey % 26 = 18""")
+def entity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for entities, of which the left store has retired some, and the right one others as well."""
+    left, right = _stores(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    dead = c.where("id % 13 = 5 and id % 26 <> 18")
+    rows, fresh = r.replayed_entities(left["memory"], dead, right["memory"], c.where("id % 13 = 5").withColumn("replacement_id", F.lit(0)))
+    rows = rows.withColumn("outcome", F.when((F.col("id") % 26 == 18) & (F.col("outcome") != "duplicate"), "retired").otherwise(F.col("outcome")))
+    return rows.groupBy("outcome").agg(F.count("*").alias("n")).union(fresh.agg(F.lit("tombstone").alias("outcome"), F.count("*").alias("n")))
+
+
+@query("graph_replay", """
+    WITH g AS (SELECT o_orderkey AS version, o_custkey AS source, o_orderkey % 3 AS target, o_orderstatus <> 'F' AS active FROM orders), h AS (SELECT max(version) // 2 AS half FROM g),
+    l AS (SELECT g.* FROM g, h WHERE version <= half), t AS (SELECT g.* FROM g, h WHERE version > half), w AS (SELECT source, target, max_by(active, version) AS now FROM l GROUP BY 1, 2),
+    b AS (SELECT t.*, coalesce(lag(t.active) OVER (PARTITION BY t.source, t.target ORDER BY t.version), w.now, false) AS was FROM t LEFT JOIN w USING (source, target))
+    SELECT source, target, active, (SELECT max(version) FROM l) + row_number() OVER (ORDER BY version, source, target) AS version FROM b WHERE active <> was""")
+def graph_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half of the orders as mutations put onto the earlier half: what changes an edge, renumbered."""
+    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 3).alias("target"), (F.col("o_orderstatus") != "F").alias("active"))
+    both = g.crossJoin(g.agg(F.expr("max(version) div 2").alias("half")))  # one row
+    return r.replayed_graph(both.where("version <= half").drop("half"), both.where("version > half").drop("half"), ["source", "target"])
