@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,17 +130,28 @@ def packed_episodes(rows: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def bounded_evidence(rows: DataFrame, key: str, most_turns: int = 64, most_bytes: int = 128 * 1024) -> DataFrame:
-    """Rows (key, rank, bytes) that fit: best rank first, skipping what would pass a bound."""
+    """Rows (key, rank, bytes, ...) that fit: best rank first, skipping what would pass a bound.
 
-    def take(f: pd.DataFrame) -> pd.DataFrame:
-        kept, used = [], 0
-        for r in f.sort_values("rank").itertuples():
-            if len(kept) < most_turns and used + r.bytes <= most_bytes:
-                kept.append(r.Index)
-                used += r.bytes
-        return f.loc[kept]
-
-    return rows.groupBy(key).applyInPandas(take, rows.schema)
+    Skipping is no window, so ranks and sizes stream by in order, and only what fits is joined with its
+    row: no conversation is held at once. Ranks of a key are distinct.
+    """
+    kinds = dict(rows.dtypes)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, turns, used = None, 0, 0
+        for b in batches:
+            kept = []
+            for i, (k, n) in enumerate(zip(b.column(key).to_pylist(), b.column("bytes").to_pylist(), strict=True)):
+                if i == 0 and now is None or k != now:
+                    now, turns, used = k, 0, 0
+                if turns < most_turns and used + n <= most_bytes:
+                    turns, used = turns + 1, used + n
+                    kept.append(i)
+            yield b.take(pa.array(kept, pa.int64()))
+
+    narrow = rows.select(key, "rank", "bytes").repartition(key).sortWithinPartitions(key, "rank")
+    fits = narrow.mapInArrow(take, f"{key} {kinds[key]}, rank {kinds['rank']}, bytes {kinds['bytes']}")
+    return rows.join(fits.select(key, "rank"), [key, "rank"], "left_semi").select(rows.columns)
 
 
 def coverage_gaps(ranges: DataFrame, key: list[str]) -> DataFrame:

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine
+from ..functions.vector import cosine, dot, norm, valid
 from ..session import cut
 
 SHARD = 2048
@@ -134,30 +134,41 @@ def new_and_ended(before: DataFrame, after: DataFrame) -> DataFrame:
     return fresh.select("community", F.lit("new").alias("state")).distinct().union(gone.select("community", F.lit("ended").alias("state")).distinct())
 
 
+def _unit(v: Column) -> Column:
+    size = norm(v)
+    return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
+def _means(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., mean) of rows (by..., vector): summed up in each task first, component by component."""
+    parts = rows.select(*by, F.posexplode("vector").alias("_p", "_x")).groupBy(*by, "_p").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda s: s["_m"]).alias("mean"))
+
+
 def sub_centroids(vectors: DataFrame, count: int = 2, rounds: int = 2) -> DataFrame:
     """(community, place, centroid) of (community, id, vector): the vector nearest the mean, then
     farthest first, then rounds of moving under cosine. The last of equal maxima, the first of equal
-    minima wins."""
-
-    def find(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("id")
-        x = np.stack(f.vector.to_numpy()).astype(float)
-        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        last = lambda s: len(s) - 1 - int(np.argmax(s[::-1]))
-        mean = x.mean(axis=0)
-        picks = [last(u @ (mean / max(np.linalg.norm(mean), 1e-300)))]
-        while len(picks) < min(count, len(x)):
-            picks.append(int(np.argmin((u @ u[picks].T).max(axis=1))))
-        centres = u[picks]
-        for _ in range(rounds):
-            own = np.array([last(s) for s in u @ centres.T])
-            for k in range(len(centres)):
-                if (own == k).any():
-                    c = x[own == k].mean(axis=0)
-                    centres[k] = c / max(np.linalg.norm(c), 1e-300)
-        return pd.DataFrame({"community": f.community.iloc[0], "place": range(len(centres)), "centroid": list(centres)})
-
-    return vectors.groupBy("community").applyInPandas(find, "community int, place int, centroid array<double>")
+    minima wins (cosines to nine places). Every step is an aggregate, whatever a community's size; what
+    each round joins is `count` centres a community.
+    """
+    rows = cut(vectors.where(valid(F.col("vector"))).select("community", "id", "vector", _unit(F.col("vector")).alias("_u")), "vectors")
+    near = lambda c: F.round(dot(F.col("_u"), c), 9)
+    mean = _means(rows.select("community", "vector"), ["community"]).select("community", _unit(F.col("mean")).alias("_c"))
+    first = rows.join(mean, "community").groupBy("community").agg(F.max_by("_u", F.struct(near(F.col("_c")), "id")).alias("_c"))
+    centres = cut(first.select("community", F.array("_c").alias("centres")), "centres")
+    for _ in range(1, count):
+        far = F.array_max(F.transform("centres", lambda c: F.round(dot(F.col("_u"), c), 9)))
+        pick = rows.join(centres, "community").groupBy("community").agg(F.min_by("_u", F.struct(far, "id")).alias("_new"), F.count("*").alias("_n"))
+        grown = centres.join(pick, "community")  # a community of fewer vectors has fewer centres
+        centres = cut(grown.select("community", F.when(F.size("centres") < F.col("_n"), F.array_append("centres", F.col("_new"))).otherwise(F.col("centres")).alias("centres")), "centres")
+    for _ in range(rounds):
+        scored = F.transform("centres", lambda c, i: F.struct(F.round(dot(F.col("_u"), c), 9).alias("s"), i.alias("place")))
+        own = rows.join(centres, "community").select("community", "vector", F.array_max(scored)["place"].alias("place"))
+        moved = _means(own, ["community", "place"]).select("community", "place", _unit(F.col("mean")).alias("_c"))
+        kept = centres.select("community", F.posexplode("centres").alias("place", "_old")).join(moved, ["community", "place"], "left")
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("place", F.coalesce("_c", "_old").alias("c")))), lambda x: x["c"])
+        centres = cut(kept.groupBy("community").agg(listed.alias("centres")), "centres")
+    return centres.select("community", F.posexplode("centres").alias("place", "centroid"))
 
 
 def routed(centroids: DataFrame, queries: DataFrame, k: int = 4) -> DataFrame:
