@@ -63,23 +63,36 @@ def ranked(lanes: DataFrame, most: int = 8) -> DataFrame:
     return facts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
-def audit(entities: DataFrame, edges: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """(finding, key, n): surface collisions of entities (id, name, kind, summary), entities without,
-    with one and with three or more edges (id), without summary, and counts of resolutions (status)."""
+def audit(entities: DataFrame, edges: DataFrame, resolutions: DataFrame, rejecting: list[str] | None = None) -> DataFrame:
+    """(finding, key, n): what an audit finds of entities (id, name, aliases, kind), edges (id) and
+    resolutions (mention, status, reason, target).
+
+    Surfaces that several entities of a kind share: exact names, normalized names, and any of names and
+    aliases; aliases that are another kind's name or alias; entities without edges; counts of entities
+    by degree, and of resolutions by status and by reason; rejections for a reason that doesn't reject
+    (`rejecting` does), and resolved ones whose target isn't there.
+    """
     find = lambda df, name, key, n: df.select(F.lit(name).alias("finding"), F.col(key).cast("string").alias("key"), n.cast("long").alias("n"))
-    loose = entities.withColumn("surface", normalized_surface(F.col("name")))
-    same_name = entities.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    same_surface = loose.groupBy("surface").agg(F.count_distinct("name").alias("n")).where("n > 1 and surface <> ''")
-    kinds = loose.groupBy("surface").agg(F.count_distinct("kind").alias("n")).where("n > 1 and surface <> ''")
+    names = entities.select("id", "kind", F.explode(F.concat(F.array(F.struct(F.col("name"), F.lit(False).alias("alias"))), F.transform("aliases", lambda a: F.struct(a.alias("name"), F.lit(True).alias("alias"))))).alias("s"))
+    names = names.select("id", "kind", F.col("s.name").alias("name"), F.col("s.alias").alias("alias"), normalized_surface(F.col("s.name")).alias("key"))
+    shared = lambda df, key, name: find(df.groupBy("kind", key).agg(F.count_distinct("id").alias("n")).where("n > 1").withColumn("key", F.concat_ws(":", key, "kind")), name, "key", F.col("n"))
+    own = names.where("not alias").withColumn("exact", normalize_surface(F.col("name")))
+    shadows = names.where("key <> ''").groupBy("key").agg(F.count_distinct("kind").alias("kinds"), F.max("alias").alias("any"), F.count_distinct("id").alias("n")).where("kinds > 1 and any")
     degree = entities.select("id").join(edges.groupBy("id").agg(F.count("*").alias("n")), "id", "left").na.fill(0, ["n"])
-    sums = degree.groupBy(F.when(F.col("n") == 0, "unlinked").when(F.col("n") == 1, "singleton").when(F.col("n") >= 3, "three or more").otherwise("two").alias("k")).agg(F.count("*").alias("n"))
-    out = find(same_name, "same name", "name", F.col("n"))
+    sums = degree.groupBy(F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").when(F.col("n") >= 3, "three or more").otherwise("two").alias("k")).agg(F.count("*").alias("n"))
+    wrong = resolutions.where((F.col("status") == "rejected") & ~F.coalesce(F.col("reason").isin(rejecting or []), F.lit(False)))
+    lost = resolutions.where(F.col("status") == "resolved").join(entities.select(F.col("id").alias("target")), "target", "left_anti")
+    out = shared(own, "exact", "exact surface")
     for part in (
-        find(same_surface, "same surface", "surface", F.col("n")),
-        find(kinds, "several kinds", "surface", F.col("n")),
+        shared(own.where("key <> ''"), "key", "normalized surface"),
+        shared(names.where("key <> ''"), "key", "alias"),
+        find(shadows, "alias of another kind", "key", F.col("n")),
+        find(degree.where("n = 0"), "no edges", "id", F.lit(0)),
         find(sums, "degree", "k", F.col("n")),
-        find(entities.where("coalesce(summary, '') = ''"), "no summary", "id", F.lit(1)),
-        find(resolutions.groupBy("status").agg(F.count("*").alias("n")), "resolutions", "status", F.col("n")),
+        find(resolutions.groupBy("status").agg(F.count("*").alias("n")), "status", "status", F.col("n")),
+        find(resolutions.groupBy("reason").agg(F.count("*").alias("n")), "reason", "reason", F.col("n")),
+        find(wrong, "rejected without cause", "mention", F.lit(1)),
+        find(lost, "target missing", "mention", F.lit(1)),
     ):
         out = out.union(part)
     return out
@@ -132,3 +145,11 @@ def decided(answers: DataFrame) -> DataFrame:
     exact or normalized surface."""
     ok = (F.col("p") >= 0.95) & (F.col("p") - F.col("second") >= 0.15 - 1e-12) & (F.col("exact") | F.col("normalized"))
     return answers.withColumn("accepted", ok)
+
+
+def associated(links: DataFrame, memories: str, entities: str) -> DataFrame:
+    """(id, side, ids): sorted ids of the entities of some memories, and of the memories of some entities,
+    of links (memory, entity); the two conditions pick which."""
+    once = links.select("memory", "entity").distinct()
+    side = lambda of, other, name, which: once.where(which).groupBy(F.col(of).alias("id")).agg(F.lit(name).alias("side"), F.array_join(F.transform(F.array_sort(F.collect_list(other)), lambda x: x.cast("string")), ",").alias("ids"))
+    return side("memory", "entity", "entities", memories).union(side("entity", "memory", "memories", entities))

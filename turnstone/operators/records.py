@@ -109,3 +109,37 @@ def inherited_names(continuations: DataFrame, names: DataFrame, least: int = 750
     (old, new, jaccard): a user's always, a model's if the Jaccard is at least so many thousandths."""
     moved = continuations.join(names.withColumnRenamed("community", "old"), "old")
     return moved.where((F.col("source") == "user") | (F.col("jaccard") >= least)).select(F.col("new").alias("community"), "name")
+
+
+def statistics(stores: dict[str, tuple[DataFrame, list[str], Column]]) -> DataFrame:
+    """(store, rows, distinct_rows, flagged) of stores: their table, the columns that tell rows apart, and a
+    condition."""
+    parts = [df.agg(F.lit(name).alias("store"), F.count("*").alias("rows"), F.count_distinct(*key).alias("distinct_rows"), F.count_if(flag).alias("flagged")) for name, (df, key, flag) in stores.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def parsed(answers: DataFrame, column: str, schema: str) -> DataFrame:
+    """answers with the fields of a JSON column by a schema, and state: `ok`, or `invalid` for what isn't JSON
+    or lacks a field."""
+    fields = [f.strip().split(" ")[0] for f in schema.split(",")]
+    read = answers.withColumn("_j", F.from_json(column, schema))
+    whole = F.col("_j").isNotNull()
+    for f in fields:
+        whole &= F.col(f"_j.{f}").isNotNull()
+    return read.select(*answers.columns, *(F.when(whole, F.col(f"_j.{f}")).alias(f) for f in fields), F.when(whole, "ok").otherwise("invalid").alias("state"))
+
+
+def current_documents(log: DataFrame, most: int) -> DataFrame:
+    """(id, priority, text, used): the last revisions (id, version, deleted, priority, text) that aren't
+    deleted, by priority and id while their characters fit into `most`."""
+    now = latest(log, ["id"], "version").where("not deleted").select("id", "priority", "text")
+    # only what can fit is ordered in one task: no more documents than characters, each priority's first
+    size = F.char_length("text")
+    near = now.where(size <= most).orderBy("priority", "id").limit(most + 1)
+    first_large = now.where(size > most).agg(F.min(F.struct("priority", "id")).alias("_stop"))  # one row: nothing after it fits
+    used = F.sum(size).over(Window.orderBy("priority", "id").rowsBetween(Window.unboundedPreceding, 0))
+    before = near.crossJoin(first_large).where(F.col("_stop").isNull() | (F.struct("priority", "id") < F.col("_stop"))).drop("_stop")
+    return before.withColumn("used", used).where(F.col("used") <= most)

@@ -104,6 +104,16 @@ def published(log: DataFrame, incoming: DataFrame, key: list[str], mutation: str
     return joined.withColumn("outcome", outcome).drop("_known", "_now", "_fixed")
 
 
+def appended(log: DataFrame, incoming: DataFrame, key: list[str], mutation: str, revision: str, fixed: str) -> DataFrame:
+    """The log with the incoming rows that may be published (see `published`)."""
+    return log.unionByName(published(log, incoming, key, mutation, revision, fixed).where("outcome = 'ok'").select(log.columns))
+
+
+def at_revision(log: DataFrame, asked: DataFrame, key: list[str], revision: str) -> DataFrame:
+    """The log's rows of stated keys and revisions."""
+    return log.join(asked, [*key, revision], "left_semi")
+
+
 def changes(log: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
     """Rows whose value differs from the one just before it: a repeated last value is not appended."""
     before = F.lag(value).over(Window.partitionBy(*key).orderBy(order))

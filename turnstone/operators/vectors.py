@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import cosine, fused, normalised_weights, valid
+from ..functions.vector import cosine, fused, norm, normalised_weights, valid
+from ..session import cut
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id", positive: bool = True) -> DataFrame:
@@ -76,8 +77,8 @@ def medoids(vectors: DataFrame, group: str, id_col: str) -> DataFrame:
     The sum of a unit vector's dot products is its dot product with the sum of unit vectors, so each
     group is added up once and no pairs are made.
     """
-    norm = F.sqrt(F.aggregate(F.transform("vector", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
-    unit = vectors.where(valid(F.col("vector"))).select(group, id_col, F.transform("vector", lambda x: x.cast("double") / norm).alias("unit"))
+    size = norm(F.col("vector"))
+    unit = vectors.where(valid(F.col("vector"))).select(group, id_col, F.transform("vector", lambda x: x.cast("double") / size).alias("unit"))
     sums = unit.select(group, F.posexplode("unit").alias("p", "x")).groupBy(group, "p").agg(F.sum("x").alias("x"))
     total = sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("total"))
     dots = F.aggregate(F.zip_with("unit", "total", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -85,6 +86,27 @@ def medoids(vectors: DataFrame, group: str, id_col: str) -> DataFrame:
     return scores.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), id_col))).where("_n = 1").drop("_n")
 
 
+def is_normalised(vector: Column, within: float = 1e-4) -> Column:
+    """Whether a valid vector has length 1, about."""
+    return F.coalesce(valid(vector) & (F.abs(norm(vector) - 1) <= within), F.lit(False))
+
+
+def diverse(vectors: DataFrame, group: str, id_col: str, count: int) -> DataFrame:
+    """(group, id, place): the medoid of each group, then `count - 1` times what is farthest from all that
+    were picked (the least of the largest cosines, to nine places, ties by id). A pick is an aggregate;
+    what it joins is a row a group."""
+    good = cut(vectors.where(valid(F.col("vector"))).select(group, F.col(id_col).alias("_id"), "vector"), "vectors")
+    picks = cut(medoids(good, group, "_id").join(good, [group, "_id"]).select(group, F.array("_id").alias("ids"), F.array("vector").alias("picked")), "picks")
+    for _ in range(1, count):
+        near = F.array_max(F.transform("picked", lambda p: F.round(cosine(F.col("vector"), p), 9)))
+        rest = good.join(picks, group).where(~F.array_contains("ids", F.col("_id")))
+        far = rest.groupBy(group).agg(F.min_by(F.struct("_id", "vector"), F.struct(near, "_id")).alias("_far"))
+        grown = picks.join(far, group, "left")
+        more = lambda c, x: F.when(F.col("_far").isNull(), F.col(c)).otherwise(F.array_append(c, F.col(f"_far.{x}"))).alias(c)
+        picks = cut(grown.select(group, more("ids", "_id"), more("picked", "vector")), "picks")
+    return picks.select(group, F.posexplode("ids").alias("place", id_col)).select(group, id_col, "place")
+
+
 def probe_min(profile: DataFrame, probe: DataFrame, key: str) -> DataFrame:
     """One row (least, compatible): the least cosine of stored and fresh probes; 0.9998 is asked for."""
     both = profile.withColumnRenamed("vector", "a").join(probe.withColumnRenamed("vector", "b"), key)

@@ -75,20 +75,27 @@ def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("entity_audit", f"""
-    WITH en AS (SELECT p_partkey AS id, p_name AS name, p_brand AS kind, CASE WHEN p_size > 5 THEN p_type END AS summary, {_LOOSE.format("p_name")} AS surface FROM part),
+    WITH en AS (SELECT p_partkey AS id, p_name AS name, p_type || ' ' || p_size AS alias, p_brand AS kind FROM part),
+    nm AS (SELECT id, kind, name, false AS is_alias, {_LOOSE.format("name")} AS key FROM en UNION ALL SELECT id, kind, alias, true, {_LOOSE.format("alias")} FROM en),
     d AS (SELECT id, (SELECT count(*) FROM lineitem WHERE l_partkey = id AND l_quantity > 45) AS n FROM en),
-    k AS (SELECT CASE WHEN n = 0 THEN 'unlinked' WHEN n = 1 THEN 'singleton' WHEN n >= 3 THEN 'three or more' ELSE 'two' END AS k FROM d)
-    SELECT 'same name' AS finding, name AS key, count(*) AS n FROM en GROUP BY name HAVING count(*) > 1
-    UNION ALL SELECT 'same surface', surface, count(DISTINCT name) FROM en WHERE surface <> '' GROUP BY surface HAVING count(DISTINCT name) > 1
-    UNION ALL SELECT 'several kinds', surface, count(DISTINCT kind) FROM en WHERE surface <> '' GROUP BY surface HAVING count(DISTINCT kind) > 1
-    UNION ALL SELECT 'degree', k, count(*) FROM k GROUP BY k
-    UNION ALL SELECT 'no summary', CAST(id AS VARCHAR), 1 FROM en WHERE summary IS NULL
-    UNION ALL SELECT 'resolutions', o_orderstatus, count(*) FROM orders GROUP BY 2""")
+    rs AS (SELECT o_orderkey AS mention, CASE o_orderstatus WHEN 'F' THEN 'rejected' WHEN 'O' THEN 'resolved' ELSE 'pending' END AS status, o_orderpriority AS reason, o_custkey * 3 AS target FROM orders)
+    SELECT 'exact surface' AS finding, lower(trim(name)) || ':' || kind AS key, count(DISTINCT id) AS n FROM en GROUP BY lower(trim(name)), kind HAVING count(DISTINCT id) > 1
+    UNION ALL SELECT 'normalized surface', key || ':' || kind, count(DISTINCT id) FROM nm WHERE NOT is_alias AND key <> '' GROUP BY key, kind HAVING count(DISTINCT id) > 1
+    UNION ALL SELECT 'alias', key || ':' || kind, count(DISTINCT id) FROM nm WHERE key <> '' GROUP BY key, kind HAVING count(DISTINCT id) > 1
+    UNION ALL SELECT 'alias of another kind', key, count(DISTINCT id) FROM nm WHERE key <> '' GROUP BY key HAVING count(DISTINCT kind) > 1 AND bool_or(is_alias)
+    UNION ALL SELECT 'no edges', CAST(id AS VARCHAR), 0 FROM d WHERE n = 0
+    UNION ALL SELECT 'degree', CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'one' WHEN n >= 3 THEN 'three or more' ELSE 'two' END, count(*) FROM d GROUP BY 2
+    UNION ALL SELECT 'status', status, count(*) FROM rs GROUP BY 2 UNION ALL SELECT 'reason', reason, count(*) FROM rs GROUP BY 2
+    UNION ALL SELECT 'rejected without cause', CAST(mention AS VARCHAR), 1 FROM rs WHERE status = 'rejected' AND reason NOT LIKE '1%'
+    UNION ALL SELECT 'target missing', CAST(mention AS VARCHAR), 1 FROM rs WHERE status = 'resolved' AND target NOT IN (SELECT id FROM en)""")
 def entity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    en = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("kind"), F.when(F.col("p_size") > 5, F.col("p_type")).alias("summary"))
+    """Parts as entities with a type and size as alias, orders as resolutions; only the first priority rejects."""
+    p, o = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    en = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(F.concat_ws(" ", "p_type", "p_size")).alias("aliases"), F.col("p_brand").alias("kind"))
     edges = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id"))
-    return e.audit(en, edges, table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
+    status = F.when(F.col("o_orderstatus") == "F", "rejected").when(F.col("o_orderstatus") == "O", "resolved").otherwise("pending")
+    first = [r[0] for r in o.select("o_orderpriority").distinct().collect() if r[0].startswith("1")]  # a handful of priorities
+    return e.audit(en, edges, o.select(F.col("o_orderkey").alias("mention"), status.alias("status"), F.col("o_orderpriority").alias("reason"), (F.col("o_custkey") * 3).alias("target")), first)
 
 
 @query("block_pairs", """
@@ -136,3 +143,13 @@ def resolution_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     a = table(spark, sf_dir, "events").select(i, ((90 + i % 10) / F.lit(100.0)).alias("p"), ((i % 97) / F.lit(100.0)).alias("second"), (i % 2 == 0).alias("exact"), (i % 3 == 0).alias("normalized"))
     return e.decided(a).select("event_id", "accepted")
+
+
+@query("entities_of_memory", """
+    WITH a AS (SELECT DISTINCT o_custkey AS memory, l_suppkey AS entity FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R')
+    SELECT memory AS id, 'entities' AS side, string_agg(CAST(entity AS VARCHAR), ',' ORDER BY entity) AS ids FROM a WHERE memory % 10 = 1 GROUP BY 1
+    UNION ALL SELECT entity, 'memories', string_agg(CAST(memory AS VARCHAR), ',' ORDER BY memory) FROM a WHERE entity % 10 = 1 GROUP BY 1""")
+def entities_of_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of every tenth customer and the customers of every tenth supplier, sorted."""
+    line = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return e.associated(line.select(F.col("o_custkey").alias("memory"), F.col("l_suppkey").alias("entity")), "memory % 10 = 1", "entity % 10 = 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
-from ..operators.lexical import extended, postings, searched, searched_batch, top
+from ..operators.lexical import extended, postings, scored, searched, searched_batch, top
 from .tables import TURNS_SQL, turns
 
 TERMS = ["the", "and", "die"]
@@ -120,3 +120,21 @@ def filtered_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = top(hits, [F.desc("score"), F.desc("timestamp_ns"), F.col("id")], 40).withColumnRenamed("rank", "place")
     kept = best.where(F.col("conversation_id") % 2 == 0).orderBy("place").limit(10)
     return kept.select("id", "conversation_id", F.round("score", 9).alias("score"), "place")
+
+
+@query("fragment_search", f"""
+    WITH {TURNS_SQL}, n AS (SELECT conversation_id, count(*) AS length FROM turns GROUP BY 1), w AS (SELECT conversation_id, unnest(range(0, length - 3, 2)) AS start FROM n WHERE length >= 4),
+    f AS (SELECT w.conversation_id || ':' || start AS id, w.conversation_id * 8 + start AS version, string_agg(role || ': ' || content, chr(10) ORDER BY turn) AS text FROM w JOIN turns t ON t.conversation_id = w.conversation_id AND turn >= start AND turn < start + 4 GROUP BY ALL),
+    {_score_sql("f", "id, version", "text", TERMS)}
+    SELECT id, version, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, version DESC, id) AS rank FROM hits QUALIFY rank <= 20""")
+def fragment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of four turns by an index of postings: best first, then the later version."""
+    from ..operators.archive import range_text, windows
+
+    t = turns(spark, sf_dir)
+    length = t.groupBy("conversation_id").agg(F.count("*").alias("length"))
+    ranges = windows(length, ["conversation_id"], 4, 2, tail=False)
+    text = range_text(t.withColumnRenamed("turn", "position"), ranges, ["conversation_id"])
+    f = text.select(F.concat_ws(":", "conversation_id", "start").alias("id"), (F.col("conversation_id") * 8 + F.col("start")).alias("version"), "text")
+    hits = scored(postings(f, ["id", "version"], "text"), _asked(spark), ["id", "version"]).withColumn("score", F.round("score", 9))
+    return top(hits, [F.desc("score"), F.desc("version"), F.col("id")], 20).select("id", "version", "score", "rank")

@@ -106,3 +106,40 @@ def name_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = before.select("community").distinct()
     names = old.select("community", F.concat(F.lit("name "), "community").alias("name"), F.when(F.col("community") % 2 == 0, "user").otherwise("model").alias("source"))
     return r.inherited_names(links, names)
+
+
+@query("store_stats", """
+    SELECT 'memories' AS store, count(*) AS rows, count(DISTINCT text) AS distinct_rows, count(*) FILTER (WHERE lang = 'en') AS flagged FROM documents
+    UNION ALL SELECT 'graph', count(*), count(DISTINCT (l_partkey, l_suppkey)), count(*) FILTER (WHERE l_returnflag <> 'R') FROM lineitem
+    UNION ALL SELECT 'communities', count(*), count(DISTINCT label), count(*) FILTER (WHERE label = 0) FROM embeddings
+    UNION ALL SELECT 'vectors', count(*), count(DISTINCT embedding), count(*) FILTER (WHERE embedding IS NOT NULL) FROM embeddings
+    UNION ALL SELECT 'work', count(*), count(DISTINCT user_id), count(*) FILTER (WHERE event_type = 'error') FROM events""")
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of five stores: rows, distinct ones, and those with a flag."""
+    get = lambda n: table(spark, sf_dir, n)
+    return r.statistics({
+        "memories": (get("documents"), ["text"], F.col("lang") == "en"), "graph": (get("lineitem"), ["l_partkey", "l_suppkey"], F.col("l_returnflag") != "R"),
+        "communities": (get("embeddings"), ["label"], F.col("label") == 0), "vectors": (get("embeddings"), ["embedding"], F.col("embedding").isNotNull()), "work": (get("events"), ["user_id"], F.col("event_type") == "error"),
+    })
+
+
+@query("json_payloads", """
+    SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 3 = 0 END AS BOOLEAN) AS present, CASE WHEN event_id % 5 = 0 THEN 'invalid' ELSE 'ok' END AS state FROM events""")
+def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's structured answers parsed by a schema; some aren't JSON."""
+    i = F.col("event_id")
+    answer = F.when(i % 5 == 0, "no json").otherwise(F.to_json(F.struct((i % 3 == 0).alias("present"), F.get_json_object("props", "$.k").cast("long").alias("k"))))
+    ev = table(spark, sf_dir, "events").select(i, "props", answer.alias("answer"))
+    parsed = r.parsed(ev, "answer", "present boolean, k long")
+    return parsed.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "present", "state")
+
+
+@query("ego_documents", """
+    WITH l AS (SELECT user_id AS id, event_id AS version, event_type = 'error' AS deleted, CAST(event_id % 3 AS INTEGER) AS priority, event_type || ' ' || event_id AS text FROM events),
+    n AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC) = 1), u AS (SELECT id, priority, text, sum(length(text)) OVER (ORDER BY priority, id) AS used FROM n WHERE NOT deleted)
+    SELECT id, priority, text, CAST(used AS BIGINT) AS used FROM u WHERE used <= 1000""")
+def ego_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' last revisions as anchors, without deleted ones, by priority while 1,000 characters last."""
+    ev, i = table(spark, sf_dir, "events"), F.col("event_id")
+    log = ev.select(F.col("user_id").alias("id"), i.alias("version"), (F.col("event_type") == "error").alias("deleted"), (i % 3).cast("int").alias("priority"), F.concat_ws(" ", "event_type", "event_id").alias("text"))
+    return r.current_documents(log, 1000)

@@ -170,3 +170,21 @@ def semantic_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "events").agg(F.max("event_id").alias("global_version"))
     a = table(spark, sf_dir, "conversations").agg(F.count("*").alias("archive_version"))
     return g.crossJoin(a).crossJoin(table(spark, sf_dir, "documents").agg(F.max("doc_id").alias("memory_version")))  # one row each
+
+
+@query("memory_revision", f"""WITH {_ORDERS_SQL} SELECT o_custkey, revision, o_orderkey, o_orderstatus FROM o WHERE revision = 2 AND o_custkey % 10 = 7""")
+def memory_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second revision of some statements."""
+    asked = table(spark, sf_dir, "customer").where("c_custkey % 10 = 7").select(F.col("c_custkey").alias("o_custkey"), F.lit(2).alias("revision"))
+    return t.at_revision(_orders(spark, sf_dir), asked, ["o_custkey"], "revision").select("o_custkey", "revision", "o_orderkey", "o_orderstatus")
+
+
+@query("publish_memories", f"""
+    WITH {_ORDERS_SQL}, log AS (SELECT * FROM o WHERE revision <= 3), inc AS (SELECT * FROM o WHERE revision BETWEEN 3 AND 5), now AS (SELECT o_custkey, max(revision) AS r, max_by(o_orderstatus, revision) AS s FROM log GROUP BY 1)
+    SELECT o_custkey, count(*) AS revisions, max(revision) AS last FROM (SELECT o_custkey, revision FROM log UNION ALL SELECT i.o_custkey, i.revision FROM inc i LEFT JOIN now n USING (o_custkey)
+        WHERE i.o_orderkey NOT IN (SELECT o_orderkey FROM log) AND i.revision = coalesce(n.r, 0) + 1 AND (n.s IS NULL OR n.s = i.o_orderstatus)) GROUP BY 1""")
+def publish_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after revisions 3 to 5 were published on 1 to 3: what is new and fits is appended."""
+    o = _orders(spark, sf_dir)
+    log = t.appended(o.where("revision <= 3"), o.where("revision between 3 and 5"), ["o_custkey"], "o_orderkey", "revision", "o_orderstatus")
+    return log.groupBy("o_custkey").agg(F.count("*").alias("revisions"), F.max("revision").alias("last"))

@@ -114,3 +114,33 @@ def probe_min_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _vectors(spark, sf_dir).where("id < 4").select("id", "vector")
     fresh = p.select("id", F.transform("vector", lambda x: F.round(x.cast("double"), 2)).alias("vector"))
     return v.probe_min(p, fresh, "id").withColumn("least", F.round("least", 9))
+
+
+@query("allowed_semantic", f"""
+    WITH s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round({_COS.format("c.embedding", "q.embedding")}, 9) AS score FROM embeddings c, embeddings q
+               WHERE q.vec_id IN (0, 7, 11) AND c.vec_id IN (SELECT doc_id FROM labels WHERE quality = 1))
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
+def allowed_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only vectors of good documents may be found: the filter stands before the ranking."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    hits = v.semantic_search(_vectors(spark, sf_dir).join(good, "id", "left_semi"), _query(spark, sf_dir, [0, 7, 11]), 10)
+    return hits.select("query_id", "id", F.round("score", 9).alias("score"), "rank")
+
+
+@query("vector_norms", """
+    WITH n AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm FROM embeddings)
+    SELECT vec_id, round(norm, 6) AS norm, abs(norm - 1) <= 1e-4 AS normalised FROM n""")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths, and whether they are 1 within a ten-thousandth."""
+    return _vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.round(v.norm(F.col("vector")), 6).alias("norm"), v.is_normalised(F.col("vector")).alias("normalised"))
+
+
+@query("diverse_representatives", f"""
+    WITH s AS (SELECT a.label, a.vec_id AS id, round(sum({_COS.format("a.embedding", "b.embedding")}), 6) AS t FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY 1, 2),
+    m AS (SELECT label, id FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY t DESC, id) = 1),
+    d AS (SELECT e.label, e.vec_id AS id, round({_COS.format("e.embedding", "c.embedding")}, 9) AS near FROM embeddings e JOIN m ON m.label = e.label JOIN embeddings c ON c.vec_id = m.id WHERE e.vec_id <> m.id),
+    f AS (SELECT label, id FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY near, id) = 1)
+    SELECT label, id, 0 AS place FROM m UNION ALL SELECT label, id, 1 FROM f""")
+def diverse_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each label the medoid, and what is farthest from it."""
+    return v.diverse(_vectors(spark, sf_dir), "label", "id", 2)
