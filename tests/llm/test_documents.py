@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from turnstone.llm.hyper_language import gram_counts, held_out, language_report, learn, predict
+from turnstone.llm.hyper_language import gram_counts, held_out, language_report, learn, letter_vector, predict
 from turnstone.llm.line_dedup import drop_common_lines, line_report
 from turnstone.llm.ngram_join import is_link, linked, ngram_join, prefix_size, shingle_sets, suffix_bound
 from turnstone.llm.pfair_mix import mix_sources, schedule
@@ -264,6 +264,32 @@ def test_languages(spark, empty_docs):
     assert a == b
 
 
+def test_languages_by_whole_vectors(spark):
+    """Every n-gram bound by itself, every text and language bundled in whole numbers."""
+    rng = random.Random(14)
+    kinds = {"xx": "kra dro zum gri".split(), "yy": "lae noi mia sué".split(), "zz": "kra noi tchk ngth".split()}
+    texts = [(i, " ".join(rng.choices(kinds[lang], k=rng.randrange(1, 30))).title() + rng.choice(["", " 1!", "\n"]), lang) for i, lang in enumerate(rng.choices(sorted(kinds), k=60))]
+
+    def vector(text):
+        s = re.sub(r"[^\w]|[\d_]", " ", f" {text.lower()} ")
+        s = re.sub(" +", " ", s)
+        total = np.zeros(1024, dtype=np.int64)
+        for k in range(len(s) - 2):
+            bound = np.ones(1024, dtype=np.int64)
+            for place, letter in enumerate(s[k : k + 3]):
+                bound *= np.roll(letter_vector(ord(letter)), place)
+            total += bound
+        return total
+
+    own = {i: vector(t) for i, t, _ in texts}
+    languages = {lang: sum(own[i] for i, _, x in texts if x == lang) for lang in kinds}
+    cosine = lambda a, b: a @ b / np.sqrt(float(a @ a) * float(b @ b))
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    for r in predict(df, learn(df)).collect():
+        near = {lang: cosine(own[r.doc_id], v) for lang, v in languages.items()}
+        assert r.lang_pred == max(sorted(near), key=near.get) and r.score == pytest.approx(max(0, near[r.lang_pred]), abs=1e-5)
+
+
 # -- 7 ------------------------------------------------------------------------
 
 CASE = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
