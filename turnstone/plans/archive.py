@@ -132,7 +132,12 @@ def episode_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.packed_episodes(_cycles(spark, sf_dir), "conversation_id", 1000)
 
 
-@query("bounded_evidence")
+@query("bounded_evidence", f"""WITH RECURSIVE {TURNS_SQL}, t AS (SELECT conversation_id, id, CAST(octet_length(encode(content)) AS BIGINT) AS bytes, CAST(-octet_length(encode(content)) * 10 + turn AS BIGINT) AS rank FROM turns),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY rank) AS k FROM t),
+    p(conversation_id, k, turns, used, taken) AS (SELECT DISTINCT conversation_id, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), false FROM n
+        UNION ALL SELECT n.conversation_id, n.k, p.turns + CAST(p.turns < 3 AND p.used + n.bytes <= 700 AS INT), CASE WHEN p.turns < 3 AND p.used + n.bytes <= 700 THEN p.used + n.bytes ELSE p.used END, p.turns < 3 AND p.used + n.bytes <= 700
+        FROM p JOIN n ON n.conversation_id = p.conversation_id AND n.k = p.k + 1)
+    SELECT n.conversation_id, n.id, n.bytes, n.rank FROM n JOIN p USING (conversation_id, k) WHERE taken""")
 def bounded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 3 turns and 700 bytes a conversation, longest first, skipping what doesn't fit."""
     t = turns(spark, sf_dir).select("conversation_id", "id", F.octet_length("content").cast("long").alias("bytes"), (-F.octet_length("content") * 10 + F.col("turn")).cast("long").alias("rank"))

@@ -85,7 +85,8 @@ def anchor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.bounded_documents(table(spark, sf_dir, "documents"), "lang", "doc_id", "text", 25_000).select("doc_id", "lang", "used")
 
 
-@query("truncated_names")
+@query("truncated_names", """
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN substr(text, 1, CAST(list_max(list_filter(range(0, 102), lambda k: octet_length(encode(substr(text, 1, k))) <= 101)) AS INTEGER)) END AS head FROM documents""")
 def truncated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", r.truncated(F.col("text"), 101).alias("head"))
 
