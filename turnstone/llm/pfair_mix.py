@@ -102,7 +102,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     made = [f"{prefix}{x}" for x in ("block", "slot", "position")]
     names, p = [c for c in docs.columns if c not in made], free_prefix(docs)  # p: before names of its own
     at = lambda name: F.col(p + name)
-    rows = docs.select(*names, F.coalesce(F.col(source_col), F.lit("")).alias(p + "source"))
+    # the text's hash comes first, so that a text that isn't asked for isn't shuffled
+    rows = docs.select(*names, F.coalesce(F.col(source_col), F.lit("")).alias(p + "source"), F.xxhash64(text_col).alias(p + "hash"))
     total = dict(sorted(tuple(r) for r in rows.groupBy(p + "source").count().collect()))
     size = max(block_docs, -(-sum(total.values()) // MOST_BLOCKS))
     weights = {s: n**0.5 for s, n in total.items()} if weights is None else weights
@@ -127,12 +128,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], form)
 
     plan = written(spark.range(0, 1, 1, 1).mapInArrow(slots, f"{p}source string, {p}block long, {p}slot long, {p}begin long"), "schedule")
-    buckets = spark.createDataFrame([(s, -(-n // BUCKET_DOCS)) for s, n in total.items()], f"{p}source string, {p}buckets long")
+    # written, so that Spark knows its size: no source's rows are brought together to meet a small table
+    buckets = written(spark.createDataFrame([(s, -(-n // BUCKET_DOCS)) for s, n in total.items()], f"{p}source string, {p}buckets long").coalesce(1), "buckets")
     dealt = rows.join(buckets, p + "source").withColumn(p + "bucket", F.pmod(F.xxhash64(id_col), at("buckets"))).drop(p + "buckets")
     before = Window.partitionBy(p + "source").orderBy(p + "bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy(p + "source", p + "bucket").agg(F.count("*").alias(p + "n"))
     offsets = written(offsets.select(p + "source", p + "bucket", F.coalesce(F.sum(p + "n").over(before), F.lit(0)).alias(p + "before")), "offsets")
-    order = Window.partitionBy(p + "source", p + "bucket").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
+    order = Window.partitionBy(p + "source", p + "bucket").orderBy(F.col(id_col).asc_nulls_first(), p + "hash")
     ranked = (
         dealt.withColumn(p + "n", F.row_number().over(order))
         .join(offsets, [p + "source", p + "bucket"])
