@@ -12,6 +12,8 @@ from ..session import cut
 from .timeline import latest
 
 EDGE = ["source", "target", "kind"]
+#: Rounds after which something must be wrong: ways to a root about halve in each.
+MOST_ROUNDS = 64
 
 
 def current_relations(log: DataFrame) -> DataFrame:
@@ -70,9 +72,10 @@ def components(pairs: DataFrame) -> DataFrame:
     In a round every node's pointer becomes the least pointer around it, and then the pointer of its
     pointer; ways halve, so the rounds are few. Minima are aggregated per task before they meet.
     """
+    rounds = 0
     both = cut(pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).distinct(), "pairs")
     state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "roots")
-    while True:
+    while (rounds := rounds + 1) <= MOST_ROUNDS:
         near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         lower = state.join(near, "node").select("node", F.least("root", "near").alias("low"), "root")
         # a root that is told of a lower one follows it, and all that point to it do
@@ -81,6 +84,7 @@ def components(pairs: DataFrame) -> DataFrame:
         state = new.select("node", "root")
         if new.where("root <> old").isEmpty():
             return state
+    raise RuntimeError("components did not settle")
 
 
 def expansion(edges: DataFrame, seeds: DataFrame, communities: DataFrame, budget: int = 32, depth: int = 3) -> DataFrame:
@@ -150,3 +154,20 @@ def with_previous(log: DataFrame) -> DataFrame:
     """The log with whether a mutation changes its edge: a new edge only counts when active."""
     before = F.lag("active", 1, False).over(Window.partitionBy(*EDGE).orderBy("version"))
     return log.withColumn("changes", F.col("active") != before)
+
+
+def set_relations(log: DataFrame, wanted: DataFrame, expected_version: int, version: int) -> DataFrame:
+    """wanted (source, target, kind, active, origin) with outcome: `stale` (all, if the graph has moved on
+    from the expected version), `repeated` (an edge twice in the batch), `equal` (state and origin are so
+    already), `absent` (an unknown edge that is to be off) or `set`."""
+    now = log.groupBy(*EDGE).agg(F.max_by(F.struct("active", "origin"), "version").alias("_now"))
+    counts = wanted.groupBy(*EDGE).agg(F.count("*").alias("_n"))
+    judged = wanted.join(counts, EDGE).join(now, EDGE, "left")
+    outcome = (
+        F.when(F.lit(expected_version != version), "stale")
+        .when(F.col("_n") > 1, "repeated")
+        .when(F.col("_now").isNull() & ~F.col("active"), "absent")
+        .when((F.col("_now.active") == F.col("active")) & (F.col("_now.origin") == F.col("origin")), "equal")
+        .otherwise("set")
+    )
+    return judged.select(*wanted.columns, outcome.alias("outcome"))

@@ -138,3 +138,15 @@ def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = p.select(F.col("p_partkey").alias("node"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("community"))
     seeds = p.where("p_partkey in (1, 50, 99)").select((F.col("p_partkey") % 2).alias("query_id"), F.col("p_partkey").alias("node"), F.lit(1).alias("place"))
     return g.expansion(_steps(spark, sf_dir), seeds, home)
+
+
+@query("set_relations", f"""WITH {_LOG_SQL}, w AS (SELECT p_partkey AS source, p_partkey % 7 + {_S} AS target, CAST(p_partkey % 3 AS INTEGER) AS kind, p_size % 2 = 0 AS active, 'user' AS origin FROM part
+        UNION ALL SELECT p_partkey, p_partkey % 7 + {_S}, CAST(p_partkey % 3 AS INTEGER), true, 'dream' FROM part WHERE p_partkey % 10 = 4)
+    SELECT w.source, w.target, w.kind, w.active, w.origin, CASE WHEN count(*) OVER (PARTITION BY w.source, w.target, w.kind) > 1 THEN 'repeated' WHEN n.version IS NULL AND NOT w.active THEN 'absent'
+           WHEN n.active = w.active AND n.origin = w.origin THEN 'equal' ELSE 'set' END AS outcome FROM w LEFT JOIN now n USING (source, target, kind)""")
+def set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of edges from each part to a supplier, some of them twice."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    edge = [k.alias("source"), (k % 7 + _S).alias("target"), (k % 3).cast("int").alias("kind")]
+    w = p.select(*edge, (F.col("p_size") % 2 == 0).alias("active"), F.lit("user").alias("origin")).union(p.where(k % 10 == 4).select(*edge, F.lit(True), F.lit("dream")))
+    return g.set_relations(_log(spark, sf_dir), w, 5, 5)

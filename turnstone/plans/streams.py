@@ -52,16 +52,17 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 @query("stream_assemble", """
-    SELECT conv_id || ':' || turn AS message_id, CASE WHEN turn % 5 = 4 THEN 'cancel' ELSE 'complete' END AS state, text, 2 AS chunks FROM conversations WHERE turn % 7 <> 6""")
+    SELECT conv_id || ':' || turn AS message_id, CASE WHEN turn % 5 = 4 THEN 'cancel' ELSE 'complete' END AS state, text, 2 AS chunks,
+           CASE WHEN role = 'user' THEN 'a' || turn || ',b' || conv_id ELSE '' END AS files FROM conversations WHERE turn % 7 <> 6""")
 def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns sent as a beginning, two chunks (one twice) and an end; some never end."""
+    """Turns sent as a beginning, two chunks (one twice), the user's with two files, and an end; some never end."""
     t = table(spark, sf_dir, "conversations")
     half = F.floor(F.char_length("text") / 2).cast("int")
     part = lambda n, kind, text: F.struct(F.lit(n).alias("sequence"), kind.alias("kind"), text.alias("text"))
     text, none = F.lit("text"), F.lit(None).cast("string")
     end = F.when(F.col("turn") % 5 == 4, "cancel").otherwise("complete")
-    parts = F.array(part(2, text, F.substr("text", half + 1)), part(0, F.lit("begin"), none), part(1, text, F.substr("text", F.lit(1), half)), part(1, text, F.substr("text", F.lit(1), half)), part(3, end, none))
-    rows = t.select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), "turn", F.explode(parts).alias("p")).where("turn % 7 <> 6 or p.sequence < 3").select("message_id", "p.*")
+    parts = F.array(part(2, text, F.substr("text", half + 1)), part(0, F.lit("begin"), none), part(1, text, F.substr("text", F.lit(1), half)), part(1, text, F.substr("text", F.lit(1), half)), part(5, end, none), part(4, F.lit("attach"), F.concat(F.lit("b"), "conv_id")), part(3, F.lit("attach"), F.concat(F.lit("a"), "turn")))
+    rows = t.select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), "turn", "role", F.explode(parts).alias("p")).where("(turn % 7 <> 6 or p.sequence < 3) and (role = 'user' or p.kind <> 'attach')").select("message_id", "p.*")
     folder = f"{scratch(spark)}/parts-{uuid.uuid4().hex}"
     rows.write.parquet(folder)
     return _run(s.assembled(spark.readStream.schema(rows.schema).parquet(folder)))

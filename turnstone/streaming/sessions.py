@@ -30,13 +30,14 @@ def session_stream(events: DataFrame, key: str, time: str, gap: int = GAP, late:
     return events.withWatermark(time, late).groupBy(key, w.alias("w")).agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n")).select(key, "start", "end", "n")
 
 
-_MESSAGE = "message_id string, state string, text string, chunks int"
+_MESSAGE = "message_id string, state string, text string, chunks int, files string"
 
 
 def assembled(parts: DataFrame) -> DataFrame:
-    """Streaming: messages from (message_id, sequence, kind, text) with kind begin, text, complete, cancel
-    or interrupt: a row when a message ends. A repeated part is ignored, one that contradicts an
-    earlier part of its sequence makes the message a conflict. State: the parts so far."""
+    """Streaming: messages from (message_id, sequence, kind, text) with kind begin, text, attach (text: a
+    file), complete, cancel or interrupt: a row when a message ends, with its files in order. A repeated
+    part is ignored, one that contradicts an earlier part of its sequence makes the message a conflict.
+    State: the parts so far."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[str, str]] = {}
@@ -51,8 +52,9 @@ def assembled(parts: DataFrame) -> DataFrame:
         ends = [k for k, _ in held.values() if k in ("complete", "cancel", "interrupt")]
         if conflict or ends:
             text = "".join(t for _, (k, t) in sorted(held.items()) if k == "text")
+            files = ",".join(t for _, (k, t) in sorted(held.items()) if k == "attach")
             state.remove()
-            yield pd.DataFrame([(key[0], "conflict" if conflict else ends[0], text, sum(k == "text" for k, _ in held.values()))], columns=["message_id", "state", "text", "chunks"])
+            yield pd.DataFrame([(key[0], "conflict" if conflict else ends[0], text, sum(k == "text" for k, _ in held.values()), files)], columns=["message_id", "state", "text", "chunks", "files"])
         else:
             order = sorted(held)
             state.update((order, [held[s][0] for s in order], [held[s][1] for s in order]))
