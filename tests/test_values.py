@@ -93,7 +93,8 @@ def test_windows_and_packing(spark):
 def test_temporal(text, reference, want):
     ns = reference and tl.ns(date.fromisoformat(reference))
     day = lambda x: None if x is None else str(date(1970, 1, 1) + timedelta(x // tl.DAY))
-    (f,) = tl.parse(f"é {text}.", ns)
+    f, *copies = tl.parse(f"é {text}.", ns)
+    assert [(c.kind, c.start_ns, c.end_ns) for c in copies] == [("interval", f.start_ns, f.end_ns)] * (f.granularity == "range")  # a range is an interval too
     assert (f.kind, day(f.start_ns), day(f.end_ns)) == want
     assert f"é {text}.".encode()[f.start : f.end].decode() == f.evidence and f.evidence in text
 
@@ -170,11 +171,21 @@ def test_entities(spark):
 
 
 def test_candidates_reserve_places_for_priors(spark):
-    rows = [(0, i, 1.0 - i / 100, 0.1 if i in (30, 31) else None) for i in range(1, 40)]
-    got = candidates.fused_candidates(spark.createDataFrame(rows, "source int, candidate int, semantic double, prior double")).collect()
+    lane = lambda rows: spark.createDataFrame(rows, "source int, candidate int, score double")
+    lanes = {"semantic": lane([(0, i, 1.0 - i / 100) for i in range(1, 40)]), "prior": lane([(0, i, 0.1 if i in (30, 31) else None) for i in range(1, 40)])}
+    got = candidates.fused_candidates(lanes).collect()
     assert len(got) == 12 and {30, 31} <= {r.candidate for r in got}
 
 
+def test_a_near_vector_without_a_common_word_is_a_candidate(spark):
+    lane = lambda rows: spark.createDataFrame(rows, "source int, candidate int, score double")
+    texts = spark.createDataFrame([(0, "the red house"), *((i, f"the house {i}") for i in range(1, 60)), (99, "ganz anders")], "id int, text string")
+    overlap = candidates.token_overlap(texts.where("id = 0"), texts).withColumnRenamed("jaccard", "score")
+    assert overlap.count() == 59  # however common its words are
+    got = candidates.fused_candidates({"lexical": overlap, "semantic": lane([(0, 99, 0.99), (0, 5, 0.1)])}).orderBy("place").collect()
+    assert got[0].candidate == 5 and got[1].candidate == 99 and len(got) == 12
+
+
 def test_eligibility(spark):
     day = lifecycle.DAY
     rows = [("extracted", 0, 0, 0), ("knowledge", 29 * day, 0, 0), ("knowledge", 30 * day, 0, 29 * day), ("knowledge", 30 * day, None, day), ("knowledge", 31 * day, None, day), ("knowledge", 1, None, None)]
