@@ -18,8 +18,8 @@ looked for, as they can't change it.
 
 from __future__ import annotations
 
-import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, fresh_path, n_partitions, removed, small_batches, text_or_empty, texts_of, written
+from .common import forget, fresh_path, grouped_by_size, n_partitions, removed, small_batches, text_or_empty, texts_of, written
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -42,8 +42,11 @@ MOST_BUCKET_BITS, RANGE_BITS = 28, 22
 LEVELS = np.array([1, 2, 3, 4, 6, 9, 15, 25, 41, 71, 121, 251, 501, 1501, 5001])
 #: A shingle of the last level is dealt to so many tasks, and again, in another way, to as many.
 SALTS = 64
-#: Words that a worker remembers, and the longest of them in bytes.
-MOST_WORDS, LONGEST_WORD = 200_000, 64
+#: Bytes of texts handled at once.
+CHUNK_BYTES = 1 << 20
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)], dtype=np.uint64)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x94D049BB133111EB], dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -56,41 +59,45 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """64-bit names of words (BLAKE2); short ones are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        name = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= LONGEST_WORD:
-            if len(self) >= MOST_WORDS:
-                self.clear()
-            self[word] = name
-        return name
-
-
-_words = _Words()
+def word_names(data: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit names of the words of data, which ends with white space. A word of up to seven
+    bytes is its own name, with its length; a longer one has a digest by a seed."""
+    raw = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    white = _WHITE[raw[: len(data)]]
+    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+    if len(white) and not white[0]:
+        edge = np.concatenate(([0], edge))
+    starts, ends = edge[::2], edge[1::2]
+    sizes = ends - starts
+    eights = np.ndarray(len(data), dtype="<u8", buffer=raw, strides=(1,))  # the eight bytes from each place on
+    names = eights[starts] & _LOW[np.minimum(sizes, 7)] | sizes.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(sizes > 7)
+    names[long] = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), dtype=np.uint64, count=len(long))
+    return starts, _mixed(names)
+
+
+def shingle_sets(texts: list[str], words: int = WORDS, seed: int = 0) -> list[np.ndarray]:
+    """The sorted, distinct hashes of each text's shingles; of its whole word sequence if it is shorter."""
+    parts = [t.encode().lower() + b"\n" for t in texts]  # bytes.lower changes A-Z only
+    return [s for a, b in grouped_by_size([len(p) for p in parts], CHUNK_BYTES) for s in _sets(parts[a:b], words, seed)]
 
 
-def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted, distinct hashes of each text's shingles; of its whole word sequence if it is shorter."""
-    # bytes.lower changes A-Z only, and bytes.split cuts at the six ASCII blanks
-    lists = [t.encode().lower().split() for t in texts]
-    sizes = [len(x) for x in lists]
-    hashes = np.fromiter((_words[w] for x in lists for w in x), dtype=np.uint64, count=sum(sizes))
-    n, out, a = max(0, len(hashes) - words + 1), [], 0
+def _sets(parts: list[bytes], words: int, seed: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
+        starts, names = word_names(b"".join(parts), seed)
+        bounds = np.searchsorted(starts, np.cumsum([0, *map(len, parts)])).tolist()
+        n, out = max(0, len(names) - words + 1), []
         rows = np.zeros(n, dtype=np.uint64)
         for j in range(words):
-            rows += hashes[j : n + j] * _FACTORS[j % 5] + np.uint64(j)
+            rows += names[j : n + j] * _FACTORS[j % 5] + np.uint64(j)
         rows = _mixed(rows)
-        for size in sizes:
-            if size >= words:
-                out.append(np.unique(rows[a : a + size - words + 1]))
-            elif size:
-                out.append(_mixed(np.array([sum(int(h) * int(_FACTORS[j]) for j, h in enumerate(hashes[a : a + size])) + size & (1 << 64) - 1], dtype=np.uint64)))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b - a >= words:
+                out.append(np.unique(rows[a : b - words + 1]))
+            elif b > a:
+                out.append(_mixed(np.array([sum(int(h) * int(_FACTORS[j]) for j, h in enumerate(names[a:b])) + b - a & (1 << 64) - 1], dtype=np.uint64)))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
-            a += size
     return out
 
 
@@ -130,7 +137,7 @@ class _Seen(set):
         return True
 
 
-def _scan(rows: DataFrame, words: int) -> DataFrame:
+def _scan(rows: DataFrame, words: int, seed: int) -> DataFrame:
     """(id, n, name) of every row and, with n -1, (range, blob) of sorted bucket names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +154,7 @@ def _scan(rows: DataFrame, words: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"id": none, "n": pa.array([-1] * n, pa.int64()), "hi": none, "lo": none, "range": pa.array([k for k, _ in pieces], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
         for batch in batches:
-            sets = shingle_sets(texts_of(batch, "text"), words)
+            sets = shingle_sets(texts_of(batch, "text"), words, seed)
             full = np.array([len(s) > 0 for s in sets], dtype=bool)
             names = [name_of(s) for s in sets]
             for s, name in zip(sets, names, strict=True):
@@ -194,7 +201,7 @@ def _bucket_levels(ranges: DataFrame, bits: int) -> bytes:
 POSTING = ["key", "part", "n", "hi", "lo", "pos"]
 
 
-def _postings(rows: DataFrame, shared, bits: int, words: int, percent: int) -> DataFrame:
+def _postings(rows: DataFrame, shared, bits: int, words: int, percent: int, seed: int) -> DataFrame:
     """(key, part, n, name, pos) of each class' prefix, once in a task, without shingles that stand
     alone. part: 0, or one of the parts that a very frequent shingle is dealt to; each class is in
     two of those, by either half of its name."""
@@ -203,7 +210,7 @@ def _postings(rows: DataFrame, shared, bits: int, words: int, percent: int) -> D
         packed, seen = np.frombuffer(shared.value, dtype=np.uint8), _Seen()
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in POSTING]
-            for s in shingle_sets(texts_of(batch, "text"), words):
+            for s in shingle_sets(texts_of(batch, "text"), words, seed):
                 if not len(s) or not seen.first(name := name_of(s)):
                     continue
                 bucket = s >> np.uint64(64 - bits)
@@ -351,7 +358,7 @@ def _filter_bits(ids: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets_of(rows: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
     """(name, blob) of the classes wanted (name, id), and of a few more: a class may come more than
     once, as often as rows have its first id or share that id's bit."""
     shared = rows.sparkSession.sparkContext.broadcast(_filter_bits(wanted.select("id"), wanted.count()))
@@ -363,7 +370,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             at = batch.column("at").to_numpy()
             hit = np.flatnonzero(shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
             if len(hit):
-                sets = [s for s in shingle_sets(texts_of(batch.take(pa.array(hit)), "text"), words) if len(s)]
+                sets = [s for s in shingle_sets(texts_of(batch.take(pa.array(hit)), "text"), words, seed) if len(s)]
                 names = [name_of(s) for s in sets]
                 new = [k for k, name in enumerate(names) if seen.first(name)]
                 if new:
@@ -528,23 +535,24 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     """
     spark = docs.sparkSession
     small_batches(spark)
+    seed = secrets.randbits(63)  # of digests; no result depends on it, and no text can be made for it
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     path = fresh_path(spark, "shingles")
-    _scan(rows, words).write.parquet(path)
+    _scan(rows, words, seed).write.parquet(path)
     scanned = spark.read.schema(SCANNED).parquet(path)
     narrow = written(scanned.where("n >= 0").select("id", "n", *NAME), "sets")
     total = narrow.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BUCKET_BITS, max(RANGE_BITS, int(total).bit_length()))
     levels = spark.sparkContext.broadcast(_bucket_levels(scanned.where("n < 0").select("range", "blob"), bits))
     removed(spark, path)  # the buckets are counted, and are the larger part of what is on disk
-    found = written(_candidates(_postings(rows, levels, bits, words, percent), percent), "candidates")
+    found = written(_candidates(_postings(rows, levels, bits, words, percent, seed), percent), "candidates")
     levels.destroy()  # the executors' workers need the memory for what follows
     pairs = written(found.where(F.col("key").isNull()).select(*PAIR).distinct(), "pairs")
     many = found.where(F.col("key").isNotNull()).select("key", F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"), "n").distinct()
     classes = narrow.where("n > 0").groupBy(*NAME).agg(F.min("id").alias("first"))
     ends = pairs.select(F.explode(F.array(*(F.struct(F.col(f"{x}_hi").alias("hi"), F.col(f"{x}_lo").alias("lo")) for x in "ab"))).alias("e")).select("e.*")
     met = ends.union(many.select(*NAME)).distinct()
-    sets = written(_sets_of(rows, written(classes.join(met, NAME).select(*NAME, F.col("first").alias("id")), "wanted"), words), "partners")
+    sets = written(_sets_of(rows, written(classes.join(met, NAME).select(*NAME, F.col("first").alias("id")), "wanted"), words, seed), "partners")
     links = written(_verified(pairs, sets, percent), "links")
     forget(pairs)
     # Numbers for the names of linked classes and of those in shingles with many.
