@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import free_prefix, written
 
 #: Documents of a block, the most blocks of a schedule, documents of a hash bucket.
-BLOCK_DOCS, MOST_BLOCKS, BUCKET_DOCS = 16, 4_000_000, 50_000
+BLOCK_DOCS, MOST_BLOCKS, BUCKET_DOCS = 16, 4_000_000, 2_048
 
 
 def whole_weights(weights: dict[str, float]) -> dict[str, int]:
