@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vector import cosine
 from ..session import cut
-from .communities import lineage
+from .communities import lineage, overlaps
 from .graph import EDGE
 
 # Kinds of relations.
@@ -107,8 +108,6 @@ def naming_pass(communities: DataFrame, names: DataFrame, most: int, model: Call
 def representatives(vectors: DataFrame, centroids: DataFrame, each: int = 2, most: int = 8) -> DataFrame:
     """(community, id): the `each` statements (community, id, vector) nearest to each sub-centroid
     (community, place, centroid), filled up to `most` with those nearest to any."""
-    from ..functions.vector import cosine
-
     scores = vectors.join(centroids, "community").select("community", "id", "place", F.round(cosine(F.col("vector"), F.col("centroid")), 9).alias("score")).where("score is not null")
     near = F.row_number().over(Window.partitionBy("community", "place").orderBy(F.desc("score"), "id"))
     by_id = scores.withColumn("_n", near).groupBy("community", "id").agg(F.max(F.col("_n") <= each).alias("_first"), F.max("score").alias("_best"))
@@ -131,8 +130,6 @@ def inherited(generations: list[DataFrame], named: DataFrame, least: int = LEAST
         moved = cut(now.join(go, "community").select("new", "name", "source", "baseline", "_at"), "moved")
         keep = moved.where("source = 'user'")
         for b in range(g):  # a baseline for each earlier generation
-            from .communities import overlaps
-
             near = overlaps(generations[b], generations[g]).where(F.col("jaccard") >= least).select(F.col("old").alias("_at"), "new")
             keep = keep.union(moved.where((F.col("source") != "user") & (F.col("baseline") == b)).join(near, ["_at", "new"], "left_semi").select(*keep.columns))
         fresh = of(g)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..operators import vectors as v
-from ..operators.lexical import searched
+from ..operators.lexical import searched, top
 from .lexical import _asked, _score_sql
 from .tables import TURNS_SQL, turns
 
@@ -54,8 +54,6 @@ _HYBRID_SQL = f"""WITH {TURNS_SQL}, numbered AS (SELECT *, conversation_id * 8 +
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.lexical import top
-
     t = turns(spark, sf_dir).withColumn("n", F.col("conversation_id") * 8 + F.col("turn"))
     lex = top(searched(t, _asked(spark), ["n"], "content"), [F.desc("score"), F.col("n")], 30).drop("rank")
     sem = v.semantic_search(_vectors(spark, sf_dir).withColumnRenamed("id", "n"), _query(spark, sf_dir, [0]), 30, "n").drop("rank")
@@ -66,8 +64,6 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and vectors of the same number, full outer, fused by .45 and .55."""
     h = _hybrid(spark, sf_dir).drop("rank")
-    from ..operators.lexical import top
-
     return top(h, [F.desc("score"), F.col("n")], 30).select("n", "score", "rank")
 
 
