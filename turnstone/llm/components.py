@@ -11,13 +11,17 @@ from .common import forget, written
 MOST_ROUNDS = 64
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(v, u) for either direction of edges (lo, hi)."""
+    return edges.select(F.col("lo").alias("v"), F.col("hi").alias("u")).union(edges.select(F.col("hi").alias("v"), F.col("lo").alias("u")))
+
+
 def _told(now: DataFrame, least: DataFrame) -> DataFrame:
-    """A node v and each of its neighbours get the least node m of them as a neighbour."""
-    known = now.join(least, "v")
-    is_open = (F.col("v") != F.col("m")) & (F.col("u") != F.col("m"))  # v had more than one
-    ends = known.select("m", F.explode(F.array(F.struct(F.col("u").alias("w"), is_open.alias("open")), F.struct(F.col("v").alias("w"), F.lit(False).alias("open")))).alias("e"))
-    ways = ends.where("m <> e.w").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("e.w").alias("u")), F.struct(F.col("e.w").alias("v"), F.col("m").alias("u")))).alias("p"), "e.open")
-    return ways.groupBy("p.v", "p.u").agg(F.max("open").alias("open"))
+    """Each neighbour of a node v, and v itself, are linked with the least node m of them. now: edges (lo,
+    hi); least: (v, m). open: v was neither m nor linked with m alone."""
+    known = _both_ways(now).join(least, "v").select("m", F.col("u").alias("w"), ((F.col("v") != F.col("m")) & (F.col("u") != F.col("m"))).alias("open"))
+    ends = known.union(least.select("m", F.col("v").alias("w"), F.lit(False))).where("m <> w")
+    return ends.groupBy(F.least("m", "w").alias("lo"), F.greatest("m", "w").alias("hi")).agg(F.max("open").alias("open"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,15 +34,13 @@ def components(edges: DataFrame) -> DataFrame:
     root of a large component) adaptive execution splits. Loops and repeated edges are allowed and
     give no nodes of their own; edges with a null end are left out.
     """
-    real = edges.where("a <> b").select(F.col("a").alias("v"), F.col("b").alias("u"))
-    now = written(real.union(real.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "edges")
+    now = written(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
     for _ in range(MOST_ROUNDS):
-        least = written(now.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("m")), "least")
-        now = written(_told(now.select("v", "u"), least), "components", instead_of=now)
+        least = written(_both_ways(now).groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("m")), "least")
+        now = written(_told(now.select("lo", "hi"), least), "components", instead_of=now)
         forget(least)
         if now.where("open").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
-    roots = now.where("u < v").select(F.col("v").alias("node"), F.col("u").alias("root")).distinct()
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

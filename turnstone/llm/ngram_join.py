@@ -566,7 +566,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     if not open_keys.isEmpty():
         more = written(_rest(written(parts.join(open_keys, "key"), "open-classes"), sets, percent), "more-links")
         if not more.isEmpty():
-            groups = written(components(edges.union(more)), "groups", instead_of=groups)
+            # what is connected already takes part as its components' stars
+            groups = written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "groups", instead_of=groups)
     for table in (found, sets, parts):
         forget(table)
     # The smallest id of each component, then of each class, then of each row.
