@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_topk import top_report
+from .filter_audit import filter_audit
 from .hyper_language import language_report
 from .line_dedup import line_report
+from .merkle import manifest_report
 from .ngram_join import ngram_join
 from .nn_descent import near_vectors
 from .pfair_mix import mix_report
@@ -63,6 +65,14 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_topk": op2_exact_topk,
@@ -74,12 +84,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tree_bpe": op8_tree_bpe,
     "op9_ngram_join": op9_ngram_join,
     "op10_nn_descent": op10_nn_descent,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: What all SQL below strips from a line, and the letters that change case.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _CASE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+
+
+def _leaf(value: str) -> str:
+    """SQL of a value as part of a Merkle leaf."""
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op9_ngram_join": f"""
         WITH RECURSIVE listed AS (
@@ -169,4 +188,100 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE fields AS (
+            SELECT doc_id, source,
+                   {_leaf('doc_id')} || {_leaf('source')} || {_leaf('lang')} || {_leaf('n_chars')} AS head, text,
+                   -- the register of CRC-32 after each bit of the digits; its last bit is that of the sum, turned
+                   list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [CAST(ascii(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                       lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))) AS register
+            FROM documents
+        ), hashed AS (
+            SELECT doc_id, source, sha256(head || {_leaf('text')}) AS hash,
+                   CASE WHEN register % 2 = 1 THEN sha256(head || {_leaf("replace(text, chr(10), '')")}) END AS tampered
+            FROM fields
+        ), leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, hash) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+            FROM hashed
+        ), nodes AS (
+            SELECT source, 0 AS lvl, idx, n, hash FROM leaves
+            UNION ALL
+            SELECT source, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx)) FROM nodes WHERE n > 1
+            GROUP BY source, lvl, idx // 3, (n + 2) // 3
+        ), subroots AS (
+            SELECT source, hash, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+        ), tops AS (
+            SELECT 0 AS lvl, idx, n, hash FROM subroots
+            UNION ALL
+            SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY lvl, idx // 3, (n + 2) // 3
+        ), lower AS (
+            SELECT l.source, l.idx, n.lvl,
+                   coalesce(string_agg(n.hash, '' ORDER BY n.idx) FILTER (n.idx < l.idx // CAST(pow(3, n.lvl) AS BIGINT)), '') AS before,
+                   coalesce(string_agg(n.hash, '' ORDER BY n.idx) FILTER (n.idx > l.idx // CAST(pow(3, n.lvl) AS BIGINT)), '') AS after
+            FROM leaves l JOIN nodes n ON n.source IS NOT DISTINCT FROM l.source AND n.n > 1 AND n.idx // 3 = l.idx // CAST(pow(3, n.lvl + 1) AS BIGINT)
+            GROUP BY ALL
+        ), upper AS (
+            SELECT s.source, n.lvl + 100 AS lvl,
+                   coalesce(string_agg(n.hash, '' ORDER BY n.idx) FILTER (n.idx < s.idx // CAST(pow(3, n.lvl) AS BIGINT)), '') AS before,
+                   coalesce(string_agg(n.hash, '' ORDER BY n.idx) FILTER (n.idx > s.idx // CAST(pow(3, n.lvl) AS BIGINT)), '') AS after
+            FROM subroots s JOIN tops n ON n.n > 1 AND n.idx // 3 = s.idx // CAST(pow(3, n.lvl + 1) AS BIGINT)
+            GROUP BY s.source, s.idx, n.lvl
+        ), steps AS (
+            SELECT source, idx, before, after, row_number() OVER (PARTITION BY source, idx ORDER BY lvl) AS step
+            FROM (FROM lower UNION ALL SELECT u.source, l.idx, u.lvl, u.before, u.after FROM upper u JOIN leaves l ON l.source IS NOT DISTINCT FROM u.source)
+        ), folds AS (
+            SELECT source, idx, 0 AS step, coalesce(tampered, hash) AS hash FROM leaves
+            UNION ALL
+            SELECT f.source, f.idx, s.step, sha256(s.before || f.hash || s.after)
+            FROM folds f JOIN steps s ON s.source IS NOT DISTINCT FROM f.source AND s.idx = f.idx AND s.step = f.step + 1
+        ), last AS (
+            SELECT source, idx, arg_max(hash, step) AS folded_root FROM folds GROUP BY source, idx
+        ), proofs AS (
+            SELECT source, idx, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY source, idx
+        )
+        SELECT l.doc_id, l.hash AS leaf, s.hash AS subroot, t.hash AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+               f.folded_root, f.folded_root = t.hash AS verified
+        FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN tops t ON t.n = 1
+             JOIN last f ON f.source IS NOT DISTINCT FROM l.source AND f.idx = l.idx
+             LEFT JOIN proofs p ON p.source IS NOT DISTINCT FROM l.source AND p.idx = l.idx
+    """,
+    "op13_filter_audit": """
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+        ), worded AS (
+            SELECT *, regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM texts
+        ), failed AS (
+            SELECT doc_id, part, [len(w) < 50, 100 * list_unique(w) < 65 * len(w), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text),
+                   regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS f
+            FROM worded
+        ), told AS (
+            SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+        ), docs AS (
+            SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM failed LEFT JOIN told USING (doc_id)
+        ), orders AS (
+            SELECT '' AS filter_order
+            UNION ALL
+            SELECT o.filter_order || x FROM orders o, unnest(['A', 'B', 'C', 'D', 'E']) AS t(x) WHERE NOT contains(o.filter_order, x)
+        ), steps AS (
+            SELECT filter_order, CAST(step AS INTEGER) AS step, list_transform(string_split(left(filter_order, step - 1), ''), lambda x: ascii(x) - 64) AS earlier,
+                   ascii(filter_order[step]) - 64 AS own
+            FROM orders, range(1, 6) AS t(step) WHERE length(filter_order) = 5
+        ), masks AS (
+            SELECT part, f, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM docs GROUP BY part, f
+        ), marked AS (
+            SELECT part, filter_order, step, own, n, n_good, n_toxic, f[own] AS fails, len(list_filter(f, lambda x: x)) AS all_fails,
+                   len(list_filter(earlier, lambda x: f[x])) > 0 AS gone
+            FROM masks, steps
+        ), counted AS (
+            SELECT part, filter_order, step, own,
+                   CAST(coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS BIGINT) AS kept,
+                   CAST(coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS BIGINT) AS removed,
+                   CAST(coalesce(sum(n) FILTER (gone AND fails), 0) AS BIGINT) AS redundant,
+                   CAST(coalesce(sum(n) FILTER (fails AND all_fails = 1), 0) AS BIGINT) AS unique_fails,
+                   CAST(coalesce(sum(n_good) FILTER (NOT gone AND fails), 0) AS BIGINT) AS good_lost,
+                   CAST(coalesce(sum(n_toxic) FILTER (NOT gone AND fails), 0) AS BIGINT) AS toxic_lost
+            FROM marked GROUP BY part, filter_order, step, own
+        )
+        SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM counted
+    """,
 }
