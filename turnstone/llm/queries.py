@@ -14,6 +14,7 @@ from .line_dedup import line_report
 from .merkle import manifest_report
 from .ngram_join import ngram_join
 from .nn_descent import near_vectors
+from .passage_quality import quality_report
 from .pfair_mix import mix_report
 from .pii import pii_report
 from .token_counts import token_counts
@@ -65,6 +66,10 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_report(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tree_bpe": op8_tree_bpe,
     "op9_ngram_join": op9_ngram_join,
     "op10_nn_descent": op10_nn_descent,
+    "op11_passage_quality": op11_passage_quality,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_filter_audit": op13_filter_audit,
 }
