@@ -28,9 +28,12 @@ def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language is found: those that are null or have no letters."""
+    """Gives each document the language that is found in its text, whatever it was labelled with, and
+    rejects those in which none is found: texts that are null or have no letters. A low cosine is no
+    ground to reject: a few clean words have one too."""
     found = predict(_packed(docs), learn(docs.where(~held_out())), keep=("text", "rest"))
-    return _unpacked(found.where(F.col("lang_pred") != UNKNOWN), docs)
+    kept = found.where(F.col("lang_pred") != UNKNOWN)
+    return kept.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(c) if c in ("doc_id", "text") else F.col(f"rest.{c}") for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,23 +59,24 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _positions(docs: DataFrame) -> DataFrame:
-    """docs, read from files that follow the mix, with mix_position (from 0): the rows of the files
-    before by part number, and the row's index in its own. Readers open files in any order."""
+    """(doc_id, text, lang, mix_position) of docs read from files that follow the mix: mix_position (from
+    0) counts the rows of the files before by part number, and those before in its own. Readers open
+    files in any order."""
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
     own = free_prefix(docs)
-    rows = docs.select("doc_id", "text", part.alias(own + "part"), F.col("_metadata.row_index").alias(own + "row"))
+    rows = docs.select("doc_id", "text", "lang", part.alias(own + "part"), F.col("_metadata.row_index").alias(own + "row"))
     before, begins = 0, []
     for number, n in sorted(tuple(r) for r in rows.groupBy(own + "part").count().collect()):  # one for each file
         begins.append((number, before))
         before += n
     begins = docs.sparkSession.createDataFrame(begins, f"{own}part long, {own}begin long")
-    return rows.join(F.broadcast(begins), own + "part").select("doc_id", "text", (F.col(own + "begin") + F.col(own + "row")).alias("mix_position"))
+    return rows.join(F.broadcast(begins), own + "part").select("doc_id", "text", "lang", (F.col(own + "begin") + F.col(own + "row")).alias("mix_position"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, digests of them and of the bytes that they decode to, and its
-    place in the mix (mix_position)."""
-    return encode_decode(_positions(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True, keep=("mix_position",))
+    """Token ids of each document, digests of them and of the bytes that they decode to, its language
+    and its place in the mix (mix_position)."""
+    return encode_decode(_positions(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=True, keep=("lang", "mix_position"))
 
 
 STAGES = [
