@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its stages."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -46,6 +47,15 @@ def test_run(docs, empty_docs, spark, texts, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_language_is_what_is_found(spark, tmp_path):
+    """Labels of the fold that isn't learned from have no say, a few words are enough to stay."""
+    words = {"en": "the and of that with this from have", "de": "der und nicht werden ich sie mit auch"}
+    rows = [(i, " ".join(words["en" if i % 2 else "de"].split()[k % 8] for k in range(i, i + 40)), "en" if i % 2 else "de", "a", 1) for i in range(60)]
+    rows = [(*r[:2], "xx" if zlib.crc32(str(r[0]).encode()) % 4 == 2 else r[2], *r[3:]) for r in rows] + [(100, "und", None, "a", 1), (101, "12 ..", "en", "a", 1), (102, None, "en", "a", 1)]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    assert got == {i: "en" if i % 2 else "de" for i in range(60)} | {100: "de"}
+
+
 def test_rows_follow_the_mix(spark, tmp_path):
     from turnstone.llm.pfair_mix import mix_sources
 
