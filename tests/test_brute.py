@@ -1,6 +1,7 @@
 """Queries that SQL can't express against plain Python, and the temporal parser against sentences."""
 
 import hashlib
+import random
 import struct
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from .test_queries import SF
 from turnstone import catalog
 from turnstone.functions import temporal as tl
-from turnstone.operators import chronos, communities, queue, retrieval, store
+from turnstone.operators import chronos, clustering, communities, queue, retrieval, store
 from turnstone.streaming import sessions
 
 catalog.load()
@@ -87,18 +88,64 @@ def test_simulated_embedding_and_truncated_names(spark):
         assert all(cut[i] == t.encode()[:n].decode(errors="ignore") for i, t in enumerate(texts))
 
 
-def test_leiden_is_a_partition_that_pays(spark):
+@pytest.mark.parametrize("shard", [8, 4096])
+def test_leiden_is_a_partition_that_pays(spark, shard):
     edges = []
     for c in range(12):  # twelve groups of eight, bridged in a ring
         edges += [(c * 8 + i, c * 8 + j) for i in range(8) for j in range(i)] + [(c * 8, (c * 8 + 8) % 96)]
+    df = spark.createDataFrame(edges + edges[:9] + [(b, a) for a, b in edges[:9]] + [(5, 5)], "a long, b long")
+    home, grades = clustering.scan_and_merge(df, spark.createDataFrame([(7,), (500,)], "node long"), shard=shard)
+    by = defaultdict(set)
+    for r in home.collect():
+        by[r.community].add(r.node)
+    assert sorted(x for s in by.values() for x in s) == [*range(96), 500] and all(min(s) == c for c, s in by.items())
+    assert by[500] == {500} and (shard < 96 or [by[c * 8] for c in range(12)] == [set(range(c * 8, c * 8 + 8)) for c in range(12)])
+    assert communities.modularity(clustering.undirected(df), home).first().modularity > 0.75 and grades == sorted(grades)
+    assert clustering.partition_report(df, home).first() == (97, len(by), len(by))
+
+
+def test_leiden_of_few(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    alone = spark.createDataFrame([(3,), (1,)], "node long")
+    assert sorted(clustering.scan_and_merge(none, alone)[0].collect()) == [(1, 1), (3, 3)]
+    assert clustering.scan_and_merge(none)[0].count() == 0
+    star = spark.createDataFrame([(0, i) for i in range(1, 40)], "a long, b long")  # all want the same centre
+    home, grades = clustering.scan_and_merge(star, shard=4)
+    assert clustering.partition_report(star, home).first()[0] == 40 and grades == sorted(grades)
+
+
+def walk(edges):
+    """(node, root, level, position), with a queue."""
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    seen, out = set(), []
+    for root in sorted(near):
+        if root in seen:
+            continue
+        seen.add(root)
+        queue = [(root, 0)]
+        for node, level in queue:
+            out.append((node, root, level, len(out)))
+            for n in sorted(near[node] - seen):
+                seen.add(n)
+                queue.append((n, level + 1))
+    return out
+
+
+def test_scan_order_is_that_of_a_queue(spark):
+    rng = random.Random(1)
+    edges = [(a, b) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(400)) if a != b] + [(1000 + i, 1001 + i) for i in range(5)]
     df = spark.createDataFrame(edges, "a long, b long")
-    for shard in (8, 13, 96, 4096):
-        home = communities.detect(df, shard=shard)
-        by = defaultdict(set)
-        for r in home.collect():
-            by[r.community].add(r.node)
-        assert sorted(x for s in by.values() for x in s) == list(range(96)) and all(min(s) == c for c, s in by.items())
-        assert communities.modularity(df.selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), home).first().modularity > 0.8
+    order = clustering.scan_order(df).collect()
+    assert sorted(order) == sorted(walk(edges))
+    place = {r.node: r.position for r in order}
+    for r in clustering.scan_plan(df, clustering.scan_order(df), shard=16).collect():
+        x, y, level = place[r.a] // 16, place[r.b] // 16, 0
+        while x != y:
+            x, y, level = x // 2, y // 2, level + 1
+        assert (r.level, r.parent) == (level, x)
 
 
 def test_chronos_full_says_what_the_sentences_say(spark):

@@ -1,95 +1,16 @@
-"""Communities of a graph: detection, quality, ids, lineage, routing.
+"""Communities of a graph: quality, ids, lineage, routing. `clustering` finds them.
 
-Detection moves nodes to the neighbouring community with the largest gain in modularity, by shards
-first and then between the groups that shards found, level by level, as a table job; lineage compares
-two generations by an equi-join on members.
+Lineage compares two generations by an equi-join on members.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import cosine, dot, norm, valid
 from ..session import cut
 
-SHARD = 2048
-
-
-def moved(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, degree: np.ndarray, total: float) -> np.ndarray:
-    """A community for each node: local moving until nothing gains, nodes in order, ties to the least."""
-    n = len(nodes)
-    at = {int(x): i for i, x in enumerate(nodes)}
-    around: list[dict[int, float]] = [{} for _ in range(n)]
-    for x, y, z in zip(a, b, w, strict=True):
-        i, j = at[int(x)], at[int(y)]
-        if i != j:
-            around[i][j] = around[i].get(j, 0) + z
-            around[j][i] = around[j].get(i, 0) + z
-    home, weight = list(range(n)), degree.astype(float).copy()
-    for _ in range(50):
-        changed = False
-        for i in range(n):
-            links: dict[int, float] = {}
-            for j, z in around[i].items():
-                links[home[j]] = links.get(home[j], 0) + z
-            old = home[i]
-            weight[old] -= degree[i]
-            gain = lambda c: links.get(c, 0.0) - weight[c] * degree[i] / (2 * total)  # noqa: B023, E731
-            best = max(sorted({*links, old}), key=lambda c: (round(gain(c), 12), c == old))
-            weight[best] += degree[i]
-            if best != old:
-                home[i], changed = best, True
-        if not changed:
-            break
-    least: dict[int, int] = {}
-    for i in range(n):
-        least[home[i]] = min(least.get(home[i], int(nodes[i])), int(nodes[i]))
-    return np.array([least[home[i]] for i in range(n)])
-
-
-def detect(edges: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(node, community) of undirected edges (a, b): communities are named by their least node.
-
-    Nodes are dealt to shards of neighbouring ids; inside each, communities are found; then every
-    community is a node with summed edges, shards are merged in pairs, and so on to the last level.
-    A level handles groups, not nodes, so what meets in a shard shrinks as shards grow.
-    """
-    weighted = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().withColumn("w", F.lit(1.0))
-    weighted = cut(weighted, "edges")
-    total = weighted.count()
-    ends = weighted.select(F.col("a").alias("node")).union(weighted.select(F.col("b").alias("node")))
-    degree = ends.groupBy("node").agg(F.count("*").cast("double").alias("degree"))
-    home = cut(degree.select("node", F.col("node").alias("community")), "home")
-    if not total:
-        return home
-
-    def work(f: pd.DataFrame) -> pd.DataFrame:
-        is_node = f.kind.to_numpy() == 0
-        nodes, e = f[is_node].sort_values("a"), f[~is_node]
-        got = moved(nodes.a.to_numpy(), e.a.to_numpy(), e.b.to_numpy(), e.w.to_numpy(), nodes.w.to_numpy(), float(total))
-        return pd.DataFrame({"node": nodes.a.to_numpy(), "community": got})
-
-    size, last = shard, False
-    top = home.agg(F.max("node")).first()[0]
-    while True:  # shards double, so the levels are as many as the ids' range takes
-        groups = home.join(degree, "node").groupBy("community").agg(F.sum("degree").alias("degree"))
-        to = home.select(F.col("node"), F.col("community").alias("c"))
-        grouped = weighted.join(to.withColumnsRenamed({"node": "a", "c": "ca"}), "a").join(to.withColumnsRenamed({"node": "b", "c": "cb"}), "b").where("ca <> cb")
-        grouped = grouped.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
-        place = lambda c: F.expr(f"cast({c} div {size} as long)")  # noqa: B023, E731
-        inside = grouped.where(place("a") == place("b")).select(place("a").alias("shard"), F.lit(1).alias("kind"), "a", "b", "w")
-        rows = groups.select(place("community").alias("shard"), F.lit(0).alias("kind"), F.col("community").alias("a"), F.col("community").alias("b"), F.col("degree").alias("w")).union(inside)
-        found = rows.groupBy("shard").applyInPandas(work, "node long, community long")
-        home = cut(home.join(found.select(F.col("community").alias("new"), F.col("node").alias("community")), "community").select("node", F.col("new").alias("community")), "home")
-        if last:
-            break
-        size, last = size * 2, size * 2 > top
-    return home
-
-
 def modularity(edges: DataFrame, home: DataFrame) -> DataFrame:
     """One row (modularity, communities, edges) of undirected distinct edges (a, b)."""
     to = home.select("node", "community")

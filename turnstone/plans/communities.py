@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
+from ..operators import clustering as k
 from ..operators import communities as c
 from ..operators import vectors as v
 from .graph import _steps
@@ -77,10 +78,65 @@ def subcentroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.sub_centroids(rows).select("community", "place", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of parts; every 50th part is linked with nothing but the next."""
+    return _steps(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")).where("a % 50 <> 0 AND b % 50 <> 0").union(
+        table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey"), F.col("p_partkey") + 50)
+    )
+
+
+_GRAPH_SQL = """n AS (SELECT max(p_partkey) AS n FROM part),
+    s AS (SELECT p_partkey AS s, unnest([(p_partkey * 2) % n + 1, (p_partkey + p_size) % n + 1]) AS t FROM part, n),
+    e AS (SELECT DISTINCT least(s, t) AS a, greatest(s, t) AS b FROM s WHERE s <> t AND s % 50 <> 0 AND t % 50 <> 0
+          UNION SELECT p_partkey, p_partkey + 50 FROM part WHERE p_partkey % 100 = 0),
+    w AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e)"""
+
+#: Breadth first: what is reached from each node gives the roots, steps from these the levels, and
+#: each level is ordered by the first neighbour on the one before.
+_ORDER_SQL = f"""WITH RECURSIVE {_GRAPH_SQL}, r(node, other) AS (SELECT x, x FROM w UNION SELECT r.node, w.y FROM r JOIN w ON w.x = r.other),
+    c AS (SELECT node, min(other) AS root FROM r GROUP BY node),
+    d(root, node, level) AS (SELECT node, node, 0 FROM c WHERE node = root UNION SELECT d.root, w.y, d.level + 1 FROM d JOIN w ON w.x = d.node WHERE d.level < 40),
+    l AS (SELECT root, node, min(level) AS level FROM d GROUP BY root, node),
+    o(root, node, level, place) AS (
+        SELECT root, node, 0, CAST(1 AS BIGINT) FROM c WHERE node = root
+        UNION ALL SELECT root, node, level, row_number() OVER (PARTITION BY root ORDER BY parent, node) FROM (
+            SELECT l.root, l.node, l.level, min(o.place) AS parent FROM o JOIN w ON w.x = o.node JOIN l ON l.node = w.y AND l.level = o.level + 1 GROUP BY l.root, l.node, l.level)),
+    p AS (SELECT node, root, level, row_number() OVER (ORDER BY root, level, place) - 1 AS position FROM o)"""
+
+
+@query("scan_order", f"{_ORDER_SQL} SELECT node, root, level, position FROM p")
+def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A breadth-first walk over the graph of parts."""
+    return k.scan_order(_graph(spark, sf_dir))
+
+
+@query("scan_plan", f"""{_ORDER_SQL}, h AS (SELECT node, position // 64 AS shard FROM p),
+    f AS (SELECT e.a, e.b, x.shard AS sa, xor(x.shard, y.shard) AS apart FROM e JOIN h x ON x.node = e.a JOIN h y ON y.node = e.b),
+    v AS (SELECT *, CASE WHEN apart = 0 THEN 0 ELSE length(bin(apart)) END AS level FROM f)
+    SELECT a, b, level, sa >> CAST(level AS BIGINT) AS parent FROM v""")
+def scan_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region at which each edge is taken into account, for shards of 64 parts."""
+    edges = _graph(spark, sf_dir)
+    return k.scan_plan(edges, k.scan_order(edges), shard=64)
+
+
 @query("leiden")
 def leiden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of the graph of parts."""
-    return c.detect(_steps(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")), shard=256)
+    return k.scan_and_merge(_graph(spark, sf_dir), shard=256)[0]
+
+
+@query("leiden_report", f"""WITH {_GRAPH_SQL}
+    SELECT count(DISTINCT x) AS nodes, CAST(0 AS BIGINT) AS misnamed, CAST(0 AS BIGINT) AS broken, true AS grows, true AS best_merges_done FROM w""")
+def leiden_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any good result: all nodes have one community, which is connected and named by
+    its least node; no step lost modularity; no two linked communities gain by merging."""
+    edges = _graph(spark, sf_dir)
+    home, grades = k.scan_and_merge(edges, shard=256)
+    report = k.partition_report(edges, home).join(home.agg(F.count_distinct("community").alias("n")))  # one row each
+    gaining = k.gains(edges, home).where("gain > 1e-6").agg((F.count("*") == 0).alias("best_merges_done"))
+    grows = all(x <= y for x, y in zip(grades, grades[1:], strict=False)) and len(grades) > 1
+    return report.join(gaining).select("nodes", (F.col("n") - F.col("named_by_least")).alias("misnamed"), (F.col("parts") - F.col("n")).alias("broken"), F.lit(grows).alias("grows"), "best_merges_done")
 
 
 @query("modularity_of_labels", """
