@@ -11,6 +11,7 @@ from ..catalog import query, table
 from ..operators import queue as q
 from ..operators.lifecycle import claim_order
 from ..session import scratch
+from ..streaming import live
 from ..streaming import sessions as s
 from .lifecycle import _work
 from .streams import _run
@@ -53,6 +54,35 @@ def queue_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.transitions(_items(spark, sf_dir), c)
 
 
+@query("work_stream", f"""WITH {_WORK_SQL}, q AS (SELECT w.*, e.user_id FROM w JOIN events e ON event_id = episode_id WHERE event_id % 7 <> 0),
+    c AS (SELECT *, ['renew', 'fail', 'terminal', 'complete', 'retry'][CAST(user_id % 5 + 1 AS INTEGER)] AS op, 't' || user_id % 10 AS t, CASE WHEN user_id % 3 = 0 THEN 30 ELSE 120 END AS until, CASE WHEN user_id % 4 = 0 THEN '' ELSE 'why' END AS reason FROM q),
+    j AS (SELECT *, coalesce(state = 'processing' AND token = t AND lease_until > 40, false) AS held FROM c),
+    o AS (SELECT *, CASE WHEN op = 'retry' AND state = 'terminal' THEN 'done' WHEN op = 'retry' THEN 'not terminal' WHEN NOT held THEN 'no live lease' WHEN op = 'renew' AND until <= lease_until THEN 'not later'
+            WHEN op = 'fail' AND (reason = '' OR until <= 40) THEN 'invalid' WHEN op = 'terminal' AND reason = '' THEN 'invalid' ELSE 'done' END AS outcome FROM j),
+    s AS (SELECT episode_id, op, outcome, CASE WHEN outcome <> 'done' OR op = 'renew' THEN state ELSE CASE op WHEN 'fail' THEN 'failed' WHEN 'terminal' THEN 'terminal' WHEN 'complete' THEN 'complete' ELSE 'pending' END END AS state,
+        CASE WHEN outcome <> 'done' OR op = 'renew' THEN token END AS token, CASE WHEN outcome <> 'done' THEN lease_until WHEN op = 'renew' THEN until END AS lease_until,
+        CASE WHEN outcome <> 'done' OR op = 'renew' THEN retry_after WHEN op = 'fail' THEN until END AS retry_after,
+        CASE WHEN outcome <> 'done' THEN error WHEN op IN ('fail', 'terminal') THEN reason WHEN op = 'retry' THEN NULL ELSE error END AS error, coalesce(state = 'processing' AND lease_until <= 40 OR state = 'failed' AND retry_after <= 40, false) AS ripe FROM o)
+    SELECT episode_id, op, outcome, state, token, CAST(1000 * lease_until AS BIGINT) AS lease_until, CAST(1000 * retry_after AS BIGINT) AS retry_after, error FROM s
+    UNION ALL SELECT episode_id, 'claim', CASE WHEN state IN ('terminal', 'complete') THEN 'not ready' ELSE 'done' END, CASE WHEN state IN ('terminal', 'complete') THEN state ELSE 'processing' END,
+        CASE WHEN state IN ('pending', 'failed', 'processing') THEN sha256(episode_id || ':1:w') END, CASE WHEN state IN ('pending', 'failed', 'processing') THEN 900000 END, NULL, CASE WHEN state IN ('terminal', 'complete') THEN error END FROM s""")
+def work_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commands of `queue_transitions` at second 40 as a stream over the same work as its first state; at
+    second 500, when every lease has lapsed and every retry has come, each work is claimed."""
+    ev, u = table(spark, sf_dir, "events").where("event_id % 7 <> 0"), F.col("user_id")
+    op = F.element_at(F.array(*map(F.lit, ("renew", "fail", "terminal", "complete", "retry"))), (u % 5 + 1).cast("int"))
+    until = F.when(u % 3 == 0, 30).otherwise(120).cast("long") * 1000
+    first = ev.select(F.col("event_id").alias("episode_id"), F.lit(0).cast("long").alias("sequence"), op.alias("op"), F.concat(F.lit("t"), (u % 10).cast("string")).alias("token"), F.timestamp_seconds(F.lit(40)).alias("at"), until.alias("until"), F.when(u % 4 == 0, " ").otherwise("why").alias("reason"))
+    claims = first.select("episode_id", F.lit(1).cast("long").alias("sequence"), F.lit("claim").alias("op"), F.lit("w").alias("token"), F.timestamp_seconds(F.lit(500)).alias("at"), F.lit(900_000).cast("long").alias("until"), F.lit(None).cast("string").alias("reason"))
+    held = _items(spark, sf_dir).withColumns({"attempt": F.lit(0).cast("long"), "lease_until": F.col("lease_until") * 1000, "retry_after": F.col("retry_after") * 1000})
+    path = f"{scratch(spark)}/commands-{uuid.uuid4().hex}"
+    first.coalesce(1).write.parquet(path)
+    claims.coalesce(1).write.mode("append").parquet(path)
+    # files come by their time: the commands of second 40 are the first batch
+    stream = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _run(live.work_stream(stream, held)).where("sequence >= 0").drop("sequence", "attempt")
+
+
 @query("work_claim", """
     WITH w AS (SELECT event_id, user_id % 3 AS priority, epoch_us(ts) // 86400000000 AS source_time, event_type, event_id % 100 AS lease_until, event_id % 70 AS retry_after FROM events),
     p AS (SELECT event_id, row_number() OVER (ORDER BY priority, source_time, event_id) AS place FROM w WHERE event_type = 'view' OR (event_type = 'click' AND lease_until <= 50) OR (event_type = 'error' AND retry_after <= 50))

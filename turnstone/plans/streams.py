@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..session import scratch
 from ..sources.jsonl import ingested
+from ..streaming import live, receipts
 from ..streaming import sessions as s
 from .tables import micros, turns
 
@@ -51,21 +52,68 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
+def _in_batches(df: DataFrame, n: int, seed: int = 5) -> DataFrame:
+    """df as a stream of n files of rows in no order, a file a batch."""
+    path = f"{scratch(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    df.repartition(n, F.xxhash64(*df.columns, F.lit(seed))).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_AT = F.timestamp_seconds(F.lit(1_700_000_000))
+
+
 @query("stream_assemble", """
     SELECT conv_id || ':' || turn AS message_id, CASE WHEN turn % 5 = 4 THEN 'cancel' ELSE 'complete' END AS state, text, 2 AS chunks,
            CASE WHEN role = 'user' THEN 'a' || turn || ',b' || conv_id ELSE '' END AS files FROM conversations WHERE turn % 7 <> 6""")
 def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns sent as a beginning, two chunks (one twice), the user's with two files, and an end; some never end."""
+    """Turns sent as a beginning, two chunks (one twice), the user's with two files, and an end, in three
+    shuffled batches; some never end."""
     t = table(spark, sf_dir, "conversations")
     half = F.floor(F.char_length("text") / 2).cast("int")
-    part = lambda n, kind, text: F.struct(F.lit(n).alias("sequence"), kind.alias("kind"), text.alias("text"))
-    text, none = F.lit("text"), F.lit(None).cast("string")
+    part = lambda n, kind, text: F.struct(n.alias("sequence"), kind.alias("kind"), text.alias("text"))
+    text, none, user = F.lit("text"), F.lit(None).cast("string"), F.col("role") == "user"
     end = F.when(F.col("turn") % 5 == 4, "cancel").otherwise("complete")
-    parts = F.array(part(2, text, F.substr("text", half + 1)), part(0, F.lit("begin"), none), part(1, text, F.substr("text", F.lit(1), half)), part(1, text, F.substr("text", F.lit(1), half)), part(5, end, none), part(4, F.lit("attach"), F.concat(F.lit("b"), "conv_id")), part(3, F.lit("attach"), F.concat(F.lit("a"), "turn")))
-    rows = t.select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), "turn", "role", F.explode(parts).alias("p")).where("(turn % 7 <> 6 or p.sequence < 3) and (role = 'user' or p.kind <> 'attach')").select("message_id", "p.*")
-    folder = f"{scratch(spark)}/parts-{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
-    return _run(s.assembled(spark.readStream.schema(rows.schema).parquet(folder)))
+    first = part(F.lit(1), text, F.substr("text", F.lit(1), half))
+    files = F.when(user, F.array(part(F.lit(3), F.lit("attach"), F.concat(F.lit("a"), "turn")), part(F.lit(4), F.lit("attach"), F.concat(F.lit("b"), "conv_id"))))
+    parts = F.concat(F.array(part(F.lit(0), F.lit("begin"), none), first, first, part(F.lit(2), text, F.substr("text", half + 1)), part(F.when(user, 5).otherwise(3), end, none)), F.coalesce(files, F.array().cast("array<struct<sequence:int,kind:string,text:string>>")))
+    rows = t.select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), "turn", F.explode(parts).alias("p")).where("turn % 7 <> 6 or p.sequence < 3").select("message_id", "p.*", _AT.alias("at"))
+    return _run(live.assembled(_in_batches(rows.withColumn("n", F.monotonically_increasing_id()), 3).drop("n")))
+
+
+@query("live_sessions", """
+    WITH t AS (SELECT conv_id AS session, turn, conv_id || ':' || turn AS id, text, turn % 5 = 4 AS dropped, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+    k AS (SELECT session, turn, id, text, lag(id) OVER (PARTITION BY session ORDER BY turn) AS parent FROM t WHERE NOT dropped)
+    SELECT session, CAST(6 * turn + 5 AS BIGINT) AS sequence, 'turn' AS outcome, id AS message_id, parent, text, 'f' || turn AS files FROM k
+    UNION ALL SELECT t.session, 6 * t.turn + 5, 'cancelled', t.id, (SELECT max_by(k.id, k.turn) FROM k WHERE k.session = t.session AND k.turn < t.turn), NULL, NULL FROM t WHERE dropped
+    UNION ALL SELECT session, 6 * turn + 2, 'in progress', 'other', NULL, NULL, NULL FROM t
+    UNION ALL SELECT session, 6 * turn + 6, 'nothing in progress', id, NULL, NULL, NULL FROM t
+    UNION ALL SELECT session, 0, 'opened', NULL, NULL, NULL, NULL FROM t WHERE turn = 0
+    UNION ALL SELECT t.session, 6 * n + 1, 'closed', (SELECT max_by(k.id, k.turn) FROM k WHERE k.session = t.session), NULL, NULL, NULL FROM t WHERE turn = 0
+    UNION ALL SELECT session, 6 * n + 2, 'unknown session', 'last', NULL, NULL, NULL FROM t WHERE turn = 0""")
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as live sessions in four shuffled batches, each event of an odd turn twice: a turn
+    begins, another can't, a text, a file, its end, and a text too late; the session is closed at last."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text", F.count("*").over(Window.partitionBy("conv_id")).alias("n"))
+    id_, none = F.concat_ws(":", "conv_id", "turn"), F.lit(None).cast("string")
+    ev = lambda k, op, message, text=none: F.struct((k if not isinstance(k, int) else F.col("turn") * 6 + k).cast("long").alias("sequence"), F.lit(op).alias("op"), message.alias("message_id"), text.alias("text"))
+    end = F.when(F.col("turn") % 5 == 4, F.struct((F.col("turn") * 6 + 5).alias("sequence"), F.lit("cancel").alias("op"), id_.alias("message_id"), none.alias("text"))).otherwise(ev(5, "complete", id_))
+    own = F.array(ev(1, "begin", id_), ev(2, "begin", F.lit("other")), ev(3, "text", id_, F.col("text")), ev(4, "attach", id_, F.concat(F.lit("f"), "turn")), end, ev(6, "text", id_, F.lit("late")))
+    ends = F.array(ev(F.lit(0), "open", none), ev(F.col("n") * 6 + 1, "close", none), ev(F.col("n") * 6 + 2, "begin", F.lit("last")))
+    twice = F.when(F.col("turn") % 2 == 1, F.concat(own, own)).when(F.col("turn") == 0, F.concat(own, ends)).otherwise(own)
+    rows = t.select(F.col("conv_id").alias("session"), F.explode(twice).alias("e")).select("session", "e.*", _AT.alias("at"), F.monotonically_increasing_id().alias("k"))
+    return _run(live.live_sessions(_in_batches(rows, 4)))
+
+
+@query("receipt_stream", """
+    WITH a AS (SELECT user_id AS episode_id, CAST(event_id % 5 AS BIGINT) AS attempt, event_type AS result FROM events)
+    SELECT episode_id, max(attempt) AS attempt, max(result) FILTER (WHERE attempt = m) AS result FROM (SELECT *, max(attempt) OVER (PARTITION BY episode_id) AS m FROM a) GROUP BY 1""")
+def receipt_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of a stream of three batches in a table, the last batch tried once more."""
+    a = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"), (F.col("event_id") % 5).alias("attempt"), F.col("event_type").alias("result"), F.col("event_id").alias("k"))
+    path = f"{scratch(spark)}/receipts-{uuid.uuid4().hex}"
+    receipts.receipt_stream(_in_batches(a, 3).drop("k"), path, buckets=8).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    receipts.apply_batch(path, a.limit(5).withColumn("attempt", F.lit(99).cast("long")), receipts.entries(spark, path)[-1])
+    return receipts.current(spark, path, "episode_id long, attempt long, result string")
 
 
 @query("queue_state", """

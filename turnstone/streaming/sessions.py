@@ -1,4 +1,5 @@
-"""Structured Streaming: sessions by inactivity, assembled messages, a work queue with leases."""
+"""Sessions by inactivity and by control events, recovery, windows and episodes with state, leases and
+receipts as tables. `live` has what needs timers, `receipts` the table that a stream writes."""
 
 from __future__ import annotations
 
@@ -30,38 +31,6 @@ def session_stream(events: DataFrame, key: str, time: str, gap: int = GAP, late:
     return events.withWatermark(time, late).groupBy(key, w.alias("w")).agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("n")).select(key, "start", "end", "n")
 
 
-_MESSAGE = "message_id string, state string, text string, chunks int, files string"
-
-
-def assembled(parts: DataFrame) -> DataFrame:
-    """Streaming: messages from (message_id, sequence, kind, text) with kind begin, text, attach (text: a
-    file), complete, cancel or interrupt: a row when a message ends, with its files in order. A repeated
-    part is ignored, one that contradicts an earlier part of its sequence makes the message a conflict.
-    State: the parts so far."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[str, str]] = {}
-        if state.exists:
-            seqs, kinds, texts = state.get
-            held = {s: (k, t) for s, k, t in zip(seqs, kinds, texts, strict=True)}
-        conflict = False
-        for f in frames:
-            for r in f.itertuples(index=False):
-                part = (r.kind, r.text or "")
-                conflict |= held.setdefault(int(r.sequence), part) != part
-        ends = [k for k, _ in held.values() if k in ("complete", "cancel", "interrupt")]
-        if conflict or ends:
-            text = "".join(t for _, (k, t) in sorted(held.items()) if k == "text")
-            files = ",".join(t for _, (k, t) in sorted(held.items()) if k == "attach")
-            state.remove()
-            yield pd.DataFrame([(key[0], "conflict" if conflict else ends[0], text, sum(k == "text" for k, _ in held.values()), files)], columns=["message_id", "state", "text", "chunks", "files"])
-        else:
-            order = sorted(held)
-            state.update((order, [held[s][0] for s in order], [held[s][1] for s in order]))
-
-    return parts.groupBy("message_id").applyInPandasWithState(update, _MESSAGE, "seqs array<int>, kinds array<string>, texts array<string>", "append", "NoTimeout")
-
-
 def claim(ready: DataFrame, worker: str, now: int, lease: int, n: int) -> DataFrame:
     """The first n rows of claimable work (place, episode_id, attempt) leased to a worker: a token hashes
     work, attempt and worker, so a repeated claim gives the same."""
@@ -98,7 +67,7 @@ def open_sessions(log: DataFrame) -> DataFrame:
     and change nothing."""
     w = Window.partitionBy("session").orderBy("sequence")
     # open and close alternate in effect: what holds before a row is the last effective one of the two
-    marks = log.where("op in ('open', 'close')").withColumn("_same", F.coalesce(F.lag("op").over(w), F.lit("close")) == F.col("op"))
+    marks = log.where("op in ('open', 'close')")
     is_open = F.last(F.when(F.col("op").isin("open", "close"), F.col("op") == "open"), ignorenulls=True)
     rows = log.withColumn("_before", F.coalesce(is_open.over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     bad = ((F.col("op") == "open") & F.col("_before")) | ((F.col("op") != "open") & ~F.col("_before"))
