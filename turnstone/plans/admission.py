@@ -157,14 +157,14 @@ def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumnRenamed("turn", "k").withColumnRenamed("said", "turn").withColumn("problem", a.candidate_problem()).select("conversation_id", F.col("k").alias("turn"), "problem")
 
 
-@query("extraction", f"""WITH {TURNS_SQL}, c AS (SELECT conversation_id AS episode, id, role, CAST(turn % 2 AS INTEGER) AS k FROM turns WHERE turn < 4)
+@query("extraction", f"""WITH {TURNS_SQL}, c AS (SELECT conversation_id AS episode, id, role, CAST(turn % 2 AS INTEGER) AS k FROM turns WHERE turn < 64)
     SELECT 'accepted' AS outcome, count(DISTINCT (episode, k)) AS n FROM c WHERE role = 'user' UNION ALL SELECT 'rejected', count(*) FROM c WHERE role <> 'user'""")
 def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in model makes a statement of each of an episode's first four turns; those of turns that
+    """A stand-in model makes a statement of each of an episode's turns; those of turns that
     aren't the user's fall, and equal ones of an episode are one."""
     t = turns(spark, sf_dir).select(F.col("conversation_id").alias("episode"), F.col("id").alias("turn_id"), F.col("turn").alias("position"), "role", "content")
     even = F.when(F.col("position") % 2 == 0, "Even").otherwise("odd")
     made = lambda df: df.select("episode", "turn_id", F.lit("direct").alias("authority"), F.lit("fact").alias("category"), F.lit("other").alias("type"), even.alias("title"), F.lit("Said so").alias("content"), F.left("content", F.lit(3)).alias("quote"), F.lit("").alias("authority_source"), F.lit("").alias("grounding_source"))
-    yes, no = a.extracted(t, made, 4)
+    yes, no = a.extracted(t, made)
     one = lambda df, name: df.agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
     return one(yes, "accepted").union(one(no, "rejected"))
