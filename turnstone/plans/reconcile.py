@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..operators import reconcile as r
+from ..operators.order import numbered
 
 
 def _replicas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -132,17 +133,16 @@ def memory_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("entity_replay", f"""WITH {_MEMORY_SQL}, k AS (SELECT mr.*, mutation IN (SELECT mutation FROM ml) AS known FROM mr),
-    f AS (SELECT *, sum(CASE WHEN known THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY revision) AS fresh FROM k),
-    o AS (SELECT f.id, CASE WHEN known THEN 'duplicate' WHEN f.id % 13 = 5 THEN 'retired' WHEN f.revision = coalesce(nw.r, 0) + fresh THEN 'replayed' ELSE 'conflict' END AS outcome FROM f LEFT JOIN nw USING (id))
-    SELECT outcome, count(*) AS n FROM o GROUP BY 1 UNION ALL SELECT 'tombstone', count(*) FROM customer WHERE c_custkey % 26 = 18""")
+    f AS (SELECT *, sum(CASE WHEN known THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY revision) AS fresh FROM k)
+    SELECT f.id, f.revision, CASE WHEN known THEN 'duplicate' WHEN f.id % 13 = 5 THEN 'retired' WHEN f.revision = coalesce(nw.r, 0) + fresh THEN 'replayed' ELSE 'conflict' END AS outcome FROM f LEFT JOIN nw USING (id)
+    UNION ALL SELECT c_custkey, NULL, 'tombstone' FROM customer WHERE c_custkey % 26 = 18""")
 def entity_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for entities, of which the left store has retired some, and the right one others as well."""
     left, right = _stores(spark, sf_dir)
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     dead = c.where("id % 13 = 5 and id % 26 <> 18")
     rows, fresh = r.replayed_entities(left["memory"], dead, right["memory"], c.where("id % 13 = 5").withColumn("replacement_id", F.lit(0)))
-    rows = rows.withColumn("outcome", F.when((F.col("id") % 26 == 18) & (F.col("outcome") != "duplicate"), "retired").otherwise(F.col("outcome")))
-    return rows.groupBy("outcome").agg(F.count("*").alias("n")).union(fresh.agg(F.lit("tombstone").alias("outcome"), F.count("*").alias("n")))
+    return rows.select("id", "revision", "outcome").union(fresh.select("id", F.lit(None).cast("int"), F.lit("tombstone")))
 
 
 @query("graph_replay", """
@@ -155,3 +155,71 @@ def graph_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version"), F.col("o_custkey").alias("source"), (F.col("o_orderkey") % 3).alias("target"), (F.col("o_orderstatus") != "F").alias("active"))
     both = g.crossJoin(g.agg(F.expr("max(version) div 2").alias("half")))  # one row
     return r.replayed_graph(both.where("version <= half").drop("half"), both.where("version > half").drop("half"), ["source", "target"])
+
+
+#: Events as the log of a store: views are turns, purchases revisions of statements, signups those of
+#: entities (every fifth a tombstone), clicks mutations of edges, errors links of files.
+_TABLE_OF = "CASE event_type WHEN 'view' THEN 'turns' WHEN 'purchase' THEN 'memories' WHEN 'signup' THEN CASE WHEN event_id % 5 = 0 THEN 'tombstones' ELSE 'entities' END WHEN 'click' THEN 'relations' ELSE 'links' END"
+
+
+def _divided(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Two stores that agree on the first half of the events; then the left one has the events divisible
+    by three, the right one the others and, up to three quarters, those of the left one as well."""
+    ev = table(spark, sf_dir, "events")
+    n = ev.agg(F.max("event_id").alias("n"))  # one row
+    e = ev.crossJoin(n).withColumn("part", F.expr(_TABLE_OF)).withColumn("own", F.expr("user_id * 3 + event_id % 3"))
+    kept = {"left": "2 * event_id < n OR event_id % 3 = 0", "right": "2 * event_id < n OR event_id % 3 <> 0 OR 4 * event_id < 3 * n"}
+    out = []
+    for where in kept.values():
+        rows = numbered(e.where(where), ["event_id"])
+        t = lambda name, rows=rows: rows.where(F.col("part") == name)
+        revision = F.row_number().over(Window.partitionBy("own").orderBy("event_id"))
+        revised = lambda name, t=t: t(name).select("position", F.col("own").alias("id"), revision.alias("revision"), F.col("event_id").alias("mutation"), (F.col("own") % 7).alias("body"))  # noqa: E731, B023
+        out.append({
+            "turns": t("turns").select("position", F.col("event_id").alias("id"), F.col("event_type").alias("content")),
+            "memories": revised("memories"),
+            "entities": revised("entities"),
+            "tombstones": t("tombstones").select("position", F.col("own").alias("id"), F.lit(0).alias("replacement_id")),
+            "relations": t("relations").select("position", F.col("own").alias("source"), (F.col("event_id") % 5).alias("target"), F.lit(1).alias("kind"), (F.col("event_id") % 2 == 0).alias("active")),
+            "links": t("links").select("position", (F.col("event_id") % 7).alias("file_id"), F.col("own").alias("memory_id")),
+        })
+    return out[0], out[1]
+
+
+_DIVIDED_SQL = f"""x AS (SELECT max(event_id) AS n FROM events), e AS (SELECT *, {_TABLE_OF} AS part, user_id * 3 + event_id % 3 AS own, event_id % 5 AS target FROM events, x),
+    l AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS position FROM e WHERE 2 * event_id < n OR event_id % 3 = 0),
+    r AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS position FROM e WHERE 2 * event_id < n OR event_id % 3 <> 0 OR 4 * event_id < 3 * n),
+    c AS (SELECT min(coalesce(l.position, r.position)) AS common FROM l FULL JOIN r ON l.position = r.position WHERE l.event_id IS DISTINCT FROM r.event_id),
+    t AS (SELECT r.* FROM r, c WHERE r.position >= common), lt AS (SELECT l.* FROM l, c WHERE l.position >= common),
+    dead AS (SELECT own FROM l WHERE part = 'tombstones' UNION SELECT own FROM t WHERE part = 'tombstones'),
+    j AS (SELECT t.*, CASE part
+        WHEN 'turns' THEN CASE WHEN event_id IN (SELECT event_id FROM l) THEN 'duplicate' ELSE 'replayed' END
+        WHEN 'memories' THEN CASE WHEN event_id IN (SELECT event_id FROM l) THEN 'duplicate' ELSE 'replayed' END
+        WHEN 'entities' THEN CASE WHEN event_id IN (SELECT event_id FROM l) THEN 'duplicate' WHEN own IN (SELECT own FROM dead) THEN 'retired' ELSE 'replayed' END
+        WHEN 'tombstones' THEN CASE WHEN own IN (SELECT own FROM l WHERE part = 'tombstones') OR row_number() OVER (PARTITION BY part, own ORDER BY position) > 1 THEN 'duplicate' ELSE 'replayed' END
+        WHEN 'relations' THEN CASE WHEN row_number() OVER (PARTITION BY part, own, target ORDER BY position) <= (SELECT count(*) FROM lt WHERE lt.part = 'relations' AND lt.own = t.own AND lt.target = t.target) THEN 'duplicate' ELSE 'replayed' END
+        ELSE CASE WHEN (own, event_id % 7) IN (SELECT (own, event_id % 7) FROM l WHERE part = 'links') OR row_number() OVER (PARTITION BY part, own, event_id % 7 ORDER BY position) > 1 THEN 'duplicate' ELSE 'replayed' END END AS outcome FROM t),
+    o AS (SELECT *, list_position(['turns', 'memories', 'entities', 'tombstones', 'relations', 'links'], part) AS rank FROM j),
+    s AS (SELECT part, position, own, event_id FROM l UNION ALL SELECT part, (SELECT count(*) FROM l) + row_number() OVER (ORDER BY rank, position) - 1, own, event_id FROM o WHERE outcome = 'replayed')"""
+#: What names a record of each table.
+_NAMES = {"turns": "id", "memories": "mutation", "entities": "mutation", "tombstones": "id", "relations": "source", "links": "memory_id"}
+
+
+@query("reconciled_store", f"WITH {_DIVIDED_SQL} SELECT part, position, CASE WHEN part IN ('turns', 'memories', 'entities') THEN event_id ELSE own END AS name FROM s")
+def reconciled_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of the store that two diverged ones make, where they are in its log."""
+    store, _, _ = r.reconciled_stores(*_divided(spark, sf_dir), size=64)
+    out = None
+    for part, name in _NAMES.items():
+        rows = store[part].select(F.lit(part).alias("part"), "position", F.col(name).cast("long").alias("name"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("reconcile_report", f"""WITH {_DIVIDED_SQL} SELECT outcome || ' ' || part AS item, CAST(count(*) AS VARCHAR) AS value FROM o GROUP BY ALL
+    UNION ALL SELECT unnest(['relation', 'common', 'left_length', 'right_length', 'change_required']), unnest(['diverged', CAST(common AS VARCHAR), CAST((SELECT count(*) FROM l) AS VARCHAR), CAST((SELECT count(*) FROM r) AS VARCHAR), 'true']) FROM c""")
+def reconcile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reconciliation counts."""
+    _, report, _ = r.reconciled_stores(*_divided(spark, sf_dir), size=64)
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    return spark.createDataFrame([(k, text(v)) for k, v in report.items()], "item string, value string")
