@@ -35,8 +35,13 @@ def identity_tokens(name: Column, generic: list[str]) -> Column:
     return F.filter(lexical_terms(name), lambda t: (F.octet_length(t) >= 4) & ~t.isin(generic))
 
 
+def blank_trimmed(text: Column) -> Column:
+    """text without white space of any kind at its ends; Spark's trim takes blanks only."""
+    return F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+
+
 def normalize_surface(name: Column) -> Column:
-    return F.lower(F.trim(name))
+    return F.lower(blank_trimmed(name))
 
 
 def normalized_surface(name: Column) -> Column:

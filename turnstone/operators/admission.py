@@ -1,5 +1,5 @@
 """What may become an entity or a statement: identity keys and creation conflicts, gates, the context of a
-mention, waves of resolution, reconciliation in rounds; validation of extracted candidates."""
+mention, waves of resolution, reconciliation in rounds."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN, lexical_terms, normalize_surface, normalized_surface
+from ..functions.text import TOKEN, blank_trimmed, lexical_terms, normalize_surface, normalized_surface
 from ..session import cut
 from .entities import block_pairs, merged
 from .graph import components
@@ -25,13 +25,12 @@ GENERIC_SURFACES = [
 ]
 # Phrases of summaries that describe a category.
 CATEGORY_PHRASES = ["category of", "general category", "class of systems", "class of tools", "class of applications", "broad concept", "general concept"]
-# What an extracted candidate may be.
-AUTHORITIES = ["direct", "correction", "adoption", "retention"]
-CATEGORIES = ["fact", "preference", "decision", "instruction", "relationship", "constraint", "correction", "commitment"]
-TYPES = ["identity", "education", "employment", "location", "possession", "health", "finance", "schedule", "communication", "project", "process", "product", "relationship", "other"]
-# Words of steps that pass, and of their end.
-PASSING = ["prompt", "prompts", "phase", "phases", "step", "steps", "test run", "tests", "commit", "push", "merge", "verification", "cleanup", "worktree", "branch", "milestone"]
-ENDED = ["completed", "complete", "done", "finished", "passed", "pushed", "merged", "committed", "verified", "reached", "clean"]
+# Phrases of summaries that describe something that passes, and kinds that must recur.
+PASSING_PHRASES = [
+    "source-control branch", "source control branch", "git branch", "temporary branch", "task branch", "temporary worktree", "task worktree",
+    "benchmark run", "test run", "build instance", "deployment instance", "session instance", "dated snapshot",
+]
+RECURRING_KINDS = ["code_symbol", "enum_value", "input_action"]
 
 
 # -- identity ---------------------------------------------------------------------------------
@@ -87,13 +86,13 @@ def creation_conflicts(mentions: DataFrame, entities: DataFrame, most: int) -> D
 
 def generic_surface(surface: Column) -> Column:
     """Whether a surface, with or without `the`, is a generic word."""
-    return F.regexp_replace(F.lower(F.trim(surface)), "^the ", "").isin(GENERIC_SURFACES)
+    return F.regexp_replace(F.lower(blank_trimmed(surface)), "^the ", "").isin(GENERIC_SURFACES)
 
 
 def transient_surface(surface: Column, context: Column) -> Column:
     """Whether a surface names something that passes: a branch or worktree of the context, a commit, a
     numbered build or run, an id."""
-    s, plain = F.lower(F.trim(surface)), F.regexp_replace(F.lower(context), "[`'\"]", "")
+    s, plain = F.lower(blank_trimmed(surface)), F.regexp_replace(F.lower(context), "[`'\"]", "")
     beside = F.lit(False)
     for kind in ("branch", "worktree"):
         beside |= F.contains(plain, F.concat(s, F.lit(f" {kind}"))) | F.contains(plain, F.concat(F.lit(f"{kind} "), s))
@@ -109,13 +108,24 @@ def category_summary(kind: Column, summary: Column) -> Column:
     return kind.isin("domain_entity", "other") & F.lower(summary).rlike("|".join(CATEGORY_PHRASES))
 
 
+def transient_summary(surface: Column, summary: Column) -> Column:
+    """Whether a summary describes something that passes, such as a branch named by the surface."""
+    s, text = F.lower(blank_trimmed(surface)), F.lower(summary)
+    named = F.contains(text, F.concat(F.lit("branch named "), s)) | F.contains(text, F.concat(F.lit("worktree named "), s))
+    return text.rlike("|".join(PASSING_PHRASES)) | named
+
+
 def admitted(mentions: DataFrame) -> DataFrame:
-    """mentions (surface, context, kind, summary) with gate: what turns one away, or `open`."""
+    """mentions (surface, context, kind, summary, known, recurs) with gate: what turns one away, or `open`.
+    known: whether there is context of other mentions; recurs: whether it is only admitted if it recurs.
+    `recurrence` leaves a mention unresolved until it comes again."""
     gate = (
         F.when(generic_surface(F.col("surface")), "generic")
         .when(F.coalesce(transient_surface(F.col("surface"), F.col("context")), F.lit(False)), "transient")
-        .when(F.col("kind").isNull() | F.col("kind").isin("", "unknown") | (F.trim(F.coalesce("summary", F.lit(""))) == ""), "incomplete")
+        .when(F.col("kind").isNull() | F.col("kind").isin("", "unknown") | (blank_trimmed(F.coalesce("summary", F.lit(""))) == ""), "incomplete")
+        .when(transient_summary(F.col("surface"), F.col("summary")), "transient")
         .when(category_summary(F.col("kind"), F.col("summary")), "category")
+        .when(~F.col("known") & (F.col("recurs") | F.col("kind").isin(RECURRING_KINDS)), "recurrence")
         .otherwise("open")
     )
     return mentions.withColumn("gate", gate)
@@ -193,45 +203,3 @@ def reconciled(entities: DataFrame, aliases: DataFrame, edges: DataFrame, same:
         entities = cut(entities.join(merges.select("id"), "id", "left_anti"), "entities")
         gone = dead if gone is None else gone.union(dead)
     return aliases, edges, gone if gone is not None else aliases.sparkSession.createDataFrame([], f"id {dict(entities.dtypes)['id']}, replacement_id {dict(entities.dtypes)['id']}")
-
-
-# -- extraction -------------------------------------------------------------------------------
-
-
-def candidate_problem() -> Column:
-    """What is wrong with an extracted candidate (authority, category, type, title, content, quote, role,
-    turn, authority_source, grounding_source); '' if nothing. role and turn: of the turn it names."""
-    c, text = F.col, F.concat(F.lit(" "), F.regexp_replace(F.lower(F.concat_ws(" ", "title", "content")), r"[^\p{L}\p{N}']+", " "), F.lit(" "))
-    any_of = lambda words: text.rlike(" (" + "|".join(words) + ") ")
-    has = lambda name: F.coalesce(c(name) != "", F.lit(False))
-    receipt = text.rlike(" (prompt|phase|step|milestone)s? [0-9]+ ") | (any_of(PASSING) & any_of(ENDED))
-    question = F.trim("quote").endswith("?") & ~F.lower("quote").rlike(r"\b(have to|has to|must|will|i prefer|i don't want|i do not want)\b") & ~F.trim("quote").rlike(r"[.!] ")
-    return (
-        F.when(~F.coalesce(c("authority").isin(AUTHORITIES), F.lit(False)), "authority")
-        .when(~F.coalesce(c("category").isin(CATEGORIES), F.lit(False)), "category")
-        .when(~F.coalesce(c("type").isin(TYPES), F.lit(False)), "type")
-        .when((F.trim(F.coalesce("title", F.lit(""))) == "") | (F.trim(F.coalesce("content", F.lit(""))) == ""), "empty")
-        .when(c("turn").isNull(), "no source")
-        .when(c("role") != "user", "not a user turn")
-        .when(~has("quote") | ~F.contains("turn", "quote"), "not verbatim")
-        .when(c("authority").isin("direct", "correction") & has("authority_source"), "authority by assistant")
-        .when((c("authority") == "adoption") & ~has("authority_source"), "adoption without source")
-        .when(question, "question")
-        .when(receipt, "receipt")
-        .otherwise("")
-    )
-
-
-def extracted(turns: DataFrame, model: Callable[[DataFrame], DataFrame], most: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) candidates of a model that is given episodes' turns (episode, turn_id, position,
-    role, content), at most `most` of each, and names the turn of each candidate.
-
-    Equal candidates of an episode (category, title, content without case) are one, the first kept.
-    """
-    place = F.row_number().over(Window.partitionBy("episode").orderBy("position"))
-    found = cut(model(turns.withColumn("_n", place).where(F.col("_n") <= most).drop("_n")), "candidates")
-    said = turns.select("episode", "turn_id", "role", F.col("content").alias("turn"))
-    judged = found.join(said, ["episode", "turn_id"], "left").withColumn("problem", candidate_problem())
-    ok, no = judged.where("problem = ''"), judged.where("problem <> ''")
-    once = Window.partitionBy("episode", "category", F.lower("title"), F.lower("content")).orderBy("turn_id", "quote")
-    return ok.withColumn("_k", F.row_number().over(once)).where("_k = 1").drop("_k", "problem"), no

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import blank_trimmed
+
 #: The least delay after a model's backpressure, and the most items that a pass takes up (fixed values).
 LEAST_DELAY, PASS_ITEMS = 60, 64
 
@@ -32,7 +34,7 @@ def transitions(work: DataFrame, commands: DataFrame) -> DataFrame:
     live lease that token names; `renew` a later `until`; `fail` a reason and an `until` after `at`;
     `terminal` a reason; `retry` brings terminal work back as pending.
     """
-    c = commands.select("episode_id", "op", F.col("token").alias("_t"), "at", "until", F.trim(F.coalesce("reason", F.lit(""))).alias("reason"))
+    c = commands.select("episode_id", "op", F.col("token").alias("_t"), "at", "until", blank_trimmed(F.coalesce("reason", F.lit(""))).alias("reason"))
     both = work.join(c, "episode_id", "left")
     held = F.coalesce((F.col("state") == "processing") & (F.col("token") == F.col("_t")) & (F.col("lease_until") > F.col("at")), F.lit(False))
     op = F.col("op")

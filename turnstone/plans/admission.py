@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, table
 from ..operators import admission as a
+from ..operators import extraction as x
 from .lexical import _TOKENS
 from .tables import TURNS_SQL, turns
 
@@ -54,7 +55,8 @@ def creation_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("admission_gates", """
     WITH m AS (SELECT event_id, event_id % 12 AS k, event_type, user_id FROM events)
     SELECT event_id, CASE k WHEN 0 THEN 'generic' WHEN 1 THEN 'generic' WHEN 2 THEN 'transient' WHEN 3 THEN 'transient' WHEN 4 THEN 'transient' WHEN 5 THEN 'transient' WHEN 6 THEN 'transient'
-           WHEN 7 THEN 'incomplete' WHEN 8 THEN 'category' WHEN 9 THEN 'open' ELSE CASE WHEN user_id % 2 = 0 THEN 'open' ELSE 'incomplete' END END AS gate FROM m""")
+           WHEN 7 THEN 'incomplete' WHEN 8 THEN 'category' WHEN 9 THEN 'open' WHEN 10 THEN CASE WHEN user_id % 2 = 1 THEN 'incomplete' WHEN user_id % 5 IN (2, 4) THEN 'recurrence' ELSE 'open' END
+           ELSE CASE WHEN user_id % 5 = 3 THEN 'transient' WHEN user_id % 2 = 1 THEN 'incomplete' WHEN user_id % 5 = 4 THEN 'recurrence' ELSE 'open' END END AS gate FROM m""")
 def admission_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve sorts of mentions made of events, each with the gate that must close on it."""
     ev, k = table(spark, sf_dir, "events"), F.col("event_id") % 12
@@ -66,7 +68,12 @@ def admission_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = F.when(k == 2, F.concat(F.lit("He pushed to the `feature-"), n, F.lit("` branch."))).when(k == 4, "The rollback went to that revision.").otherwise("Some words around.")
     kind = F.when(k == 7, "unknown").when(k == 8, "other").otherwise("product")
     summary = F.when(k == 8, "A broad concept in use.").when((k > 9) & (F.col("user_id") % 2 == 1), " ").otherwise("A thing.")
-    return a.admitted(ev.select("event_id", surface.alias("surface"), context.alias("context"), kind.alias("kind"), summary.alias("summary"))).select("event_id", "gate")
+    rows = ev.select("event_id", "user_id", surface.alias("surface"), context.alias("context"), kind.alias("kind"), summary.alias("summary"))
+    # users tell the gates apart that look at more than a surface
+    u = F.col("user_id") % 5
+    known, thing = u != 2, F.col("event_id") % 12 == 11
+    rows = rows.withColumns({"summary": F.when(thing & (u == 3), F.concat(F.lit("A branch named "), F.lower("surface"), F.lit("."))).otherwise(F.col("summary")), "kind": F.when(thing & (u == 4), "enum_value").otherwise(F.col("kind"))})
+    return a.admitted(rows.withColumns({"known": known & (u != 4), "recurs": F.col("event_id") % 12 == 10})).select("event_id", "gate")
 
 
 @query("mentions_by_surface", """SELECT s_suppkey AS mention, n_name AS text FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1""")
@@ -95,11 +102,11 @@ def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.context_terms(m).where("query <> ''").select("conversation_id", "turn", F.size(F.split("query", " ")).cast("long").alias("terms"))
 
 
-@query("memory_contains_surface", "SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'the ') OR contains(lower(source), 'the ')")
+@query("memory_contains_surface", "SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'the') OR contains(lower(source), 'the') OR contains(lower(coalesce(text, '')), 'src1') OR contains(lower(source), 'src1')")
 def memory_contains_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a surface; blanks around it don't count, so a word's part does."""
-    d = table(spark, sf_dir, "documents")
-    return d.where(a.contains_surface(F.col("source"), F.coalesce("text", F.lit("")), F.lit("THE of")) | a.contains_surface(F.col("source"), F.coalesce("text", F.lit("")), F.concat(F.lit("tHe"), F.lit(" ")))).where(F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("the "))).select("doc_id")
+    """Documents that hold one of two surfaces in title or text; white space around a surface doesn't count."""
+    d, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    return d.where(a.contains_surface(F.col("source"), text, F.lit("\u00a0tHe\t")) | a.contains_surface(F.col("source"), text, F.lit(" SRC1\n")) | a.contains_surface(F.col("source"), text, F.lit(" \t"))).select("doc_id")
 
 
 @query("batch_resolution", """
@@ -150,21 +157,54 @@ def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A candidate for each turn, good or bad in a way of its own."""
     t, n = turns(spark, sf_dir), F.col("turn")
     c = t.select(
-        "conversation_id", "turn", F.when(n == 1, "hearsay").when(n == 7, "adoption").otherwise("direct").alias("authority"), F.when(n == 2, "rumour").otherwise("fact").alias("category"), F.when(n == 3, "mood").otherwise("project").alias("type"),
-        F.when(n == 4, " ").when(n == 6, "The tests passed").otherwise("A title").alias("title"), F.lit("What was said").alias("content"), F.substr("content", F.lit(1), F.lit(5)).alias("quote"), "role",
-        F.when(n != 5, F.col("content")).alias("said"), F.lit("").alias("authority_source"), F.lit("").alias("grounding_source"),
+        "conversation_id", "turn", F.when(n == 1, "hearsay").when(n == 7, " Adoption ").otherwise("direct").alias("authority"), F.when(n == 2, "rumour").otherwise("FACT").alias("category"), F.when(n == 3, "mood").otherwise("project").alias("type"),
+        F.when(n == 4, " \t").when(n == 6, "The tests passed").otherwise("A title").alias("title"), F.lit("What was said").alias("content"), F.substr("content", F.lit(1), F.lit(5)).alias("quote"), "role",
+        F.when(n != 5, F.col("content")).alias("said"), F.lit("").alias("authority_source"), F.lit("").alias("grounding_source"), F.lit("current").alias("status"),
     )
-    return c.withColumnRenamed("turn", "k").withColumnRenamed("said", "turn").withColumn("problem", a.candidate_problem()).select("conversation_id", F.col("k").alias("turn"), "problem")
+    return c.withColumnRenamed("turn", "k").withColumnRenamed("said", "turn").withColumn("problem", x.candidate_problem()).select("conversation_id", F.col("k").alias("turn"), "problem")
 
 
-@query("extraction", f"""WITH {TURNS_SQL}, c AS (SELECT conversation_id AS episode, id, role, CAST(turn % 2 AS INTEGER) AS k FROM turns WHERE turn < 64)
-    SELECT 'accepted' AS outcome, count(DISTINCT (episode, k)) AS n FROM c WHERE role = 'user' UNION ALL SELECT 'rejected', count(*) FROM c WHERE role <> 'user'""")
-def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in model makes a statement of each of an episode's turns; those of turns that
-    aren't the user's fall, and equal ones of an episode are one."""
+def _extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A stand-in model over conversations as episodes. Every second asks for its turn 1 and for what is
+    like its first turn; every fourth, once it has evidence, for its turns 2 to 6. It makes a statement of
+    each turn, of every third turn twice."""
     t = turns(spark, sf_dir).select(F.col("conversation_id").alias("episode"), F.col("id").alias("turn_id"), F.col("turn").alias("position"), "role", "content")
-    even = F.when(F.col("position") % 2 == 0, "Even").otherwise("odd")
-    made = lambda df: df.select("episode", "turn_id", F.lit("direct").alias("authority"), F.lit("fact").alias("category"), F.lit("other").alias("type"), even.alias("title"), F.lit("Said so").alias("content"), F.left("content", F.lit(3)).alias("quote"), F.lit("").alias("authority_source"), F.lit("").alias("grounding_source"))
-    yes, no = a.extracted(t, made)
-    one = lambda df, name: df.agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
-    return one(yes, "accepted").union(one(no, "rejected"))
+
+    def ask(seen: DataFrame, evidence: DataFrame) -> DataFrame:
+        first = seen.where("position = 0 and episode % 2 = 0")
+        id_ = lambda k: F.concat_ws(":", "episode", k)
+        one = first.select("episode", F.lit("turn").alias("kind"), id_(F.lit(1)).alias("value"), F.lit(1).alias("place"))
+        two = first.select("episode", F.lit("search"), F.col("content"), F.lit(2))
+        more = first.where("episode % 4 = 0").join(evidence.select("episode").distinct(), "episode").select("episode", F.explode(F.sequence(F.lit(2), F.lit(6))).alias("k"))
+        return one.union(two).union(more.select("episode", F.lit("turn"), id_(F.col("k")), F.col("k") + 1))
+
+    def make(seen: DataFrame, evidence: DataFrame) -> DataFrame:
+        even = F.when(F.col("position") % 2 == 0, "Even").otherwise("odd")
+        twice = seen.withColumn("again", F.explode(F.when(F.col("position") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        return twice.select(
+            "episode", (F.col("position") * 2 + F.col("again")).alias("place"), "turn_id", F.lit("direct").alias("authority"), F.lit("fact").alias("category"), F.lit("other").alias("type"), F.lit("current").alias("status"), even.alias("title"),
+            F.lit("Said so").alias("content"), F.left("content", F.lit(3)).alias("quote"), F.lit("").alias("authority_source"), F.lit("").alias("grounding_source"), F.lit("").alias("semantic_key"),
+        )
+
+    return x.extracted(t, ask, make, t.select("turn_id", "role", "content"))
+
+
+@query("extraction", f"""WITH {TURNS_SQL}, c AS (SELECT conversation_id AS episode, id AS turn_id, role, turn, unnest(CASE WHEN turn % 3 = 0 THEN [0, 1] ELSE [0] END) AS again FROM turns)
+    SELECT episode, turn_id, turn * 2 + again AS place, CASE WHEN role <> 'user' THEN 'not a user turn' WHEN again = 1 THEN 'duplicate' ELSE '' END AS problem FROM c""")
+def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each candidate: accepted (no problem) or rejected with a reason."""
+    yes, no, _ = _extracted(spark, sf_dir)
+    own = ("episode", "turn_id", "place")
+    return yes.select(*own, F.lit("").alias("problem")).union(no.select(*own, "problem"))
+
+
+@query("extraction_ledger", f"""WITH {TURNS_SQL}, q AS (SELECT DISTINCT content AS value, {_TOKENS.format("content")} AS terms FROM turns WHERE turn = 0 AND conversation_id % 2 = 0),
+    w AS (SELECT value, len(terms) AS n, unnest(terms) AS term FROM q), p AS (SELECT id, lower(content) AS low, unnest({_TOKENS.format("content")}) AS term FROM turns), h AS (SELECT DISTINCT value, id FROM w JOIN p USING (term)),
+    f AS (SELECT value, least(count(*), 5) AS found FROM h GROUP BY value), e AS (SELECT conversation_id AS episode, content FROM turns WHERE turn = 0 AND conversation_id % 2 = 0),
+    r AS (SELECT episode, 1 AS round, 'turn' AS kind, episode || ':1' AS value, 'asked' AS outcome FROM e UNION ALL SELECT episode, 1, 'search', content, 'asked' FROM e
+          UNION ALL SELECT episode, 2, 'turn', episode || ':' || k, CASE WHEN k > 3 THEN 'refused' ELSE 'asked' END FROM e, range(2, 7) t(k) WHERE episode % 4 = 0)
+    SELECT r.episode, r.round, r.kind, r.value, CASE WHEN outcome = 'refused' THEN outcome WHEN n = 0 THEN 'nothing' ELSE 'answered' END AS outcome, n AS found
+    FROM (SELECT r.*, CASE WHEN outcome = 'refused' THEN 0 WHEN kind = 'turn' THEN (SELECT count(*) FROM turns t WHERE t.id = r.value) ELSE coalesce((SELECT found FROM f WHERE f.value = r.value), 0) END AS n FROM r) r""")
+def extraction_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the model asked for in each round, and what it was given."""
+    return _extracted(spark, sf_dir)[2]
