@@ -116,6 +116,24 @@ def test_isolated_pairs_beside_a_large_group(spark, monkeypatch):
     assert found >= module.RECALL and abs(found - got[0].recall) < 0.02
 
 
+def test_one_pair_among_many_is_measured(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((20_000, 32)).astype(np.float32)
+    v[777] = v[123] + 0.2 * rng.standard_normal(32).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], FORM).repartition(4)
+    got = near_vectors(df).where("n_links > 0 or vec_id = 0").collect()
+    assert {tuple(r)[:4] for r in got} == {(0, 0, 0, True), (123, 1, 123, True), (777, 1, 123, False)} and {r.recall for r in got} == {1.0}
+    # without a link there is nothing to measure
+    assert {r.recall for r in near_vectors(df.where("vec_id < 300 and vec_id <> 123")).collect()} == {None}
+
+
+def test_unequal_lengths_never_link(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [1.0]), (3, [2.0, 0.0]), (4, [3.0, 0.01, 0.0])] + [(10 + i, [1.0] * (2 + i % 3)) for i in range(60)]
+    got = near_vectors(spark.createDataFrame([(i, x, 0) for i, x in rows], FORM)).collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted(brute_near(rows))
+    assert {r.vec_id: r.component_id for r in got if r.vec_id < 10} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1}
+
+
 def test_all_are_compared_if_recall_stays_low(spark, monkeypatch):
     from turnstone.llm import nn_descent as module
 

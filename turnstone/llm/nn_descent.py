@@ -8,8 +8,9 @@ changes. There are as many hashes as it takes that two vectors at the threshold
 many vectors there are; each doubling adds fresh ones. Edges at or over the threshold are links. A
 list is saturated if all its entries are links: it is then enlarged to the node's whole component,
 which is compared in blocks, so that no link of a large group is lost and none of its pairs is
-written. Recall is audited on samples of nodes compared with all rows, each node counting alike and
-nodes outside enlarged components on their own, by counts, without a table of true links; lists are
+written. Recall is audited on samples of nodes compared with all rows, each node counting alike,
+nodes outside enlarged components and those with an entry near the threshold on their own, by counts,
+without a table of true links; lists are
 doubled and refined again until it is high enough. If it isn't after the last doubling, all nodes
 are compared with all.
 """
@@ -35,6 +36,10 @@ NEIGHBOURS, HASHES, BUCKET, BLOCK, WIDE_BLOCK, TILE = 10, 6, 256, 512, 4096, 102
 ROUNDS, SETTLED = 4, 0.002
 #: Sampled nodes of the audit, the recall that is asked for, and how often lists are doubled for it.
 AUDITED, RECALL, DOUBLINGS = 1024, 0.97, 3
+#: How far below the threshold an entry may be for its node to be audited first.
+MARGIN = 0.05
+#: Bytes of a batch of vectors that goes to Python.
+BATCH_BYTES = 64 << 20
 #: Nodes that all nodes are compared with at once.
 SLICE = 8192
 
@@ -44,7 +49,7 @@ GRAPH = f"{EDGES}, fresh boolean"
 
 
 def unit_rows(blobs: list[bytes]) -> np.ndarray:
-    """Blobs of doubles as unit vectors; shorter ones are filled with zeros."""
+    """Blobs of doubles as unit vectors; shorter ones are filled with zeros, see `apart`."""
     sizes = {len(b) for b in blobs}
     if len(sizes) == 1:
         x = np.frombuffer(b"".join(blobs), dtype="<f8").reshape(len(blobs), -1)
@@ -56,6 +61,14 @@ def unit_rows(blobs: list[bytes]) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def apart(sims: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """sims, in place, with vectors of unequal lengths as unlike as can be."""
+    a, b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    if len(a) and len(b) and ((a != a[0]).any() or (b != a[0]).any()):
+        sims[a[:, None] != b[None, :]] = -2
+    return sims
+
+
 def by_group(rows: DataFrame, keys: list[str], form: str, work: Callable[[dict[str, list]], Iterator[dict]]) -> DataFrame:
     """work on each group of rows with equal keys, streamed; work yields columns of numpy arrays."""
     names = rows.columns
@@ -165,7 +178,7 @@ def _first_graph(nodes: DataFrame, count: int, k: int, seed: int = 7) -> DataFra
     def near(group: dict[str, list]) -> Iterator[dict]:
         ids, x = np.array(group["id"]), unit_rows(group["blob"])
         for a in range(0, len(ids), 1024):
-            sims = x[a : a + 1024] @ x.T
+            sims = apart(x[a : a + 1024] @ x.T, group["blob"][a : a + 1024], group["blob"])
             n = min(k, len(ids) - 1)
             if n < 1:
                 return
@@ -189,7 +202,7 @@ def _refined(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     def pairs(group: dict[str, list]) -> Iterator[dict]:
         ids, floor, fresh, x = np.array(group["v"]), np.array(group["floor"]), np.array(group["fresh"]), unit_rows(group["blob"])
-        sims = x @ x.T
+        sims = apart(x @ x.T, group["blob"], group["blob"])
         np.fill_diagonal(sims, -3)
         i, j = np.nonzero((sims > floor[:, None]) & (fresh[:, None] | fresh[None, :]))
         yield {"u": ids[i], "v": ids[j], "sim": sims[i, j]}
@@ -209,10 +222,11 @@ def _in_blocks(groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
         ids, times, x = np.array(group["id"]), np.array(group["times"]), unit_rows(group["blob"])
         i, j, block = group["i"][0], group["j"][0], np.array(group["block"])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        blobs = np.array(group["blob"], dtype=object)
         of_right = np.zeros(len(right), dtype=np.int64)
         for a in range(0, len(left), TILE):
             rows = left[a : a + TILE]
-            near = x[rows] @ x[right].T >= threshold
+            near = apart(x[rows] @ x[right].T, list(blobs[rows]), list(blobs[right])) >= threshold
             if i == j:
                 near[np.arange(len(rows)), np.arange(a, a + len(rows))] = False
             else:
@@ -242,8 +256,9 @@ def _compared(graph: DataFrame, nodes: DataFrame, threshold: float, k: int) -> D
                 for at in range(0, batch.num_rows, 512):
                     rows = batch.slice(at, 512)
                     mine = rows.column("id").to_numpy()
-                    both = unit_rows(blobs + [b.as_py() for b in rows.column("blob")])
-                    sims = both[len(ids) :] @ both[: len(ids)].T
+                    own = [b.as_py() for b in rows.column("blob")]
+                    both = unit_rows(blobs + own)
+                    sims = apart(both[len(ids) :] @ both[: len(ids)].T, own, blobs)
                     sims[mine[:, None] == ids[None, :]] = -2
                     m = min(k, len(ids))
                     top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
@@ -256,15 +271,24 @@ def _compared(graph: DataFrame, nodes: DataFrame, threshold: float, k: int) -> D
     return graph
 
 
-def _audit(nodes: DataFrame, links: DataFrame, enlarged: DataFrame, threshold: float) -> float:
-    """The mean share of a node's true links that were found, over a sample of the nodes outside
-    enlarged components or over one of those inside, whichever is less. Inside, all is found that is
-    in the same component, as it is compared in blocks."""
+def _audit(nodes: DataFrame, graph: DataFrame, links: DataFrame, enlarged: DataFrame, threshold: float) -> float | None:
+    """The mean share of a node's true links that were found, the least of three samples: of the nodes
+    outside enlarged components, of those among them that have an entry near the threshold, and of the
+    nodes inside. Where links are rare, hardly a node of the first sample has one, but those of the
+    second may. Inside, all is found that is in the same component, as it is compared in blocks. None
+    if no node of the samples has a link."""
     spark = nodes.sparkSession
+    promising = graph.where(F.col("sim") >= threshold - MARGIN).select(F.col("u").alias("id"), F.lit(True).alias("near")).distinct()
     placed = nodes.select("id", "blob").join(enlarged.select("id", "root"), "id", "left")
-    sample = [r for outside in (True, False) for r in placed.where(F.col("root").isNull() == outside).orderBy(F.xxhash64("id"), "id").limit(AUDITED).collect()]
+    kinds = placed.join(promising, "id", "left").withColumn("near", F.col("near").isNotNull())
+    outside = F.col("root").isNull()
+    sample = {}
+    for which, where in enumerate((outside & F.col("near"), outside, ~outside)):
+        for r in kinds.where(where).orderBy(F.xxhash64("id"), "id").limit(AUDITED).collect():
+            sample.setdefault(r["id"], (r, set()))[1].add(which)
+    kind_of, sample = {u: w for u, (_, w) in sample.items()}, [r for r, _ in sample.values()]
     if not sample:
-        return 1.0
+        return None
     shared = spark.sparkContext.broadcast(([r["id"] for r in sample], [-1 if r["root"] is None else r["root"] for r in sample], [bytes(r["blob"]) for r in sample]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,20 +298,22 @@ def _audit(nodes: DataFrame, links: DataFrame, enlarged: DataFrame, threshold: f
             for a in range(0, batch.num_rows, TILE):
                 part = batch.slice(a, TILE)
                 root = part.column("root").fill_null(-2).to_numpy()
-                both = unit_rows(blobs + [b.as_py() for b in part.column("blob")])
-                near = (both[: len(ids)] @ both[len(ids) :].T >= threshold) & (ids[:, None] != part.column("id").to_numpy()[None, :])
+                own = [b.as_py() for b in part.column("blob")]
+                both = unit_rows(blobs + own)
+                near = (apart(both[: len(ids)] @ both[len(ids) :].T, blobs, own) >= threshold) & (ids[:, None] != part.column("id").to_numpy()[None, :])
                 true += near.sum(axis=1)
                 same += (near & (roots[:, None] == root[None, :])).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true), pa.array(same)], ["u", "true", "same"])
 
     counts = {r["u"]: (r["t"], r["s"]) for r in placed.mapInArrow(count, "u long, true long, same long").groupBy("u").agg(F.sum("true").alias("t"), F.sum("same").alias("s")).collect()}
     asked = spark.createDataFrame([(r["id"],) for r in sample], "u long")
-    listed = {r["u"]: r["count"] for r in links.join(asked, "u", "left_semi").groupBy("u").count().collect()}  # AUDITED twice, at most
+    listed = {r["u"]: r["count"] for r in links.join(asked, "u", "left_semi").groupBy("u").count().collect()}  # AUDITED three times, at most
     means = []
-    for outside in (True, False):
-        found = [(listed.get(r["id"], 0) if outside else counts[r["id"]][1], counts[r["id"]][0]) for r in sample if (r["root"] is None) == outside]
+    for which in range(3):
+        mine = [r for r in sample if which in kind_of[r["id"]]]
+        found = [(listed.get(r["id"], 0) if r["root"] is None else counts[r["id"]][1], counts[r["id"]][0]) for r in mine]
         means += [np.mean([min(1.0, n / of) for n, of in found if of])] if any(of for _, of in found) else []
-    return float(min(means, default=1.0))
+    return float(min(means)) if means else None
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -298,11 +324,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS
     that it is the row's own. Vectors that are null, empty, zero or hold null, NaN or infinite
     components, and rows with a null id, link with nothing: n_links 0, their own component, kept
     (null ids: component null, not kept). Repeated rows are vectors of their own with one id, whether
-    they hold one vector or several: each counts as a row, and kept may be true for each.
-    recall: found by the audit, the same in each row. An empty table gives an empty result.
+    they hold one vector or several: each counts as a row, and kept may be true for each. Vectors of
+    unequal lengths never link. recall: found by the audit, the same in each row; null if no link was
+    there to be measured. An empty table gives an empty result.
     """
     small_batches(vectors.sparkSession)
+    # vectors are short: more of them at once; what is read later with this setting is bounded by bytes
     vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     named, nodes = _nodes(vectors, id_col, vector_col)
     count = nodes.count()
     graph, batches = _hashed_graph(nodes, count, k, threshold), _hash_batches(count, threshold)
@@ -317,8 +346,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS
         groups = written(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "id"), "groups")
         dense = groups.join(full, groups["id"] == full["u"], "left_semi").select("root").distinct()
         enlarged = written(groups.join(dense, "root", "left_semi"), "enlarged")
-        recall = _audit(nodes, links, enlarged, threshold)
-        if recall >= RECALL or doubling > DOUBLINGS:
+        recall = _audit(nodes, graph, links, enlarged, threshold)
+        if recall is None or recall >= RECALL or doubling > DOUBLINGS:
             break
         if doubling == DOUBLINGS or k >= count:
             # the last way: nothing can be lost
@@ -339,4 +368,4 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, k: int = NEIGHBOURS
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), valid.alias("valid"))
     out = rows.where(~F.col("valid") | F.col("id").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")).union(taking)
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", kept, F.lit(recall).alias("recall"))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", kept, F.lit(recall).cast("double").alias("recall"))
