@@ -88,10 +88,14 @@ _CONTEXT_SQL = f"""m AS (SELECT conversation_id, turn, content, role AS title, (
     x AS (SELECT *, substr(content, off + 1, 12) AS text, substr(content, greatest(1, off - 95), least(off, 96)) AS before, substr(content, off + 13, 96) AS after FROM m)"""
 
 
+#: All tokens in order; DuckDB's list_distinct keeps none.
+_WORDS = "list_transform(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
+
+
 @query("context_query", f"""WITH {TURNS_SQL}, {_CONTEXT_SQL},
-    t AS (SELECT conversation_id, turn, list_concat(list_concat({_TOKENS.format("text")}, {_TOKENS.format("title")}), {_TOKENS.format("before || ' ' || after")}) AS w FROM x),
+    t AS (SELECT conversation_id, turn, list_concat(list_concat({_WORDS.format("text")}, {_WORDS.format("title")}), {_WORDS.format("before || ' ' || after")}) AS w FROM x),
     u AS (SELECT conversation_id, turn, unnest(w) AS term, unnest(range(len(w))) AS p FROM t), f AS (SELECT conversation_id, turn, term, min(p) AS p FROM u GROUP BY ALL)
-    SELECT conversation_id, turn, count(*) FILTER (WHERE k <= 16) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id, turn ORDER BY p) AS k FROM f) GROUP BY 1, 2""")
+    SELECT conversation_id, turn, string_agg(term, ' ' ORDER BY p) FILTER (WHERE k <= 16) AS query FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id, turn ORDER BY p) AS k FROM f) GROUP BY 1, 2""")
 def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve characters of each turn as a mention: the terms of its context."""
     t = turns(spark, sf_dir)
@@ -99,7 +103,7 @@ def context_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, before = F.substr("content", off + 1, F.lit(12)), F.substr("content", F.lit(1), off)
     start = F.octet_length(before)
     m = t.select("conversation_id", "turn", F.col("role").alias("title"), "content", text.alias("text"), F.lit("content").alias("field"), start.alias("start"), (start + F.octet_length(text)).alias("end"))
-    return a.context_terms(m).where("query <> ''").select("conversation_id", "turn", F.size(F.split("query", " ")).cast("long").alias("terms"))
+    return a.context_terms(m).where("query <> ''").select("conversation_id", "turn", "query")
 
 
 @query("memory_contains_surface", "SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'the') OR contains(lower(source), 'the') OR contains(lower(coalesce(text, '')), 'src1') OR contains(lower(source), 'src1')")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
-from ..functions.vector import cosine
 from ..operators import candidates as c
+from ..operators.blocks import best_pairs, cosines
 from ..operators.classify import classified
 from ..session import cut
 
@@ -59,16 +60,22 @@ def _lanes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     sources = cut(d.where(F.col("id") % _BATCH == 0).select(F.col("id").alias("source"), "category", "type", F.lit(None).cast("long").alias("parent")), "sources")
     about = d.select(F.col("id").alias("candidate"), F.col("category").alias("other_category"), F.col("type").alias("other_type"), F.lit(None).cast("long").alias("other_parent"))
     lexical = c.lexical_boost(_overlap(spark, sf_dir).join(about, "candidate").join(sources, "source")).select("source", "candidate", F.round("lexical", 9).alias("score"))
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = cut(sources.join(v, F.col("source") == F.col("vec_id")).select("source", F.col("embedding").alias("x")), "asked")
-    others = lambda df: df.join(sources.select("source"), F.col("source") != F.col("candidate"))  # noqa: E731  a stated batch with all rows
-    semantic = v.select(F.col("vec_id").alias("candidate"), "embedding").join(asked, F.col("source") != F.col("candidate")).select("source", "candidate", F.round(cosine(F.col("x"), F.col("embedding")), 9).alias("score"))
-    prior = others(labels.where("quality = 1").select(F.col("doc_id").alias("candidate"))).withColumn("score", F.lit(1.0) / (1 + F.abs(F.col("source") - F.col("candidate"))))
-    temporal = others(labels.select(F.col("doc_id").alias("candidate"))).where("(source + candidate) % 7 = 0").withColumn("score", F.lit(0.75))
     toxic = labels.where("toxic = 1").select(F.col("doc_id").alias("candidate"))
     known = c.canonical(labels.select("doc_id", (F.col("doc_id") + 1).alias("other")), "doc_id", "other")
-    lanes = {"semantic": semantic, "prior": prior, "lexical": lexical, "temporal": temporal}
-    return {name: c.excluded(df.select("source", "candidate", "score").join(toxic, "candidate", "left_anti"), known) for name, df in lanes.items()}
+    ids = sources.select("source")
+    out = known.join(ids, F.col("a") == F.col("source")).select("source", F.col("b").alias("candidate")).union(known.join(ids, F.col("b") == F.col("source")).select("source", F.col("a")))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("candidate"), "embedding").join(toxic, "candidate", "left_anti")
+    asked = sources.join(table(spark, sf_dir, "embeddings"), F.col("source") == F.col("vec_id")).select("source", "embedding")
+    labelled = labels.select(F.col("doc_id").alias("candidate"), "quality").join(toxic, "candidate", "left_anti")
+    near = lambda s, r: 1.0 / (1 + np.abs(s["source"][:, None] - r["candidate"][None, :]))
+    sevenths = lambda s, r: np.where((s["source"][:, None] + r["candidate"][None, :]) % 7 == 0, 0.75, np.nan)
+    lanes = {
+        "semantic": best_pairs(v, asked, cosines("embedding", "embedding"), c.DEPTH, out),
+        "prior": best_pairs(labelled.where("quality = 1").select("candidate"), ids, near, c.DEPTH, out),
+        "temporal": best_pairs(labelled.select("candidate"), ids, sevenths, c.DEPTH, out),
+    }
+    lanes["lexical"] = c.excluded(lexical.join(toxic, "candidate", "left_anti"), known)
+    return lanes
 
 
 @query("rank_lanes", f"{_LANES_SQL} SELECT source, candidate, coalesce(semantic_rank, 0) AS semantic_rank, coalesce(prior_rank, 0) AS prior_rank, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(temporal_rank, 0) AS temporal_rank FROM r")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
+from ..operators import layout as l
 from ..operators import retrieval as r
 from ..operators import vectors as v
 from ..operators.lexical import top
 from ..operators.records import embedded
+from ..session import scratch
 from .communities import _ROUTE_SQL, _centroids
 from .lexical import _TOKENS
 from .tables import TURNS_SQL, turns
@@ -113,6 +117,22 @@ def retrieval_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 9))
 
 
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/layout-{uuid.uuid4().hex}"
+    index = _index(spark, sf_dir).select("id", "vector", "community")
+    l.write_layout(index, path, parts=16, file_rows=100)
+    return l.read_layout(spark, path, ", ".join(f"{n} {t}" for n, t in index.dtypes))
+
+
+@query("routed_layout", f"""WITH {_ROUTE_SQL}, {_INDEX_SQL},
+    a AS (SELECT q.vec_id AS query_id, x.id, round({_NEAR}, 9) AS score FROM ix x, embeddings q WHERE q.vec_id IN (0, 7, 11) AND (x.community IS NULL OR EXISTS (SELECT 1 FROM ro WHERE ro.query_id = q.vec_id AND ro.community = x.community)))
+    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM a QUALIFY rank <= 4""")
+def routed_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three queries over an index that lies by community: only chosen folders are read."""
+    hits = l.routed_search(_layout(spark, sf_dir), _centroids(spark, sf_dir), _query(spark, sf_dir, [0, 7, 11]), parts=16)
+    return hits.withColumn("score", F.round("score", 9))
+
+
 @query("two_owner_retrieval", f"""
     WITH s AS (SELECT CASE WHEN c.vec_id % 2 = 0 THEN 'project' ELSE 'user' END AS owner, q.vec_id AS query_id, c.vec_id AS id, round({_COS.format("c.embedding", "q.embedding")}, 9) AS score FROM embeddings c, embeddings q WHERE q.vec_id IN (0, 7, 11))
     SELECT *, row_number() OVER (PARTITION BY owner, query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 4""")
@@ -165,8 +185,9 @@ def vector_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("generation_coverage", """
-    WITH n AS (SELECT max(turn) + max(conv_id) * 8 AS newest FROM conversations), g(generation, k) AS (VALUES (1, 0), (2, -1), (3, 10), (4, 0), (5, 0))
-    SELECT CAST(generation AS INTEGER) AS generation, CASE generation WHEN 2 THEN 'too old' WHEN 3 THEN 'out of range' WHEN 4 THEN 'missing' WHEN 5 THEN 'dimensions' ELSE '' END AS problem FROM g""")
+    WITH t AS (SELECT conv_id * 8 + turn AS created, turn FROM conversations), n AS (SELECT max(created) AS newest, count(*) AS fragments, count(*) FILTER (WHERE turn < 3) AS few FROM t),
+    g AS (SELECT unnest([1, 2, 3, 4, 5]) AS generation, unnest([newest, newest - 1, newest + 10, newest, newest]) AS source, unnest([fragments, fragments, fragments, few, fragments]) AS have, unnest([8, 8, 8, 8, 9]) AS size, * FROM n)
+    SELECT CAST(generation AS INTEGER) AS generation, source AS source_version, CASE WHEN source > newest + 5 THEN 'out of range' WHEN source < newest THEN 'too old' WHEN have < fragments THEN 'missing' WHEN size <> 8 THEN 'dimensions' ELSE '' END AS problem FROM g""")
 def generation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five generations of turn vectors by a stand-in model: one whole, one before the last turn, one of a
     version that doesn't exist, one that lacks turns, one of other dimensions."""
@@ -177,14 +198,17 @@ def generation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = every(4).join(t.where("turn < 3").select("fragment"), "fragment", "left_semi")
     rows = every(1).union(every(2)).union(every(3)).union(some.select("generation", "fragment", "size")).union(every(5).withColumn("size", F.col("size") + 1))
     g = spark.createDataFrame([(1, newest, 8), (2, newest - 1, 8), (3, newest + 10, 8), (4, newest, 8), (5, newest, 8)], "generation int, source_version long, dimensions int")
-    return r.coverage(g, t, rows, newest + 5).select("generation", "problem")
+    return r.coverage(g, t, rows, newest + 5).select("generation", "source_version", "problem")
 
 
-@query("rebuilt_vectors", "SELECT count(*) AS rows, count(DISTINCT doc_id) AS documents, (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) AS kept FROM documents")
+@query("rebuilt_vectors", """
+    SELECT d.doc_id, coalesce(round(list_sum(CAST(e.embedding AS DOUBLE[])), 3), 64 * coalesce(length(d.text), 0)) AS total, e.vec_id IS NOT NULL AS kept
+    FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def rebuilt_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a vector get one from a stand-in model, sixteen texts a request; the rest keep theirs."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     e = _vectors(spark, sf_dir).select(F.col("id").alias("doc_id"), "vector").join(d.select("doc_id"), "doc_id", "left_semi")
     model = lambda texts: [[float(len(t))] * 64 for t in texts]
     full = r.rebuilt(d, e, "doc_id", lambda x: r.embedded_remotely(x, model, "doc_id"))
-    return full.join(e.select("doc_id", F.lit(1).alias("old")), "doc_id", "left").agg(F.count("vector").alias("rows"), F.count_distinct("doc_id").alias("documents"), F.count("old").alias("kept"))
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 3)
+    return full.join(e.select("doc_id", F.lit(True).alias("old")), "doc_id", "left").select("doc_id", total.alias("total"), F.coalesce("old", F.lit(False)).alias("kept"))

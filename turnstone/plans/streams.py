@@ -12,7 +12,7 @@ from ..session import scratch
 from ..sources.jsonl import ingested
 from ..streaming import live, receipts
 from ..streaming import sessions as s
-from .tables import micros, turns
+from .tables import TURNS_SQL, micros, turns
 
 _SESSIONS_SQL = """e AS (SELECT user_id, epoch_us(ts) AS us FROM events), f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 21600000000 THEN 0 ELSE 1 END AS new FROM e),
     g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS session FROM f)"""
@@ -126,12 +126,12 @@ def queue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.upsert(s.upsert(s.upsert(first.limit(0), first), second), second)
 
 
-@query("turn_ingest", """
-    SELECT 'new' AS outcome, count(*) AS n FROM conversations WHERE turn >= 5 UNION ALL SELECT 'conflict', count(*) FROM conversations WHERE turn = 3""")
+@query("turn_ingest", f"""WITH {TURNS_SQL}
+    SELECT 'new' AS outcome, conversation_id, id, content FROM turns WHERE turn >= 5 UNION ALL SELECT 'conflict', conversation_id, id, content || '!' FROM turns WHERE turn = 3""")
 def turn_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns again, twice, over those before 5, with another text for turn 3."""
     t = turns(spark, sf_dir).select("conversation_id", "id", "turn", "role", "content")
     again = t.withColumn("content", F.when(F.col("turn") == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     new, clash = ingested(t.where("turn < 5"), again.union(again), ["conversation_id", "id"])
-    count = lambda df, name: df.agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
-    return count(new, "new").union(count(clash, "conflict"))
+    rows = lambda df, name: df.select(F.lit(name).alias("outcome"), "conversation_id", "id", "content")
+    return rows(new, "new").union(rows(clash, "conflict"))
