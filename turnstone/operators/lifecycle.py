@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .order import numbered
 
 DAY = 86_400
 
@@ -52,14 +53,7 @@ def claim_order(work: DataFrame, by: list[str], now: int) -> DataFrame:
     """Claimable work (priority, source_time, ..., state, lease_until, retry_after) with place: pending, or
     with a lapsed lease, or failed and due again; the lower priority number first."""
     ready = (F.col("state") == "pending") | ((F.col("state") == "processing") & (F.col("lease_until") <= now)) | ((F.col("state") == "failed") & (F.col("retry_after") <= now))
-    # places inside a priority are counted apart, and what lies before is added: one row a priority
-    queue = work.where(ready)
-    inside = F.row_number().over(Window.partitionBy("priority", "source_time").orderBy(*by))
-    sizes = queue.groupBy("priority", "source_time").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("priority").orderBy("source_time").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    tops = sizes.groupBy("priority").agg(F.sum("_n").alias("_all")).withColumn("_base", F.coalesce(F.sum("_all").over(Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = queue.withColumn("_i", inside).join(before.drop("_n"), ["priority", "source_time"]).join(F.broadcast(tops.drop("_all")), "priority")
-    return placed.withColumn("place", F.col("_base") + F.col("_before") + F.col("_i")).drop("_i", "_before", "_base")
+    return numbered(work.where(ready), ["priority", "source_time", *by], "place").withColumn("place", F.col("place") + 1)
 
 
 def state_counts(work: DataFrame, states: list[str]) -> DataFrame:

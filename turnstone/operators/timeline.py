@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .order import numbered
 
 #: Versions of a chunk.
 CHUNK = 1 << 16
@@ -27,7 +28,7 @@ def running_max(log: DataFrame, version: str, value: str, out: str, chunk: int =
     tops = part.groupBy("_chunk").agg(F.max(value).alias("_top"))
     before = tops.withColumn("_before", F.max("_top").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)))  # a row a chunk
     inside = F.max(value).over(Window.partitionBy("_chunk").orderBy(version).rowsBetween(Window.unboundedPreceding, 0))
-    return part.withColumn("_inside", inside).join(F.broadcast(before.select("_chunk", "_before")), "_chunk").withColumn(out, F.greatest("_inside", "_before")).drop("_chunk", "_inside", "_before")
+    return part.withColumn("_inside", inside).join(before.select("_chunk", "_before"), "_chunk").withColumn(out, F.greatest("_inside", "_before")).drop("_chunk", "_inside", "_before")
 
 
 def first_gap(log: DataFrame, version: str, chunk: int = CHUNK) -> DataFrame:
@@ -51,10 +52,15 @@ def versions_at(log: DataFrame, times: DataFrame, version: str, time: str, chunk
     tops = running_max(prefix.select(version, time), version, time, "top", chunk).select(F.expr(f"{version} div {chunk}").alias("_c"), F.col(version).alias("_v"), "top")
     asked = times.select("at").distinct()
     # The running maximum never falls: of each time, all chunks that end at or under it count whole,
-    # and only the one after them is looked into. A row a chunk meets all times.
+    # and only the one after them is looked into. Times and ends of chunks are put in one order; the
+    # last chunk before a time is carried forward to it.
     ends = cut(tops.groupBy("_c").agg(F.max("top").alias("_end"), F.max("_v").alias("_last")), "chunks")
-    whole = asked.join(ends, F.col("_end") <= F.col("at"), "left").groupBy("at").agg(F.max("_last").alias("_whole"))
-    after = asked.join(ends, F.col("_end") > F.col("at")).groupBy("at").agg(F.min("_c").alias("_c"))
+    line = asked.select("at", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_c")).union(ends.select("_end", F.lit(0), "_c"))
+    carried = running_max(numbered(line, ["at", "_kind"], "_place"), "_place", "_c", "_prev", chunk).where("_kind = 1")
+    first = ends.agg(F.min("_c").alias("_first"))  # one row
+    placed = cut(carried.join(first).select("at", "_prev", F.coalesce(F.col("_prev") + 1, "_first").alias("_c")), "placed")
+    whole = placed.join(ends.select(F.col("_c").alias("_prev"), F.col("_last").alias("_whole")), "_prev", "left").select("at", "_whole")
+    after = placed.select("at", "_c")
     inside = after.join(tops, "_c").where(F.col("top") <= F.col("at")).groupBy("at").agg(F.max("_v").alias("_inside"))
     return whole.join(inside, "at", "left").select("at", F.greatest("_whole", "_inside").alias("version"))
 
