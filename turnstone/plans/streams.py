@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..catalog import query, table
@@ -59,7 +59,8 @@ def _in_batches(df: DataFrame, n: int, seed: int = 5) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-_AT = F.timestamp_seconds(F.lit(1_700_000_000))
+def _at() -> Column:
+    return F.timestamp_seconds(F.lit(1_700_000_000))
 
 
 @query("stream_assemble", """
@@ -76,7 +77,7 @@ def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = part(F.lit(1), text, F.substr("text", F.lit(1), half))
     files = F.when(user, F.array(part(F.lit(3), F.lit("attach"), F.concat(F.lit("a"), "turn")), part(F.lit(4), F.lit("attach"), F.concat(F.lit("b"), "conv_id"))))
     parts = F.concat(F.array(part(F.lit(0), F.lit("begin"), none), first, first, part(F.lit(2), text, F.substr("text", half + 1)), part(F.when(user, 5).otherwise(3), end, none)), F.coalesce(files, F.array().cast("array<struct<sequence:int,kind:string,text:string>>")))
-    rows = t.select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), "turn", F.explode(parts).alias("p")).where("turn % 7 <> 6 or p.sequence < 3").select("message_id", "p.*", _AT.alias("at"))
+    rows = t.select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), "turn", F.explode(parts).alias("p")).where("turn % 7 <> 6 or p.sequence < 3").select("message_id", "p.*", _at().alias("at"))
     return _run(live.assembled(_in_batches(rows.withColumn("n", F.monotonically_increasing_id()), 3).drop("n")))
 
 
@@ -100,7 +101,7 @@ def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array(ev(1, "begin", id_), ev(2, "begin", F.lit("other")), ev(3, "text", id_, F.col("text")), ev(4, "attach", id_, F.concat(F.lit("f"), "turn")), end, ev(6, "text", id_, F.lit("late")))
     ends = F.array(ev(F.lit(0), "open", none), ev(F.col("n") * 6 + 1, "close", none), ev(F.col("n") * 6 + 2, "begin", F.lit("last")))
     twice = F.when(F.col("turn") % 2 == 1, F.concat(own, own)).when(F.col("turn") == 0, F.concat(own, ends)).otherwise(own)
-    rows = t.select(F.col("conv_id").alias("session"), F.explode(twice).alias("e")).select("session", "e.*", _AT.alias("at"), F.monotonically_increasing_id().alias("k"))
+    rows = t.select(F.col("conv_id").alias("session"), F.explode(twice).alias("e")).select("session", "e.*", _at().alias("at"), F.monotonically_increasing_id().alias("k"))
     return _run(live.live_sessions(_in_batches(rows, 4)))
 
 
