@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnstone.functions import temporal as tl
 from turnstone.functions.text import jaccard_per_mille, lexical_score, lexical_terms, substring_count
 from turnstone.functions.vector import cosine, fused
-from turnstone.operators import archive, candidates, chronos, communities, entities, graph, lexical, lifecycle, reconcile, timeline, vectors
+from turnstone.operators import archive, candidates, chronos, clustering, communities, entities, graph, lexical, lifecycle, reconcile, timeline, vectors
 from turnstone.sources import jsonl
 
 
@@ -129,7 +129,7 @@ def test_communities_cover_and_gain(spark):
     rng = random.Random(2)
     edges = [(64 * c + i, 64 * c + (i + d) % 64) for c in range(6) for i in range(64) for d in (1, 2, 3, 4)] + [(64 * c, 64 * (c + 1) % 384 + rng.randrange(5)) for c in range(6)]
     e = spark.createDataFrame(edges, "a long, b long")
-    home = communities.detect(e, shard=96)
+    home = clustering.scan_and_merge(e, shard=96)[0]
     rows = home.collect()
     assert sorted(r.node for r in rows) == list(range(384)) and all(r.community <= r.node for r in rows)
     pairs = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
