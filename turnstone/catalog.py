@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-PLANS = ("lexical", "archive", "timeline", "vectors", "graph", "candidates", "communities", "entities", "lifecycle", "chronos", "reconcile", "streams", "records", "store", "retrieval", "maintenance", "admission", "queue", "imports")
+PLANS = ("lexical", "archive", "timeline", "vectors", "graph", "candidates", "communities", "entities", "lifecycle", "chronos", "reconcile", "streams", "records", "store", "retrieval", "maintenance", "admission", "queue", "imports", "files")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import identity_tokens, jaccard_per_mille, normalize_surface, normalized_surface
+from ..functions.text import blank_trimmed, identity_tokens, jaccard_per_mille, normalize_surface, normalized_surface
+from .records import identifier
 
 # Words that say nothing about which entity is meant.
 GENERIC = ["client", "code", "game", "library", "module", "package", "project", "repo", "repository", "server", "service", "system", "tool"]
@@ -113,8 +114,9 @@ def block_pairs(entities: DataFrame, claims: DataFrame | None = None) -> DataFra
     subset = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
     found = pairs.join(side("left"), "left_id").join(side("right"), "right_id").select("left_id", "right_id", score.alias("score"), subset.alias("subset")).where((F.col("score") >= LEAST_JACCARD) | F.col("subset")).drop("subset")
     if claims is not None:
-        c = claims.join(entities.select("id", "kind"), "id").groupBy("kind", "claim").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > 1)
-        both = c.select(F.col("ids"), F.posexplode("ids").alias("p", "left_id")).select("left_id", F.explode(F.slice("ids", F.col("p") + 2, F.size("ids"))).alias("right_id"))
+        # rows of a claim meet by a join, which Spark splits where many share it; no claim is one row
+        c = claims.where("claim is not null").join(entities.select("id", "kind"), "id").select("kind", "claim", "id").distinct()
+        both = c.withColumnRenamed("id", "left_id").join(c.withColumnRenamed("id", "right_id"), ["kind", "claim"]).where("left_id < right_id")
         found = found.union(both.select("left_id", "right_id", F.lit(EXACT_SCORE).cast("long")))
     return found.groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
 
@@ -153,3 +155,71 @@ def associated(links: DataFrame, memories: str, entities: str) -> DataFrame:
     once = links.select("memory", "entity").distinct()
     side = lambda of, other, name, which: once.where(which).groupBy(F.col(of).alias("id")).agg(F.lit(name).alias("side"), F.array_join(F.transform(F.array_sort(F.collect_list(other)), lambda x: x.cast("string")), ",").alias("ids"))
     return side("memory", "entity", "entities", memories).union(side("entity", "memory", "memories", entities))
+
+
+def claim_classes(entities: DataFrame, claims: DataFrame) -> DataFrame:
+    """(id, claim, first, members) of entities (id, kind) whose claim (id, claim) others of their kind have:
+    the least id of the class and how many it has. A row a member stands for all pairs of the class."""
+    c = claims.where("claim is not null").join(entities.select("id", "kind"), "id").select("kind", "claim", "id").distinct()
+    classes = c.groupBy("kind", "claim").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1")
+    return c.join(classes, ["kind", "claim"]).select("id", "claim", "first", "members")
+
+
+_DRAFT = ("name", "aliases", "kind", "created_ns")
+
+
+def _revisions(log: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """(id, _revision, _is, _created): the last revision of each entity and whether it is a record."""
+    both = log.select("id", "revision", F.lit(True).alias("is"), "created_ns").union(tombstones.select("id", "revision", F.lit(False), F.lit(None).cast("long")))
+    return both.groupBy("id").agg(F.max("revision").alias("_revision"), F.max_by("is", "revision").alias("_is"), F.max_by("created_ns", "revision").alias("_created"))
+
+
+def published(log: DataFrame, tombstones: DataFrame, drafts: DataFrame) -> DataFrame:
+    """drafts (mutation_id, id, expected_revision, name, aliases, kind, created_ns) with id, outcome and revision.
+
+    log: (id, revision, mutation_id) and the last four; tombstones: (id, revision, replacement_id). A draft
+    without an id gets one by its mutation. Outcomes: `invalid` (a blank name); `repeated`, a mutation of the
+    log that says the same of an entity that is there, else `conflict`; `contested`, if the batch names an
+    entity or a mutation more than once; `stale`, if another revision is the last one; `changed`, if the
+    time of creation differs; `new`, `revived` (of a retired entity) or `written`, which have a revision.
+    """
+    drafts = drafts.withColumn("id", F.coalesce("id", identifier("entity", F.col("mutation_id"))))
+    count = lambda key, name: drafts.groupBy(key).agg(F.count("*").alias(name))
+    own, said = F.to_json(F.struct(*_DRAFT)), log.select("mutation_id", F.col("id").alias("_of"), F.to_json(F.struct(*_DRAFT)).alias("_said"))
+    last = _revisions(log, tombstones)
+    there = last.where("_is").select(F.col("id").alias("_of"), F.lit(True).alias("_there"))
+    rows = drafts.join(count("id", "_ids"), "id").join(count("mutation_id", "_mutations"), "mutation_id").join(said.join(there, "_of", "left"), "mutation_id", "left").join(last, "id", "left")
+    outcome = (
+        F.when(F.coalesce(blank_trimmed(F.col("name")), F.lit("")) == "", "invalid")
+        .when(F.col("_of").isNotNull(), F.when(F.coalesce("_there", F.lit(False)) & (F.col("_said") == own), "repeated").otherwise("conflict"))
+        .when((F.col("_ids") > 1) | (F.col("_mutations") > 1), "contested")
+        .when(~F.col("expected_revision").eqNullSafe(F.coalesce("_revision", F.lit(0))), "stale")
+        .when(F.col("_is") & (F.col("_created") != F.col("created_ns")), "changed")
+        .when(F.col("_revision").isNull(), "new").when(F.col("_is"), "written").otherwise("revived")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    return rows.select(*drafts.columns, "outcome", F.when(F.col("outcome").isin("new", "written", "revived"), F.coalesce("_revision", F.lit(0)) + 1).alias("revision"))
+
+
+def tombstoned(log: DataFrame, tombstones: DataFrame, commands: DataFrame) -> DataFrame:
+    """commands (id, expected_revision, replacement_id), equal ones once, with outcome and revision.
+
+    Outcomes: `invalid`, if the replacement is the entity itself or isn't there; `repeated`, if the entity has
+    been retired for that replacement, `missing`, if it isn't there otherwise; `stale`, if it has another
+    revision; `contested`, if the batch names the entity again or would retire its replacement; `written`.
+    """
+    last = _revisions(log, tombstones).select("id", "_revision", "_is")
+    commands = commands.select("id", "expected_revision", "replacement_id").distinct()
+    named = commands.groupBy("id").agg(F.count("*").alias("_named"))
+    there = last.where("_is").select(F.col("id").alias("replacement_id"), F.lit(True).alias("_there"))
+    also = named.select(F.col("id").alias("replacement_id"), F.lit(True).alias("_also"))
+    into = tombstones.groupBy("id").agg(F.max_by("replacement_id", "revision").alias("_into"))
+    rows = commands.join(named, "id").join(there, "replacement_id", "left").join(also, "replacement_id", "left").join(last, "id", "left").join(into, "id", "left")
+    outcome = (
+        F.when((F.col("id") == F.col("replacement_id")) | F.col("_there").isNull(), "invalid")
+        .when(~F.coalesce("_is", F.lit(False)), F.when(F.col("_into").eqNullSafe(F.col("replacement_id")), "repeated").otherwise("missing"))
+        .when(~F.col("expected_revision").eqNullSafe(F.col("_revision")), "stale")
+        .when((F.col("_named") > 1) | F.col("_also").isNotNull(), "contested")
+        .otherwise("written")
+    )
+    return rows.withColumn("outcome", outcome).select(*commands.columns, "outcome", F.when(F.col("outcome") == "written", F.col("_revision") + 1).alias("revision"))

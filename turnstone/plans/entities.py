@@ -153,3 +153,53 @@ def entities_of_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suppliers of every tenth customer and the customers of every tenth supplier, sorted."""
     line = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     return e.associated(line.select(F.col("o_custkey").alias("memory"), F.col("l_suppkey").alias("entity")), "memory % 10 = 1", "entity % 10 = 1")
+
+
+_ENTITIES_SQL = """s AS (SELECT s_suppkey AS n, 'e' || s_suppkey AS id, s_suppkey % 10 AS k, s_name AS name FROM supplier)"""
+
+
+def _entity_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers, as entities of one revision each, and tombstones of those that end in 9."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"), F.concat(F.lit("e"), "s_suppkey").alias("id"), (F.col("s_suppkey") % 10).alias("k"), F.col("s_name").alias("name"))
+    log = s.select("id", F.lit(1).alias("revision"), F.concat(F.lit("m"), "n").alias("mutation_id"), "name", F.array().cast("array<string>").alias("aliases"), F.lit("firm").alias("kind"), F.lit(5).cast("long").alias("created_ns"))
+    return s, log, s.where("k = 9").select("id", F.lit(2).alias("revision"), F.lit("e1").alias("replacement_id"))
+
+
+@query("entity_publish", f"""WITH {_ENTITIES_SQL}
+    SELECT CASE WHEN k IN (1, 2) THEN 'm' || n ELSE 'd' || n END AS mutation_id, CASE WHEN k = 6 THEN sha256('entity/' || length('d' || n) || ':d' || n) ELSE id END AS id,
+        ['written', 'repeated', 'conflict', 'stale', 'changed', 'invalid', 'new', 'contested', 'stale', 'revived'][k + 1] AS outcome, CASE k WHEN 0 THEN 2 WHEN 6 THEN 1 WHEN 9 THEN 3 END AS revision FROM s
+    UNION ALL SELECT 'x' || n, id, 'contested', NULL FROM s WHERE k = 7""")
+def entity_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of ten kinds, by a supplier's last digit."""
+    s, log, gone = _entity_log(spark, sf_dir)
+    k = F.col("k")
+    draft = lambda mutation: s.select(
+        "k", mutation.alias("mutation_id"), F.when(k != 6, F.col("id")).alias("id"), F.when(k.isin(3, 6), 0).when(k == 9, 2).when(k != 8, 1).alias("expected_revision"),
+        F.when(k == 2, "another").when(k == 5, " \t").otherwise(F.col("name")).alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit("firm").alias("kind"), F.when(k == 4, 6).otherwise(5).cast("long").alias("created_ns"),
+    )
+    drafts = draft(F.concat(F.when(k.isin(1, 2), "m").otherwise("d"), "n")).union(draft(F.concat(F.lit("x"), "n")).where("k = 7")).drop("k")
+    return e.published(log, gone, drafts).select("mutation_id", "id", "outcome", "revision")
+
+
+@query("entity_tombstones", f"""WITH {_ENTITIES_SQL}, c AS (
+        SELECT id, k, n, CASE k WHEN 4 THEN 7 ELSE 1 END AS expected_revision, CASE WHEN k IN (0, 5, 8) THEN 'e' || (n + 1) WHEN k = 2 THEN id WHEN k = 3 THEN 'nobody' WHEN k = 9 AND n % 20 = 19 THEN 'e11' ELSE 'e1' END AS replacement_id FROM s WHERE k <> 1
+        UNION ALL SELECT id, k, n, 1, 'e11' FROM s WHERE k = 7),
+    j AS (SELECT c.*, c.id <> replacement_id AND EXISTS (SELECT 1 FROM s WHERE s.id = replacement_id AND s.k <> 9) AS there FROM c)
+    SELECT id, expected_revision, replacement_id, CASE WHEN NOT there THEN 'invalid' WHEN k = 9 AND replacement_id = 'e1' THEN 'repeated' WHEN k = 9 THEN 'missing' WHEN k = 4 THEN 'stale' WHEN k IN (5, 7) THEN 'contested' ELSE 'written' END AS outcome,
+        CASE WHEN there AND k IN (0, 6) THEN 2 END AS revision FROM j""")
+def entity_tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities to be replaced by others: themselves, none, one that is retired too, of another revision, twice."""
+    s, log, gone = _entity_log(spark, sf_dir)
+    k = F.col("k")
+    to = F.when(k.isin(0, 5, 8), F.concat(F.lit("e"), F.col("n") + 1)).when(k == 2, F.col("id")).when(k == 3, "nobody").when((k == 9) & (F.col("n") % 20 == 19), "e11").otherwise("e1")
+    commands = s.where("k <> 1").select("id", F.when(k == 4, 7).otherwise(1).alias("expected_revision"), to.alias("replacement_id")).union(s.where("k = 7").select("id", F.lit(1), F.lit("e11")))
+    return e.tombstoned(log, gone, commands.union(commands))
+
+
+@query("claim_classes", """
+    WITH c AS (SELECT p_partkey AS id, p_brand AS kind, p_retailprice AS claim FROM part WHERE p_retailprice IS NOT NULL)
+    SELECT id, claim, min(id) OVER w AS first, count(*) OVER w AS members FROM c WINDOW w AS (PARTITION BY kind, claim) QUALIFY members > 1""")
+def claim_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand that have one price: each with its class."""
+    p = table(spark, sf_dir, "part")
+    return e.claim_classes(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("kind")), p.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("claim")))
