@@ -51,11 +51,14 @@ def scored(index: DataFrame, queries: DataFrame, key: list[str]) -> DataFrame:
 
 
 def searched_batch(docs: DataFrame, queries: DataFrame, key: list[str], text: str) -> DataFrame:
-    """As searched, for many queries: the asked terms are written, as is the index of what they meet;
-    a text's occurrences of a term are counted once, however many queries ask for it."""
+    """As searched, for many queries; key names one document. The asked terms are written. Tokens meet
+    them without their texts, which are then joined once a document with the asked terms that it has; an
+    occurrence is counted once, however many queries ask for its term."""
     asked = cut(_asked(queries), "asked")
     wanted = asked.select("term").distinct()
-    index = _tokens(docs, key, text).join(wanted, "term", "left_semi").select(*key, "term", _frequency())
+    tokens = docs.select(*key, F.explode(lexical_terms(F.col(text))).alias("term"))
+    having = tokens.join(wanted, "term", "left_semi").groupBy(*key).agg(F.collect_list("term").alias("_terms"))
+    index = docs.select(*key, F.lower(text).alias("_lower")).join(having, key).select(*key, "_lower", F.explode("_terms").alias("term")).select(*key, "term", _frequency())
     return _scores(index.join(asked, "term"), key)
 
 
