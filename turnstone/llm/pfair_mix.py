@@ -14,7 +14,8 @@ block takes more than BLOCK_DOCS.
 
 A document's rank in its source comes from (source, hash bucket, id): a source has a bucket for each
 BUCKET_DOCS documents, ranks inside a bucket come from a window, the rest from adding up the buckets
-before it, so that a source with a third of all documents is ranked in many tasks.
+before it, so that a source with a third of all documents is ranked in many tasks. Buckets are by id
+and text, so that very many rows without an id, or with one, are dealt out too.
 """
 
 from __future__ import annotations
@@ -91,8 +92,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     """All rows and columns of docs with mix_block, mix_slot and mix_position (longs, from 0).
 
     weights: of each source; None: the square root of its number of documents. A null source counts
-    as the source ''. Sources that weights doesn't name are an error. Rows with equal ids are
-    ordered by a hash of their text; null ids come first in their bucket. An empty table gives an
+    as the source ''. Sources that weights doesn't name are an error. Buckets are
+    dealt by id and a hash of the text, and ordered by these inside, null ids first. An empty table gives an
     empty result. prefix begins the three names; columns of docs that have one of them are replaced.
     block_docs: documents of a block, more if the schedule would have over MOST_BLOCKS blocks. The
     driver gets a count for each source; the schedule is a table in the shared folder, joined by
@@ -130,7 +131,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     plan = written(spark.range(0, 1, 1, 1).mapInArrow(slots, f"{p}source string, {p}block long, {p}slot long, {p}begin long"), "schedule")
     # written, so that Spark knows its size: no source's rows are brought together to meet a small table
     buckets = written(spark.createDataFrame([(s, -(-n // BUCKET_DOCS)) for s, n in total.items()], f"{p}source string, {p}buckets long").coalesce(1), "buckets")
-    dealt = rows.join(buckets, p + "source").withColumn(p + "bucket", F.pmod(F.xxhash64(id_col), at("buckets"))).drop(p + "buckets")
+    dealt = rows.join(buckets, p + "source").withColumn(p + "bucket", F.pmod(F.xxhash64(id_col, p + "hash"), at("buckets"))).drop(p + "buckets")
     before = Window.partitionBy(p + "source").orderBy(p + "bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy(p + "source", p + "bucket").agg(F.count("*").alias(p + "n"))
     offsets = written(offsets.select(p + "source", p + "bucket", F.coalesce(F.sum(p + "n").over(before), F.lit(0)).alias(p + "before")), "offsets")
