@@ -50,6 +50,21 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_quoted_pairs_with_any_white_space(spark, tmp_path):
+    x = "x" * 30
+    texts = ["\none two\n and more of it", "one\t" + x, x[:19] + "\n" + x, x[:18] + " \n" + x, "\n " + x[:17] + " ", "\u00a0one\u3000", "\u2003 \n two", "\n" * 25 + "x", "\u00a0" * 25 + "x", " " * 25 + "x", " \t ", "", None, "\U0001f926\u200d\u2642\ufe0f" * 9, "say \"\\hi\"\x1c\x85", "\u2028one\u200b"]
+    # every text meets every class of pairs, on either side; the last ids are beyond a double's integers
+    rows = [(36 * i + 3 * k + side + far, texts[i] if side == t else "plain text") for far in (0, 3 * 2**58) for i in range(len(texts)) for k in range(12) for t in [k // 6] for side in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(catalog.ORACLE_SQL["pair_classification"])
+    names = [d[0] for d in want.description]
+    got = catalog.QUERIES["pair_classification"](spark, str(tmp_path)).select(*names)
+    order = lambda r: r[:2]
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want.fetchall(), key=order)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -17,13 +17,13 @@ DIRECTIONS = ["none", "undirected", "a_to_b", "b_to_a"]
 ANSWER = "relation string, direction string, evidence array<struct<side:string,quote:string>>"
 
 
-def answer_problem(answer: Column, a_text: Column, b_text: Column) -> Column:
+def answer_problem(answer: Column, a_text: Column, b_text: Column, trimmed: Callable[[Column], Column] = blank_trimmed) -> Column:
     """What is wrong with an answer (a struct of ANSWER, null if it wasn't an object); '' if nothing."""
     relation, direction, evidence = answer["relation"], answer["direction"], answer["evidence"]
     none = relation == "none"
     unlike = lambda x, values: ~F.coalesce(x.isin(values), F.lit(False))
     sides = F.transform(evidence, lambda e: e["side"])
-    said = lambda e: blank_trimmed(F.coalesce(e["quote"], F.lit("")))
+    said = lambda e: trimmed(F.coalesce(e["quote"], F.lit("")))
     text = lambda e: F.when(e["side"] == "a", a_text).otherwise(b_text)
     return (
         F.when(answer.isNull(), "not an object")
@@ -42,21 +42,21 @@ def answer_problem(answer: Column, a_text: Column, b_text: Column) -> Column:
     )
 
 
-def judged(answers: DataFrame) -> DataFrame:
+def judged(answers: DataFrame, trimmed: Callable[[Column], Column] = blank_trimmed) -> DataFrame:
     """answers (a, b, a_text, b_text, answer) with relation, direction, a_quote, b_quote and problem. answer:
-    JSON; relations without a direction get `undirected`, none gets `none`."""
+    JSON; relations without a direction get `undirected`, none gets `none`; quotes are trimmed."""
     rows = answers.withColumn("_x", F.from_json("answer", ANSWER, {"mode": "PERMISSIVE"}))
     rows = rows.withColumn("_x", F.when(F.get_json_object("answer", "$").startswith("{"), F.col("_x")))
-    rows = rows.withColumn("problem", F.when(F.col("a") == F.col("b"), "a pair of one").otherwise(answer_problem(F.col("_x"), F.col("a_text"), F.col("b_text"))))
+    rows = rows.withColumn("problem", F.when(F.col("a") == F.col("b"), "a pair of one").otherwise(answer_problem(F.col("_x"), F.col("a_text"), F.col("b_text"), trimmed)))
     ok = F.col("problem") == ""
     relation = F.col("_x.relation")
     direction = F.when(relation == "none", "none").when(~relation.isin(DIRECTED), "undirected").otherwise(F.col("_x.direction"))
-    quote = lambda side: F.try_element_at(F.transform(F.filter("_x.evidence", lambda e: e["side"] == side), lambda e: blank_trimmed(e["quote"])), F.lit(1))
+    quote = lambda side: F.try_element_at(F.transform(F.filter("_x.evidence", lambda e: e["side"] == side), lambda e: trimmed(e["quote"])), F.lit(1))
     kept = {"relation": relation, "direction": direction, "a_quote": quote("a"), "b_quote": quote("b")}
     return rows.select(*answers.columns, *(F.when(ok, c).alias(n) for n, c in kept.items()), "problem")
 
 
-def classified(pairs: DataFrame, model: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def classified(pairs: DataFrame, model: Callable[[DataFrame], DataFrame], rounds: int = 3, trimmed: Callable[[Column], Column] = blank_trimmed) -> DataFrame:
     """(a, b, relation, direction, a_quote, b_quote, rounds, problem) of pairs (a, b, a_text, b_text), a < b.
 
     The model is given pairs with round and errors (what was wrong in the rounds before) and gives (a,
@@ -67,7 +67,7 @@ def classified(pairs: DataFrame, model: Callable[[DataFrame], DataFrame], rounds
     open_, done = pairs.withColumn("errors", F.array().cast("array<string>")), None
     for k in range(1, rounds + 1):
         answers = model(open_.withColumn("round", F.lit(k))).select("a", "b", "answer").dropDuplicates(["a", "b"])
-        got = cut(judged(open_.join(answers, ["a", "b"], "left")), "judged")
+        got = cut(judged(open_.join(answers, ["a", "b"], "left"), trimmed), "judged")
         last = got if k == rounds else got.where("problem = ''")
         rows = last.select("a", "b", "relation", "direction", "a_quote", "b_quote", F.lit(k).alias("rounds"), "problem")
         done = rows if done is None else done.union(rows)
