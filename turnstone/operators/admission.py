@@ -72,13 +72,26 @@ def qualifiers(entities: DataFrame) -> DataFrame:
 
 def creation_conflicts(mentions: DataFrame, entities: DataFrame, most: int) -> DataFrame:
     """(mention, id, place): at most `most` entities (id, name, aliases, kind) of a mention's (mention,
-    surface, kind) kind that share an identity key with it, by id."""
+    surface, kind) kind that share an identity key with it, by id. A mention that has several rows meets
+    each of its kinds by each of its surfaces.
+
+    Only the first `most` entities of a kind and key can be among the first of a mention, so the others
+    are left out before anything meets. Distinct surfaces and kinds are few, however many mentions
+    there are: these meet entities, and mentions are joined with what theirs have found.
+    """
     words = cut(qualifiers(entities), "qualifiers")
-    asked = guard_keys(mentions.select(F.col("mention").alias("id"), F.col("surface").alias("name")), words).withColumnRenamed("id", "mention").join(mentions.select("mention", "kind"), "mention")
+    own = mentions.groupBy("mention").agg(F.collect_set("surface").alias("surfaces"), F.collect_set("kind").alias("kinds"))
+    asked = cut(own.select("mention", F.explode("surfaces").alias("surface"), "kinds").select("mention", "surface", F.explode("kinds").alias("kind")), "asked")
     names = entities.select("id", F.explode(F.concat(F.array("name"), "aliases")).alias("name"))
-    held = guard_keys(names, words).join(entities.select("id", "kind"), "id")
-    met = asked.join(held, ["kind", "key"]).select("mention", "id").distinct()
-    return met.withColumn("place", F.row_number().over(Window.partitionBy("mention").orderBy("id"))).where(F.col("place") <= most)
+    held = guard_keys(names, words).join(entities.select("id", "kind"), "id").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind", "key").orderBy("id"))
+    held = held.withColumn("_n", nth).where(F.col("_n") <= most).groupBy("kind", "key").agg(F.collect_list("id").alias("_ids"))
+    sorts = cut(asked.select("surface", "kind").distinct(), "sorts")
+    keys = guard_keys(sorts.select(F.col("surface").alias("id")).distinct().withColumn("name", F.col("id")), words).withColumnRenamed("id", "surface")
+    first = lambda lists: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists)))), 1, most)
+    met = cut(sorts.join(keys, "surface").join(cut(held, "held"), ["kind", "key"]).groupBy("surface", "kind").agg(first("_ids").alias("_ids")), "met")
+    found = asked.join(met, ["surface", "kind"]).groupBy("mention").agg(first("_ids").alias("_ids"))
+    return found.select("mention", F.posexplode("_ids").alias("place", "id")).select("mention", "id", (F.col("place") + 1).alias("place"))
 
 
 # -- gates ------------------------------------------------------------------------------------
