@@ -108,3 +108,22 @@ def test_a_batch_of_receipts_counts_once(spark, tmp_path, monkeypatch):
     receipts.apply_batch(path, df((3, 0, "old")), 2, buckets=4)
     receipts.apply_batch(path, df(), 3, buckets=4)
     assert now() == [(1, 2, "c"), (2, 1, "b"), (3, 1, "d")]
+
+
+def test_works_and_messages_share_state_by_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "BUCKETS", 8, raising=False)
+    ms, n = lambda minute: int(at(minute).timestamp() * 1000), 300
+    feed = Feed(spark, tmp_path / "w", COMMANDS, live.work_stream)
+    big = 2**60  # beyond a double's integers
+    feed.push([(big + i, k, *c) for i in range(n) for k, c in enumerate([("queue", None, at(0), None, None), ("claim", "w", at(0), ms(1 + i % 5), None)])])
+    assert feed.state_rows < n
+    feed.push([(1, 0, "queue", None, at(4.5), None, None)])  # the leases of 1 and 2 lapse; a minute is waited
+    feed.push([(2, 0, "queue", None, at(60), None, None)])
+    feed.push([(3, 0, "queue", None, at(61), None, None)])
+    lapsed = [r for r in feed.rows() if r[1] == -1]
+    assert sorted(r[0] for r in lapsed) == [big + i for i in range(n)] and {r[2:6] for r in lapsed} == {("lapse", "done", "pending", 1)}
+    parts = Feed(spark, tmp_path / "m", PARTS, live.assembled)
+    parts.push([(f"m{i}", k, *p, at(0)) for i in range(n) for k, p in enumerate([("begin", None), ("text", f"t{i}")])])
+    assert parts.state_rows < n and parts.rows() == []
+    parts.push([(f"m{i}", 2, "complete", None, at(1)) for i in range(n)])
+    assert parts.rows() == sorted((f"m{i}", "complete", f"t{i}", 1, "") for i in range(n))
