@@ -53,10 +53,11 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def _in_batches(df: DataFrame, n: int, seed: int = 5) -> DataFrame:
-    """df as a stream of n files of rows in no order, a file a batch."""
+    """df as a stream of files of rows in no order, read in n batches at most; all cores write them."""
     path = f"{scratch(df.sparkSession)}/stream-{uuid.uuid4().hex}"
-    df.repartition(n, F.xxhash64(*df.columns, F.lit(seed))).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = -(-df.sparkSession.sparkContext.defaultParallelism // n)  # of a batch
+    df.repartition(n * files, F.xxhash64(*df.columns, F.lit(seed))).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _at() -> Column:
