@@ -63,3 +63,13 @@ def test_import(spark):
     assert sorted((r[2], r[3]) for r in got["rejected"]) == [("conflict", "other"), ("conflict", "text"), ("dangling", "w"), ("dangling", "z")]
     with pytest.raises(ValueError):
         imported(rows, turns=2, overlap=2)
+
+
+def test_small_splits_of_large_files_share_partitions(tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        (tmp_path / f"in/{name}.jsonl").write_text("".join(node(i, name, content="x" * 50) + "\n" for i in range(9000)))
+    reader = graphlines.Reader(str(tmp_path / "in"), 512)
+    parts = reader.partitions()
+    assert len(parts) <= 300 and sum(p.end - p.start for p in parts) == sum(sizes(reader.path).values())
+    assert [(r[0], r[3]) for p in parts for r in reader.read(p)] == [(f"{x}.jsonl", f"n{i}") for x in "ab" for i in range(9000)]

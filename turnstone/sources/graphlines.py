@@ -1,8 +1,9 @@
 """A data source of tagged JSON lines: `spark.read.format("graphlines").load(folder)`, and as a stream.
 
 One line is a node of a conversation tree, a branch of it, or an echo event. Files are read in
-splits of bytes, each a partition; a line belongs to the split that it begins in, so the same rows
-come whatever the size of a split. As a stream, an offset says how many bytes of each file have been
+splits of bytes; a line belongs to the split that it begins in, so the same rows come whatever the
+size of a split. A partition takes splits that follow one another, more of them the more there are:
+small splits make no more partitions than a scheduler bears. As a stream, an offset says how many bytes of each file have been
 read: files may grow, and only what ends in a line break is read. A line that isn't a record comes
 with kind `rejected` and the reason, its text in `content`.
 
@@ -20,6 +21,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SPLIT = 64 << 20
+#: Partitions of a read, unless they would be larger than SPLIT each.
+PARTITIONS = 256
 SCHEMA = """file string, offset long, kind string, id string, conversation_id string, parent_id string, role string, timestamp_ns long, content string,
     leaf_node_id string, canonical boolean, title string, message_id string, sequence long, model_round int, event_kind string, correlation_id string, name string, problem string"""
 _FIELDS = [f.split()[0] for f in SCHEMA.replace("\n", " ").split(",")]
@@ -61,6 +64,12 @@ def sizes(path: str) -> dict[str, int]:
     return {f.base_name: f.size for f in found if f.is_file and not f.base_name.startswith(("_", "."))}
 
 
+def split_bytes(size: int, asked: int) -> int:
+    """Bytes of a partition of so many in all: whole splits of what was asked for."""
+    least = min(-(-size // PARTITIONS), SPLIT)
+    return asked * max(1, -(-least // asked))
+
+
 class Stretch(InputPartition):
     """The lines of a file that begin in a stretch of bytes."""
 
@@ -93,7 +102,8 @@ class Reader(DataSourceReader):
         self.path, self.split = path, split
 
     def partitions(self) -> list[Stretch]:
-        return stretches({f: (0, n) for f, n in sizes(self.path).items()}, self.split)
+        found = sizes(self.path)
+        return stretches({f: (0, n) for f, n in found.items()}, split_bytes(sum(found.values()), self.split))
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
         return lines(self.path, partition)
@@ -123,7 +133,8 @@ class StreamReader(DataSourceStreamReader):
         return 0
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        return stretches({f: (start.get(f, 0), n) for f, n in end.items() if n > start.get(f, 0)}, self.split)
+        new = {f: (start.get(f, 0), n) for f, n in end.items() if n > start.get(f, 0)}
+        return stretches(new, split_bytes(sum(b - a for a, b in new.values()), self.split))
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
         return lines(self.path, partition)
