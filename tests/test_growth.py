@@ -1,7 +1,10 @@
 """What meets in joins grows with the tables, not with the square of a group: rows that are shuffled are
 counted from Spark's stages."""
 
-from turnstone.operators import admission
+import math
+
+import numpy as np
+from turnstone.operators import admission, blocks, candidates
 
 
 def shuffled(spark, run):
@@ -29,3 +32,28 @@ def test_conflicts_of_a_frequent_name(spark):
     want = {k: [1, 2, 3, 5, 6] for k in range(n)} | {7: [0, 1, 2, 3, 4]}
     assert rows == [(k, x, place + 1) for k in range(n) for place, x in enumerate(want[k])]
     assert most < 20 * n
+
+
+def test_pairs_of_frequent_and_rare_tokens(spark):
+    n = 300
+    words = [[f"w{j}" for j in range(40) if i % (j + 1) == 0] + [f"rare{i // 3}", "x"] for i in range(n)]
+    texts = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)] + [(n, None), (n + 1, "? !")], "id long, text string").repartition(3)
+    rows, most = shuffled(spark, lambda: sorted(map(tuple, candidates.token_overlap(texts.where("id % 10 = 0"), texts).collect())))
+    sets = [set(w) - {"x"} for w in words]  # tokens of one byte don't count
+    assert rows == [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(0, n, 10) for b in range(n) if a != b]
+    assert most < 2 * n
+
+
+def test_best_jaccards_with_boosts_and_weights(spark):
+    rng = np.random.default_rng(1)
+    sets = [sorted({f"t{int(x)}" for x in rng.zipf(1.3, 12) % 5000}) for _ in range(700)]
+    kind = [None if i % 9 == 0 else f"k{i % 4}" for i in range(700)]
+    rows = spark.createDataFrame([(i, s, k) for i, (s, k) in enumerate(zip(sets, kind))], "candidate long, tokens array<string>, other string").repartition(5)
+    asked = rows.where("candidate % 7 = 0").withColumnsRenamed({"candidate": "source", "other": "own"})
+    got = {}
+    for r in blocks.best_pairs(rows, asked, blocks.jaccards("tokens", "tokens", {("own", "other"): 0.08}, digits=9), 20, block=40).collect():
+        got.setdefault(r.source, []).append((-r.score, r.candidate))
+    for a in range(0, 700, 7):
+        of = lambda b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) + 0.08 * (kind[a] is not None and kind[a] == kind[b])  # noqa: B023, E731
+        want = sorted((-math.floor(of(b) * 1e9 + 0.5) / 1e9, b) for b in range(700) if b != a and set(sets[a]) & set(sets[b]))[:20]
+        assert sorted(got.get(a, [])) == want
