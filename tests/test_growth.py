@@ -4,7 +4,9 @@ counted from Spark's stages."""
 import math
 
 import numpy as np
-from turnstone.operators import admission, blocks, candidates
+from pyspark.sql import functions as F
+from turnstone.functions.text import lexical_terms
+from turnstone.operators import admission, blocks, candidates, lexical
 
 
 def shuffled(spark, run):
@@ -57,3 +59,16 @@ def test_best_jaccards_with_boosts_and_weights(spark):
         of = lambda b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) + 0.08 * (kind[a] is not None and kind[a] == kind[b])  # noqa: B023, E731
         want = sorted((-math.floor(of(b) * 1e9 + 0.5) / 1e9, b) for b in range(700) if b != a and set(sets[a]) & set(sets[b]))[:20]
         assert sorted(got.get(a, [])) == want
+
+
+def test_searches_of_common_terms(spark):
+    words = "the of server disk the_ net full old new".split()
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(words, 8)) + f" z{i // 2}" * (i % 3) for i in range(400)]
+    docs = spark.createDataFrame([(f"t{i}", x) for i, x in enumerate(texts)] + [("none", None), ("empty", "")], "turn_id string, text string").repartition(4)
+    asked = docs.where("turn_id like '%7'").select(F.col("text").alias("query_id"), lexical_terms(F.col("text")).alias("terms")).distinct()
+    hits = lexical.searched_batch(docs, asked, ["turn_id"], "text").withColumn("score", F.round("score", 9))
+    want = sorted(map(tuple, lexical.top(hits, [F.desc("score"), F.col("turn_id")], 5).select("query_id", "turn_id", "score", "rank").collect()))
+    rows, most = shuffled(spark, lambda: sorted(map(tuple, lexical.best_of_batch(docs, asked, "turn_id", "text", 5).collect())))
+    assert rows == want and len({r[0] for r in rows}) == 40
+    assert most < 4 * 402

@@ -70,3 +70,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_long_conversations_are_extracted_whole(spark, tmp_path):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of talk {c}") for c, n in ((0, 70), (1, 3)) for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.execute(catalog.ORACLE_SQL["extraction"])
+    names = [d[0] for d in want.description]
+    got = catalog.QUERIES["extraction"](spark, str(tmp_path)).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

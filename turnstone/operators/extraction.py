@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_trimmed, lexical_terms
 from ..session import cut
-from .lexical import searched_batch, top
+from .lexical import best_of_batch
 
 # What a candidate may be.
 AUTHORITIES = ["direct", "correction", "adoption", "retention"]
@@ -149,24 +149,24 @@ def answered(requests: DataFrame, archive: DataFrame) -> DataFrame:
     own = ["episode", "kind", "value"]
     named = requests.where("kind = 'turn'").join(archive, F.col("value") == F.col("turn_id")).select(*own, "turn_id", "role", "content")
     asked = requests.where("kind = 'search'").select("value").distinct()
-    hits = searched_batch(archive, asked.select(F.col("value").alias("query_id"), lexical_terms(F.col("value")).alias("terms")), ["turn_id"], "content")
-    best = top(hits.withColumn("score", F.round("score", 9)), [F.desc("score"), F.col("turn_id")], SEARCH_TURNS).select(F.col("query_id").alias("value"), "turn_id").join(archive, "turn_id")
+    terms = asked.select(F.col("value").alias("query_id"), lexical_terms(F.col("value")).alias("terms"))
+    best = best_of_batch(archive, terms, "turn_id", "content", SEARCH_TURNS).select(F.col("query_id").alias("value"), "turn_id").join(archive, "turn_id")
     return named.union(requests.where("kind = 'search'").join(best, "value").select(*own, "turn_id", "role", "content"))
 
 
 def extracted(
-    turns: DataFrame, ask: Callable[[DataFrame, DataFrame], DataFrame], make: Callable[[DataFrame, DataFrame], DataFrame], archive: DataFrame, most_turns: int = MOST_TURNS, most_requests: int = MOST_REQUESTS, rounds: int = MOST_ROUNDS
+    turns: DataFrame, ask: Callable[[DataFrame, DataFrame], DataFrame], make: Callable[[DataFrame, DataFrame], DataFrame], archive: DataFrame, most_turns: int | None = MOST_TURNS, most_requests: int = MOST_REQUESTS, rounds: int = MOST_ROUNDS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(accepted, rejected, ledger) of a model over episodes' turns (episode, turn_id, position, role, content).
 
-    In a round the model is given the first most_turns turns of each episode that is still asking and
+    In a round the model is given the first most_turns turns (None: all) of each episode that is still asking and
     the evidence so far, and `ask` gives requests (episode, kind, value, place). What an episode has
     asked before is left out; beyond most_requests a request is refused. Rounds end when nothing new
     is asked. Then `make` gives candidates, which are validated. ledger: (episode, round, kind, value,
     outcome, found): answered, nothing, refused or unknown kind.
     """
     place = F.row_number().over(Window.partitionBy("episode").orderBy("position"))
-    seen = cut(turns.withColumn("_n", place).where(F.col("_n") <= most_turns).drop("_n"), "turns")
+    seen = cut(turns if most_turns is None else turns.withColumn("_n", place).where(F.col("_n") <= most_turns).drop("_n"), "turns")
     id_ = dict(turns.dtypes)
     spark = turns.sparkSession
     evidence = spark.createDataFrame([], f"episode {id_['episode']}, kind string, value string, turn_id {id_['turn_id']}, role string, content string")

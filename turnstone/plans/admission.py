@@ -171,7 +171,7 @@ def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A stand-in model over conversations as episodes. Every second asks for its turn 1 and for what is
     like its first turn; every fourth, once it has evidence, for its turns 2 to 6. It makes a statement of
-    each turn, of every third turn twice."""
+    each turn, of every third turn twice. Episodes are given whole, as the SQL has them."""
     t = turns(spark, sf_dir).select(F.col("conversation_id").alias("episode"), F.col("id").alias("turn_id"), F.col("turn").alias("position"), "role", "content")
 
     def ask(seen: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
             F.lit("Said so").alias("content"), F.left("content", F.lit(3)).alias("quote"), F.lit("").alias("authority_source"), F.lit("").alias("grounding_source"), F.lit("").alias("semantic_key"),
         )
 
-    return x.extracted(t, ask, make, t.select("turn_id", "role", "content"))
+    return x.extracted(t, ask, make, t.select("turn_id", "role", "content"), most_turns=None)
 
 
 @query("extraction", f"""WITH {TURNS_SQL}, c AS (SELECT conversation_id AS episode, id AS turn_id, role, turn, unnest(CASE WHEN turn % 3 = 0 THEN [0, 1] ELSE [0] END) AS again FROM turns)
