@@ -4,9 +4,10 @@ counted from Spark's stages."""
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from turnstone.functions.text import lexical_terms
-from turnstone.operators import admission, blocks, candidates, lexical
+from turnstone.operators import admission, blocks, candidates, chronos, lexical
 
 
 def shuffled(spark, run):
@@ -72,3 +73,14 @@ def test_searches_of_common_terms(spark):
     rows, most = shuffled(spark, lambda: sorted(map(tuple, lexical.best_of_batch(docs, asked, "turn_id", "text", 5).collect())))
     assert rows == want and len({r[0] for r in rows}) == 40
     assert most < 4 * 402
+
+
+def test_a_text_that_comes_again_is_parsed_once(monkeypatch):
+    asked, real = [], chronos.rows
+    monkeypatch.setattr(chronos, "rows", lambda *given: asked.append(given) or real(*given))
+    given = [("Due 2020-01-02", 0), ("Due 2020-01-02", 0), ("two weeks ago", 10**18), ("two weeks ago", None), (None, 0), ("x" * 300 + " 2021-05", 0)]
+    batch = lambda at: pa.RecordBatch.from_pydict({"id": list(range(6)), "text": [t for t, _ in given], "reference": pa.array([r for _, r in given], pa.int64())})
+    out = list(chronos.remembered(iter(map(batch, range(3)))))
+    want = pa.array([real(*g) for g in given], chronos._TYPE).to_pylist()
+    assert [b.column("findings").to_pylist() for b in out] == [want] * 3
+    assert len(asked) == 5 + 2  # the long one isn't remembered
